@@ -1,0 +1,37 @@
+"""Connected components for the operators of this subpackage.
+
+Labels travel over (group, member) rows: every member takes the least label of
+its groups until none changes. Each round is two aggregations with map-side
+combine and one join that adaptive execution can split, and ends in a written
+table, so no plan grows and no vertex list reaches the driver.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .shared import drop_scratch, materialize
+
+
+def components(rows: DataFrame, group: str, member: str, max_rounds: int = 100) -> DataFrame:
+    """(member, label): label is the least member of the component.
+
+    rows: (group, member) incidences, materialized. Members are integers. Groups
+    of one member are allowed. Raises if ``max_rounds`` do not suffice.
+    """
+    rows = rows.select(F.col(group).alias("g"), F.col(member).alias("m")).where("g is not null and m is not null")
+    labels = materialize(rows.groupBy("m").agg(F.min("m").alias("label")), "label")
+    for _ in range(max_rounds):
+        least = rows.join(labels, "m").groupBy("g").agg(F.min("label").alias("label"))
+        near = rows.join(least, "g").groupBy("m").agg(F.min("label").alias("near"))
+        # the label of a label's holder shortens long chains
+        after = labels.join(near, "m").select("m", "label", F.least("label", "near").alias("next"))
+        jump = after.select(F.col("m").alias("next"), F.col("next").alias("far"))
+        after = materialize(after.join(jump, "next", "left").select("m", "label", F.least("next", F.coalesce("far", "next")).alias("next")), "label")
+        changed = after.where("next <> label").limit(1).count()
+        drop_scratch(labels)
+        labels = after.select("m", F.col("next").alias("label"))
+        if not changed:
+            return labels.withColumnRenamed("m", member)
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
