@@ -67,18 +67,17 @@ def range_bounds(df: DataFrame, column: str, rows_per_range: int) -> list[int]:
     return sorted(set(cuts or []))
 
 
-def range_of(column, bounds: list[int]):
-    """The index of the range that holds the value: how many cut points lie below it (nulls: -1)."""
-    if not bounds:
-        return F.when(F.col(column).isNull(), F.lit(-1)).otherwise(F.lit(0))
-
-    def pick(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(column) <= F.lit(bounds[mid]), pick(lo, mid)).otherwise(pick(mid + 1, hi))
+def range_of(column, bounds: list[int], block: int = 100):
+    """The index of the range that holds the value: how many cut points lie below it (nulls: -1).
 
-    return F.when(F.col(column).isNull(), F.lit(-1)).otherwise(pick(0, len(bounds)))
+    Two searches of at most ``block`` and ``len(bounds) / block`` steps a row.
+    """
+    value = F.col(column).cast("long")
+    if not bounds:
+        return F.when(value.isNull(), F.lit(-1)).otherwise(F.lit(0))
+    every, ends = F.lit([int(b) for b in bounds]).cast("array<bigint>"), F.lit([int(b) for b in bounds[block - 1 :: block]]).cast("array<bigint>")
+    below = F.size(F.filter(ends, lambda b: b < value)) * block
+    return F.when(value.isNull(), F.lit(-1)).otherwise(below + F.size(F.filter(F.slice(every, below + 1, F.lit(block)), lambda b: b < value)))
 
 
 # --- hashed words ----------------------------------------------------------
