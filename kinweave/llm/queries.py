@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, mixing, ngram_join, pii, tokens
+from . import fingerprints, langid, mixing, ngram_join, pii, quality, tokens
 from .shared import table
 
 
@@ -27,6 +27,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_fingerprints, op4_ngram_jaccard_join, op5_language_id, op9_token_ids, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_pii, op2_quality, op3_fingerprints, op4_ngram_jaccard_join, op5_language_id, op9_token_ids, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
