@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, mixing, ngram_join, pii, quality, tokens
+from . import decontam, fingerprints, langid, mixing, ngram_join, pii, quality, tokens
 from .shared import table
 
 
@@ -43,6 +43,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokenize(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -52,7 +56,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_quality, op3_fingerprints, op4_ngram_jaccard_join, op5_language_id, op9_token_ids, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_pii, op2_quality, op3_fingerprints, op4_ngram_jaccard_join, op5_language_id, op8_decontaminate, op9_token_ids, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
