@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, langid, mixing, ngram_join, pii, quality, tokens
+from . import decontam, fingerprints, langid, mixing, ngram_join, pii, quality, secrets, tokens, urls
 from .shared import table
 
 
@@ -43,6 +43,16 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("secrets", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return found.select("doc_id", "n_candidates", F.size("secrets").alias("n_secrets"), spans.alias("spans"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,7 +66,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_quality, op3_fingerprints, op4_ngram_jaccard_join, op5_language_id, op8_decontaminate, op9_token_ids, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_pii, op2_quality, op3_fingerprints, op4_ngram_jaccard_join, op5_language_id, op6_secrets, op7_url_filter, op8_decontaminate, op9_token_ids, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
