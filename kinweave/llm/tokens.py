@@ -16,14 +16,16 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize, range_bounds, range_of, scratch_path
 
 END_ID = 2
-#: Words that a worker remembers, some 150 bytes each.
-REMEMBERED = 300_000
+#: Words that a worker remembers, some 200 bytes each.
+REMEMBERED = 600_000
 ORC_OPTIONS = {
     "compression": "zstd",
     "orc.create.index": "true",
@@ -34,39 +36,65 @@ ORC_OPTIONS = {
 }
 
 
-def _encoder(path: str):
-    """text -> the bytes of its ids as little-endian 32-bit integers."""
-    import os
+class _Encoder:
+    """Whole texts to ids. Words seen a second time are remembered, up to ``REMEMBERED``."""
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import re
+    def __init__(self, path: str) -> None:
+        import os
 
-    import numpy as np
-    from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {"": b""}
-    blank = re.compile("[\t\n\r]")
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = list(self.tokenizer.get_added_tokens_decoder().values())
+        self.known: dict[str, bytes] = {"": b""}
+        self.door = bytearray(1 << 23)
+        self.blank = re.compile("[\t\n\r]")
 
-    def encode_all(texts: list[str | None]) -> list[bytes]:
-        split = [blank.sub(" ", t or "").split(" ") for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        fresh: dict[str, bytes] = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            e = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids, at_word = np.array(e.ids, "<i4"), np.array([-1 if w is None else w for w in e.word_ids], np.int64)
-            cuts = np.searchsorted(at_word, np.arange(len(part) + 1))
-            raw = ids.tobytes()
-            for k, w in enumerate(part):
-                fresh[w] = raw[4 * cuts[k] : 4 * cuts[k + 1]]
-        if len(known) < REMEMBERED:
-            known.update(fresh)
-            look = known
-            return [b"".join([look[w] for w in words]) for words in split]
-        return [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in split]
+    def words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of each word. Ordinary words share a text, parted by a special token."""
+        import numpy as np
 
-    return encode_all
+        marks = [t.content for t in self.special]
+        odd = [w for w in words if any(m in w for m in marks)] if marks else words
+        out = {w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<i4").tobytes() for w in odd}
+        plain = [w for w in words if w not in out]
+        if plain:
+            mark = marks[0]
+            stop = self.tokenizer.token_to_id(mark)
+            parts = [plain[i : i + 64] for i in range(0, len(plain), 64)]
+            for part, e in zip(parts, self.tokenizer.encode_batch_fast([f" {mark} ".join(p) for p in parts], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<i4")
+                cuts = np.flatnonzero(ids == stop).tolist()
+                raw = ids.tobytes()
+                for w, a, b in zip(part, [0, *[c + 1 for c in cuts]], [*cuts, len(ids)], strict=True):
+                    out[w] = raw[4 * a : 4 * b]
+        return out
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The bytes of each text's ids as little-endian 32-bit integers."""
+        known, door, last = self.known, self.door, len(self.door) - 1
+        split = [self.blank.sub(" ", t or "").split(" ") for t in texts]
+        new = set().union(*split) - known.keys()
+        known.update(self.words(list(new)))
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        full = len(known) - len(new) >= REMEMBERED
+        for w in new:
+            at = hash(w) & last
+            if full or not door[at]:
+                del known[w]
+            door[at] = 1
+        return out
+
+
+_encoders: dict[str, _Encoder] = {}
+
+
+def _encoder(path: str) -> _Encoder:
+    """One for each worker process, whatever the number of its tasks."""
+    if path not in _encoders:
+        _encoders[path] = _Encoder(path)
+    return _encoders[path]
 
 
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
@@ -76,7 +104,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFr
         import numpy as np
         import pyarrow as pa
 
-        encode_all = _encoder(tokenizer_path)
+        encode_all = _encoder(tokenizer_path).encode_all
         end = np.array([end_id], "<i4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
