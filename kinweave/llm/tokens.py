@@ -17,6 +17,7 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from array import array
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from .shared import materialize, range_bounds, range_of, scratch_path
 
 END_ID = 2
 #: Words that a worker remembers, some 200 bytes each.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 ORC_OPTIONS = {
     "compression": "zstd",
     "orc.create.index": "true",
@@ -50,14 +51,35 @@ class _Encoder:
         self.known: dict[str, bytes] = {"": b""}
         self.door = bytearray(1 << 23)
         self.blank = re.compile("[\t\n\r]")
+        # A run of letters whose lower case is one code point each is one pre-token; so are signs behind it.
+        letters = "".join(map(chr, (*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100))))
+        upper = "".join(map(chr, (*range(0x41, 0x5B), *range(0xC0, 0xD7), *range(0xD8, 0xDF))))
+        self.simple = re.compile(f"([{letters}{upper}]+)([.,!?:;#$%&*()|-]*)")
+        self.as_bytes = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters})
+        self.signs: dict[str, bytes] = {"": b""}
 
     def words(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of each word. Ordinary words share a text, parted by a special token."""
+        """The ids of each word. The model itself encodes plain ones; others share a text, parted by a special token."""
         import numpy as np
 
+        tokenize, out = self.tokenizer.model.tokenize, {}
+        rest = []
+        for w in words:
+            m = self.simple.fullmatch(w)
+            if m is None:
+                rest.append(w)
+                continue
+            core, tail = m.groups()
+            signs = self.signs.get(tail)
+            if signs is None:
+                signs = np.array(self.tokenizer.encode(tail, add_special_tokens=False).ids, "<i4").tobytes()
+                if len(self.signs) < 10_000:
+                    self.signs[tail] = signs
+            out[w] = array("i", [t.id for t in tokenize(core.lower().translate(self.as_bytes))]).tobytes() + signs
+        words = rest
         marks = [t.content for t in self.special]
         odd = [w for w in words if any(m in w for m in marks)] if marks else words
-        out = {w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<i4").tobytes() for w in odd}
+        out |= {w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<i4").tobytes() for w in odd}
         plain = [w for w in words if w not in out]
         if plain:
             mark = marks[0]
