@@ -1,15 +1,430 @@
-"""The queries of the similarity-network operators and their SQL equivalents."""
+"""The queries of the similarity-network operators and their SQL equivalents.
+
+Names start with the operator's id. Each runs over its whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..functions.scorers import ScoringMethod
+from ..operators import graph, lgt, ranking, similarity, stats, tree
+from ..sources import files
+from .adapters import Documents, Nations, Star, star_sql, tree_cte
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _with(select: str, *ctes: str, recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' * recursive}{', '.join(c.strip() for c in ctes)} {select}"
+
+
+def r6(c) -> object:
+    return F.round(c, 6)
+
+
+# --- scoring ----------------------------------------------------------------
+
+ANN = """
+ann AS (SELECT h.query, h.target, h.pident, pa.genome_accession AS genome_a, pb.genome_accession AS genome_b, ta.taxid AS tax_a, tb.taxid AS tax_b, ma.chg_id AS chg, coalesce(d.N_int, 0) AS n_int
+  FROM hits h JOIN proteins pa ON h.query = pa.protein_id JOIN proteins pb ON h.target = pb.protein_id
+  JOIN taxids ta ON pa.genome_accession = ta.genome_accession JOIN taxids tb ON pb.genome_accession = tb.genome_accession
+  LEFT JOIN membership ma ON h.query = ma.protein_id LEFT JOIN membership mb ON h.target = mb.protein_id
+  LEFT JOIN distances d ON d.genome_a = least(pa.genome_accession, pb.genome_accession) AND d.genome_b = greatest(pa.genome_accession, pb.genome_accession)
+  WHERE ta.taxid <> tb.taxid AND ma.chg_id IS NOT DISTINCT FROM mb.chg_id)"""
+_BEST = """
+{name} AS (SELECT chg, tax_a, tax_b, query AS prot_a, target AS prot_b, genome_a, genome_b, n_int, pident AS similarity FROM
+  (SELECT *, row_number() OVER (PARTITION BY chg, {key} ORDER BY pident DESC, least(query, target), greatest(query, target), query) AS rn FROM ann) WHERE rn = 1)"""
+BEST_PAIR = _BEST.format(name="best", key="least(tax_a, tax_b), greatest(tax_a, tax_b)")
+BEST_DIR = _BEST.format(name="dir", key="tax_a, tax_b")
+SYM = """
+sym AS (SELECT * FROM dir UNION ALL SELECT d.chg, d.tax_b, d.tax_a, d.prot_b, d.prot_a, d.genome_b, d.genome_a, d.n_int, d.similarity FROM dir d
+  WHERE NOT EXISTS (SELECT 1 FROM dir r WHERE r.chg IS NOT DISTINCT FROM d.chg AND r.tax_a = d.tax_b AND r.tax_b = d.tax_a))"""
+ADJ = """
+adj AS (SELECT chg, tax, neighbor, max(similarity) AS sim FROM (SELECT chg, tax_a AS tax, tax_b AS neighbor, similarity FROM sym WHERE n_int >= 2
+  UNION ALL SELECT chg, tax_b, tax_a, similarity FROM sym WHERE n_int >= 2) GROUP BY chg, tax, neighbor)"""
+RANK_SIMPLE = "ranks AS (SELECT *, CAST(row_number() OVER (PARTITION BY chg, tax ORDER BY sim DESC, neighbor) AS INTEGER) AS rank FROM adj)"
+RANK_TH = """
+ranks AS (SELECT chg, tax, neighbor, sim, CAST(1 + sum(gap) OVER (PARTITION BY chg, tax ORDER BY sim DESC, neighbor ROWS UNBOUNDED PRECEDING) AS INTEGER) AS rank FROM
+  (SELECT *, CASE WHEN lag(sim) OVER (PARTITION BY chg, tax ORDER BY sim DESC, neighbor) - sim > 0.5 THEN 1 ELSE 0 END AS gap FROM adj))"""
+STATS = """
+st AS (SELECT n_int, avg(similarity) AS mu, CASE WHEN stddev_samp(similarity) > 0 THEN stddev_samp(similarity) ELSE 1 END AS sigma FROM best WHERE n_int > 0 GROUP BY n_int),
+tx AS (SELECT tax, avg(similarity) AS mu, greatest(stddev_pop(similarity), 2.0) AS sd FROM (SELECT tax_a AS tax, similarity FROM best UNION ALL SELECT tax_b, similarity FROM best) GROUP BY tax),
+cd AS (SELECT n_int, sum(count(*)) OVER (ORDER BY n_int) / CAST(sum(count(*)) OVER () AS DOUBLE) AS cdf FROM best GROUP BY n_int),
+mx AS (SELECT coalesce(max(n_int), 10) AS n_int_max FROM best WHERE n_int >= 2)"""
+_OUT = "prot_a AS protein_A, prot_b AS protein_B, {b}.chg AS CHG, tax_a AS TaxID_A, tax_b AS TaxID_B, {b}.n_int AS N_int, similarity AS s_AB"
+_Z = "CASE WHEN sigma > 0 THEN (similarity - mu) / sigma ELSE 0 END"
+_FORMULAS = {
+    "classic": "b.n_int * similarity / (3.5 * 98.0)",
+    "zscore": _Z,
+    "modified": "CASE WHEN mu > 0 THEN similarity / mu * ln(b.n_int + 1) ELSE 0 END",
+    "combined": f"CASE WHEN b.n_int <= 0 OR n_int_max <= 1 THEN {_Z} ELSE ({_Z}) * (1 + ln(b.n_int) / ln(n_int_max)) END",
+    "exponential": "CASE WHEN z < 0 THEN 0 ELSE z * (1 + cdf) END",
+}
+
+
+def _score_sql(method: str, taxa: str) -> str:
+    if method.startswith("ranking"):
+        score = "CASE WHEN rank > 0 THEN b.n_int * b.n_int * similarity / sqrt(rank) ELSE 0 END" if method == "ranking" else "CASE WHEN rank > 0 AND b.n_int > 1 THEN (b.n_int + 1) * similarity / rank ELSE 0 END"
+        select = f"SELECT {_OUT.format(b='b')}, coalesce(rank, 0) AS Rank, round({score}, 6) AS HGT_score FROM sym b LEFT JOIN ranks r ON b.chg IS NOT DISTINCT FROM r.chg AND tax_a = tax AND tax_b = neighbor WHERE b.n_int >= 2"
+        return _with(select, star_sql(taxa), ANN, BEST_DIR, SYM, ADJ, RANK_SIMPLE if method == "ranking" else RANK_TH)
+    z = "(similarity - (xa.mu + xb.mu) / 2) / greatest(xa.sd, xb.sd, 5.0)"
+    inner = f"SELECT {_OUT.format(b='b')}, 0 AS Rank, round({_FORMULAS[method].replace('z ', '(' + z + ') ') if method == 'exponential' else _FORMULAS[method]}, 6) AS HGT_score FROM best b LEFT JOIN st ON b.n_int = st.n_int LEFT JOIN cd ON b.n_int = cd.n_int CROSS JOIN mx"
+    if method == "exponential":
+        inner += " LEFT JOIN tx xa ON tax_a = xa.tax LEFT JOIN tx xb ON tax_b = xb.tax"
+    else:
+        inner = inner.replace(" mu", " st.mu")
+    return _with(inner + " WHERE b.n_int >= 2", star_sql(taxa), ANN, BEST_PAIR, STATS)
+
+
+def _annotated(s: Star) -> DataFrame:
+    return ranking.annotate(s.hits, s.proteins, s.taxids, s.membership, s.distances)
+
+
+def _scores(method: ScoringMethod, taxa: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = Star(spark, sf_dir, taxa)
+        params = ranking.ScoringParams(method=method, n_int_mean=3.5, hits_mean=98.0)
+        d = ranking.score_hits(s.hits, s.proteins, s.taxids, s.membership, s.distances, params)
+        return d.withColumn("HGT_score", r6("HGT_score"))
+
+    return run
+
+
+for _k, _m in enumerate(ScoringMethod):
+    _query(f"sco_0{_k + 1}_{_m.value}", _score_sql(_m.value, "nation"))(_scores(_m, "nation"))
+_query("sco_08_orchestrator_by_supplier", _score_sql("ranking_th", "supplier"))(_scores(ScoringMethod.RANKING_TH, "supplier"))
+
+
+def _star(name: str, select: str, *ctes: str, taxa: str = "nation") -> Callable[[Callable[[Star], DataFrame]], None]:
+    def add(f: Callable[[Star], DataFrame]) -> None:
+        _query(name, _with(select, star_sql(taxa), *ctes))(lambda spark, sf_dir: f(Star(spark, sf_dir, taxa)))
+
+    return add
+
+
+_star("join_01_genomes", "SELECT query, target, pident, a.genome_accession AS genome_a, b.genome_accession AS genome_b FROM hits JOIN proteins a ON query = a.protein_id JOIN proteins b ON target = b.protein_id")(
+    lambda s: ranking.join_genomes(s.hits, s.proteins).select("query", "target", "pident", "genome_a", "genome_b")
+)
+_star("join_02_taxa", "SELECT query, target, ta.taxid AS tax_a, tb.taxid AS tax_b FROM hits JOIN proteins a ON query = a.protein_id JOIN proteins b ON target = b.protein_id JOIN taxids ta ON a.genome_accession = ta.genome_accession JOIN taxids tb ON b.genome_accession = tb.genome_accession WHERE ta.taxid <> tb.taxid")(
+    lambda s: ranking.join_taxa(ranking.join_genomes(s.hits, s.proteins), s.taxids).select("query", "target", "tax_a", "tax_b")
+)
+_star("join_03_clusters", "SELECT query, target, a.chg_id AS chg FROM hits LEFT JOIN membership a ON query = a.protein_id LEFT JOIN membership b ON target = b.protein_id WHERE a.chg_id IS NOT DISTINCT FROM b.chg_id")(
+    lambda s: ranking.join_clusters(s.hits, s.membership).select("query", "target", "chg")
+)
+_star("join_04_distances", "SELECT query, target, tax_a, tax_b, chg, n_int FROM ann", ANN)(lambda s: _annotated(s).select("query", "target", "tax_a", "tax_b", "chg", "n_int"))
+_star("join_05_membership_genomes", "SELECT m.protein_id, chg_id, genome_accession FROM membership m JOIN proteins p ON m.protein_id = p.protein_id")(lambda s: s.membership.join(s.proteins.drop("taxon"), "protein_id").select("protein_id", "chg_id", "genome_accession"))
+_star("join_14_absent_reverse", "SELECT chg, tax_a, tax_b FROM dir d WHERE NOT EXISTS (SELECT 1 FROM dir r WHERE r.chg IS NOT DISTINCT FROM d.chg AND r.tax_a = d.tax_b AND r.tax_b = d.tax_a)", ANN, BEST_DIR)(
+    lambda s: _absent_reverse(ranking.best_hits(_annotated(s), True))
+)
+_star("agg_01_s_mean", "SELECT round(coalesce(avg(pident), 0), 6) AS s_mean FROM hits")(lambda s: ranking.mean_similarity(s.hits).select(r6("s_mean").alias("s_mean")))
+_star("agg_02_best_hit", "SELECT * FROM best", ANN, BEST_PAIR)(lambda s: ranking.best_hits(_annotated(s), False))
+_star("agg_02_best_hit_directional", "SELECT * FROM dir", ANN, BEST_DIR)(lambda s: ranking.best_hits(_annotated(s), True))
+_star("set_01_symmetrize", "SELECT * FROM sym", ANN, BEST_DIR, SYM)(lambda s: ranking.symmetrize(ranking.best_hits(_annotated(s), True)))
+_star("agg_03_stats_by_distance", "SELECT n_int, round(mu, 6) AS mu, round(sigma, 6) AS sigma FROM st", ANN, BEST_PAIR, STATS)(lambda s: ranking.stats_by_distance(ranking.best_hits(_annotated(s), False)).select("n_int", r6("mu").alias("mu"), r6("sigma").alias("sigma")))
+_star("agg_04_stats_by_taxon", "SELECT tax, round(mu, 6) AS tax_mu, round(sd, 6) AS tax_sd FROM tx", ANN, BEST_PAIR, STATS)(lambda s: ranking.stats_by_taxon(ranking.best_hits(_annotated(s), False)).select("tax", r6("tax_mu").alias("tax_mu"), r6("tax_sd").alias("tax_sd")))
+_star("agg_05_distance_cdf", "SELECT n_int, round(cdf, 9) AS cdf FROM cd", ANN, BEST_PAIR, STATS)(lambda s: ranking.distance_cdf(ranking.best_hits(_annotated(s), False)).select("n_int", F.round("cdf", 9).alias("cdf")))
+_star("agg_06_max_distance", "SELECT n_int_max FROM mx", ANN, BEST_PAIR, STATS)(lambda s: ranking.max_distance(ranking.best_hits(_annotated(s), False)))
+_star("agg_14_adjacency", "SELECT * FROM adj", ANN, BEST_DIR, SYM, ADJ)(lambda s: ranking.adjacency(ranking.symmetrize(ranking.best_hits(_annotated(s), True))))
+_star("win_01_simple_rank", "SELECT * FROM ranks", ANN, BEST_DIR, SYM, ADJ, RANK_SIMPLE)(lambda s: ranking.simple_ranks(ranking.adjacency(ranking.symmetrize(ranking.best_hits(_annotated(s), True)))))
+_star("win_02_threshold_rank", "SELECT * FROM ranks", ANN, BEST_DIR, SYM, ADJ, RANK_TH)(lambda s: ranking.threshold_ranks(ranking.adjacency(ranking.symmetrize(ranking.best_hits(_annotated(s), True))), 0.5))
+_star("flt_07_distance", "SELECT query, target, n_int FROM ann WHERE n_int >= 4", ANN)(lambda s: _annotated(s).where("n_int >= 4").select("query", "target", "n_int"))
+_star("flt_02_bit_score", "SELECT least(query, target) AS source, greatest(query, target) AS target, max(bits) AS weight FROM hits WHERE bits > 194 GROUP BY 1, 2")(lambda s: graph.strong_edges(s.hits, 194.0))
+
+
+def _absent_reverse(best: DataFrame) -> DataFrame:
+    keys = best.select("chg", "tax_a", "tax_b")
+    back = keys.select(F.col("chg").alias("c"), F.col("tax_b").alias("a"), F.col("tax_a").alias("b"))
+    return keys.join(back, F.col("chg").eqNullSafe(F.col("c")) & (F.col("tax_a") == F.col("a")) & (F.col("tax_b") == F.col("b")), "left_anti")
+
+
+def _raw_hits(s: Star) -> DataFrame:
+    """Both directions, one of them weaker, and self hits."""
+    h = s.hits.select("query", "target", "pident", "bits")
+    back = h.select(F.col("target").alias("query"), F.col("query").alias("target"), (F.col("pident") - F.length("query") % 2).alias("pident"), "bits")
+    own = s.proteins.select(F.col("protein_id").alias("query"), F.col("protein_id").alias("target"), F.lit(100.0).alias("pident"), F.lit(200.0).alias("bits"))
+    return h.unionByName(back).unionByName(own)
+
+
+RAW = "raw AS (SELECT query, target, pident, bits FROM hits UNION ALL SELECT target, query, pident - length(query) % 2, bits FROM hits UNION ALL SELECT protein_id, protein_id, 100.0, 200.0 FROM proteins)"
+_star("aln_06_self_hits", "SELECT * FROM raw WHERE query <> target", RAW)(lambda s: similarity.drop_self_hits(_raw_hits(s)))
+_star("aln_07_mutual_hits", "SELECT query, target, pident, bits FROM (SELECT *, row_number() OVER (PARTITION BY least(query, target), greatest(query, target) ORDER BY pident DESC, query, target, bits DESC) AS rn FROM raw WHERE query <> target) WHERE rn = 1", RAW)(
+    lambda s: similarity.dedup_mutual_hits(similarity.drop_self_hits(_raw_hits(s)))
+)
+_star("prj_13_one_decimal", "SELECT query, target, round(pident, 1) AS s_ab FROM hits WHERE pident * 4 = round(pident * 4) AND pident * 20 <> round(pident * 2) * 10 + 5 AND pident = round(pident)")(
+    lambda s: s.hits.where("pident * 4 = round(pident * 4) and pident * 20 <> round(pident * 2) * 10 + 5 and pident = round(pident)").select("query", "target", S.one_decimal(F.col("pident")).alias("s_ab"))
+)
+
+# --- networks ---------------------------------------------------------------
+
+DOC_PROTEINS = "proteins AS (SELECT CAST(doc_id AS VARCHAR) AS protein_id, source AS genome_accession, lang AS taxon FROM documents)"
+COUNTS = "counts AS (SELECT genome_accession AS genome, chg_id AS chg, count(*) AS weight FROM membership m JOIN proteins p ON m.protein_id = p.protein_id GROUP BY 1, 2)"
+KEPT = "kept AS (SELECT * FROM counts WHERE chg IN (SELECT chg FROM counts GROUP BY chg HAVING count(DISTINCT genome) >= 2))"
+#: Components by language and first letters: small groups whose genome sets often agree.
+GROUPS = "membership AS (SELECT CAST(doc_id AS VARCHAR) AS protein_id, 'CHG_' || CAST(doc_id % 97 AS VARCHAR) || CAST(n_chars % 7 AS VARCHAR) AS chg_id FROM documents)"
+
+
+def _doc_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    d = _read(spark, sf_dir, "documents")
+    m = d.select(F.col("doc_id").cast("string").alias("protein_id"), F.concat(F.lit("CHG_"), (F.col("doc_id") % 97).cast("string"), (F.col("n_chars") % 7).cast("string")).alias("chg_id"))
+    return m, d.select(F.col("doc_id").cast("string").alias("protein_id"), F.col("source").alias("genome_accession"), F.col("lang").alias("taxon"))
+
+
+def _net(name: str, select: str, *ctes: str, recursive: bool = False) -> Callable[[Callable[[DataFrame, DataFrame], DataFrame]], None]:
+    def add(f: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        _query(name, _with(select, GROUPS, DOC_PROTEINS, COUNTS, *ctes, recursive=recursive))(lambda spark, sf_dir: f(*_doc_groups(spark, sf_dir)))
+
+    return add
+
+
+_counts = graph.genome_cluster_counts
+TAXON = "gtax AS (SELECT genome_accession, lower(max_by(taxon, protein_id)) AS category FROM proteins GROUP BY 1)"
+NODES_SQL = """
+nodes AS (SELECT DISTINCT genome AS node_id, 'genome' AS type, category, CASE category WHEN 'bacteria' THEN '#2ca02c' ELSE '#7f7f7f' END AS color FROM kept JOIN gtax ON genome = genome_accession
+  UNION ALL SELECT DISTINCT chg, 'CHG', '', '#bbbbbb' FROM kept)"""
+TWINS = """
+keys AS (SELECT chg, string_agg(genome, '|' ORDER BY genome) AS k, CAST(regexp_extract(chg, '([0-9]+)$', 1) AS BIGINT) AS i FROM kept GROUP BY chg),
+twin AS (SELECT k, 'CHG_TWIN_' || CAST(row_number() OVER (ORDER BY min(i), min(chg)) AS VARCHAR) AS name FROM keys GROUP BY k HAVING count(*) > 1),
+reps AS (SELECT chg, coalesce(name, chg) AS representative FROM keys LEFT JOIN twin ON keys.k = twin.k),
+red AS (SELECT genome AS source, representative AS target, CAST(sum(weight) AS INTEGER) AS weight FROM kept JOIN reps ON kept.chg = reps.chg GROUP BY 1, 2)"""
+_net("agg_07_protein_counts", "SELECT * FROM counts")(lambda m, p: _counts(m, p))
+_net("agg_08_genomes_per_cluster", "SELECT chg, count(DISTINCT genome) AS n_genomes FROM counts GROUP BY chg")(lambda m, p: graph.genomes_per_cluster(_counts(m, p)))
+_net("agg_09_genome_sets", "SELECT chg, string_agg(genome, ',' ORDER BY genome) AS genomes FROM counts GROUP BY chg")(lambda m, p: graph.genome_sets(_counts(m, p)).select("chg", F.array_join("genomes", ",").alias("genomes")))
+_net("flt_03_shared_clusters", "SELECT * FROM kept", KEPT)(lambda m, p: graph.shared_clusters(_counts(m, p)).select("genome", "chg", "weight"))
+_net("src_10_taxon_of_genome", "SELECT * FROM gtax", TAXON)(lambda m, p: graph.taxon_of_genome(p))
+_net("gra_03_bipartite_nodes", "SELECT * FROM nodes", KEPT, TAXON, NODES_SQL)(lambda m, p: graph.bipartite(_counts(m, p), p)[0])
+_net("gra_03_bipartite_edges", "SELECT genome AS source, chg AS target, CAST(weight AS INTEGER) AS weight FROM kept", KEPT)(lambda m, p: graph.bipartite(_counts(m, p), p)[1])
+_net("join_06_oriented_edges", "SELECT genome, chg, weight FROM kept", KEPT)(lambda m, p: _oriented(m, p))
+_net("agg_11_twins", "SELECT * FROM reps", KEPT, TWINS)(lambda m, p: graph.twins(graph.shared_clusters(_counts(m, p))))
+_net("agg_12_reduced_edges", "SELECT * FROM red", KEPT, TWINS)(lambda m, p: _reduced(m, p)["edges"])
+_net("gra_04_twin_groups", "SELECT representative AS twin_group, chg AS member_chg FROM reps WHERE representative <> chg", KEPT, TWINS)(lambda m, p: _reduced(m, p)["twin_groups"])
+_net("join_07_reduced_membership", "SELECT protein_id, coalesce(representative, chg_id) AS chg_id, chg_id AS original_chg_id FROM membership LEFT JOIN reps ON chg_id = chg", KEPT, TWINS)(lambda m, p: _reduced(m, p)["membership"])
+_net("gra_04_genomes", "SELECT DISTINCT genome AS node_id FROM kept", KEPT)(lambda m, p: _reduced(m, p)["genomes"])
+_net("gra_06_genome_network", "SELECT a.genome AS source, b.genome AS target, count(*) AS weight FROM counts a JOIN counts b ON a.chg = b.chg AND a.genome < b.genome GROUP BY 1, 2")(lambda m, p: graph.genome_network(_counts(m, p))[1])
+_net("set_03_genomes_seen", "SELECT DISTINCT genome AS node_id FROM counts")(lambda m, p: graph.genome_network(_counts(m, p))[0])
+#: Cut vertices by deletion: what remains of a vertex's component falls apart.
+_query("gra_05_cut_vertices", """WITH RECURSIVE e AS (SELECT 'N' || CAST(n_nationkey AS VARCHAR) AS a, 'R' || CAST(n_regionkey AS VARCHAR) AS b FROM nation UNION ALL SELECT 'N' || CAST(n_nationkey AS VARCHAR), 'M' || CAST(n_nationkey % 4 AS VARCHAR) FROM nation WHERE n_nationkey < 9),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), v AS (SELECT DISTINCT a FROM both_ways),
+start AS (SELECT v.a AS cut, min(n.b) AS s FROM v JOIN both_ways n ON v.a = n.a GROUP BY v.a),
+walk(cut, x) AS (SELECT cut, s FROM start UNION SELECT w.cut, n.b FROM walk w JOIN both_ways n ON w.x = n.a WHERE n.b <> w.cut)
+SELECT DISTINCT n.a AS node_id FROM both_ways n WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.cut = n.a AND w.x = n.b)""")(lambda spark, sf_dir: graph.cut_vertices(_nation_edges(spark, sf_dir)))
+
+
+def _oriented(m: DataFrame, p: DataFrame) -> DataFrame:
+    nodes, edges = graph.bipartite(_counts(m, p), p)
+    turned = edges.select(F.when(F.crc32("source") % 2 == 0, F.col("source")).otherwise(F.col("target")).alias("a"), F.when(F.crc32("source") % 2 == 0, F.col("target")).otherwise(F.col("source")).alias("b"), "weight")
+    return graph.oriented(nodes, turned.toDF("source", "target", "weight"))
+
+
+def _reduced(m: DataFrame, p: DataFrame) -> dict[str, DataFrame]:
+    nodes, edges = graph.bipartite(_counts(m, p), p)
+    return graph.reduce_network(nodes, edges, m)
+
+
+def _nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _read(spark, sf_dir, "nation")
+    name = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    own = name("N", F.col("n_nationkey"))
+    return n.select(own.alias("source"), name("R", F.col("n_regionkey")).alias("target")).unionByName(n.where("n_nationkey < 9").select(own.alias("source"), name("M", F.col("n_nationkey") % 4).alias("target")))
+
+
+_query("gra_02_components", _with("""SELECT protein_id, 'CHG_' || CAST(dense_rank() OVER (ORDER BY lo, hi) AS VARCHAR) AS chg_id FROM lab JOIN first ON lab.part = first.part""", star_sql(), """
+both_ways AS (SELECT query AS a, target AS b FROM hits UNION SELECT target, query FROM hits),
+reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, n.b FROM reach r JOIN both_ways n ON r.b = n.a),
+lab AS (SELECT a AS protein_id, min(b) AS part FROM reach GROUP BY a),
+first AS (SELECT part, min(struct_pack(lo := least(query, target), hi := greatest(query, target))).lo AS lo, min(struct_pack(lo := least(query, target), hi := greatest(query, target))).hi AS hi FROM hits JOIN lab ON query = protein_id GROUP BY part)""", recursive=True))(
+    lambda spark, sf_dir: graph.clusters(Star(spark, sf_dir).hits)
+)
+_query("gra_07_communities")(lambda spark, sf_dir: graph.communities(Star(spark, sf_dir).hits, 194.0))
+_query("gra_04_reduced_nodes")(lambda spark, sf_dir: _reduced(*_doc_groups(spark, sf_dir))["nodes"])
+
+# --- similarity -------------------------------------------------------------
+
+SHINGLES = """
+w AS (SELECT doc_id AS name, string_split(text, ' ') AS ws FROM documents),
+sh AS (SELECT DISTINCT name, array_to_string(list_slice(ws, i, i + 4), ' ') AS shingle FROM (SELECT name, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5))"""
+_query("aln_03_word_shingles", _with("SELECT name, shingle FROM sh", SHINGLES))(lambda spark, sf_dir: Documents(spark, sf_dir).features)
+_query("aln_04_jaccard_join", _with("SELECT a.name AS query, b.name AS target, round(100.0 * count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS pident FROM sh a JOIN sh b ON a.shingle = b.shingle AND a.name < b.name JOIN sz x ON a.name = x.name JOIN sz y ON b.name = y.name GROUP BY a.name, b.name HAVING 100.0 * count(*) / (any_value(x.n) + any_value(y.n) - count(*)) >= 30", SHINGLES, "sz AS (SELECT name, count(*) AS n FROM sh GROUP BY name)"))(
+    lambda spark, sf_dir: similarity.jaccard_join(Documents(spark, sf_dir).features, 30.0).select("query", "target", r6("pident").alias("pident"))
+)
+_query("aln_04_cosine_search", "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT q.vec_id AS query, v.vec_id AS target, round(100 * list_cosine_similarity(q.e, v.e), 5) AS pident FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id WHERE 100 * list_cosine_similarity(q.e, v.e) >= 25.00001")(
+    lambda spark, sf_dir: _cosine(spark, sf_dir)
+)
+_query("aln_04_protein_search")(lambda spark, sf_dir: similarity.align(_peptides(spark, sf_dir), similarity.SearchParams(min_identity=0.3, kmer=5)))
+
+
+def _cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("name"), F.col("embedding").cast("array<double>").alias("v"))
+    return similarity.cosine_join(v, v.where("name % 50 = 0"), 25.00001).select("query", "target", F.round("pident", 5).alias("pident"))
+
+
+def _peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names and types as residue strings, one for each distinct text."""
+    text = F.regexp_replace(F.upper(F.concat_ws("", "p_name", "p_type", "p_brand")), "[^ACDEFGHIKLMNPQRSTVWY]", "")
+    return _read(spark, sf_dir, "part").groupBy(text.alias("sequence")).agg(F.concat(F.lit("P"), F.min("p_partkey").cast("string")).alias("name")).where(F.length("sequence") >= 12).select("name", "sequence")
+
+
+# --- trees ------------------------------------------------------------------
+
+LEAF_PAIRS = """
+up AS (SELECT node_id, up, steps FROM walk WHERE node_id >= 100),
+meet AS (SELECT a.node_id AS x, b.node_id AS y, min(a.steps + b.steps) AS d FROM up a JOIN up b ON a.up = b.up AND a.node_id < b.node_id GROUP BY 1, 2),
+dist AS (SELECT p.name AS genome_a, q.name AS genome_b, CAST(greatest(d - 1, 0) AS INTEGER) AS N_int FROM meet JOIN edge p ON x = p.node_id JOIN edge q ON y = q.node_id)"""
+_query("tree_01_depths", _with("SELECT node_id, CAST(max(steps) AS INTEGER) AS depth FROM walk GROUP BY node_id", tree_cte(), recursive=True))(lambda spark, sf_dir: Nations(spark, sf_dir).nodes.select("node_id", "depth"))
+_query("tree_02_leaf_distances", _with("SELECT * FROM dist", tree_cte(), LEAF_PAIRS, recursive=True))(lambda spark, sf_dir: tree.leaf_distances(Nations(spark, sf_dir).nodes))
+_query("agg_13_distance_summary", _with("SELECT round(avg(N_int), 6) AS n_int_mean, 25 AS leaf_count FROM dist", tree_cte(), LEAF_PAIRS, recursive=True))(lambda spark, sf_dir: _distance_summary(Nations(spark, sf_dir).nodes))
+_query("tree_03_lineage_tree", """WITH t AS (SELECT 'Root|' || r_name || '|' || n_name || '|' || CAST(s_suppkey AS VARCHAR) AS p FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+x AS (SELECT DISTINCT string_split(p, '|') AS w, unnest(range(0, 4)) AS depth FROM t)
+SELECT DISTINCT array_to_string(list_slice(w, 1, depth + 1), '|') AS path_text, CASE WHEN depth > 0 THEN array_to_string(list_slice(w, 1, depth), '|') END AS parent_text, w[depth + 1] AS name, CAST(depth AS INTEGER) AS depth, depth = 3 AS is_leaf FROM x""")(
+    lambda spark, sf_dir: tree.lineage_tree(_read(spark, sf_dir, "supplier").join(_read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(_read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("s_suppkey").cast("string").alias("leaf"), F.array("r_name", "n_name").alias("lineage")))
+)
+_query("prj_10_taxids", "SELECT 'NC_' || c_name AS genome_accession, c_name AS organism_name, CAST(row_number() OVER (ORDER BY c_custkey) AS VARCHAR) AS taxid FROM customer")(
+    lambda spark, sf_dir: tree.assign_taxids(_read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("line"), S.accession_of_organism(F.col("c_name")).alias("genome_accession"), F.col("c_name").alias("organism_name")))
+)
+
+
+def _distance_summary(nodes: DataFrame) -> DataFrame:
+    return tree.distance_summary(tree.leaf_distances(nodes), nodes).select(r6("n_int_mean").alias("n_int_mean"), F.col("leaf_count").cast("int").alias("leaf_count"))
+
+
+# --- statistics and lateral transfers -----------------------------------------
+
+SCORES_SQL = _score_sql("zscore", "nation")
+
+
+def _zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(ScoringMethod.ZSCORE, "nation")(spark, sf_dir)
+
+
+_query("agg_15_describe", """WITH o AS (SELECT o_totalprice AS x, avg(o_totalprice) OVER () AS m FROM orders)
+SELECT count(*) AS count, round(avg(x), 2) AS mean, round(stddev_pop(x), 2) AS std, min(x) AS min, max(x) AS max, round(quantile_cont(x, 0.25), 4) AS q25, round(quantile_cont(x, 0.5), 4) AS median, round(quantile_cont(x, 0.75), 4) AS q75, round(quantile_cont(x, 0.95), 4) AS q95, round(quantile_cont(x, 0.99), 4) AS q99,
+round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 4) AS iqr, round(avg((x - m) ** 3) / stddev_pop(x) ** 3, 6) AS skewness, round(avg((x - m) ** 4) / stddev_pop(x) ** 4 - 3, 6) AS kurtosis FROM o""")(lambda spark, sf_dir: _describe(_read(spark, sf_dir, "orders")))
+
+
+def _describe(orders: DataFrame) -> DataFrame:
+    d, digits = stats.describe(orders, "o_totalprice"), {"mean": 2, "std": 2, "skewness": 6, "kurtosis": 6, "count": None, "min": None, "max": None}
+    return d.select([F.col(c) if digits.get(c, 4) is None else F.round(c, digits.get(c, 4)).alias(c) for c in d.columns])
+
+
+_query("win_05_empirical_cdf", "SELECT l_quantity AS x, round(sum(count(*)) OVER (ORDER BY l_quantity) / CAST(sum(count(*)) OVER () AS DOUBLE), 9) AS cdf FROM lineitem GROUP BY l_quantity")(lambda spark, sf_dir: stats.empirical_cdf(_read(spark, sf_dir, "lineitem"), "l_quantity").select("x", F.round("cdf", 9).alias("cdf")))
+_query("sink_05_histogram", "SELECT CAST(least(floor((l_quantity - 0) / 5.0) + 1, 10) AS INTEGER) AS bin, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 GROUP BY 1")(lambda spark, sf_dir: stats.histogram(_read(spark, sf_dir, "lineitem"), 10, 0.0, 50.0, "l_quantity"))
+_query("sta_01_closed_form_fits", """SELECT round(avg(l_quantity), 6) AS normal_loc, round(stddev_pop(l_quantity), 6) AS normal_scale, round(stddev_pop(ln(l_quantity)), 6) AS lognormal_s, round(exp(avg(ln(l_quantity))), 6) AS lognormal_scale,
+min(l_quantity) AS exponential_loc, round(avg(l_quantity) - min(l_quantity), 6) AS exponential_scale, round(ln(avg(l_quantity)) - avg(ln(l_quantity)), 6) AS gamma_s, count(*) AS n FROM lineitem""")(lambda spark, sf_dir: _closed_forms(_read(spark, sf_dir, "lineitem")))
+_query("sta_01_distribution_fits")(lambda spark, sf_dir: stats.fit_distributions(_read(spark, sf_dir, "orders"), "o_totalprice"))
+_query("sta_02_bootstrap_quantile")(lambda spark, sf_dir: stats.bootstrap_quantiles(spark, _read(spark, sf_dir, "customer"), (0.95,), 1000, column="c_acctbal"))
+_query("sta_02_point_estimate", "SELECT CAST(0.95 AS DOUBLE) AS quantile, round(quantile_cont(c_acctbal, 0.95), 6) AS point FROM customer")(lambda spark, sf_dir: stats.bootstrap_quantiles(spark, _read(spark, sf_dir, "customer"), (0.95,), 100, column="c_acctbal").select("quantile", r6("point").alias("point")))
+_query("sta_05_multi_quantile_bootstrap")(lambda spark, sf_dir: stats.bootstrap_quantiles(spark, _read(spark, sf_dir, "customer"), (0.9, 0.95, 0.99, 0.995), 1000, column="c_acctbal"))
+_query("sta_03_grouped_bootstrap")(lambda spark, sf_dir: stats.grouped_bootstrap(_best_lgt(Star(spark, sf_dir)), replicates=200))
+_query("sta_04_fit_quality", "SELECT l_discount AS ks, CASE WHEN l_discount < 0.05 THEN 'Excellent' WHEN l_discount < 0.1 THEN 'Good' WHEN l_discount < 0.15 THEN 'Fair' ELSE 'Poor' END AS quality FROM (SELECT DISTINCT l_discount FROM lineitem)")(lambda spark, sf_dir: _read(spark, sf_dir, "lineitem").select(F.col("l_discount").alias("ks")).distinct().withColumn("quality", S.fit_quality(F.col("ks"))))
+_query("flt_09_high_confidence", f"SELECT * FROM ({SCORES_SQL}) WHERE HGT_score > 1.0")(lambda spark, sf_dir: stats.high_confidence(_zscores(spark, sf_dir), 1.0))
+
+
+def _closed_forms(items: DataFrame) -> DataFrame:
+    d = stats.closed_form_fits(items, "l_quantity")
+    return d.select([F.col(c) if c in ("n", "exponential_loc") else r6(c).alias(c) for c in d.columns])
+
+
+GH = """
+gh AS (SELECT h.query, h.target, a.genome_accession AS query_genome, b.genome_accession AS target_genome, a.taxon AS query_taxon, b.taxon AS target_taxon, m.chg_id AS chg,
+  least(a.taxon, b.taxon) || '-' || greatest(a.taxon, b.taxon) AS taxon_pair, h.pident, h.alnlen, h.evalue, h.bits FROM hits h LEFT JOIN proteins a ON h.query = a.protein_id LEFT JOIN proteins b ON h.target = b.protein_id LEFT JOIN membership m ON h.query = m.protein_id
+  WHERE coalesce(a.genome_accession <> b.genome_accession, true))"""
+BG = "bg AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY chg, taxon_pair ORDER BY pident DESC, least(query, target), greatest(query, target), query) AS rn FROM gh WHERE chg IS NOT NULL AND taxon_pair IS NOT NULL) WHERE rn = 1)"
+#: Bounds for the checks: each pair's mean instead of a bootstrap.
+BOUNDS = "bd AS (SELECT taxon_pair, min(pident) AS q95_lower_bound, round(avg(pident), 3) AS q95_upper_bound FROM bg GROUP BY 1), mk AS (SELECT bg.*, q95_lower_bound, q95_upper_bound, pident > q95_upper_bound AS is_significant FROM bg JOIN bd ON bg.taxon_pair = bd.taxon_pair)"
+MERGED = "sc AS (SELECT least(protein_A, protein_B) AS lo, greatest(protein_A, protein_B) AS hi, min(HGT_score) AS HGT_score FROM zs GROUP BY 1, 2), mg AS (SELECT mk.*, HGT_score FROM mk JOIN sc ON least(query, target) = lo AND greatest(query, target) = hi WHERE is_significant)"
+
+
+def _best_lgt(s: Star) -> DataFrame:
+    return lgt.best_per_cluster(lgt.genome_hits(s.hits, s.proteins, s.membership))
+
+
+def _marked(s: Star) -> DataFrame:
+    best = _best_lgt(s)
+    return lgt.mark_significant(best, best.groupBy("taxon_pair").agg(F.min("pident").alias("q95_lower_bound"), F.round(F.avg("pident"), 3).alias("q95_upper_bound")))
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sig = _marked(Star(spark, sf_dir)).where("is_significant")
+    return sig, lgt.merge_scores(sig, _zscores(spark, sf_dir))
+
+
+_ZS = f"zs AS ({_score_sql('zscore', 'nation').partition('SELECT prot_a')[1]}{_score_sql('zscore', 'nation').partition('SELECT prot_a')[2]})"
+_LGT = (star_sql(), GH, BG, BOUNDS)
+_MERGE = (star_sql(), ANN, BEST_PAIR, STATS, _ZS, GH, BG, BOUNDS, MERGED)
+_star("join_10_genome_hits", "SELECT * FROM gh", GH)(lambda s: lgt.genome_hits(s.hits, s.proteins, s.membership))
+_star("agg_16_best_per_cluster", "SELECT * FROM bg", GH, BG)(_best_lgt)
+_query("flt_11_significant", _with("SELECT * FROM mk WHERE is_significant", *_LGT))(lambda spark, sf_dir: _marked(Star(spark, sf_dir)).where("is_significant"))
+_query("agg_17_breakdown", _with("SELECT taxon_pair, CAST(count(*) FILTER (WHERE is_significant) AS BIGINT) AS significant, count(*) AS total, round(100.0 * count(*) FILTER (WHERE is_significant) / count(*), 6) AS percentage FROM mk GROUP BY 1", *_LGT))(lambda spark, sf_dir: lgt.breakdown(_marked(Star(spark, sf_dir))).withColumn("percentage", r6("percentage")))
+_query("join_12_merge_scores", _with("SELECT * FROM mg", *_MERGE))(lambda spark, sf_dir: _merged(spark, sf_dir)[1])
+_query("agg_18_merge_summary", _with("SELECT count(*) AS matched, min(HGT_score) AS min_score, max(HGT_score) AS max_score, round(avg(HGT_score), 5) AS mean_score, count(DISTINCT taxon_pair) AS taxon_pairs, (SELECT count(*) FROM mk WHERE is_significant) AS total, round(count(*) / CAST((SELECT count(*) FROM mk WHERE is_significant) AS DOUBLE), 9) AS match_ratio FROM mg", *_MERGE))(
+    lambda spark, sf_dir: lgt.merge_summary(*_merged(spark, sf_dir)).withColumns({"mean_score": F.round("mean_score", 5), "match_ratio": F.round("match_ratio", 9)})
+)
+_query("topk_01_highest", _with("SELECT query, target, HGT_score FROM mg ORDER BY HGT_score DESC, query, target LIMIT 5", *_MERGE))(lambda spark, sf_dir: lgt.extremes(_merged(spark, sf_dir)[1])[0].select("query", "target", "HGT_score"))
+_query("topk_01_lowest", _with("SELECT query, target, HGT_score FROM mg ORDER BY HGT_score, query, target LIMIT 5", *_MERGE))(lambda spark, sf_dir: lgt.extremes(_merged(spark, sf_dir)[1])[1].select("query", "target", "HGT_score"))
+
+# --- scalar functions and readers ---------------------------------------------
+
+
+def _scalar(name: str, table: str, key: str, **pairs) -> None:
+    """pairs: column -> (Column, SQL)."""
+    sql = f"SELECT {key}, " + ", ".join(f"{q} AS {c}" for c, (_, q) in pairs.items()) + f" FROM {table}"
+    _query(name, sql)(lambda spark, sf_dir: _read(spark, sf_dir, table).select(key, *[e().alias(c) for c, (e, _) in pairs.items()]))
+
+
+_scalar("prj_01_sanitize", "part", "p_partkey", clean=(lambda: S.sanitize(F.concat_ws("|", "p_name", "p_type")), "translate(p_name || '|' || p_type, ' |:;,()', '_______')"))
+_scalar("prj_03_protein_id", "part", "p_partkey", pid=(lambda: S.protein_key(F.col("p_type"), F.col("p_brand"), F.col("p_name"), F.lit("x y"), F.col("p_size")), "translate(p_type, ' |:;,()', '_______') || '_' || translate(p_brand, ' |:;,()', '_______') || '_' || translate(p_name, ' |:;,()', '_______') || '_x_y_' || CAST(p_size AS VARCHAR)"))
+_scalar("prj_04_product", "part", "p_partkey", product=(lambda: S.product_of(F.col("p_type")), "CASE WHEN regexp_extract(trim(p_type), '^\\S+\\s+(.+)$', 1) = '' THEN 'hypothetical_protein' ELSE regexp_extract(trim(p_type), '^\\S+\\s+(.+)$', 1) END"))
+_scalar("prj_02_accession_of_file", "part", "p_partkey", acc=(lambda: S.accession_of_file(F.concat(F.lit("/a/"), "p_brand", F.lit("_proteins.faa"))), "replace(p_brand, '_proteins', '')"))
+_scalar("prj_05_accession_of_organism", "supplier", "s_suppkey", acc=(lambda: S.accession_of_organism(F.concat("s_name", F.lit(".1"))), "'NC_' || replace(s_name || '.1', '.', '_')"))
+_scalar("prj_07_pair_key", "nation", "n_nationkey", lo=(lambda: S.pair(F.col("n_name"), F.lit("INDIA"))[0], "least(n_name, 'INDIA')"), hi=(lambda: S.pair(F.col("n_name"), F.lit("INDIA"))[1], "greatest(n_name, 'INDIA')"), label=(lambda: S.pair_label(F.col("n_name"), F.lit("INDIA")), "least(n_name, 'INDIA') || '-' || greatest(n_name, 'INDIA')"))
+_scalar("prj_08_category_color", "documents", "doc_id", color=(lambda: S.category_color(F.element_at(F.array(*map(F.lit, ("Bacteria", "archaea", "Virus", "plasmid", "x"))), (F.col("doc_id") % 5 + 1).cast("int"))), "['#2ca02c', '#ffcc00', '#d62728', '#9467bd', '#7f7f7f'][doc_id % 5 + 1]"))
+_scalar("prj_14_split_accessions", "orders", "o_orderkey", n=(lambda: F.size(S.split_accessions(F.concat_ws(",", "o_orderpriority", F.lit("-"), F.lit("nan"), "o_orderstatus"))), "CAST(len(list_filter(regexp_split_to_array(o_orderpriority || ',-,nan,' || o_orderstatus, '[,;\\s|]+'), lambda x: x NOT IN ('-', 'nan', 'N/A', ''))) AS INTEGER)"))
+_scalar("prj_15_accessions", "orders", "o_orderkey", a=(lambda: F.array_join(S.accessions(F.col("o_orderpriority"), F.col("o_orderstatus")), "+"), "array_to_string(list_filter(regexp_split_to_array(o_orderpriority || ',' || o_orderstatus, '[,;\\s|]+'), lambda x: x NOT IN ('-', 'nan', 'N/A', '')), '+')"))
+_scalar("prj_16_safe_int", "orders", "o_orderkey", v=(lambda: S.safe_int(F.concat(F.col("o_custkey").cast("string"), F.lit(".0"))), "o_custkey"), compat=(lambda: S.safe_int(F.concat(F.col("o_custkey").cast("string"), F.lit(".0")), True), "o_custkey * 10"), none=(lambda: S.safe_int(F.lit("N/A")), "CAST(NULL AS BIGINT)"))
+_scalar("prj_18_safe_filename", "pages", "page_id", file=(lambda: S.safe_filename(F.col("url")), "substr(replace(replace(url, '/', '_'), chr(92), '_'), 1, 200)"))
+_scalar("prj_22_gc_and_size", "documents", "doc_id", gc=(lambda: F.round(S.gc_percent(F.col("text"), 6), 3), "round(100.0 * (length(text) - length(regexp_replace(text, '[GCSgcs]', '', 'g'))) / length(text), 3)"), kb=(lambda: F.length("text") - F.round(S.size_kb(F.col("text"), 3) * 1000).cast("int"), "0"))
+_scalar("src_20_lineage", "pages", "page_id", lineage=(lambda: F.array_join(S.lineage_list(F.concat_ws("; ", F.lit("cellular"), F.substring("url", 1, 12), F.lit(""))), "|"), "'cellular|' || substr(url, 1, 12)"))
+_query("prj_12_restore_names", "SELECT protein_id, n_name AS organism_name FROM (SELECT CAST(s_suppkey AS VARCHAR) AS protein_id, s_nationkey FROM supplier) JOIN nation ON s_nationkey = n_nationkey")(lambda spark, sf_dir: _read(spark, sf_dir, "supplier").join(_read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").cast("string").alias("protein_id"), F.col("n_name").alias("organism_name")))
+_query("flt_13_valid_numbers", "SELECT round(coalesce(avg(try_cast(CASE WHEN event_id % 3 = 0 THEN 'x' ELSE CAST(value AS VARCHAR) END AS DOUBLE)), 0), 6) AS s_mean FROM events")(lambda spark, sf_dir: ranking.mean_similarity(_read(spark, sf_dir, "events").select(F.when(F.col("event_id") % 3 == 0, "x").otherwise(F.col("value").cast("string")).alias("pident"))).select(r6("s_mean").alias("s_mean")))
+_query("flt_14_count_deviation", "SELECT o_orderkey, CASE WHEN o_custkey > 0 THEN abs(o_orderkey % 100 - o_custkey % 100) <= 0.1 * (o_custkey % 100) END AS ok FROM orders WHERE o_custkey % 100 > 0")(lambda spark, sf_dir: files.count_deviation(_read(spark, sf_dir, "orders").where("o_custkey % 100 > 0").select("o_orderkey", (F.col("o_custkey") % 100).alias("expected"), (F.col("o_orderkey") % 100).alias("found"))).select("o_orderkey", "ok"))
+_query("src_05_distances_last_of_pair", "SELECT least(l_returnflag, l_linestatus) AS genome_a, greatest(l_returnflag, l_linestatus) AS genome_b, max(l_linenumber) AS N_int FROM lineitem GROUP BY 1, 2")(lambda spark, sf_dir: _read(spark, sf_dir, "lineitem").groupBy(F.least("l_returnflag", "l_linestatus").alias("genome_a"), F.greatest("l_returnflag", "l_linestatus").alias("genome_b")).agg(F.max("l_linenumber").alias("N_int")))
+_query("src_13_node_defaults", "SELECT CAST(s_suppkey AS VARCHAR) AS node_id, CASE WHEN s_nationkey > 5 THEN 'genome' ELSE 'CHG' END AS type, CASE WHEN s_nationkey > 5 THEN s_name ELSE '' END AS category, '#bbbbbb' AS color FROM supplier")(lambda spark, sf_dir: files.with_node_defaults(_read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("genome_accession"), F.when(F.col("s_nationkey") > 5, F.col("s_name")).otherwise("").alias("category"))))
+_query("src_14_edge_defaults", "SELECT n_name AS source, CAST(n_regionkey AS VARCHAR) AS target, CAST(CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey ELSE 1 END AS INTEGER) AS weight FROM nation")(lambda spark, sf_dir: files.with_edge_defaults(_read(spark, sf_dir, "nation").select(F.col("n_name").alias("source"), F.col("n_regionkey").cast("string").alias("target"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey").cast("string")).otherwise("").alias("weight"))))
+_query("src_16_organism_records", "SELECT CAST(o_orderkey AS VARCHAR) AS uniq_id, o_orderpriority AS organism, CAST(o_custkey AS VARCHAR) AS taxid, array_to_string(list_filter(regexp_split_to_array(o_orderpriority, '[,;\\s|]+'), lambda x: x NOT IN ('-', 'nan', 'N/A', '')), '+') AS accessions FROM orders")(
+    lambda spark, sf_dir: files.organism_records(_read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.concat(F.col("o_custkey").cast("string"), F.lit(".0")).alias("tax")), "bacteria", {"accession": "o_orderpriority", "uniq_id": "o_orderkey", "organism": "o_orderpriority", "taxid": "tax"}).select("uniq_id", "organism", "taxid", F.array_join("accessions", "+").alias("accessions"))
+)
+_query("orc_06_first_hit", "SELECT CAST(o_custkey AS VARCHAR) AS uniq_id, arg_min(o_orderstatus, o_orderkey) AS accession FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")(lambda spark, sf_dir: files.first_hit(_read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("uniq_id"), F.col("o_orderkey").alias("query_rank"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("accession"))))
+_query("orc_07_missing_files", "SELECT 'x' AS category, CAST(c_custkey AS VARCHAR) AS accession FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")(lambda spark, sf_dir: files.missing_files(_read(spark, sf_dir, "customer").select(F.lit("x").alias("category"), F.col("c_custkey").cast("string").alias("accession")), _read(spark, sf_dir, "orders").select(F.lit("x").alias("category"), F.col("o_custkey").cast("string").alias("accession"))))
+_query("set_04_first_of_accession", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")(lambda spark, sf_dir: _read(spark, sf_dir, "orders").withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).where("n = 1").select("o_custkey", "o_orderkey"))
+_query("agg_21_combined_parts", "SELECT CAST(l_orderkey AS VARCHAR) AS organism, count(*) AS n_parts, string_agg(l_returnflag, '' ORDER BY l_linenumber, l_returnflag) AS sequence FROM lineitem GROUP BY 1")(
+    lambda spark, sf_dir: files.combine_chromosomes(_read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("organism"), F.col("l_linenumber").alias("part"), F.lit("").alias("accession"), F.col("l_returnflag").alias("sequence"))).select("organism", "n_parts", "sequence")
+)
+_query("agg_19_totals_by_category", "SELECT category, coalesce(n, 0) AS n_files, coalesce(t, 0) AS total_proteins FROM (VALUES ('O'), ('F'), ('P'), ('none')) c(category) LEFT JOIN (SELECT o_orderstatus, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS t FROM orders GROUP BY 1) ON category = o_orderstatus")(lambda spark, sf_dir: files.totals_by_category(_read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("category"), F.col("o_custkey").alias("n_sequences")), ["O", "F", "P", "none"]))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
