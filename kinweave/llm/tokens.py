@@ -48,7 +48,7 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = list(self.tokenizer.get_added_tokens_decoder().values())
-        self.known: dict[str, bytes] = {"": b""}
+        self.known = _Known({"": b""})
         self.door = bytearray(1 << 23)
         self.blank = re.compile("[\t\n\r]")
         # A run of letters whose lower case is one code point each is one pre-token; so are signs behind it.
@@ -98,17 +98,26 @@ class _Encoder:
         known, door, last = self.known, self.door, len(self.door) - 1
         split = [self.blank.sub(" ", t or "").split(" ") for t in texts]
         new = set().union(*split) - known.keys()
-        known.update(self.words(list(new)))
+        fresh = known.fresh = self.words(list(new))
         out = [b"".join(map(known.__getitem__, words)) for words in split]
-        full = len(known) - len(new) >= REMEMBERED
-        for w in new:
-            at = hash(w) & last
-            if full or not door[at]:
-                del known[w]
-            door[at] = 1
+        if len(known) < REMEMBERED:
+            for w in new:
+                at = hash(w) & last
+                if door[at]:
+                    known[w] = fresh[w]
+                door[at] = 1
         return out
 
 
+class _Known(dict):
+    """Remembered words; others are looked up in ``fresh``."""
+
+    fresh: dict[str, bytes]
+
+    def __missing__(self, word: str) -> bytes:
+        return self.fresh[word]
+
+
 _encoders: dict[str, _Encoder] = {}
 
 
@@ -129,8 +138,8 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFr
         encode_all = _encoder(tokenizer_path).encode_all
         end = np.array([end_id], "<i4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 raw = [x + end for x in encode_all(part.column(2).to_pylist())]
                 offsets = np.zeros(len(raw) + 1, np.int32)
                 np.cumsum([len(x) // 4 for x in raw], out=offsets[1:])
