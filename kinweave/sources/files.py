@@ -31,10 +31,8 @@ def name_map(records: DataFrame) -> DataFrame:
 
 def read_fasta(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(file, record, id, description, sequence); record counts from 1 in each file."""
-    reader = spark.read.option("wholetext", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
-    d = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.concat(F.lit("\n"), "value"), "\n>")).alias("record", "r")).where("record > 0")
+    more = {"pathGlobFilter": glob, "recursiveFileLookup": True} if glob else {}
+    d = spark.read.text(path, wholetext=True, **more).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.concat(F.lit("\n"), "value"), "\n>")).alias("record", "r")).where("record > 0")
     head = F.regexp_replace(F.regexp_extract("r", r"^([^\n]*)", 1), "\r", "")
     return d.select("file", "record", F.regexp_extract(head, r"^(\S*)", 1).alias("id"), head.alias("description"), F.regexp_replace(F.regexp_extract("r", r"(?s)^[^\n]*\n?(.*)$", 1), r"\s", "").alias("sequence"))
 
@@ -57,7 +55,7 @@ def read_protein_folders(spark: SparkSession, folders: dict[str, str]) -> DataFr
 
 def count_sequences(spark: SparkSession, folder: str) -> DataFrame:
     """(file_name, n_sequences) of every ``.faa`` file, by name; -1 for a file that is not FASTA."""
-    d = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder).select(F.col("_metadata.file_name").alias("file_name"), "value")
+    d = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_name").alias("file_name"), "value")
     d = d.where(F.lower("file_name").endswith(".faa"))
     text = F.trim("value")
     n = F.size(F.split(F.concat(F.lit("\n"), "value"), "\n>")) - 1
