@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .shared import range_bounds, range_of
 
-BINS = 128
+BINS = 128  # 7 bits of a hash
 SHINGLE = 5
 _DEEP = float(1 << 40)
 
@@ -45,22 +45,23 @@ def shingle_hashes(hashed: Column) -> Column:
 
 
 def _samples(hashes: Column, heads: Column) -> Column:
-    """bin << 52 | score of each part of each distinct term. heads: 0-based places where a new term begins, and the end."""
-
-    def draw(term: Column, part: Column, weight: Column) -> Column:
-        one, two = F.xxhash64(term, part, F.lit(1)), F.xxhash64(term, part, F.lit(2))
-        r = -F.log(_unit(one, 0, 32) * _unit(one, 32, 32))
-        c = -F.log(_unit(two, 0, 21) * _unit(two, 21, 21))
-        beta = _unit(two, 42, 22)
-        t = F.floor(F.log(weight) / r + beta)
-        score = F.greatest(F.lit(-1000.0), F.log(c) - r * (t - beta + 1))
-        bin_ = F.pmod(F.shiftrightunsigned(F.xxhash64(term, part, F.lit(3)), 1), F.lit(BINS))
-        return F.shiftleft(bin_, 52) + F.floor((score + 1024) * _DEEP)
+    """bin << 52 | score of each part of each distinct term. heads: 0-based places where a new term begins, and the end.
+
+    Counts are whole, so every part has weight 1 and t = floor(beta) = 0. The hash of
+    a part gives its bin and r, a second hash c and beta.
+    """
+
+    def draw(part: Column) -> Column:
+        more = F.xxhash64(part)
+        r = -F.log(_unit(part, 0, 32) * _unit(part, 32, 25))
+        c = -F.log(_unit(more, 0, 21) * _unit(more, 21, 21))
+        score = F.log(c) - r * (1 - _unit(more, 42, 22))
+        return F.shiftleft(F.shiftrightunsigned(part, 57), 52) + F.floor((F.greatest(score, F.lit(-1000.0)) + 1024) * _DEEP)
 
     def of(at: Column, k: Column) -> Column:
-        term, count = F.get(hashes, at), F.get(heads, k + 1) - at
-        parts = F.transform(F.sequence(F.lit(0), count - 1), lambda j: draw(term, j, F.least(F.lit(1.0), (count - j).cast("double"))))
-        return F.when(count == 1, F.array(draw(term, F.lit(0), F.lit(1.0)))).otherwise(parts)
+        parts = F.transform(F.sequence(F.lit(1), F.get(heads, k + 1) - at - 1), lambda j: F.xxhash64(F.get(hashes, at), j))
+        first = F.array(draw(F.get(hashes, at)))
+        return F.when(F.get(heads, k + 1) - at == 1, first).otherwise(F.concat(first, F.transform(parts, draw)))
 
     return F.flatten(F.transform(F.slice(heads, F.lit(1), F.size(heads) - 1), of))
 

@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches, tidy
+
 BITS = 14
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
@@ -124,7 +126,7 @@ def _document_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(df[at], docs))], ["bucket", "n"])
 
-    rows = texts.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most a row for each bucket
+    rows = texts.select("text").mapInArrow(tidy(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most a row for each bucket
     df = np.zeros(1 << BITS)
     for r in rows:
         if r["bucket"] >= 0:
@@ -158,6 +160,7 @@ def _ftrl(xs, ys, k: int, p: LangParams) -> tuple[np.ndarray, np.ndarray]:
 
 def train(labelled: DataFrame, params: LangParams = LangParams(), id_col: str = "doc_id") -> LangModel | None:
     """labelled: (doc_id, text, lang), lang not null."""
+    small_batches(labelled.sparkSession)
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
@@ -180,7 +183,7 @@ def train(labelled: DataFrame, params: LangParams = LangParams(), id_col: str =
             )
 
     xs, ys = [], []
-    for r in sample.mapInArrow(run, "lang string, buckets binary, shares binary").collect():
+    for r in sample.mapInArrow(tidy(run), "lang string, buckets binary, shares binary").collect():
         b = np.frombuffer(r["buckets"], "<i4")
         if len(b):
             xs.append((np.append(b, 1 << BITS), np.append(np.frombuffer(r["shares"], "<f4") * idf[b] * params.scale, 1.0)))
@@ -238,7 +241,7 @@ def predict(docs: DataFrame, model: LangModel | None, keep: tuple[str, ...] = ("
                 scores += np.where(some, e[np.arange(len(best)), best], 0.0).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(tidy(run), schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Words, materialize, mix64
+from .shared import Words, materialize, mix64, tidy
 
 
 @dataclass(frozen=True)

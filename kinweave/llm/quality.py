@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Words, materialize
+from .shared import Words, materialize, tidy
 
 FEATURES = ("words", "upper", "digits", "symbols", "exclaims", "bars", "stops", "word_length", "distinct", "repeats", "lines", "spaces", "foreign")
 _DIM = len(FEATURES)
@@ -91,7 +91,7 @@ def statistics(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * _DIM), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, x array<double>")
 
 
 @dataclass
@@ -150,7 +150,7 @@ def score(rows: DataFrame, model: Discriminant | float) -> DataFrame:
             s = model.scores(x) if isinstance(model, Discriminant) else np.full(len(x), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], ["doc_id", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -54,6 +55,31 @@ def drop_scratch(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of texts hold at most so many rows: they stand in memory on both sides of the pipe."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
+
+
+def tidy(run):
+    """A function of Arrow batches that gives freed memory back when its task ends, since Python workers live on."""
+
+    def wrapped(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return wrapped
+
+
 def range_bounds(df: DataFrame, column: str, rows_per_range: int) -> list[int]:
     """Ascending upper cut points that split an integer column into even ranges.
 
@@ -127,8 +153,8 @@ class Words:
         self.bounds = offsets - first
         starts, ends, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         row, rows = 0, len(low)
-        while row < rows:  # pieces of whole rows, about 4 MB each
-            stop = max(row + 1, int(np.searchsorted(self.bounds, self.bounds[row] + (1 << 22), side="right")) - 1)
+        while row < rows:  # pieces of whole rows, about half a MB each, so that the tables of powers stay small
+            stop = max(row + 1, int(np.searchsorted(self.bounds, self.bounds[row] + (1 << 19), side="right")) - 1)
             a, b = int(self.bounds[row]), int(self.bounds[stop])
             s, e, h = self._piece(data[a:b], self.bounds[row : stop + 1] - a)
             starts.append(s + a), ends.append(e + a), hashes.append(h)

@@ -22,11 +22,11 @@ from array import array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, range_bounds, range_of, scratch_path
+from .shared import materialize, range_bounds, range_of, scratch_path, tidy
 
 END_ID = 2
 #: Words that a worker remembers, some 200 bytes each.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 ORC_OPTIONS = {
     "compression": "zstd",
     "orc.create.index": "true",
@@ -146,7 +146,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFr
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids], ["doc_id", "tie", "ids"])
 
-    return docs.mapInArrow(run, "doc_id long, tie long, ids array<int>")
+    return docs.mapInArrow(tidy(run), "doc_id long, tie long, ids array<int>")
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID) -> None:
@@ -178,7 +178,7 @@ def checksums(tokens: DataFrame) -> DataFrame:
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "tie", "n_tokens", "ids_crc32"])
 
-    return tokens.mapInArrow(run, "doc_id long, tie long, n_tokens long, ids_crc32 long")
+    return tokens.mapInArrow(tidy(run), "doc_id long, tie long, n_tokens long, ids_crc32 long")
 
 
 def starts(rows: DataFrame, rows_per_range: int = 20_000) -> DataFrame:

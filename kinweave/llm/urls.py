@@ -22,6 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import tidy
 from .trees import Tree, boost
 
 #: The rules, as (verdict, host/path).
@@ -116,7 +117,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, model: U
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(batch.column(1).to_pylist()))], [*batch.schema.names, "score"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    scored = pages.select("page_id", "url").mapInArrow(run, f"page_id {kind}, url string, score double")
+    scored = pages.select("page_id", "url").mapInArrow(tidy(run), f"page_id {kind}, url string, score double")
     host, path = url_parts(F.col("url"))
     d = scored.select("page_id", host.alias("host"), path.alias("path"), "score")
     rule = verdict = None
