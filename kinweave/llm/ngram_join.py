@@ -112,7 +112,7 @@ def signatures(docs: DataFrame, params: JaccardParams, id_col: str = "doc_id", t
                 )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, key_hi long, key_lo long, bands array<long>"
+        tidy(run), "doc_id long, key_hi long, key_lo long, bands array<long>"
     )
 
 
