@@ -20,6 +20,8 @@ class SearchParams:
     kmer: int = 4
     #: k-mers that two sequences must share to be aligned
     min_shared: int = 1
+    #: "exact": identical columns; "estimated": from the score per column, as fast aligners report it
+    identity: str = "exact"
 
 
 def drop_self_hits(hits: DataFrame) -> DataFrame:
@@ -77,6 +79,8 @@ BLOSUM62 = """
 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4  1
 """
 GAP_OPEN, GAP_EXTEND = 11, 1
+#: Slope and intercept of the estimated identity over the score per column.
+ESTIMATE = (0.1656, 0.1141)
 #: The Karlin-Altschul parameters of gapped scores with this matrix and these gaps.
 LAMBDA, K = 0.267, 0.041
 
@@ -164,7 +168,9 @@ def align(sequences: DataFrame, params: SearchParams = SearchParams(), remove_se
                 r = local_alignments(list(zip(f["sa"], f["sb"], strict=True)))
                 la, lb = f["sa"].str.len().to_numpy(), f["sb"].str.len().to_numpy()
                 bits = (LAMBDA * r[:, 0] - math.log(K)) / math.log(2)
-                out = pd.DataFrame({"query": f["a"].to_numpy(), "target": f["b"].to_numpy(), "pident": 100.0 * r[:, 1] / r[:, 2].clip(1), "alnlen": r[:, 2].astype("int32"), "evalue": float(size) * la * 2.0**-bits, "bits": bits})
+                columns = r[:, 2].clip(1)
+                share = r[:, 1] / columns if params.identity == "exact" else (ESTIMATE[0] * r[:, 0] / columns + ESTIMATE[1]).clip(0, 1)
+                out = pd.DataFrame({"query": f["a"].to_numpy(), "target": f["b"].to_numpy(), "pident": 100.0 * share, "alnlen": r[:, 2].astype("int32"), "evalue": float(size) * la * 2.0**-bits, "bits": bits})
                 qc, tc = (r[:, 4] - r[:, 3]) / la.clip(1), (r[:, 6] - r[:, 5]) / lb.clip(1)
                 covered = {0: (qc >= params.min_coverage) & (tc >= params.min_coverage), 1: tc >= params.min_coverage, 2: qc >= params.min_coverage}[params.coverage_mode]
                 yield out[covered & (out["pident"].to_numpy() >= 100 * params.min_identity) & (out["evalue"].to_numpy() <= params.e_value)]

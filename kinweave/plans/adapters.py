@@ -22,7 +22,7 @@ class Star:
 
     def __init__(self, spark: SparkSession, sf_dir: str, taxa: str = "nation") -> None:
         read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-        self.spark, self.read = spark, read
+        self.spark, self.sf_dir, self.read = spark, sf_dir, read
         s = read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         self.suppliers = s.select(F.concat(F.lit("G"), F.col("s_suppkey").cast("string")).alias("genome_accession"), "s_suppkey", "n_name", "n_nationkey", "n_regionkey", "s_name")
         p = read("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.avg("l_quantity").alias("q"))

@@ -5,6 +5,7 @@ Names start with the operator's id. Each runs over its whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.scorers import ScoringMethod
 from ..operators import graph, lgt, ranking, similarity, stats, tree
+from ..runtime import shared_folder
 from ..sources import files
+from ..sources.remote import RecordedClient
 from .adapters import Documents, Nations, Star, star_sql, tree_cte
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -422,6 +425,62 @@ _query("agg_21_combined_parts", "SELECT CAST(l_orderkey AS VARCHAR) AS organism,
 _query("agg_19_totals_by_category", "SELECT category, coalesce(n, 0) AS n_files, coalesce(t, 0) AS total_proteins FROM (VALUES ('O'), ('F'), ('P'), ('none')) c(category) LEFT JOIN (SELECT o_orderstatus, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS t FROM orders GROUP BY 1) ON category = o_orderstatus")(lambda spark, sf_dir: files.totals_by_category(_read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("category"), F.col("o_custkey").alias("n_sequences")), ["O", "F", "P", "none"]))
 
 
+# --- files: written, and read by the readers -----------------------------------
+
+
+def _file(tag: str) -> str:
+    return f"{shared_folder()}/kinweave-{tag}-{uuid.uuid4().hex}"
+
+
+def _tsv(df: DataFrame, tag: str, sep: str = "\t") -> str:
+    path = _file(tag)
+    df.write.csv(path, sep=sep, header=True)
+    return path
+
+
+_star("src_06_proteins_csv", "SELECT * FROM proteins")(lambda s: files.read_proteins(s.spark, _tsv(s.proteins, "proteins", ",")))
+_star("src_07_membership_tsv", "SELECT * FROM membership")(lambda s: files.read_membership(s.spark, _tsv(s.membership, "members")))
+_star("src_08_taxids_csv", "SELECT * FROM taxids")(lambda s: files.read_taxids(s.spark, _tsv(s.taxids, "taxids", ",")))
+_star("src_12_edges_of_hits", "SELECT query, target FROM hits")(lambda s: files.read_edges_of_hits(s.spark, _tsv(s.hits, "hits")))
+_star("aln_05_hits_tsv", "SELECT query, target, round(pident, 6) AS pident, alnlen, evalue, round(bits, 6) AS bits FROM hits")(lambda s: files.read_hits(s.spark, _tsv(s.hits, "hits")).withColumns({"pident": r6("pident"), "bits": r6("bits")}))
+_star("src_05_distances_tsv", "SELECT * FROM distances")(lambda s: files.read_distances(s.spark, _tsv(s.distances.select(F.col("genome_b").alias("genome_a"), F.col("genome_a").alias("genome_b"), "N_int"), "distances")))
+_query("src_09_scores_tsv", SCORES_SQL)(lambda spark, sf_dir: files.read_scores(spark, _tsv(_zscores(spark, sf_dir), "scores")))
+_net("sink_01_nodes_csv", "SELECT * FROM nodes", KEPT, TAXON, NODES_SQL)(lambda m, p: files.read_nodes(m.sparkSession, _tsv(graph.bipartite(_counts(m, p), p)[0], "nodes", ",")))
+_net("sink_01_edges_csv", "SELECT genome AS source, chg AS target, CAST(weight AS INTEGER) AS weight FROM kept", KEPT)(lambda m, p: files.read_edges(m.sparkSession, _tsv(graph.bipartite(_counts(m, p), p)[1], "edges", ",")))
+_net("set_02_all_nodes", "SELECT node_id, type FROM nodes", KEPT, TAXON, NODES_SQL)(lambda m, p: graph.bipartite(_counts(m, p), p)[0].select("node_id", "type"))
+_star("srt_01_scores_in_order", "SELECT CHG, TaxID_A, TaxID_B, HGT_score FROM zs", ANN, BEST_PAIR, STATS, _ZS)(lambda s: ranking.by_score(_scores(ScoringMethod.ZSCORE, "nation")(s.spark, s.sf_dir)).select("CHG", "TaxID_A", "TaxID_B", "HGT_score"))
+_query("prj_26_sample_attributes", "SELECT CAST(c_custkey AS VARCHAR) AS sample, c_mktsegment AS \"Strain\", c_name AS \"Host\" FROM customer")(
+    lambda spark, sf_dir: files.sample_attributes(_read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("sample"), F.explode(F.array(F.struct(F.lit("strain").alias("n"), F.col("c_mktsegment").alias("v")), F.struct(F.lit("HOST").alias("n"), F.col("c_name").alias("v")), F.struct(F.lit("other").alias("n"), F.lit("x").alias("v")))).alias("e")).select("sample", F.col("e.n").alias("name"), F.col("e.v").alias("value"))).select("sample", "Strain", "Host")
+)
+_query("src_17_direct_accessions", "SELECT 'set_' || CAST(n_nationkey + 1 AS VARCHAR) AS uniq_id, 'Unknown' AS organism, n_name AS accession FROM nation")(lambda spark, sf_dir: files.primary_accession(files.records_of_accessions(spark, "set", [r["n_name"] for r in _read(spark, sf_dir, "nation").orderBy("n_nationkey").collect()])).select("uniq_id", "organism", F.col("primary").alias("accession")))
+_query("prj_25_primary_accession", "SELECT o_orderkey, split_part(o_orderpriority, '-', 1) AS primary_accession, true AS has_multiple FROM orders")(lambda spark, sf_dir: files.primary_accession(_read(spark, sf_dir, "orders").select("o_orderkey", F.split("o_orderpriority", "-").alias("accessions"))).select("o_orderkey", F.col("primary").alias("primary_accession"), F.col("has_multiple")))
+_query("src_02_fasta", "SELECT 'P' || CAST(p_partkey AS VARCHAR) AS id, replace(p_type, ' ', '') AS sequence FROM part")(lambda spark, sf_dir: _fasta(spark, sf_dir).select("id", "sequence"))
+_query("src_22_sequences_in_files", "SELECT count(*) AS n FROM part")(lambda spark, sf_dir: _fasta(spark, sf_dir).agg(F.count("*").alias("n")))
+_query("src_04_newick", _with("SELECT name, CAST(max(steps) AS INTEGER) AS depth FROM walk JOIN edge USING (node_id) WHERE name IS NOT NULL GROUP BY name", tree_cte(), recursive=True))(lambda spark, sf_dir: _newick(spark, sf_dir))
+_query("src_19_recorded_records", "SELECT n_name AS key, CAST(n_regionkey AS VARCHAR) AS body FROM nation WHERE n_nationkey % 2 = 0")(lambda spark, sf_dir: _recorded(spark, sf_dir))
+
+
+def _fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as FASTA records of two lines of sequence, written and read."""
+    path, words = _file("fasta"), F.split("p_type", " ")
+    text = F.concat(F.lit(">P"), F.col("p_partkey").cast("string"), F.lit(" "), F.col("p_name"), F.lit("\n"), F.array_join(words, "\n"))
+    _read(spark, sf_dir, "part").select(text.alias("value")).write.text(path)
+    return files.read_fasta(spark, path)
+
+
+def _newick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = [(str(r["node_id"]), None if r["parent_id"] is None else str(r["parent_id"]), r["name"] or "") for r in Nations(spark, sf_dir).nodes.collect()]  # 31 rows
+    path = _file("newick")
+    spark.createDataFrame([(tree.to_newick(nodes),)], "value string").coalesce(1).write.text(path)
+    return tree.leaves(tree.read_newick(spark, path)).select("name", "depth")
+
+
+def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _read(spark, sf_dir, "nation")
+    client = RecordedClient(n.where("n_nationkey % 2 = 0").select(F.lit("project").alias("kind"), F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("body")))
+    return client.fetch_records(n.select(F.col("n_name").alias("key")), "project")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

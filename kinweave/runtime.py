@@ -17,15 +17,21 @@ def session(app: str = "kinweave", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """The table written to the folder that all machines share, and read again."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession | None = None) -> str:
+    """The folder that all machines share; a local one only where Spark itself is local."""
+    spark = spark or SparkSession.active()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        local = spark.sparkContext.master.startswith("local")  and not spark.sparkContext.master.startswith("local-")
-        folder = tempfile.mkdtemp(prefix="kinweave-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_kinweave"
+        master = spark.sparkContext.master
+        folder = tempfile.mkdtemp(prefix="kinweave-") if master == "local" or master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir") + "/_kinweave"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/kinweave-{tag}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """The table written to the shared folder, and read again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/kinweave-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
