@@ -5,6 +5,7 @@ Names start with the operator's id. Each runs over its whole tables.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -39,7 +40,9 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _with(select: str, *ctes: str, recursive: bool = False) -> str:
-    return f"WITH {'RECURSIVE ' * recursive}{', '.join(c.strip() for c in ctes)} {select}"
+    """Common tables are computed once each."""
+    text = re.sub(r"(^|,\s*)(\w+) AS \((?=SELECT)", r"\1\2 AS MATERIALIZED (", ", ".join(c.strip() for c in ctes))
+    return f"WITH {'RECURSIVE ' * recursive}{text} {select}"
 
 
 def r6(c) -> object:
@@ -49,12 +52,10 @@ def r6(c) -> object:
 # --- scoring ----------------------------------------------------------------
 
 ANN = """
-ann AS (SELECT h.query, h.target, h.pident, pa.genome_accession AS genome_a, pb.genome_accession AS genome_b, ta.taxid AS tax_a, tb.taxid AS tax_b, ma.chg_id AS chg, coalesce(d.N_int, 0) AS n_int
-  FROM hits h JOIN proteins pa ON h.query = pa.protein_id JOIN proteins pb ON h.target = pb.protein_id
-  JOIN taxids ta ON pa.genome_accession = ta.genome_accession JOIN taxids tb ON pb.genome_accession = tb.genome_accession
-  LEFT JOIN membership ma ON h.query = ma.protein_id LEFT JOIN membership mb ON h.target = mb.protein_id
-  LEFT JOIN distances d ON d.genome_a = least(pa.genome_accession, pb.genome_accession) AND d.genome_b = greatest(pa.genome_accession, pb.genome_accession)
-  WHERE ta.taxid <> tb.taxid AND ma.chg_id IS NOT DISTINCT FROM mb.chg_id)"""
+own AS (SELECT p.protein_id, p.genome_accession AS genome, taxid AS tax, chg_id AS chg FROM proteins p JOIN taxids t ON p.genome_accession = t.genome_accession LEFT JOIN membership m ON p.protein_id = m.protein_id),
+pairs AS (SELECT query, target, pident, a.genome AS genome_a, b.genome AS genome_b, a.tax AS tax_a, b.tax AS tax_b, a.chg AS chg, least(a.genome, b.genome) AS lo, greatest(a.genome, b.genome) AS hi
+  FROM hits JOIN own a ON query = a.protein_id JOIN own b ON target = b.protein_id WHERE a.tax <> b.tax AND a.chg IS NOT DISTINCT FROM b.chg),
+ann AS (SELECT query, target, pident, pairs.genome_a, pairs.genome_b, tax_a, tax_b, chg, coalesce(N_int, 0) AS n_int FROM pairs LEFT JOIN distances d ON d.genome_a = lo AND d.genome_b = hi)"""
 _BEST = """
 {name} AS (SELECT chg, tax_a, tax_b, query AS prot_a, target AS prot_b, genome_a, genome_b, n_int, pident AS similarity FROM
   (SELECT *, row_number() OVER (PARTITION BY chg, {key} ORDER BY pident DESC, least(query, target), greatest(query, target), query) AS rn FROM ann) WHERE rn = 1)"""
