@@ -319,6 +319,28 @@ def test_leaks_full_paraphrased_and_none(spark):
     assert decontam.find_leaks(frame(spark, EDGE), bench).count() == 0
 
 
+def test_short_items_in_long_documents(spark):
+    rng = random.Random(3)
+    begin, end = ("ba", "ce", "di", "fo", "gu", "ha", "je", "ki"), ("lan", "mer", "nis", "pot", "rud", "sal")
+    vocabulary = [a + b + c + d for a in begin for b in end for c in begin for d in end]
+    said = lambda k: [rng.choice(vocabulary) for _ in range(k)]
+    items = {100 * n + j: said(n) for n in range(1, 16) for j in range(4)}
+    docs = [(k, " ".join(said(150))) for k in range(60)]
+    for i, w in items.items():  # whole copies at all places against the windows, the ends too
+        for at in (0, 37, 43, 150):
+            text = said(150)
+            docs.append((1000 * len(docs) + i, " ".join(text[:at] + [", ".join(w)] + text[at:])))
+    held = lambda w, text: f" {' '.join(w)} " in f" {text.replace(',', '')} "
+    want = {(d, i) for d, text in docs for i, w in items.items() if held(w, text)}
+    near = [(5_000_000 + i, " ".join(said(70) + w[:3] + ["zzz"] + w[4:] + said(70))) for i, w in items.items() if len(w) >= 8]
+    scattered = [(6_000_000 + i, " ".join(said(40) + w[:2] + ["zzz"] + w[2:] + said(40))) for i, w in items.items() if len(w) in (4, 5)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["share"] for r in decontam.find_leaks(frame(spark, docs + near + scattered), bench).collect()}
+    assert want <= set(found) and all(found[x] == 1 for x in want)
+    assert {(d, d - 5_000_000) for d, _ in near} <= set(found)
+    assert not {(d, d - 6_000_000) for d, _ in scattered} & set(found)
+
+
 def test_longest_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(50):
