@@ -6,6 +6,10 @@ looks like a path, and the words before it. It is trained on labelled findings o
 the driver and written as one Spark expression, so the scan itself has no shuffle
 and no Python.
 
+A candidate is a run of 16 or more characters of keys; behind ``name=`` it is the
+value, and the name is context. Right behind a telling word a value of 8 or more
+characters is one too, with any signs but spaces, quotes and angle brackets.
+
 Defined results: a null text counts as empty; a text without candidates has zero
 counts and an empty list; rows are kept as they are, repeated ones included; other
 columns are ignored; an empty table gives an empty result.
@@ -25,13 +29,18 @@ from pyspark.sql import functions as F
 from .spans import matches, pieces, placed
 from .trees import Tree, forest
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=.-]{16,}+"
 #: Words that stand before secrets, and before other long strings.
 TELLING = ("token", "secret", "key", "password", "passwd", "pwd", "api", "bearer", "auth", "credential", "private")
 HARMLESS = ("commit", "sha", "md5", "checksum", "digest", "hash", "uuid", "guid", "revision", "version", "etag", "integrity", "http", "href", "src", "file", "path", "id")
+#: A run of characters of keys from its start, or from behind its last ``name=``.
+_RUN = r"(?:(?<![A-Za-z0-9_+/=.-])|(?<=[A-Za-z0-9_+/.-]=))(?![A-Za-z0-9_+/.-]*+=[A-Za-z0-9_+/.-])[A-Za-z0-9_+/=.-]{16,}+"
+#: Right behind a telling word and a sign: a value of 8 or more characters, other signs included, up to a space, a quote or the next ``&name=``.
+_VALUE = r"[^\s\"'`<>&]*[^\s\"'`<>&,;.:?)\]}]"
+_TOLD = r"(?<=[\s\"'=:>])(?<=(?i:" + "|".join(TELLING) + r")[^A-Za-z]{1,6})(?=[^\s\"'`<>=:][^\s\"'`<>&]{7}|[^\s\"'`<>=:&]+&(?!\w+=)[^\s\"'`<>]{6})" + _VALUE + r"(?:&(?!\w+=)" + _VALUE + r"){0,64}"
+CANDIDATE = "(?:" + _TOLD + "|" + _RUN + ")"
 #: Words and word parts that cover ordinary long strings.
 DICTIONARY = ("example", "config", "service", "manager", "index", "image", "public", "static", "content", "default", "module", "system", "user", "data", "file", "test", "name", "html", "page", "the", "and", "ing", "tion", "ment", "ness", "ly", "er", "es", "en", "th", "re", "on", "an", "in", "at", "or", "st", "ou", "ha", "he", "ch", "qu", "le", "de")
-FEATURES = ("length", "changes", "digits", "uppers", "distinct", "covered", "path", "hex", "telling", "harmless")
+FEATURES = ("length", "changes", "digits", "uppers", "distinct", "covered", "path", "hex", "telling", "harmless", "signs")
 
 
 def _features(text: Column, before: Column) -> Column:
@@ -51,6 +60,7 @@ def _features(text: Column, before: Column) -> Column:
         text.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("double").alias("hex"),
         near(TELLING).alias("telling"),
         near(HARMLESS).alias("harmless"),
+        (F.length(F.regexp_replace(text, "[A-Za-z0-9_+/=.-]", "")) / n).alias("signs"),
     )
 
 
@@ -62,7 +72,7 @@ def _row(text: str, before: str) -> list[float]:
     return [
         float(n), changes / n, len(re.findall("[0-9]", text)) / n, len(re.findall("[A-Z]", text)) / n, len(set(text)) / min(n, 64),
         1 - len(re.sub("(?:" + "|".join(DICTIONARY) + ")", "", text.lower())) / n, len(re.findall("[/.]", text)) / n,
-        float(bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", text))), near(TELLING), near(HARMLESS),
+        float(bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", text))), near(TELLING), near(HARMLESS), len(re.sub("[A-Za-z0-9_+/=.-]", "", text)) / n,
     ]
 
 
@@ -75,10 +85,14 @@ def labelled_findings(n: int = 1500, seed: int = 6) -> list[tuple[str, str, int]
     told_not = lambda: r.choice(HARMLESS) + r.choice([" ", ": ", "=", ' = "'])
     word = lambda: "".join(r.choice(DICTIONARY) for _ in range(r.randint(1, 5)))
     plain = lambda: f"{word()} {word()} "
+    mixed = lambda k: "".join(r.sample(pick(string.ascii_letters, k - 3) + pick(string.digits, 2) + pick("!@#$%^*~?", 1), k))
+    signed = lambda: r.choice([mixed(r.randint(8, 24)), pick(alnum + "!@#$%^*~?&", r.randint(8, 24)) + pick("!@#$%^*~", 1) + pick(string.digits, 1)])
     secrets = [
         lambda: (pick(hexa, r.choice([32, 40, 64])), told()), lambda: (pick(hexa, r.choice([32, 40])).upper(), told()), lambda: (pick(b64, r.randint(24, 64)), told()),
         lambda: ("AKIA" + pick(string.ascii_uppercase + string.digits, 16), r.choice([told(), plain()])), lambda: (r.choice(["ghp_", "sk_live_", "xoxb-", "glpat-"]) + pick(alnum, r.randint(20, 40)), r.choice([told(), plain()])),
         lambda: (pick(alnum, r.randint(20, 48)), told()), lambda: (pick(b64, r.randint(36, 64)), plain()),
+        lambda: (pick(hexa, r.choice([32, 40, 64])), r.choice(TELLING).upper() + "="), lambda: (pick(alnum, r.randint(10, 19)), told()),
+        lambda: (signed(), told()), lambda: (pick(alnum.lower(), r.randint(12, 32)), told()),
     ]
     others = [
         lambda: ("".join(word() for _ in range(4))[: r.randint(16, 60)].ljust(16, "e"), plain()), lambda: ("/".join(word() for _ in range(4)) + "/index.html", plain()), lambda: (".".join(word() for _ in range(4)) + ".example.com", plain()),
@@ -86,6 +100,9 @@ def labelled_findings(n: int = 1500, seed: int = 6) -> list[tuple[str, str, int]
         lambda: (pick(string.digits, r.randint(16, 20)), plain()), lambda: ("_".join(word() for _ in range(4)).ljust(16, "n"), r.choice([plain(), told()])), lambda: ("".join(word().title() for _ in range(4)).ljust(16, "s"), r.choice([plain(), told()])),
         lambda: ("".join(word() for _ in range(4)).upper()[:40].ljust(16, "E"), plain()), lambda: (pick(string.digits, 4) + "-" + pick(string.digits, 2) + "-" + pick(string.digits, 2) + "-" + word() + word() + word(), plain()),
         lambda: (word() + "=" * r.randint(14, 30), plain()),
+        lambda: ("".join(word() for _ in range(3))[: r.randint(8, 15)].ljust(8, "e"), told()), lambda: (r.choice("-_. ,").strip().join(word() for _ in range(3)).ljust(8, "n"), told()),
+        lambda: (r.choice(["http://", "https://"]) + ".".join(word() for _ in range(2)) + ".example.com/" + word(), told()), lambda: (word() + r.choice(["(", "[", "{", "$", "::", "->"]) + word() + "." + word(), told()),
+        lambda: (r.choice(["${", "{{", "$(", "%"]) + word().upper() + "_" + word().upper(), told()), lambda: (pick(string.digits, 4) + "-" + pick(string.digits, 2) + "-" + pick(string.digits, 2), told()),
     ]
     return [(*r.choice(secrets)(), 1) for _ in range(n)] + [(*r.choice(others)(), 0) for _ in range(n)]
 

@@ -278,6 +278,19 @@ def test_secrets_in_texts(spark, tmp_path):
     assert secrets.find_secrets(frame(spark, [])).count() == 0
 
 
+def test_secrets_of_unquoted_assignments(spark):
+    key, sha = "f3ef04dbebab91ab85687d33eeaaf9ac699e1188", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08"
+    hidden = {
+        f"API_TOKEN={key}": key, f"[db]\npassword={sha}\nport=1": sha, f"GET /v1/items?page=2&access_token={key}&limit=5 HTTP": key, f"client.secret={key}": key, f"run --token={key} x": key, f"/x/token={key}": key, f"opts=auth={key}": key,
+        "export DB_PASSWORD=x7!Kq#92vL@p then": "x7!Kq#92vL@p", 'password: "T9$wq!z4Rk"': "T9$wq!z4Rk", "?api_key=Zq81LmX0pT47&user=anna": "Zq81LmX0pT47",
+        "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMIK7MDENGbPxRfiCYzEXAMPLEKQ8dT==": "wJalrXUtnFEMIK7MDENGbPxRfiCYzEXAMPLEKQ8dT==",
+    }
+    plain = [f"commit={key}", "src=/the/user/static/image/index.html", "the password: instructions follow", "key: example.config-name", "a secret ingredient, the key=user_name_default_test", "uuid=04dbebab-91ab-8568-7d33-eeaaf9ac699e"]
+    texts = [*hidden, *plain]
+    out = {r["doc_id"]: [(x["start"], x["text"]) for x in r["secrets"]] for r in secrets.find_secrets(frame(spark, list(enumerate(texts)))).collect()}
+    assert [out[k] for k in range(len(texts))] == [[(t.index(v), v)] for t, v in hidden.items()] + [[] for _ in plain]
+
+
 def test_url_rules_and_trees(spark, tmp_path):
     given = [None, "no scheme", "http://Www.Example.com/en/x", "http://a.www.example.com/en/", "https://EXAMPLE.com/en/1?x", "http://x.example.com/fr", "http://a.net/es/", "http://anet/es/", "http://a.net/es", "http://b.net?x", "http://cheap-pills.example.org/buy/1?aff=2&ref=3", "http://library.example.org/en/5", "http://İ.com/", ""]
     spark.createDataFrame([(i, u, "<html>", "h") for i, u in enumerate(given)], "page_id long, url string, html string, host string").write.parquet(str(tmp_path / "pages.parquet"))
