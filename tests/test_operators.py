@@ -243,3 +243,46 @@ def test_whole_analysis_of_a_made_dataset(spark, tmp_path):
     _, proteins, _ = a.prepare()
     t = transfers(out["hits"], proteins, out["membership"], out["scores"], 100)
     assert t["best"].count() >= 0 and t["genome_hits"].count() == len(hits)
+
+
+def test_hits_above_bootstrap_bounds_by_brute_force(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    import numpy as np
+
+    from kinweave.operators import lgt, stats
+    from kinweave.plans import queries
+
+    rng, values = np.random.default_rng(5), {}
+    for pair, taxa in enumerate((("A", "B"), ("A", "C"))):
+        values["-".join(taxa)] = [*np.round(rng.uniform(40, 60 + 10 * pair, 80), 2).tolist(), 98.0]
+    hits, proteins, membership = [], [], []
+    for pair, own in values.items():
+        for k, v in enumerate(own):
+            ids = [f"{pair}{k}{side}" for side in "qt"]
+            hits.append((*ids, v, 100, 0.0, 2 * v)), membership.append((ids[0], f"CHG_{k}"))
+            proteins.extend((i, f"G{taxon}", taxon) for i, taxon in zip(ids, pair.split("-"), strict=True))
+    star = SimpleNamespace(
+        hits=spark.createDataFrame(hits, "query string, target string, pident double, alnlen int, evalue double, bits double"),
+        proteins=spark.createDataFrame(proteins, "protein_id string, genome_accession string, taxon string"),
+        membership=spark.createDataFrame(membership, "protein_id string, chg_id string"),
+    )
+    marked = queries._bootstrapped(star).collect()
+    assert len(marked) == sum(map(len, values.values()))
+    for pair, own in values.items():
+        q = [np.percentile(rng.choice(own, len(own)), 95) for _ in range(10_000)]
+        got = [r for r in marked if r["taxon_pair"] == pair]
+        bound = got[0]["q95_upper_bound"]
+        assert abs(bound - np.percentile(q, 97.5)) < 1.0
+        assert {r["pident"] for r in got if r["is_significant"]} == {v for v in own if v > bound} >= {98.0}
+        assert sum(r["is_significant"] for r in got) < 0.05 * len(own)
+    asked = []
+    monkeypatch.setattr(stats, "_resampled_quantiles", None)  # nothing is drawn here
+    for name in ("bootstrap_quantiles", "grouped_bootstrap"):
+        default = getattr(stats, name).__defaults__
+        assert 10_000 in default
+        monkeypatch.setattr(stats, name, lambda *a, **k: asked.append((a[3:], k)))
+    data = "/root/testdata/sf0.001"
+    queries.queries()["sta_02_bootstrap_quantile"](spark, data), queries.queries()["sta_03_grouped_bootstrap"](spark, data)
+    assert all(not a and k.get("replicates", 10_000) == 10_000 for a, k in asked) and len(asked) == 2
+    assert lgt.breakdown(spark.createDataFrame(marked)).count() == 2
