@@ -178,6 +178,12 @@ _star("aln_07_mutual_hits", "SELECT query, target, pident, bits FROM (SELECT *,
 _star("prj_13_one_decimal", "SELECT query, target, round(pident, 1) AS s_ab FROM hits WHERE pident * 4 = round(pident * 4) AND pident * 20 <> round(pident * 2) * 10 + 5 AND pident = round(pident)")(
     lambda s: s.hits.where("pident * 4 = round(pident * 4) and pident * 20 <> round(pident * 2) * 10 + 5 and pident = round(pident)").select("query", "target", S.one_decimal(F.col("pident")).alias("s_ab"))
 )
+# all hits; of ties the even digit, by the number's shortest decimal form as the operator has it
+_star("prj_13_one_decimal_all", """SELECT query, target, CASE WHEN regexp_matches(CAST(pident AS VARCHAR), '^[0-9]+[.][0-9]5$')
+  THEN (CAST(regexp_extract(CAST(pident AS VARCHAR), '^([0-9]+)[.]([0-9])5$', 1) || regexp_extract(CAST(pident AS VARCHAR), '^([0-9]+)[.]([0-9])5$', 2) AS BIGINT)
+    + CAST(regexp_extract(CAST(pident AS VARCHAR), '[.]([0-9])5$', 1) AS BIGINT) % 2) / 10.0 ELSE round(pident, 1) END AS s_ab FROM hits""")(
+    lambda s: s.hits.select("query", "target", S.one_decimal(F.col("pident")).alias("s_ab"))
+)
 
 # --- networks ---------------------------------------------------------------
 

@@ -286,3 +286,18 @@ def test_hits_above_bootstrap_bounds_by_brute_force(spark, monkeypatch):
     queries.queries()["sta_02_bootstrap_quantile"](spark, data), queries.queries()["sta_03_grouped_bootstrap"](spark, data)
     assert all(not a and k.get("replicates", 10_000) == 10_000 for a, k in asked) and len(asked) == 2
     assert lgt.breakdown(spark.createDataFrame(marked)).count() == 2
+
+
+def test_one_decimal_of_all_hits_and_of_ties(spark):
+    from pyspark.sql import functions as F
+
+    from kinweave.functions import scalars as S
+    from kinweave.plans import queries
+    from kinweave.plans.adapters import Star
+
+    data = "/root/testdata/sf0.001"
+    out = queries.queries()["prj_13_one_decimal_all"](spark, data)
+    assert out.count() == Star(spark, data).hits.count() and out.where("s_ab <> round(s_ab)").count() > 0
+    given = {98.25: 98.2, 98.75: 98.8, 99.05: 99.0, 97.15: 97.2, 99.96: 100.0, 98.333333: 98.3, 97.0: 97.0}
+    d = spark.createDataFrame([(x,) for x in given], "x double").select("x", S.one_decimal(F.col("x")).alias("y"))
+    assert {r["x"]: r["y"] for r in d.collect()} == given
