@@ -354,6 +354,14 @@ def test_short_items_in_long_documents(spark):
     assert not {(d, d - 6_000_000) for d, _ in scattered} & set(found)
 
 
+def test_leaks_do_not_depend_on_the_blocks_of_items(spark):
+    docs, bench = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
+    found = lambda p: {(r["doc_id"], r["item_id"]): (r["share"], r["cosine"]) for r in decontam.find_leaks(docs, bench, p).collect()}
+    one, many = found(decontam.LeakParams()), found(decontam.LeakParams(items_block=9))
+    assert one and set(one) == set(many)
+    assert np.allclose([one[k] for k in one], [many[k] for k in one], atol=1e-3)
+
+
 def test_longest_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(50):
