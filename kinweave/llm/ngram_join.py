@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Words, materialize, mix64, tidy
+from .shared import Words, materialize, mix64, row_key, tidy
 
 
 @dataclass(frozen=True)
@@ -251,10 +251,13 @@ def ngram_jaccard_join(docs: DataFrame, params: JaccardParams = JaccardParams(),
 
 
 def keep_one(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
-    """The rows of docs without those whose class has a lesser id; of repeated rows of an id one stays."""
-    gone = materialize(ngram_jaccard_join(docs, params).where("doc_id <> class_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if twice:
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    """The rows of docs without those whose class has a lesser id; of repeated rows of an id one stays.
+
+    Rows without an id count as one for each text, and come after all ids.
+    """
+    keyed = docs.withColumn("_row_key", row_key())
+    classes = ngram_jaccard_join(keyed, params, id_col="_row_key")
+    gone = materialize(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_row_key")).distinct(), "gone")
+    kept = keyed.join(gone, "_row_key", "left_anti")
+    twice = keyed.groupBy("_row_key").count().where("count > 1").limit(1).count()
+    return (kept.dropDuplicates(["_row_key"]) if twice else kept).select(*docs.columns)

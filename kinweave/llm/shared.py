@@ -55,6 +55,12 @@ def drop_scratch(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def row_key():
+    """doc_id; of rows without one a hash of their text, above usual ids, so that a row with an id goes first."""
+    own = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    return F.coalesce(F.col("doc_id").cast("long"), own)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of texts hold at most so many rows: they stand in memory on both sides of the pipe."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -362,6 +362,20 @@ def test_leaks_do_not_depend_on_the_blocks_of_items(spark):
     assert np.allclose([one[k] for k in one], [many[k] for k in one], atol=1e-3)
 
 
+def test_rows_without_an_id_are_filtered_like_others(spark):
+    rng = random.Random(6)
+    said = lambda k: " ".join(f"w{rng.randrange(3000)}" for _ in range(k))
+    twin, lone, item = said(60), said(60), said(30)
+    texts = [(1, twin), (None, twin), (None, twin + " more"), (None, lone), (None, lone), (2, said(60)), (None, f"{said(40)} {item} {said(40)}"), (3, f"{said(40)} {item} {said(40)}")]
+    docs = frame(spark, texts)
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted(got, key=repr) == sorted([texts[k] for k in (0, 3, 5, 6, 7)], key=repr)
+    clean = decontam.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted([(r["doc_id"], r["text"]) for r in clean.collect()], key=repr) == sorted(texts[:6], key=repr)
+
+
 def test_longest_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(50):
