@@ -5,9 +5,10 @@ file a partition, in ascending order of id. ORC keeps the ids of a stripe in
 run-length encoded streams; stripes are the unit of parallel reads, row indexes
 and the Bloom filter on doc_id let a lookup skip stripes and row groups.
 
-A text is split at plain white space before it is encoded, which the tokenizer's
-own pre-tokenizer does as well; that lets a worker keep the ids of the words it
-has seen, in a table of bounded size.
+A text is split at plain white space before it is encoded, if the tokenizer's own
+pre-tokenizer does so as well; each distinct word of a batch is then encoded once,
+and a worker keeps the ids of words it has seen, in a table of bounded size. Texts,
+not ids, are shuffled into order: four bytes an id are more than the text.
 
 Defined results: null and empty texts have the end id only; equal ids stand by
 the hash of their texts, a null id first; repeated rows are all written; other
@@ -37,8 +38,23 @@ ORC_OPTIONS = {
 }
 
 
+#: Letters of one UTF-8 form whose lower case is one letter, and signs: such words are one run of letters and one of signs to the tokenizer.
+_LETTERS = "".join(map(chr, (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100))))
+_SIGNS = ".,!?:;#$%&*()|-"
+_PROBES = ("a", "Word", "word...", "\u00c9tude,", "stra\u00dfe!?", "ZZZ-", "abcdefghijklmnopqrstuvwxyz")
+
+
 class _Encoder:
-    """Whole texts to ids. Words seen a second time are remembered, up to ``REMEMBERED``."""
+    """Whole texts to ids.
+
+    If white space only parts words to the tokenizer, each distinct word of a batch is
+    encoded once; ids of words seen a second time are remembered, up to
+    ``REMEMBERED``. New words of letters go through the file's own merges many at a
+    time: a copy of the model spells a word's last letter as a character of its own,
+    so words can stand side by side without a pre-tokenizer. If the copy does not
+    give the library's ids for some probes, or white space means more, the library
+    encodes texts as they are.
+    """
 
     def __init__(self, path: str) -> None:
         import os
@@ -47,75 +63,140 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = list(self.tokenizer.get_added_tokens_decoder().values())
-        self.known = _Known({"": b""})
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {"": b""}
         self.door = bytearray(1 << 23)
-        self.blank = re.compile("[\t\n\r]")
-        # A run of letters whose lower case is one code point each is one pre-token; so are signs behind it.
-        letters = "".join(map(chr, (*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100))))
-        upper = "".join(map(chr, (*range(0x41, 0x5B), *range(0xC0, 0xD7), *range(0xD8, 0xDF))))
-        self.simple = re.compile(f"([{letters}{upper}]+)([.,!?:;#$%&*()|-]*)")
-        self.as_bytes = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters})
         self.signs: dict[str, bytes] = {"": b""}
+        self.parted = all(self._plain(f"{x}{gap}{y}") == self._plain(x) + self._plain(y) for x, y in (("a", "b"), ("Word,", "é1")) for gap in (" ", "\n", "  ", "\t\r"))
+        self.line = re.compile(f"^(?:([{_LETTERS}]+)([{re.escape(_SIGNS)}]*)|.*)$", re.M)
+        self.merger = self.final = None
+        if self.parted:
+            self._spell()
+            if self.merger is not None and self.words(list(_PROBES)) != [self._plain(w) for w in _PROBES]:
+                self.merger = None
 
-    def words(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of each word. The model itself encodes plain ones; others share a text, parted by a special token."""
+    def _plain(self, text: str) -> bytes:
+        return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _spell(self) -> None:
+        """The copy of a model of byte characters whose words end in a suffix: a last byte is the character 0xE000 + byte."""
+        import json
+
+        import numpy as np
+        from tokenizers import Tokenizer, models
+
+        model = json.loads(self.tokenizer.to_str())["model"]
+        end = model.get("end_of_word_suffix")
+        if model["type"] != "BPE" or not end or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+            return
+        shown = {**{c: c for c in (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))}}
+        shown |= {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in shown)}  # how byte-level models write bytes
+        byte_of = {chr(c): b for b, c in shown.items()}
+        spell = lambda t: t[: -len(end) - 1] + chr(0xE000 + byte_of[t[-len(end) - 1]]) if t.endswith(end) else t
+        try:
+            vocab = {spell(t): i for t, i in model["vocab"].items()}
+            merges = [tuple(map(spell, m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+        except (KeyError, IndexError):
+            return
+        if len(vocab) < len(model["vocab"]) or not all(chr(shown[b]) in vocab and chr(0xE000 + b) in vocab for b in range(256)):
+            return
+        self.merger = Tokenizer(models.BPE(vocab=vocab, merges=merges))
+        self.inner = np.array([shown[b] for b in range(256)], "<u4")
+        self.final = np.zeros(max(vocab.values()) + 1, bool)
+        self.final[[i for t, i in vocab.items() if "\ue000" <= t[-1] <= "\ue0ff"]] = True
+
+    def _letters(self, cores: list[str]) -> list[bytes]:
+        """The ids of words of letters."""
         import numpy as np
 
-        tokenize, out = self.tokenizer.model.tokenize, {}
-        rest = []
-        for w in words:
-            m = self.simple.fullmatch(w)
-            if m is None:
-                rest.append(w)
-                continue
-            core, tail = m.groups()
-            signs = self.signs.get(tail)
-            if signs is None:
-                signs = np.array(self.tokenizer.encode(tail, add_special_tokens=False).ids, "<i4").tobytes()
-                if len(self.signs) < 10_000:
-                    self.signs[tail] = signs
-            out[w] = array("i", [t.id for t in tokenize(core.lower().translate(self.as_bytes))]).tobytes() + signs
-        words = rest
-        marks = [t.content for t in self.special]
-        odd = [w for w in words if any(m in w for m in marks)] if marks else words
-        out |= {w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<i4").tobytes() for w in odd}
-        plain = [w for w in words if w not in out]
-        if plain:
-            mark = marks[0]
-            stop = self.tokenizer.token_to_id(mark)
-            parts = [plain[i : i + 64] for i in range(0, len(plain), 64)]
-            for part, e in zip(parts, self.tokenizer.encode_batch_fast([f" {mark} ".join(p) for p in parts], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<i4")
-                cuts = np.flatnonzero(ids == stop).tolist()
-                raw = ids.tobytes()
-                for w, a, b in zip(part, [0, *[c + 1 for c in cuts]], [*cuts, len(ids)], strict=True):
-                    out[w] = raw[4 * a : 4 * b]
+        raw = np.frombuffer(("\n".join(cores).lower() + "\n").encode(), np.uint8)
+        stops = np.flatnonzero(raw == 10)
+        codes = self.inner[raw]
+        codes[stops - 1] = raw[stops - 1] + np.uint32(0xE000)
+        text = np.delete(codes, stops).tobytes().decode("utf-32-le")
+        ends = [0, *(stops - np.arange(len(stops))).tolist()]
+        cuts = [*range(0, len(cores), 64), len(cores)]
+        got = self.merger.encode_batch_fast([text[ends[a] : ends[b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, "<i4") for e in got])
+        at = [0, *(np.flatnonzero(self.final[ids]) + 1).tolist()]
+        flat = ids.tobytes()
+        return [flat[4 * a : 4 * b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word."""
+        out: list[bytes | None] = [None] * len(words)
+        if words and self.merger is not None:
+            pairs = self.line.findall("\n".join(words))
+            own = [k for k, (core, _) in enumerate(pairs) if core]
+            if own:
+                for k, ids in zip(own, self._letters([pairs[k][0] for k in own]), strict=True):
+                    tail = pairs[k][1]
+                    signs = self.signs.get(tail)
+                    if signs is None:
+                        signs = self._plain(tail)
+                        if len(self.signs) < 10_000:
+                            self.signs[tail] = signs
+                    out[k] = ids + signs if tail else ids
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        if rest:
+            for k, e in zip(rest, self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False), strict=True):
+                out[k] = array("i", e.ids).tobytes()
         return out
 
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """The bytes of each text's ids as little-endian 32-bit integers."""
+    def encode_all(self, texts, end_id: int):
+        """(ids, offsets) of an Arrow column of texts, the end id behind each."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        end = np.array([end_id], "<i4")
+        if not self.parted:
+            own = [array("i", e.ids).tobytes() + end.tobytes() for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            offsets = np.zeros(len(own) + 1, np.int32)
+            np.cumsum([len(x) // 4 for x in own], out=offsets[1:])
+            return np.frombuffer(b"".join(own), "<i4"), offsets
+        bounds = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1 + texts.offset)[texts.offset :]
+        first, last = int(bounds[0]), int(bounds[-1])
+        data = _BLANKS[np.frombuffer(texts.buffers()[2], np.uint8, last)[first:]] if last > first else np.zeros(0, np.uint8)
+        blank = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(bounds - first), pa.py_buffer(data))
+        lists = pc.split_pattern(blank, " ")
+        coded = lists.flatten().dictionary_encode()
+        distinct, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
         known, door, last = self.known, self.door, len(self.door) - 1
-        split = [self.blank.sub(" ", t or "").split(" ") for t in texts]
-        new = set().union(*split) - known.keys()
-        fresh = known.fresh = self.words(list(new))
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        if len(known) < REMEMBERED:
-            for w in new:
+        found = list(map(known.get, distinct))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(new, self.words([distinct[k] for k in new]), strict=True):
+            found[k] = ids
+            if len(known) < REMEMBERED:
+                w = distinct[k]
                 at = hash(w) & last
                 if door[at]:
-                    known[w] = fresh[w]
+                    known[w] = ids
                 door[at] = 1
-        return out
+        found.append(end.tobytes())
+        flat = np.frombuffer(b"".join(found), "<i4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begins = np.cumsum(sizes) - sizes
+        stops = np.asarray(lists.offsets)[1:] - lists.offsets[0].as_py()
+        every = np.insert(index, stops, len(found) - 1)
+        many = sizes[every]
+        upto = np.cumsum(many)
+        ids = flat[np.repeat(begins[every] - (upto - many), many) + np.arange(upto[-1] if len(upto) else 0)]
+        offsets = np.zeros(len(texts) + 1, np.int64)
+        offsets[1:] = upto[stops + np.arange(len(stops))]
+        return ids, offsets.astype(np.int32)
 
 
-class _Known(dict):
-    """Remembered words; others are looked up in ``fresh``."""
+def _blanks():
+    import numpy as np
 
-    fresh: dict[str, bytes]
+    out = np.arange(256, dtype=np.uint8)
+    out[[9, 10, 13]] = 32
+    return out
 
-    def __missing__(self, word: str) -> bytes:
-        return self.fresh[word]
+
+_BLANKS = _blanks()
 
 
 _encoders: dict[str, _Encoder] = {}
@@ -132,18 +213,14 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFr
     """(doc_id, tie, ids): rows stay where they are. docs: (doc_id, tie, text)."""
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         encode_all = _encoder(tokenizer_path).encode_all
-        end = np.array([end_id], "<i4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                raw = [x + end for x in encode_all(part.column(2).to_pylist())]
-                offsets = np.zeros(len(raw) + 1, np.int32)
-                np.cumsum([len(x) // 4 for x in raw], out=offsets[1:])
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+                ids, offsets = encode_all(part.column(2), end_id)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids], ["doc_id", "tie", "ids"])
 
     return docs.mapInArrow(tidy(run), "doc_id long, tie long, ids array<int>")
