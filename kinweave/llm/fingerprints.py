@@ -1,21 +1,23 @@
 """Document fingerprints by gamma-based consistent weighted sampling.
 
-Terms are word 5-shingles weighted by their counts. A weight is cut into parts of
-at most one, so that a heavy term spreads over bins as its mass asks; the hash of
-term and part names the bin. Within a bin every part of weight w draws r, c ~ Gamma(2, 1) and beta ~ U(0, 1) from its hash
-and scores ln a = ln c - r (t - beta + 1), t = floor(ln w / r + beta); the least
-score is the bin's sample. Two texts agree in a bin with the probability of their
-generalised Jaccard similarity there, so the share of agreeing bins, among bins
-that either text fills, estimates the whole. One draw per term and text: cost is
-linear in the words, whatever the number of bins.
-
-All is Spark expressions over one row. The edited text needs the next document:
-documents are dealt to ranges of ids, each range also gets the first document of
-the next one, and a window inside the range does the rest; the text moves once.
+Terms are word 5-shingles, weighted by their counts. For each of 64 samples a term
+of weight w draws r, c ~ Gamma(2, 1) and beta ~ U(0, 1) from its hash, sets
+t = floor(ln w / r + beta), ln y = r (t - beta) and ln a = ln c - ln y - r; the term
+of least a is the sample, which keeps the term and t. Two texts agree in a sample
+with the probability of their generalised Jaccard similarity, so the share of
+agreeing samples estimates it. A term's r and c come from pools of 16 draws each;
+every sample pairs another r with another c and has a beta of its own, so each
+sample has the full distribution, and all 64 together the spread of some 47
+independent ones (standard error 0.073 at similarity 0.5).
+
+All is Spark expressions: documents are dealt to ranges of ids, each range also
+gets the first document of the next one, and a window gives every text the next
+one; the text moves once. Then the terms of both texts become rows, and one
+aggregation in the same partitions takes all minima in generated code.
 
 Defined results: a null text counts as empty; texts without words have the
 fingerprint of their characters; two empty texts have likeness 1, an empty and
-another one 0; equal ids stand by the hash of their texts, and a null id last; a
+another one 0; equal ids stand by the hash of their texts, and null ids last; a
 single document is its own next; an empty table gives an empty result.
 """
 
@@ -24,11 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import range_bounds, range_of
+from .shared import id_ranges
 
-BINS = 128  # 7 bits of a hash
+SAMPLES, POOL = 64, 16
 SHINGLE = 5
-_DEEP = float(1 << 40)
+_ID_BITS = 38  # of a sample, for the term and t; the score has the bits above
 
 
 def _unit(bits: Column, shift: int, width: int) -> Column:
@@ -37,94 +39,91 @@ def _unit(bits: Column, shift: int, width: int) -> Column:
     return (part.cast("double") + 0.5) / float(1 << width)
 
 
-def shingle_hashes(hashed: Column) -> Column:
-    """Sorted hashes of all runs of five words; a shorter text has one, of all its words. hashed: a column of word hashes."""
-    n = F.size(hashed)
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0))), lambda i: F.xxhash64(*[F.get(hashed, i + k) for k in range(SHINGLE)]))
-    return F.when(n > 0, F.sort_array(runs)).otherwise(F.array().cast("array<bigint>"))
-
-
-def _samples(hashes: Column, heads: Column) -> Column:
-    """bin << 52 | score of each part of each distinct term. heads: 0-based places where a new term begins, and the end.
-
-    Counts are whole, so every part has weight 1 and t = floor(beta) = 0. The hash of
-    a part gives its bin and r, a second hash c and beta.
-    """
-
-    def draw(part: Column) -> Column:
-        more = F.xxhash64(part)
-        r = -F.log(_unit(part, 0, 32) * _unit(part, 32, 25))
-        c = -F.log(_unit(more, 0, 21) * _unit(more, 21, 21))
-        score = F.log(c) - r * (1 - _unit(more, 42, 22))
-        return F.shiftleft(F.shiftrightunsigned(part, 57), 52) + F.floor((F.greatest(score, F.lit(-1000.0)) + 1024) * _DEEP)
-
-    def of(at: Column, k: Column) -> Column:
-        parts = F.transform(F.sequence(F.lit(1), F.get(heads, k + 1) - at - 1), lambda j: F.xxhash64(F.get(hashes, at), j))
-        first = F.array(draw(F.get(hashes, at)))
-        return F.when(F.get(heads, k + 1) - at == 1, first).otherwise(F.concat(first, F.transform(parts, draw)))
-
-    return F.flatten(F.transform(F.slice(heads, F.lit(1), F.size(heads) - 1), of))
-
-
-def with_fingerprints(df: DataFrame, pairs: dict[str, str]) -> DataFrame:
-    """df with an array<bigint> of samples in each column pairs[text column]: at most one for each bin, ascending."""
-    text = {c: F.coalesce(F.col(c), F.lit("")) for c in pairs}
+def with_terms(df: DataFrame, text_col: str) -> DataFrame:
+    """A row for each distinct term of each text: df's columns, _term and _weight; both null for an empty text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
     # each step is a column of its own: what a lambda refers to must not be computed anew for each element
-    df = df.withColumns({f"_w_{c}": F.transform(F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}]++"), lambda w: w != ""), lambda w: F.xxhash64(w)) for c, t in text.items()})
-    df = df.withColumns({f"_h_{c}": F.when((F.size(f"_w_{c}") == 0) & (t != ""), F.array(F.xxhash64(t, F.lit("characters")))).otherwise(shingle_hashes(F.col(f"_w_{c}"))) for c, t in text.items()})
-    heads = lambda h: F.when(
-        F.size(h) > 0,
-        F.concat(F.filter(F.sequence(F.lit(0), F.greatest(F.size(h) - 1, F.lit(0))), lambda i: (i == 0) | (F.get(h, i) != F.get(h, i - 1))), F.array(F.size(h))),
-    ).otherwise(F.array(F.lit(0)))
-    df = df.withColumns({f"_b_{c}": heads(F.col(f"_h_{c}")) for c in pairs})
-    df = df.withColumns({f"_s_{c}": F.when(F.size(f"_b_{c}") > 1, F.sort_array(_samples(F.col(f"_h_{c}"), F.col(f"_b_{c}")))).otherwise(F.array().cast("array<bigint>")) for c in pairs})
-    first = lambda s: F.filter(s, lambda x, i: (i == 0) | (F.shiftright(F.get(s, i - 1), 52) != F.shiftright(x, 52)))
-    df = df.withColumns({name: first(F.col(f"_s_{c}")) for c, name in pairs.items()})
-    return df.drop(*[f"_{k}_{c}" for k in "whbs" for c in pairs])
+    df = df.withColumn("_w", F.transform(F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]++"), ""), lambda w: F.xxhash64(w)))
+    n = F.size("_w")
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0))), lambda i: F.xxhash64(*[F.get(F.col("_w"), i + k) for k in range(SHINGLE)]))
+    df = df.withColumn("_h", F.when(n > 0, F.sort_array(runs)).when(text != "", F.array(F.xxhash64(text, F.lit("characters")))).otherwise(F.array().cast("array<bigint>")))
+    first = lambda i: (i == 0) | (F.get(F.col("_h"), i) != F.get(F.col("_h"), i - 1))
+    df = df.withColumn("_at", F.when(F.size("_h") > 0, F.filter(F.sequence(F.lit(0), F.greatest(F.size("_h") - 1, F.lit(0))), first)).otherwise(F.array().cast("array<int>")))
+    df = df.select("*", F.posexplode_outer("_at").alias("_k", "_i"))
+    return df.withColumns({"_term": F.get("_h", F.col("_i")), "_weight": (F.coalesce(F.get("_at", F.col("_k") + 1), F.size("_h")) - F.col("_i")).cast("double")}).drop("_w", "_h", "_at", "_k", "_i")
+
+
+def minima(term: Column, weight: Column) -> list[Column]:
+    """An aggregate for each sample: the least score << 38 | term and t. The pools are common subexpressions, made once a row."""
+    r = [-F.log(_unit(x, 0, 32) * _unit(x, 32, 32)) for x in (F.xxhash64(term, F.lit(i)) for i in range(POOL))]
+    c = [F.log(-F.log(_unit(x, 0, 32) * _unit(x, 32, 32))) for x in (F.xxhash64(term, F.lit(POOL + i)) for i in range(POOL))]
+    out = []
+    for k in range(SAMPLES):
+        beta = _unit(F.xxhash64(term, F.lit(2 * POOL + k // 4)), 16 * (k % 4), 16)
+        own, other = r[k % POOL], c[(k // POOL + k) % POOL]
+        t = F.floor(F.log(weight) / own + beta)
+        score = F.floor((F.greatest(other - own * (t - beta + 1), F.lit(-63.0)) + 64) * float(1 << 18))
+        out.append(F.min(F.shiftleft(score, _ID_BITS).bitwiseOR(term.bitwiseXOR(t).bitwiseAND(F.lit((1 << _ID_BITS) - 1)))))
+    return out
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of agreeing bins among those that either fingerprint fills; 1 for two empty ones."""
-    filled = F.size(F.array_union(F.transform(a, lambda x: F.shiftright(x, 52)), F.transform(b, lambda x: F.shiftright(x, 52))))
-    return F.when(filled == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / filled)
+    """The share of agreeing samples; 1 for two empty texts, 0 for an empty and another one."""
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), lambda x: x))
+    return same / float(SAMPLES)
 
 
 def as_text(fingerprint: Column) -> Column:
-    """Each sample as 15 hexadecimal digits."""
-    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 15, "0")), "")
+    """Each sample's term and t as 10 hexadecimal digits; of an empty text the empty string."""
+    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit((1 << _ID_BITS) - 1)))), 10, "0")), "")
+
 
+def fingerprints(df: DataFrame, keys: list[str], text_col: str, name: str) -> DataFrame:
+    """keys and the fingerprint, array<bigint>, in a column of that name: one row for each value of the keys, which should be one for each text."""
+    rows = with_terms(df.select(*keys, text_col), text_col)
+    made = rows.groupBy(*keys).agg(*[m.alias(f"_m{k}") for k, m in enumerate(minima(F.col("_term"), F.col("_weight")))])
+    return made.select(*keys, F.array(*[F.col(f"_m{k}") for k in range(SAMPLES)]).alias(name))
 
-def with_next(df: DataFrame, columns: list[str], id_col: str = "doc_id", rows_per_range: int = 500) -> DataFrame:
-    """df and next_<column>: of the next row by descending id; after the last comes the first.
 
-    df has _tie, an integer that orders rows of one id. There are at most 10,000
-    ranges; the driver holds their first rows' ids only.
+def in_ranges(df: DataFrame, rows_per_range: int = 500) -> DataFrame:
+    """df with _part, _guest and _place: ranges by descending doc_id, each with the first row of the next range as its guest.
+
+    df: (doc_id, _tie, ...); _tie orders rows of one id. The row at _place + 1 of a
+    part is the next row; the last range's guest is the first row of all. The
+    ranges' first rows, one for each range, are broadcast: at most some 200,000 rows.
     """
-    df = df.withColumn("_range", range_of(id_col, range_bounds(df.select(id_col), id_col, rows_per_range)))
-    firsts = df.groupBy("_range").agg(F.max(F.struct(F.col(id_col).alias("id"), F.col("_tie").alias("tie"))).alias("t")).orderBy(F.desc("_range")).collect()
-    if not firsts:
-        return df.select("*", *[F.col(c).alias(f"next_{c}") for c in columns]).drop("_range")
-    sql = lambda v: "CAST(NULL AS BIGINT)" if v is None else f"{v}L"
-    rows = ", ".join(f"({f['_range']}, {sql(f['t']['id'])}, {sql(f['t']['tie'])}, {firsts[i - 1]['_range']})" for i, f in enumerate(firsts))
-    lead = df.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t(_at, _id, _first_tie, _before)".replace("-9223372036854775808L", "CAST('-9223372036854775808' AS BIGINT)"))
-    df = df.join(F.broadcast(lead), F.col("_range") == F.col("_at"))  # a row for each range
+    df = df.withColumn("_range", id_ranges(df, "doc_id", "_tie", rows_per_range))
+    first = F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id").alias("id"), F.col("_tie").alias("tie"))
+    firsts = df.groupBy(F.col("_range").alias("_at")).agg(F.max(first).alias("_first"))
+    ranges = Window.orderBy(F.desc("_at"))  # over ranges, not documents
+    every = ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    firsts = firsts.select("_at", "_first", F.coalesce(F.lag("_at").over(ranges), F.last("_at").over(every)).alias("_before"))
+    df = df.join(F.broadcast(firsts), F.col("_range") == F.col("_at"))
     home, guest = F.struct(F.col("_range").alias("r"), F.lit(0).alias("guest")), F.struct(F.col("_before").alias("r"), F.lit(1).alias("guest"))
-    first = F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_tie").eqNullSafe(F.col("_first_tie"))
-    df = df.withColumn("_to", F.explode(F.when(first, F.array(home, guest)).otherwise(F.array(home)))).withColumn("_part", F.col("_to.r"))
-    order = Window.partitionBy("_part").orderBy(F.col("_to.guest"), F.desc_nulls_last(id_col), F.desc("_tie"))
-    df = df.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
-    return df.where("_to.guest = 0").drop("_to", "_part", "_range", "_before", "_at", "_id", "_first_tie")
+    is_first = F.col("doc_id").eqNullSafe(F.col("_first.id")) & (F.col("_tie") == F.col("_first.tie"))
+    df = df.withColumn("_to", F.explode(F.when(is_first, F.array(home, guest)).otherwise(F.array(home))))
+    df = df.withColumns({"_part": F.col("_to.r"), "_guest": F.col("_to.guest")}).drop("_to", "_range", "_at", "_first", "_before")
+    return df.withColumn("_place", F.row_number().over(_order()))
+
+
+def _order() -> Window:
+    return Window.partitionBy("_part").orderBy("_guest", F.desc_nulls_last("doc_id"), F.desc("_tie"))
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited form: the last third replaced by the start of the next document."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    d = with_fingerprints(d.withColumn("_tie", F.xxhash64("text")), {"text": "_fp"})
-    d = with_next(d, ["text", "_fp"]).withColumn("n_chars", F.length("text"))
+    d = in_ranges(d.withColumn("_tie", F.xxhash64("text"))).withColumns({"next_text": F.lead("text").over(_order()), "n_chars": F.length("text")})
     third = F.floor(F.col("n_chars") / 3).cast("int")
-    d = d.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - third), F.substring("next_text", F.lit(1), third)))
-    d = with_fingerprints(d.select("doc_id", "n_chars", "edited", "_fp", "next__fp"), {"edited": "_efp"})
+    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars") - third), F.substring("next_text", F.lit(1), third))
+    own, other = F.struct(F.lit(0).alias("side"), F.col("text").alias("text")), F.struct(F.lit(1).alias("side"), edited.alias("text"))
+    d = d.select("_part", "_guest", "_place", "doc_id", "n_chars", F.explode(F.when(F.col("_guest") == 0, F.array(own, other)).otherwise(F.array(own))).alias("s"))
+    d = d.select("_part", "_guest", "_place", "doc_id", "n_chars", F.col("s.side").alias("side"), F.col("s.text").alias("text")).withColumn("sha", F.when(F.col("side") == 1, F.sha2("text", 256)))
+    d = fingerprints(d, ["_part", "_guest", "_place", "doc_id", "n_chars", "side", "sha"], "text", "fp")
+    # a document's two rows, and the next document's first, follow each other
+    row = Window.partitionBy("_part").orderBy("_place", "side")
+    d = d.withColumns({"efp": F.lead("fp", 1).over(row), "edited_sha256": F.lead("sha", 1).over(row), "nfp": F.lead("fp", 2).over(row)}).where("_guest = 0 and side = 0")
     return d.select(
-        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("_fp")).alias("fingerprint"), as_text(F.col("_efp")).alias("edited_fingerprint"),
-        likeness(F.col("_fp"), F.col("_efp")).alias("near_edited"), likeness(F.col("_fp"), F.col("next__fp")).alias("near_next"),
+        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("efp")).alias("edited_fingerprint"),
+        likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("nfp")).alias("near_next"),
     )

@@ -12,7 +12,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -112,6 +112,31 @@ def range_of(column, bounds: list[int], block: int = 100):
     return F.when(value.isNull(), F.lit(-1)).otherwise(below + F.size(F.filter(F.slice(every, below + 1, F.lit(block)), lambda b: b < value)))
 
 
+def id_ranges(df: DataFrame, column: str, tie: str, rows_per_range: int) -> Column:
+    """An integer for each row that ascends with the column: ranges of about so many rows; nulls go below all, by descending tie.
+
+    Cut points in the plan are 10,000 at most; beyond, each stretch between two of
+    them is parted evenly by value. Ranges are 200,000 at most, then of more rows.
+    tie: a hash.
+    """
+    value, x = F.col(column).cast("long"), F.col(column)
+    n, known, low, high = df.agg(F.count("*"), F.count(x), F.min(value), F.max(value)).first()
+    rows = max(rows_per_range, n // 200_000)
+    many = max(1, -(-(n - known) // rows))
+    top = F.shiftrightunsigned(F.lit((1 << 63) - 1).bitwiseXOR(F.col(tie)), 1).cast("double") / float(1 << 63)  # descends with the tie
+    none = -1 - F.least(F.floor(top * many), F.lit(many - 1))
+    if not known:
+        return none.cast("int")
+    bounds = range_bounds(df.where(x.isNotNull()), column, rows)
+    at = range_of(column, bounds)
+    parts = -(-known // (rows * (len(bounds) + 1)))
+    if parts > 1:
+        ends = F.lit([float(v) for v in (low, *bounds, high)])  # as doubles: differences of far ids overflow a long
+        share = (value.cast("double") - F.get(ends, at)) / F.greatest(F.get(ends, at + 1) - F.get(ends, at), F.lit(1.0))
+        at = at * parts + F.least(F.greatest(F.floor(share * parts), F.lit(0)), F.lit(parts - 1))
+    return F.when(x.isNull(), none).otherwise(at).cast("int")
+
+
 # --- hashed words ----------------------------------------------------------
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
