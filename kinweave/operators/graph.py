@@ -2,33 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import CLUSTER_COLOR, category_color
-from ..runtime import materialize
+from ..runtime import drop_scratch, materialize
+
+
+def _scrambled(x: Column) -> Column:
+    """A bijection of longs whose order looks random: three rounds that mix one half with a hash of the other."""
+    low = F.lit((1 << 32) - 1)
+    hi, lo = F.shiftrightunsigned(x, 32), x.bitwiseAND(low)
+    lo = lo.bitwiseXOR(F.xxhash64(hi).bitwiseAND(low))
+    hi = hi.bitwiseXOR(F.xxhash64(lo).bitwiseAND(low))
+    lo = lo.bitwiseXOR(F.xxhash64(hi, F.lit(1)).bitwiseAND(low))
+    return F.shiftleft(hi, 32).bitwiseOR(lo)
 
 
 def components(edges: DataFrame, u: str, v: str, max_rounds: int = 100) -> DataFrame:
     """(node, component): component is the least node that edges lead to.
 
-    Each round takes the least label among the neighbours and then the label of that
-    label's holder, which halves long chains; it ends in a written table. Raises if
+    Nodes become longs in scrambled order. A round maps every node to the least of
+    its neighbourhood and that one's least in turn, contracts the edges by this map
+    and drops loops, so later rounds see a fraction of the edges and long chains
+    shrink as fast as others. The maps are then composed from the smallest back.
+    Every round ends in written tables; joins on a popular label have one row for
+    each key on the other side, and adaptive execution splits them. Raises if
     ``max_rounds`` do not suffice.
     """
     e = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a is not null and b is not null")
-    e = materialize(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(e.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"), "label")
+    nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    integers = e.schema["a"].dataType.typeName() in ("byte", "short", "integer", "long")
+    nodes = materialize(nodes.withColumn("p", _scrambled(F.col("node").cast("long") if integers else F.monotonically_increasing_id())), "nodes")
+    if integers:
+        e = e.select(_scrambled(F.col("a").cast("long")).alias("a"), _scrambled(F.col("b").cast("long")).alias("b"))
+    else:
+        for c in "ab":
+            e = e.join(nodes.select(F.col("node").alias(c), F.col("p").alias("_p")), c).drop(c).withColumnRenamed("_p", c)
+    e = e.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+    e, maps, scratch = materialize(e.distinct(), "edges"), [], [nodes]
     for _ in range(max_rounds):
-        near = e.join(labels, e["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("next"))
-        jump = labels.select(F.col("node").alias("n"), F.col("label").alias("far"))
-        after = materialize(step.join(jump, step["next"] == jump["n"], "left").select("node", "label", F.least("next", F.coalesce("far", "next")).alias("next")), "label")
-        changed = after.where("next <> label").limit(1).count()
-        labels = after.select("node", F.col("next").alias("label"))
-        if not changed:
-            return labels.withColumnRenamed("label", "component")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        scratch.append(e)
+        if not e.limit(1).count():
+            break
+        least = materialize(e.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")), "least")
+        after = least.select(F.col("v").alias("label"), F.col("label").alias("far"))
+        maps.append(materialize(least.join(after, "label").select("v", F.col("far").alias("label")), "map"))
+        scratch += [least, maps[-1]]
+        for c in "ab":
+            e = e.join(maps[-1].select(F.col("v").alias(c), F.col("label").alias("_l")), c).drop(c).withColumnRenamed("_l", c)
+        e = materialize(e.where("a <> b").distinct(), "edges")
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    root = None
+    for m in reversed(maps):
+        if root is not None:
+            m = materialize(m.join(root.select(F.col("v").alias("label"), F.col("label").alias("far")), "label", "left").select("v", F.coalesce("far", "label").alias("label")), "roots")
+            scratch.append(m)
+        root = m
+    own = nodes if root is None else nodes.join(root.withColumnRenamed("v", "p"), "p", "left")
+    own = materialize(own.select("node", F.col("p").alias("label") if root is None else F.coalesce("label", "p").alias("label")), "labels")
+    out = materialize(own.join(own.groupBy("label").agg(F.min("node").alias("component")), "label").select("node", "component"), "components")
+    drop_scratch(own, *scratch)
+    return out
 
 
 def clusters(hits: DataFrame, prefix: str = "CHG_") -> DataFrame:

@@ -23,19 +23,36 @@ def shared_folder(spark: SparkSession | None = None) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         master = spark.sparkContext.master
-        folder = tempfile.mkdtemp(prefix="kinweave-") if master == "local" or master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir") + "/_kinweave"
+        folder = tempfile.mkdtemp(prefix="kinweave-") if master == "local" or master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_kinweave"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_folder(spark)}/kinweave-{tag}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """The table written to the shared folder, and read again."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/kinweave-{tag}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(*tables: DataFrame) -> None:
+    """Deletes the files of materialized tables that no later plan reads."""
+    done = set()
+    for df in tables:
+        spark = df.sparkSession
+        for name in df.inputFiles():
+            parent = name.rsplit("/", 1)[0]
+            if "/kinweave-" in parent and parent not in done:
+                done.add(parent)
+                path = spark._jvm.org.apache.hadoop.fs.Path(parent)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Timings:
     """Milliseconds of each step, as a table at the end."""
 
