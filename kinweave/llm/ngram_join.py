@@ -4,11 +4,15 @@
    them into band hashes; band and row counts follow from the target recall.
 2. Texts with the same word sequence become one representative (map-side
    combined aggregation), so a large group of copies costs one row.
-3. A shuffle on band hashes finds buckets of two or more representatives.
-   Bucket membership is closed to candidate groups by label propagation.
-4. Each candidate group is cut into blocks; a task verifies one pair of blocks on
-   the full n-gram sets and returns link counts and a spanning forest, never the
-   pairs themselves. A pair of texts meets in exactly one task.
+3. A shuffle on band hashes finds buckets of two or more representatives; of
+   buckets with the same members one is kept.
+4. Buckets that share members make candidate groups. A small group is verified in
+   one task on the full n-gram sets. A large one is cut into blocks, and a task
+   verifies one pair of blocks: of the whole group, or of each bucket, whichever
+   compares fewer pairs. So a chain of texts that are only alike from one to the
+   next costs its buckets, and copies that share all buckets are compared once. In
+   buckets a pair is verified in the first one that it shares only. Tasks return
+   link counts and a spanning forest, never the pairs themselves.
 5. The forests' components are the classes.
 
 Defined results: null and empty texts have no n-grams and stay alone; texts of
@@ -29,8 +33,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .shared import Words, materialize, mix64, row_key, tidy
+from ..operators.graph import components
+from .shared import Words, drop_scratch, materialize, mix64, row_key, tidy
 
 
 @dataclass(frozen=True)
@@ -116,12 +120,27 @@ def signatures(docs: DataFrame, params: JaccardParams, id_col: str = "doc_id", t
     )
 
 
-def _link_block(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, threshold: float):
-    """Links of one block pair. side: 0 left, 1 right; 2 both (the diagonal).
+def _met_before(earlier: list[np.ndarray]) -> np.ndarray:
+    """Whether two rows share one of the buckets that each lists."""
+    buckets, inverse = np.unique(np.concatenate(earlier), return_inverse=True)
+    rows = np.repeat(np.arange(len(earlier)), [len(x) for x in earlier])
+    met = np.zeros((len(earlier), len(earlier)), np.float32)
+    order = np.argsort(inverse, kind="stable")
+    rows, cols = rows[order], inverse[order]
+    for at in range(0, len(buckets), 4096):
+        lo, hi = np.searchsorted(cols, [at, at + 4096])
+        x = np.zeros((len(earlier), min(4096, len(buckets) - at)), np.float32)
+        x[rows[lo:hi], cols[lo:hi] - at] = 1
+        met += x @ x.T
+    return met > 0
+
+
+def _link_block(sets: list[np.ndarray], side: np.ndarray, threshold: float, met: np.ndarray | None = None):
+    """Links of one block pair. side: 0 left, 1 right; 2 both (the diagonal). met: pairs that another task verifies.
 
     Returns (link counts by row, forest edges as row pairs).
     """
-    m = len(ids)
+    m = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     parent = np.arange(m)
     links = np.zeros(m, np.int64)
@@ -142,7 +161,7 @@ def _link_block(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, thres
     if m <= 8:
         for i in range(m):
             for j in range(i + 1, m):
-                if side[i] == side[j] != 2:
+                if side[i] == side[j] != 2 or met is not None and met[i, j]:
                     continue
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True)) if min(sizes[i], sizes[j]) >= threshold * max(sizes[i], sizes[j]) else 0
                 if both and both >= threshold * (sizes[i] + sizes[j] - both) - 1e-9:
@@ -170,6 +189,8 @@ def _link_block(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, thres
     linked = both >= threshold * union - 1e-6
     linked &= (side[:, None] != side[None, :]) | (side[:, None] == 2)
     np.fill_diagonal(linked, False)
+    if met is not None:
+        linked &= ~met
     links = linked.sum(axis=1)
     for i in range(m):
         near = np.flatnonzero(linked[i, i + 1 :]) + i + 1
@@ -180,7 +201,10 @@ def _link_block(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, thres
 
 
 def _verify(frame: DataFrame, params: JaccardParams) -> DataFrame:
-    """Runs over (task, comp, rid, side, text); returns rows (a, b, links): forest edges (a < b) and, with b null, link counts."""
+    """Runs over (task, comp, rid, side, earlier, text); returns rows (a, b, links): forest edges (a < b) and, with b null, link counts.
+
+    earlier: in a bucket, the row's kept buckets before this one; null elsewhere.
+    """
     n, threshold = params.n, params.threshold
 
     def run(table):
@@ -188,12 +212,14 @@ def _verify(frame: DataFrame, params: JaccardParams) -> DataFrame:
 
         grams, offsets, _ = _grams(table.column("text"), n)
         comp, rid, side = (table.column(c).to_numpy() for c in ("comp", "rid", "side"))
+        earlier = table.column("earlier").combine_chunks()
         order = np.lexsort((rid, comp))
         cuts = np.flatnonzero(np.diff(comp[order])) + 1
         a, b, links = [], [], []
         for own in np.split(order, cuts):
             sets = [np.unique(grams[offsets[i] : offsets[i + 1]]) for i in own]
-            count, edges = _link_block(rid[own], sets, side[own], threshold)
+            met = _met_before([earlier[int(i)].values.to_numpy() for i in own]) if earlier[int(own[0])].is_valid else None
+            count, edges = _link_block(sets, side[own], threshold, met)
             for i, c in zip(own, count, strict=True):
                 if c:
                     a.append(int(rid[i])), b.append(None), links.append(int(c))
@@ -205,6 +231,14 @@ def _verify(frame: DataFrame, params: JaccardParams) -> DataFrame:
     return frame.groupBy("task").applyInArrow(run, "a long, b long, links long")
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """rows of groups of nb blocks, each text once for every pair of blocks it is in; a pair of blocks is a task."""
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64("rid", F.lit(7)), F.col("nb")).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    side = F.when(F.col("blk") == F.col("other"), 2).when(F.col("blk") < F.col("other"), 0).otherwise(1)
+    return rows.select(F.xxhash64("comp", F.least("blk", "other"), F.greatest("blk", "other")).alias("task"), "comp", "rid", side.alias("side"), "earlier", "text")
+
+
 def ngram_jaccard_join(docs: DataFrame, params: JaccardParams = JaccardParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, class_id, copy_of, n_links.
 
@@ -212,32 +246,36 @@ def ngram_jaccard_join(docs: DataFrame, params: JaccardParams = JaccardParams(),
     texts have a similarity of ``threshold`` or more. class_id: the least id that
     links or copies lead to.
     """
-    bands, _ = params.bands()
     sigs = materialize(signatures(docs, params, id_col, text_col), "sig")
     keyed = sigs.where("doc_id is not null and key_hi is not null")
     reps = materialize(keyed.groupBy("key_hi", "key_lo").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("key_hi", "key_lo", F.col("r.doc_id").alias("rid"), F.col("r.bands").alias("bands")), "reps")
     rows = reps.select("rid", F.explode("bands").alias("bh"))
-    shared = rows.groupBy("bh").agg(F.count("*").alias("n")).where("n > 1").select("bh")
-    buckets = materialize(rows.join(shared, "bh"), "buckets")
-    comps = components(buckets, "bh", "rid").select("rid", F.col("label").alias("comp"))
+    # a bucket's members: their number and two sums of hashes; of equal buckets the least is kept
+    kept = rows.groupBy("bh").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y"), F.min("rid").alias("hub")).where("n > 1")
+    kept = kept.groupBy("n", "x", "y").agg(F.min("bh").alias("bh"), F.min("hub").alias("hub")).select("bh", "n", "hub")
+    buckets = materialize(rows.join(kept, "bh"), "buckets")
+    comps = components(buckets, "rid", "hub").select(F.col("node").alias("rid"), F.col("component").alias("comp"))
     text = docs.select(F.col(id_col).cast("long").alias("rid"), F.col(text_col).alias("text"))
     text = comps.join(text, "rid").groupBy("rid", "comp").agg(F.min("text").alias("text"))  # repeated rows count once
-    words = F.length("text") / 6 + 1
+    grams = F.length("text") / 6 + 1
     members = materialize(text, "members")
-    sizes = members.groupBy("comp").agg(F.count("*").alias("m"), F.sum(words).alias("grams"))
-    sizes = sizes.select("comp", F.greatest(F.ceil(F.col("m") / params.block_texts), F.ceil(F.col("grams") / params.block_grams)).cast("int").alias("nb"))
+    blocks = lambda m: F.greatest(F.ceil(m / params.block_texts), F.ceil(F.col("grams") / params.block_grams)).cast("int")
+    sizes = members.groupBy("comp").agg(F.count("*").alias("m"), F.sum(grams).alias("grams")).select("comp", "m", blocks(F.col("m")).alias("nb"))
+    within = buckets.join(comps, "rid").groupBy("comp").agg(F.sum("n").alias("compared"))  # the sum of squares: each member has its bucket's size
+    sizes = materialize(sizes.join(within, "comp").select("comp", "nb", ((F.col("nb") > 1) & (F.col("compared") < F.col("m").cast("double") * F.col("m"))).alias("by_bucket")), "sizes")
     bins = max(16, members.count() // 256)
-    cut = members.join(sizes, "comp").withColumn("blk", F.when(F.col("nb") > 1, F.pmod(F.xxhash64("rid", F.lit(7)), F.col("nb")).cast("int")).otherwise(0))
-    small = cut.where("nb = 1").select(F.pmod(F.xxhash64("comp"), F.lit(bins)).alias("task"), "comp", "rid", F.lit(2).alias("side"), "text")
-    large = cut.where("nb > 1").select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    large = large.select(
-        F.xxhash64("comp", F.least("blk", "other"), F.greatest("blk", "other")).alias("task"), "comp", "rid",
-        F.when(F.col("blk") == F.col("other"), 2).when(F.col("blk") < F.col("other"), 0).otherwise(1).alias("side"), "text",
-    )
-    found = materialize(_verify(small.unionByName(large), params), "links")
-    edges = found.where("b is not null")
-    members2 = edges.select(F.xxhash64("a", "b").alias("e"), F.explode(F.array("a", "b")).alias("rid"))
-    classes = components(materialize(members2, "edges"), "e", "rid").withColumnRenamed("label", "class_id")
+    cut = members.join(sizes, "comp")
+    none = F.lit(None).cast("array<bigint>")
+    small = cut.where("nb = 1").select(F.pmod(F.xxhash64("comp"), F.lit(bins)).alias("task"), "comp", "rid", F.lit(2).alias("side"), none.alias("earlier"), "text")
+    whole = _blocks(cut.where("nb > 1 and not by_bucket").select("comp", "rid", "nb", none.alias("earlier"), "text"))
+    in_buckets = buckets.select("rid", "bh").join(cut.where("by_bucket").select("rid", "text"), "rid")
+    each = in_buckets.groupBy("rid").agg(F.collect_list("bh").alias("every"))  # as many as there are bands at most
+    in_buckets = in_buckets.join(each, "rid").select(F.col("bh").alias("comp"), "rid", F.filter("every", lambda x: x < F.col("bh")).alias("earlier"), "text")
+    counts = in_buckets.groupBy("comp").agg(F.count("*").alias("m"), F.sum(grams).alias("grams")).select("comp", blocks(F.col("m")).alias("nb"))
+    single = _blocks(in_buckets.join(counts, "comp"))
+    found = materialize(_verify(small.unionByName(whole).unionByName(single), params), "links")
+    drop_scratch(buckets, comps, members, sizes)
+    classes = components(found.where("b is not null"), "a", "b").select(F.col("node").alias("rid"), F.col("component").alias("class_id"))
     links = found.where("b is null").groupBy(F.col("a").alias("rid")).agg(F.sum("links").alias("n_links"))
     done = reps.select("key_hi", "key_lo", "rid").join(classes, "rid", "left").join(links, "rid", "left")
     # texts without a key match nothing; their ids spread them over all tasks

@@ -1,71 +1,39 @@
 """Helpers that several operators of this subpackage use.
 
-``materialize`` cuts lineage through a written table in the folder that the
-cluster names in ``spark.checkpoint.dir``; a lost executor then only costs the
-tasks it ran. ``Words`` turns a batch of texts into hashed lower-case words with
+Lineage is cut by ``materialize`` of the library, through a written table in the
+folder that the cluster names in ``spark.checkpoint.dir``; a lost executor then only
+costs the tasks it ran. ``Words`` turns a batch of texts into hashed lower-case words with
 numpy alone, so no Python object is made per word.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import drop_scratch, materialize, scratch_path
+
+__all__ = ["Words", "drop_scratch", "id_ranges", "materialize", "mix64", "range_bounds", "range_of", "row_key", "scratch_path", "small_batches", "table", "tidy"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share; a local one only where Spark itself is local."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            folder = tempfile.mkdtemp(prefix="kinweave-")
-        else:
-            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_kinweave"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/kinweave-{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(df: DataFrame) -> None:
-    """Delete the files of a materialized table that no later plan reads."""
-    spark = df.sparkSession
-    jvm, done = spark._jvm, set()
-    for name in df.inputFiles():
-        parent = name.rsplit("/", 1)[0]
-        if "/kinweave-" in parent and parent not in done:
-            done.add(parent)
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def row_key():
     """doc_id; of rows without one a hash of their text, above usual ids, so that a row with an id goes first."""
     own = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
     return F.coalesce(F.col("doc_id").cast("long"), own)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of texts hold at most so many rows: they stand in memory on both sides of the pipe."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Arrow batches of texts hold at most so many rows and about so many bytes: they stand in memory on both sides of the pipe."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        own = spark.conf.get(key).rstrip("b")
+        if not own.isdigit() or not 0 < int(own) <= most:
+            spark.conf.set(key, str(most))
 
 
 def tidy(run):

@@ -279,15 +279,40 @@ def near_copies(n=260, seed=4):
     return out + [(2000 + k, " ".join(word() for _ in range(80))) for k in range(60)] + [(3000 + k, out[0][1].upper()) for k in range(30)]
 
 
-@pytest.mark.parametrize("params", [ngram_join.JaccardParams(), ngram_join.JaccardParams(block_texts=40)])
+@pytest.mark.parametrize("params", [ngram_join.JaccardParams(), ngram_join.JaccardParams(block_texts=40), ngram_join.JaccardParams(block_texts=3)])
 def test_near_duplicates_match_brute_force(spark, params):
-    texts = near_copies() + [(5000 + i, t) for i, t in dict(EDGE).items() if False] + [(9000, None), (9001, ""), (9002, "!!"), (9003, "!!"), (9004, "one two"), (9005, "One Two"), (9006, "one")]
+    texts = near_copies() + [(9000, None), (9001, ""), (9002, "!!"), (9003, "!!"), (9004, "one two"), (9005, "One Two"), (9006, "one")]
     out = ngram_join.ngram_jaccard_join(frame(spark, texts), params).collect()
     want = plain_classes(texts)
     assert len(out) == len(texts)
     assert {r["doc_id"]: (r["class_id"], r["copy_of"], r["n_links"]) for r in out} == want
 
 
+def test_a_chain_of_texts_costs_its_buckets(spark, monkeypatch):
+    """5,000 texts in one component, alike from one to the next only: far fewer than all pairs are verified, no link is lost."""
+    rng = random.Random(21)
+    stream = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(5 * 5000 + 120)]
+    texts = [(i, " ".join(stream[5 * i : 5 * i + 120])) for i in range(5000)]  # 5 words on: 111 of 121 five-grams; 10 on: 106 of 126
+    params = ngram_join.JaccardParams(n=5, threshold=0.9, recall=0.9999, block_texts=64)
+    sent = []
+    monkeypatch.setattr(ngram_join, "_verify", lambda frame, p, own=ngram_join._verify: (sent.append(frame.groupBy("task").count().agg({"count": "sum"}).first()[0]), own(frame, p))[1])
+    out = ngram_join.ngram_jaccard_join(frame(spark, texts, extra=False), params).collect()
+    assert {r["class_id"] for r in out} == {0} and sum(r["n_links"] for r in out) == 2 * 4999
+    assert sent[0] < 5000 * 64  # of 5000 * 79 for all pairs of blocks
+
+
+def test_pairs_in_several_buckets_count_once(monkeypatch):
+    sets = [np.arange(k, k + 50) for k in range(12)]
+    earlier = [np.array([1, 2]), np.array([2]), *[np.zeros(0, np.int64)] * 10]
+    met = ngram_join._met_before(earlier)
+    assert met[0, 1] and not met[0, 2] and not met[1, 2]
+    all_links, edges = ngram_join._link_block(sets, np.full(12, 2), 0.8)
+    fewer, _ = ngram_join._link_block(sets, np.full(12, 2), 0.8, met)
+    assert (all_links - fewer).tolist() == [1, 1] + [0] * 10 and len(edges) == 11
+    few, _ = ngram_join._link_block(sets[:4], np.full(4, 2), 0.8, met[:4, :4])
+    assert few.tolist() == [2, 2, 3, 3]
+
+
 def test_near_duplicates_of_driver_rows_and_edges(spark):
     texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     out = q.op4_ngram_jaccard_join(spark, DATA).collect()
