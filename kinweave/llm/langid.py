@@ -208,40 +208,45 @@ def train(labelled: DataFrame, params: LangParams = LangParams(), id_col: str =
     return LangModel(langs, (w * idf[:, None]).astype(np.float32), bias, float(temperature), params.scale)
 
 
-def predict(docs: DataFrame, model: LangModel | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, lang_pred and score, the text's columns aside."""
-    fields = docs.select(*keep).schema
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
+def _judge(column, model: LangModel | None) -> tuple[list[str], list[float]]:
+    """(language, score) of each text."""
+    preds, scores = [], []
+    for _, part in _pieces(column, 256):
+        codes, offsets, letters = _codes(part)
+        if model is None or not len(codes):
+            preds += [UNKNOWN] * len(part)
+            scores += [0.0] * len(part)
+            continue
+        total, sums = np.zeros(len(part)), np.zeros((len(part), len(model.langs)))
+        full = np.flatnonzero(np.diff(offsets) > 0)
+        for n in ORDERS:
+            rows = model.table[_grams(codes, n)]
+            out = _crossing(offsets, n, len(codes))
+            rows[out] = 0
+            sums[full] += np.add.reduceat(rows, offsets[full], axis=0, dtype=np.float64)
+            total += np.maximum(0, np.diff(offsets) - (n - 1))
+        s = (sums / np.maximum(total, 1)[:, None] * model.scale + model.bias) / model.temperature
+        e = np.exp(s - s.max(axis=1, keepdims=True))
+        e /= e.sum(axis=1, keepdims=True)
+        best = e.argmax(axis=1)
+        some = letters > 0
+        preds += [model.langs[b] if x else UNKNOWN for b, x in zip(best, some, strict=True)]
+        scores += np.where(some, e[np.arange(len(best)), best], 0.0).tolist()
+    return preds, scores
+
+
+def predict(docs: DataFrame, model: LangModel | None, id_col: str = "doc_id") -> DataFrame:
+    """The id, lang_pred and score."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            preds, scores = [], []
-            for _, part in _pieces(batch.column(batch.num_columns - 1), 256):
-                codes, offsets, letters = _codes(part)
-                if model is None or not len(codes):
-                    preds += [UNKNOWN] * len(part)
-                    scores += [0.0] * len(part)
-                    continue
-                total, sums = np.zeros(len(part)), np.zeros((len(part), len(model.langs)))
-                full = np.flatnonzero(np.diff(offsets) > 0)
-                for n in ORDERS:
-                    rows = model.table[_grams(codes, n)]
-                    out = _crossing(offsets, n, len(codes))
-                    rows[out] = 0
-                    sums[full] += np.add.reduceat(rows, offsets[full], axis=0, dtype=np.float64)
-                    total += np.maximum(0, np.diff(offsets) - (n - 1))
-                s = (sums / np.maximum(total, 1)[:, None] * model.scale + model.bias) / model.temperature
-                e = np.exp(s - s.max(axis=1, keepdims=True))
-                e /= e.sum(axis=1, keepdims=True)
-                best = e.argmax(axis=1)
-                some = letters > 0
-                preds += [model.langs[b] if x else UNKNOWN for b, x in zip(best, some, strict=True)]
-                scores += np.where(some, e[np.arange(len(best)), best], 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
-
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(tidy(run), schema)
+            preds, scores = _judge(batch.column(1), model)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
+
+    return docs.select(id_col, "text").mapInArrow(tidy(run), f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -257,4 +262,13 @@ def identify(docs: DataFrame, params: LangParams = LangParams()) -> DataFrame:
 def accepted(docs: DataFrame, least: float = 0.5, params: LangParams = LangParams()) -> DataFrame:
     """The documents whose language the model tells with a score of ``least`` or more; columns as before."""
     model = train(docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), params)
-    return predict(docs, model, tuple(docs.columns)).where(F.col("lang_pred") != UNKNOWN).where(F.col("score") >= least).select(*docs.columns)
+    text = docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            preds, scores = _judge(batch.column(text), model)
+            yield batch.filter(pa.array([p != UNKNOWN and s >= least for p, s in zip(preds, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -1,18 +1,20 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-A document's exponential key is -ln(u) / weight, with u from a hash of its id and
-text, so that reruns agree. Within a source, documents stand by ascending key;
+A document's exponential key is -ln(u) / weight, with u from the MD5 sum of its
+id and text, so that reruns, and other engines, agree. Within a source, documents stand by ascending key;
 complete epochs come first, and the rest of the target is a prefix of that order.
 
 The prefix ends at one key for each source. It is found without sorting a source
-in one task: keys fall into bins of equal probability, bins are summed before the
-shuffle, running sums over bins show the bin where the target falls, and only that
-bin is sorted. Documents are then compared with their source's cut: the text is
-never shuffled.
+in one task: keys fall into bins, bins are summed before the shuffle, and running
+sums over bins show the bin where the target falls. That bin is parted again into
+bins between its own least and greatest key, as often as it takes to hold few rows
+for any weights; only then it is sorted. Documents are then compared with their
+source's cut: the text is never shuffled.
 
 Defined results: a null text has size 0; a null source is a source of its own, the
 last; documents of size 0 take nothing; rows that repeat an id and text share a
-key and are taken together; an empty table gives an empty result.
+key and are taken together; rows without an id are told apart by their texts; other
+columns stay as they are, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from .shared import materialize
 
 #: Up to so many sources, their table (some 100 bytes a row) is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 50_000
+#: A bin of so many rows or fewer is sorted in one task.
+SORTED_ROWS = 20_000
 #: Source weights in order of name, repeating.
 WEIGHTS = (1, 2, 3)
 MOST_EPOCHS = 3
@@ -43,8 +47,8 @@ def quality_weight(text: Column) -> Column:
 def keyed(docs: DataFrame, seed: int = 10, weight: Column | None = None) -> DataFrame:
     """docs and _size, _hash, _key."""
     text = F.col("text")
-    bits = F.shiftrightunsigned(F.xxhash64("doc_id", "_hash", F.lit(seed)), 11)
-    u = (bits.cast("double") + 0.5) / float(1 << 53)
+    label = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}:"), F.coalesce(text, F.lit("")))
+    u = (F.conv(F.substring(F.md5(label), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     docs = docs.withColumns({"_size": word_count(text), "_hash": F.xxhash64(text), "_weight": quality_weight(text) if weight is None else weight})
     return docs.withColumn("_key", -F.log(u) / F.col("_weight")).drop("_weight")
 
@@ -89,16 +93,29 @@ def mixing_plan(rows: DataFrame) -> DataFrame:
     plan = materialize(plan, "mix")
     n, largest = plan.agg(F.count("*"), F.max("docs")).first()
     bins = 256
-    while bins * 20_000 < (largest or 0):
+    while bins * SORTED_ROWS < (largest or 0) and bins < 1 << 16:
         bins *= 2
     rows = rows.withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("_key"))) * bins), F.lit(bins - 1)).cast("int"))
-    sums = rows.groupBy("source", "bin").agg(F.sum("_size").alias("bin_size"))
+    need = plan.where("rest > 0").select("source", "rest", F.lit(0).cast("long").alias("base"))
     running = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.withColumn("upto", F.sum("bin_size").over(running))
-    rest = plan.where("rest > 0").select("source", "rest")
-    cross = _by_source(sums, rest, n).where("upto >= rest and upto - bin_size < rest")
-    cross = cross.select("source", F.col("bin").alias("_bin"), "rest", (F.col("upto") - F.col("bin_size")).alias("base"))
-    inside = _by_source(rows, cross, n, F.col("bin") == F.col("_bin"))
+    while True:
+        sums = rows.groupBy("source", "bin").agg(F.sum("_size").alias("bin_size"), F.count("*").alias("bin_rows"))
+        cross = _by_source(sums.withColumn("upto", F.sum("bin_size").over(running)), need, n).withColumn("upto", F.col("upto") + F.col("base"))
+        cross = cross.where("upto >= rest and upto - bin_size < rest").select("source", F.col("bin").alias("_bin"), "rest", (F.col("upto") - F.col("bin_size")).alias("base"), "bin_rows")
+        cross = materialize(cross, "cross")
+        most = cross.agg(F.max("bin_rows")).first()[0] or 0
+        inside = _by_source(rows, cross, n, F.col("bin") == F.col("_bin")).select("source", "_key", "doc_id", "_hash", "_size", "rest", "base")
+        if most <= SORTED_ROWS:
+            break
+        inside = materialize(inside, "inside")
+        spans = materialize(inside.groupBy("source").agg(F.min("_key").alias("low"), F.max("_key").alias("high")), "spans")
+        if not spans.where("high > low").limit(1).count():
+            break  # nothing but ties
+        rows = _by_source(inside.drop("rest", "base"), spans, n)
+        rows = rows.withColumn("bin", F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("_key") - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1))).otherwise(0).cast("int")).drop("low", "high")
+        need = cross.select("source", "rest", "base")
+    # rows that repeat an id and text are one
+    inside = inside.groupBy("source", "_key", "doc_id", "_hash", "rest", "base").agg(F.sum("_size").alias("_size"))
     order = Window.partitionBy("source").orderBy("_key", "doc_id", "_hash")
     inside = inside.withColumn("upto", F.col("base") + F.sum("_size").over(order))  # a range frame: equal rows come together
     taken = (F.col("upto") <= F.col("rest")) | ((F.col("upto") - F.col("_size") < F.col("rest")) & (F.col("upto") - F.col("rest") <= F.col("rest") - (F.col("upto") - F.col("_size"))))
@@ -124,7 +141,7 @@ def mix(docs: DataFrame, seed: int = 10) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, seed: int = 10) -> DataFrame:
     """The documents that the mix takes, each as often as it takes them; columns as before."""
-    rows = keyed(docs, seed)
+    rows = keyed(docs.select(F.struct("*").alias("_row"), "doc_id", "source", "text"), seed).drop("text")
     plan = materialize(mixing_plan(materialize(rows.select("doc_id", "source", "_size", "_hash", "_key"), "keys")), "plan")
-    d = decide(rows, plan).where("_times > 0")
-    return d.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("col")
+    taken = decide(rows, plan).where("_times > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")

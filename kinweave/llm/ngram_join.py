@@ -293,9 +293,9 @@ def keep_one(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFr
 
     Rows without an id count as one for each text, and come after all ids.
     """
-    keyed = docs.withColumn("_row_key", row_key())
+    keyed = docs.select(F.struct("*").alias("_row"), row_key().alias("_row_key"), "text")
     classes = ngram_jaccard_join(keyed, params, id_col="_row_key")
     gone = materialize(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_row_key")).distinct(), "gone")
-    kept = keyed.join(gone, "_row_key", "left_anti")
+    kept = keyed.select("_row", "_row_key").join(gone, "_row_key", "left_anti")
     twice = keyed.groupBy("_row_key").count().where("count > 1").limit(1).count()
-    return (kept.dropDuplicates(["_row_key"]) if twice else kept).select(*docs.columns)
+    return (kept.dropDuplicates(["_row_key"]) if twice else kept).select("_row.*")

@@ -54,6 +54,25 @@ def _small_parts(text: Column) -> Column:
     return text.rlike(rf"^{part}(?:\.{part}){{3}}$")
 
 
+#: Lengths of account numbers by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "BA": 20, "BE": 16, "BG": 22, "BR": 29, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20,
+    "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GI": 23, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24,
+    "SM": 27, "TN": 24, "TR": 26,
+}
+
+
+def account_number(text: Column) -> Column:
+    """The account number at the start of some groups: of the country's length, if that is listed; of several ends that pass modulo 97 the last."""
+    groups = F.split(text, " ")
+    heads = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(groups, F.lit(1), k), " "))
+    size = lambda h: F.length(F.replace(h, F.lit(" "), F.lit("")))
+    known = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+    fits = lambda h: F.coalesce(size(h) == F.try_element_at(known, F.substring(h, 1, 2)), size(h).between(15, 34)) & mod97(h)
+    return F.get(F.filter(heads, fits), F.lit(0))
+
+
 @dataclass(frozen=True)
 class Detector:
     """score: of a bare match; proof: added if the checksum holds; near: added if a context word stands before it."""
@@ -62,6 +81,8 @@ class Detector:
     pattern: str
     hint: Callable[[Column], Column]
     valid: Callable[[Column], Column] | None = None
+    #: the part of a match, from its start on, that is meant; null if there is none
+    part: Callable[[Column], Column] | None = None
     score: float = 0.6
     proof: float = 0.3
     words: tuple[str, ...] = ()
@@ -72,16 +93,16 @@ class Detector:
 
 #: The four base kinds, in the order that breaks ties.
 BASE = (
-    Detector("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda t: t.contains("@"), None, 0.8, 0.0, ("mail", "contact", "write"), base=True, order=0),
-    Detector("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)", lambda t: t.rlike(r"[0-9]\.[0-9]"), _small_parts, 0.5, 0.2, ("ip", "host", "server", "address"), base=True, order=1),
-    Detector("card", r"[0-9](?:[\x20-]?[0-9])++", lambda t: t.rlike(r"[0-9][\x20-]?[0-9]"), lambda m: F.length(_digits(m)).between(14, 19) & luhn(m), 0.2, 0.6, ("card", "visa", "credit", "payment"), base=True, order=2),
-    Detector("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: t.contains("+"), lambda m: F.length(_digits(m)).between(10, 15), 0.5, 0.3, ("phone", "call", "tel", "mobile", "fax"), base=True, order=3),
+    Detector("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda t: t.contains("@"), None, None, 0.8, 0.0, ("mail", "contact", "write"), base=True, order=0),
+    Detector("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)", lambda t: t.rlike(r"[0-9]\.[0-9]"), _small_parts, None, 0.5, 0.2, ("ip", "host", "server", "address"), base=True, order=1),
+    Detector("card", r"[0-9](?:[\x20-]?[0-9])++", lambda t: t.rlike(r"[0-9][\x20-]?[0-9]"), lambda m: F.length(_digits(m)).between(14, 19) & luhn(m), None, 0.2, 0.6, ("card", "visa", "credit", "payment"), base=True, order=2),
+    Detector("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: t.contains("+"), lambda m: F.length(_digits(m)).between(10, 15), None, 0.5, 0.3, ("phone", "call", "tel", "mobile", "fax"), base=True, order=3),
 )
 #: What the method adds: account numbers by checksum, and formats that only context words can confirm.
 ADDED = (
-    Detector("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}"), mod97, 0.3, 0.5, ("iban", "account", "bank"), order=4),
-    Detector("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda t: t.rlike(r"[0-9]-[0-9]{2}-[0-9]"), None, 0.3, 0.0, ("ssn", "social", "security"), 0.4, order=5),
-    Detector("local_phone", r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-]*[0-9])", lambda t: t.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"), None, 0.3, 0.0, ("phone", "call", "tel", "mobile", "fax"), 0.4, order=6),
+    Detector("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}"), lambda m: m.isNotNull(), account_number, 0.3, 0.5, ("iban", "account", "bank"), order=4),
+    Detector("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda t: t.rlike(r"[0-9]-[0-9]{2}-[0-9]"), None, None, 0.3, 0.0, ("ssn", "social", "security"), 0.4, order=5),
+    Detector("local_phone", r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-]*[0-9])", lambda t: t.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"), None, None, 0.3, 0.0, ("phone", "call", "tel", "mobile", "fax"), 0.4, order=6),
 )
 
 
@@ -97,6 +118,9 @@ def find_pii(docs: DataFrame, detectors: tuple[Detector, ...] = BASE + ADDED, te
     def scored(x: Detector) -> Column:
         words = "(?i)(?:" + "|".join(x.words) + ")"
         spans = placed(F.col(f"_m_{x.kind}"), F.col(f"_p_{x.kind}"))
+        if x.part:
+            spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), x.part(s["text"]).alias("text"), s["before"].alias("before")))
+            spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["text"])).alias("end"), s["text"].alias("text"), s["before"].alias("before")))
         if x.valid:
             spans = F.filter(spans, lambda s: x.valid(s["text"]))
         proof = x.score + (x.proof if x.valid else 0.0)
@@ -121,6 +145,11 @@ def find_pii(docs: DataFrame, detectors: tuple[Detector, ...] = BASE + ADDED, te
     return d.select(*keep, F.sort_array(every).alias("pii"))
 
 
+def scores(spans: Column) -> Column:
+    """The score of each span in hundredths, comma-joined in the same order."""
+    return F.array_join(F.transform(spans, lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",")
+
+
 def digest(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
