@@ -24,6 +24,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *[count(d.kind) for d in pii.BASE], F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("pii")).alias("spans"),
         F.size(F.filter("pii", lambda s: ~s["base"])).cast("long").alias("n_added"), pii.scores(F.col("pii")).alias("scores"),
+        F.size("pii").cast("long").alias("n_spans"),
     )
 
 

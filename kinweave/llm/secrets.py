@@ -3,7 +3,8 @@
 The forest reads a candidate's length, changes of character class, shares of
 digits and distinct characters, the part that dictionary words cover, whether it
 looks like a path, and the words before it. It is trained on labelled findings on
-the driver and written as one Spark expression, so the scan itself has no shuffle
+the driver (``findings_of`` takes them from a table; by default they are made by
+rule) and written as one Spark expression, so the scan itself has no shuffle
 and no Python.
 
 A candidate is a run of 16 or more characters of keys; behind ``name=`` it is the
@@ -17,6 +18,7 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import string
@@ -33,13 +35,34 @@ from .trees import Tree, forest
 TELLING = ("token", "secret", "key", "password", "passwd", "pwd", "api", "bearer", "auth", "credential", "private")
 HARMLESS = ("commit", "sha", "md5", "checksum", "digest", "hash", "uuid", "guid", "revision", "version", "etag", "integrity", "http", "href", "src", "file", "path", "id")
 #: A run of characters of keys from its start, or from behind its last ``name=``.
-_RUN = r"(?:(?<![A-Za-z0-9_+/=.-])|(?<=[A-Za-z0-9_+/.-]=))(?![A-Za-z0-9_+/.-]*+=[A-Za-z0-9_+/.-])[A-Za-z0-9_+/=.-]{16,}+"
+_RUN = (
+    r"(?:(?<![A-Za-z0-9_+/=.-])|(?<=[A-Za-z0-9_+/.-]=))(?![A-Za-z0-9_+/.-]*+=[A-Za-z0-9_+/.-])(?=[A-Za-z0-9_+/=.-]{16})"
+    r"\.*+[A-Za-z0-9_+/=-]++(?:\.++[A-Za-z0-9_+/=-]++)*+"  # a last full stop is none of it
+)
 #: Right behind a telling word and a sign: a value of 8 or more characters, other signs included, up to a space, a quote or the next ``&name=``.
 _VALUE = r"[^\s\"'`<>&]*[^\s\"'`<>&,;.:?)\]}]"
 _TOLD = r"(?<=[\s\"'=:>])(?<=(?i:" + "|".join(TELLING) + r")[^A-Za-z]{1,6})(?=[^\s\"'`<>=:][^\s\"'`<>&]{7}|[^\s\"'`<>=:&]+&(?!\w+=)[^\s\"'`<>]{6})" + _VALUE + r"(?:&(?!\w+=)" + _VALUE + r"){0,64}"
 CANDIDATE = "(?:" + _TOLD + "|" + _RUN + ")"
-#: Words and word parts that cover ordinary long strings.
-DICTIONARY = ("example", "config", "service", "manager", "index", "image", "public", "static", "content", "default", "module", "system", "user", "data", "file", "test", "name", "html", "page", "the", "and", "ing", "tion", "ment", "ness", "ly", "er", "es", "en", "th", "re", "on", "an", "in", "at", "or", "st", "ou", "ha", "he", "ch", "qu", "le", "de")
+#: Words that ordinary long strings are put together from.
+DICTIONARY = (
+    "about", "access", "account", "action", "address", "admin", "agent", "alpha", "android", "archive", "article", "asset", "author", "backup", "banner",
+    "base", "beta", "binary", "block", "board", "body", "book", "border", "branch", "browser", "build", "button", "cache", "category", "center",
+    "change", "channel", "check", "class", "client", "cloud", "cluster", "code", "color", "column", "comment", "common", "component", "config", "connect",
+    "content", "control", "cookie", "copy", "core", "country", "create", "custom", "dashboard", "data", "database", "date", "debug", "default", "delete",
+    "demo", "design", "detail", "device", "digital", "direct", "document", "domain", "download", "draft", "edit", "editor", "email", "engine", "error",
+    "event", "example", "export", "feature", "feed", "field", "file", "filter", "folder", "font", "footer", "form", "format", "forum", "frame",
+    "function", "gallery", "general", "global", "graph", "group", "guide", "header", "health", "help", "history", "home", "host", "house", "html",
+    "image", "import", "index", "info", "input", "install", "item", "journal", "label", "language", "layout", "library", "license", "light", "link",
+    "list", "local", "logger", "login", "manager", "market", "master", "media", "member", "menu", "message", "method", "mobile", "model", "module",
+    "monitor", "music", "name", "network", "news", "node", "number", "object", "office", "online", "open", "option", "order", "output", "package",
+    "page", "panel", "parent", "parser", "path", "photo", "plugin", "point", "post", "process", "product", "profile", "project", "property", "public",
+    "query", "queue", "read", "record", "report", "request", "resource", "response", "result", "review", "river", "route", "sample", "schema", "script",
+    "search", "section", "server", "service", "session", "setting", "share", "site", "source", "static", "status", "storage", "store", "stream", "style",
+    "subject", "summary", "support", "system", "table", "target", "task", "template", "test", "text", "theme", "thread", "time", "title", "tool",
+    "topic", "train", "type", "update", "upload", "user", "value", "version", "video", "view", "water", "widget", "window", "work", "world", "write",
+)
+#: Syllables of made-up words in the training rows.
+SYLLABLES = ("ba", "ko", "lu", "mi", "nu", "pa", "sku", "vo", "za", "bra", "klo", "dru", "fli", "glo", "plu")
 FEATURES = ("length", "changes", "digits", "uppers", "distinct", "covered", "path", "hex", "telling", "harmless", "signs")
 
 
@@ -49,19 +72,21 @@ def _features(text: Column, before: Column) -> Column:
     without = lambda c, p: F.length(F.regexp_replace(c, p, ""))
     near = lambda words: F.lower(before).rlike("(?:" + "|".join(words) + r")[^a-z]{0,6}$").cast("double")
     changes = n - without(text, "(?<=[a-z])(?=[^a-z])[^a-z]|(?<=[A-Z])(?=[^A-Z])[^A-Z]|(?<=[0-9])(?=[^0-9])[^0-9]")
-    return F.struct(
-        n.cast("double").alias("length"),
-        (changes / n).alias("changes"),
-        (1 - without(text, "[0-9]") / n).alias("digits"),
-        (1 - without(text, "[A-Z]") / n).alias("uppers"),
-        (F.size(F.array_distinct(F.split(text, ""))) / F.least(n, F.lit(64))).alias("distinct"),
-        (1 - without(F.lower(text), "(?:" + "|".join(DICTIONARY) + ")") / n).alias("covered"),
-        ((n - without(text, "[/.]")) / n).alias("path"),
-        text.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("double").alias("hex"),
-        near(TELLING).alias("telling"),
-        near(HARMLESS).alias("harmless"),
-        (F.length(F.regexp_replace(text, "[A-Za-z0-9_+/=.-]", "")) / n).alias("signs"),
+    own = (
+        n.cast("double"),
+        (changes / n),
+        (1 - without(text, "[0-9]") / n),
+        (1 - without(text, "[A-Z]") / n),
+        (F.size(F.array_distinct(F.split(text, ""))) / F.least(n, F.lit(64))),
+        (1 - without(F.lower(text), "(?:" + "|".join(DICTIONARY) + ")") / n),
+        ((n - without(text, "[/.]")) / n),
+        text.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("double"),
+        near(TELLING),
+        near(HARMLESS),
+        (F.length(F.regexp_replace(text, "[A-Za-z0-9_+/=.-]", "")) / n),
     )
+    # on a grid that no share of a length meets half-way, so that rounding cannot part this from training
+    return F.struct(*[(F.floor(f * 1e6 + 0.3) / 1e6).alias(name) for name, f in zip(FEATURES, own, strict=True)])
 
 
 def _row(text: str, before: str) -> list[float]:
@@ -69,21 +94,23 @@ def _row(text: str, before: str) -> list[float]:
     n = len(text)
     near = lambda words: float(bool(re.search("(?:" + "|".join(words) + r")[^a-z]{0,6}\Z", before.lower())))
     changes = len(re.findall("(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]", text))
-    return [
+    own = [
         float(n), changes / n, len(re.findall("[0-9]", text)) / n, len(re.findall("[A-Z]", text)) / n, len(set(text)) / min(n, 64),
         1 - len(re.sub("(?:" + "|".join(DICTIONARY) + ")", "", text.lower())) / n, len(re.findall("[/.]", text)) / n,
         float(bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", text))), near(TELLING), near(HARMLESS), len(re.sub("[A-Za-z0-9_+/=.-]", "", text)) / n,
     ]
+    return [math.floor(f * 1e6 + 0.3) / 1e6 for f in own]
 
 
-def labelled_findings(n: int = 1500, seed: int = 6) -> list[tuple[str, str, int]]:
+def labelled_findings(n: int = 3000, seed: int = 6) -> list[tuple[str, str, int]]:
     """(candidate, words before it, label) made by rule: keys of usual forms, and what is mistaken for them."""
     r = random.Random(seed)
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     b64, hexa, alnum = string.ascii_letters + string.digits + "+/", "0123456789abcdef", string.ascii_letters + string.digits
     told = lambda: r.choice(TELLING) + r.choice([' = "', ": ", "=", " ", "' '", " := "])
     told_not = lambda: r.choice(HARMLESS) + r.choice([" ", ": ", "=", ' = "'])
-    word = lambda: "".join(r.choice(DICTIONARY) for _ in range(r.randint(1, 5)))
+    made = lambda: "".join(r.choice(SYLLABLES) for _ in range(r.randint(2, 4)))
+    word = lambda: "".join(r.choice(DICTIONARY) for _ in range(r.randint(1, 2))) if r.random() < 0.5 else made()
     plain = lambda: f"{word()} {word()} "
     mixed = lambda k: "".join(r.sample(pick(string.ascii_letters, k - 3) + pick(string.digits, 2) + pick("!@#$%^*~?", 1), k))
     signed = lambda: r.choice([mixed(r.randint(8, 24)), pick(alnum + "!@#$%^*~?&", r.randint(8, 24)) + pick("!@#$%^*~", 1) + pick(string.digits, 1)])
@@ -113,6 +140,14 @@ def default_forest() -> tuple[Tree, ...]:
     return train(rows)
 
 
+def findings_of(rows: DataFrame, most: int = 20_000) -> list[tuple[str, str, int]]:
+    """Labelled findings of a table (candidate, before, label): all of them, or of more a hashed sample of about ``most``."""
+    rows = rows.where("candidate is not null and label in (0, 1)")
+    n = rows.count()
+    dice = F.pmod(F.xxhash64("candidate", "before"), F.lit(1_000_000)) / 1_000_000
+    return [(r["candidate"], r["before"] or "", r["label"]) for r in rows.where(dice < most / max(1, n)).select("candidate", "before", "label").collect()]
+
+
 def train(findings: list[tuple[str, str, int]], trees: int = 15, depth: int = 6) -> tuple[Tree, ...]:
     """findings: (candidate, words before it, label), bounded by what the driver is given."""
     return tuple(forest(np.array([_row(t, b) for t, b, _ in findings]), np.array([y for *_, y in findings], float), trees, depth))

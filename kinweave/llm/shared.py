@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import drop_scratch, materialize, scratch_path
 
-__all__ = ["Words", "drop_scratch", "id_ranges", "materialize", "mix64", "range_bounds", "range_of", "row_key", "scratch_path", "small_batches", "table", "tidy"]
+__all__ = ["Words", "drop_scratch", "id_ranges", "kept", "materialize", "mix64", "range_bounds", "range_of", "row_key", "scratch_path", "small_batches", "table", "tidy"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,14 +36,28 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -
             spark.conf.set(key, str(most))
 
 
-def tidy(run):
-    """A function of Arrow batches that gives freed memory back when its task ends, since Python workers live on."""
+#: What an operator keeps in a worker process between its tasks, by the operator's name.
+kept: dict[str, object] = {}
+
+
+def release(owner: str | None = None) -> None:
+    """Drops what others than the owner keep."""
+    for name in [n for n in kept if n != owner]:
+        del kept[name]
+
+
+def tidy(run, owner: str | None = None):
+    """A function of Arrow batches that gives freed memory back when its task ends, since Python workers live on.
+
+    What other operators keep in the worker is dropped at its start.
+    """
 
     def wrapped(batches):
         import ctypes
 
         import pyarrow as pa
 
+        release(owner)  # a function of the module: what is kept here would be a copy
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         try:

@@ -23,11 +23,11 @@ from array import array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, range_bounds, range_of, scratch_path, tidy
+from .shared import kept, materialize, range_bounds, range_of, scratch_path, tidy
 
 END_ID = 2
 #: Words that a worker remembers, some 200 bytes each.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 ORC_OPTIONS = {
     "compression": "zstd",
     "orc.create.index": "true",
@@ -65,7 +65,7 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {"": b""}
-        self.door = bytearray(1 << 23)
+        self.door = bytearray(1 << 22)
         self.signs: dict[str, bytes] = {"": b""}
         self.parted = all(self._plain(f"{x}{gap}{y}") == self._plain(x) + self._plain(y) for x, y in (("a", "b"), ("Word,", "é1")) for gap in (" ", "\n", "  ", "\t\r"))
         self.line = re.compile(f"^(?:([{_LETTERS}]+)([{re.escape(_SIGNS)}]*)|.*)$", re.M)
@@ -199,14 +199,11 @@ def _blanks():
 _BLANKS = _blanks()
 
 
-_encoders: dict[str, _Encoder] = {}
-
-
 def _encoder(path: str) -> _Encoder:
     """One for each worker process, whatever the number of its tasks."""
-    if path not in _encoders:
-        _encoders[path] = _Encoder(path)
-    return _encoders[path]
+    if path not in kept.get("tokens", {}):
+        kept["tokens"] = {path: _Encoder(path)}
+    return kept["tokens"][path]
 
 
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
@@ -217,13 +214,13 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFr
 
         encode_all = _encoder(tokenizer_path).encode_all
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 ids, offsets = encode_all(part.column(2), end_id)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids], ["doc_id", "tie", "ids"])
 
-    return docs.mapInArrow(tidy(run), "doc_id long, tie long, ids array<int>")
+    return docs.mapInArrow(tidy(run, "tokens"), "doc_id long, tie long, ids array<int>")
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID) -> None:

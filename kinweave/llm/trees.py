@@ -48,7 +48,7 @@ def grow(x: np.ndarray, target: np.ndarray, weight: np.ndarray, depth: int, leas
         for f in features:
             order = rows[np.argsort(x[rows, f], kind="stable")]
             v, gs, hs = x[order, f], np.cumsum(target[order]), np.cumsum(weight[order])
-            ok = np.flatnonzero((v[1:] > v[:-1]) & (hs[:-1] >= least) & (h - hs[:-1] >= least))
+            ok = np.flatnonzero((v[1:] > v[:-1] + 1e-9) & (hs[:-1] >= least) & (h - hs[:-1] >= least))
             if len(ok):
                 gain = gs[ok] ** 2 / (hs[ok] + penalty) + (g - gs[ok]) ** 2 / (h - hs[ok] + penalty) - g * g / (h + penalty)
                 k = int(gain.argmax())

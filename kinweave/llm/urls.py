@@ -4,7 +4,8 @@ A rule ``host/path`` fits the host and its subdomains where the URL's path start
 with the rule's; the longest wins. Other URLs are judged by trees over length,
 depth, digit ratio, entropy, parameter counts and statistics of the host's suffix
 in the labelled URLs. Training is on the driver from a bounded list of labelled
-URLs; judging is one Arrow pass without a shuffle.
+URLs (``urls_of`` takes it from a table; by default it is made by rule, without
+words that tell); judging is one Arrow pass without a shuffle.
 
 Defined results: a null URL, and one without ``://``, has an empty host and path
 and goes to the trees; rows are kept as they are, repeated ones included; other
@@ -14,9 +15,9 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import random
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import product
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -27,19 +28,41 @@ from .trees import Tree, boost
 
 #: The rules, as (verdict, host/path).
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Host labels of the bundled labelled URLs.
-SPAM_HOSTS = ("cheap-pills", "spam-farm", "casino-bonus-777", "free-cash-4u", "best-loans-online", "win-big-prizes", "hot-singles-now", "replica-watches-24", "buy-followers-fast", "crypto-doubler-1000x", "xxx-videos-88", "get-rich-quick-9", "discount-meds-rx", "click4-money", "lottery-winner-2024", "warez-crack-keygen")
-CLEAN_HOSTS = ("library", "museum", "weather", "university", "recipes", "journal", "gardening", "maps", "history", "theatre", "parliament", "hospital", "cycling", "news", "mathforum", "openarchive")
-
-
-def labelled_urls() -> list[tuple[str, int]]:
-    """(url, 1 for spam), made by rule from the host labels."""
-    out = []
-    for k, (host, top, way) in enumerate(product(SPAM_HOSTS, ("example.com", "example.org", "example.net", "example.info"), ("", "www.", "blog.", "m."))):
-        out += [(f"http{'s' * (k % 2)}://{way}{host}.{top}/{p}", 1) for p in (f"en/{k}", f"buy-now/{k * 37 % 1000}?aff={k}&ref=x&utm_source=mail", f"fr/{k}.html", "")]
-    for k, (host, top, way) in enumerate(product(CLEAN_HOSTS, ("example.com", "example.org", "example.net", "example.info"), ("", "www.", "blog.", "m."))):
-        out += [(f"http{'s' * (k % 2)}://{way}{host}.{top}/{p}", 0) for p in (f"en/{k}", f"articles/{host}/{k}?page=2", f"es/{k}.html#top", f"de/{k}/", "")]
-    return out
+#: Syllables of the made-up names in the bundled labelled URLs.
+SYLLABLES = ("ba", "ko", "lu", "mi", "nu", "pa", "sku", "vo", "za", "bra", "klo", "dru", "fli", "glo", "plu", "wen", "tar", "sol", "mar", "vik")
+
+
+def labelled_urls(n: int = 3000, seed: int = 7, syllables: tuple[str, ...] = SYLLABLES) -> list[tuple[str, int]]:
+    """(url, 1 for spam), made by rule. No word of a name tells: spam is likelier to join words by hyphens, to add numbers, and to carry parameters."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(2, 3)))
+    number = lambda: str(r.randint(1, 9999))
+    joined = lambda k: "-".join(word() for _ in range(k))
+
+    def host(spam: bool) -> str:
+        x = r.random()
+        if spam:
+            name = joined(2) if x < 0.5 else joined(3) if x < 0.65 else f"{joined(2)}-{number()}" if x < 0.8 else word() + number() if x < 0.9 else "".join(r.choice("abcdefghijkmnpqrstvwxz0123456789") for _ in range(r.randint(10, 22)))
+        else:
+            name = word() if x < 0.85 else joined(2) if x < 0.93 else word() + number() if x < 0.95 else f"{word()}.{word()}"
+        top = r.choices(("com", "org", "net", "info", "edu"), (4, 1, 2, 3, 0.1) if spam else (4, 3, 3, 0.5, 1))[0]
+        return f"{r.choice(('', '', 'www.', 'm.', 'blog.'))}{name}.{r.choice(('example', 'example', word()))}.{top}"
+
+    def tail(spam: bool) -> str:
+        lang = r.choice(("en", "de", "fr", "es"))
+        plain = (f"{lang}/{number()}", f"{lang}/{number()}/", f"{lang}/{number()}.html", f"{lang}/{number()}#top", f"{lang}/{number()}?page=2&ref=x", f"{lang}/{number()}?utm_source=feed", f"{word()}/{word()}", "")
+        odd = (f"{joined(3)}?{word()}={number()}&{word()}={number()}&{word()}={word()}", f"{word()}/{number()}/{number()}?id={number()}&{word()}={number()}")
+        return r.choice(odd) if r.random() < (0.3 if spam else 0.03) else r.choice(plain)
+
+    return [(f"http{r.choice(('', 's'))}://{host(bool(y))}/{tail(bool(y))}", y) for y in (1, 0) for _ in range(n)]
+
+
+def urls_of(rows: DataFrame, most: int = 50_000) -> list[tuple[str, int]]:
+    """Labelled URLs of a table (url, label): all of them, or of more a hashed sample of about ``most``."""
+    rows = rows.where("url is not null and label in (0, 1)")
+    n = rows.count()
+    dice = F.pmod(F.xxhash64("url"), F.lit(1_000_000)) / 1_000_000
+    return [(r["url"], r["label"]) for r in rows.where(dice < most / max(1, n)).select("url", "label").collect()]
 
 
 def _entropy(text: str) -> float:

