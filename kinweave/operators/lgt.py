@@ -24,6 +24,11 @@ def best_per_cluster(hits: DataFrame) -> DataFrame:
     return hits.where("chg is not null and taxon_pair is not null").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def in_order(hits: DataFrame) -> DataFrame:
+    """By cluster and taxon pair."""
+    return hits.orderBy("chg", "taxon_pair", "query", "target")
+
+
 def mark_significant(hits: DataFrame, bounds: DataFrame) -> DataFrame:
     return hits.join(bounds, "taxon_pair").withColumn("is_significant", F.col("pident") > F.col("q95_upper_bound"))
 

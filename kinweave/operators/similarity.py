@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import pair
+from ..runtime import materialize
 from ..schemas import HITS
 
 
@@ -190,19 +191,23 @@ def shingles(docs: DataFrame, name: str, text: str, n: int = 5) -> DataFrame:
 def jaccard_join(features: DataFrame, min_pident: float) -> DataFrame:
     """(query, target, pident) of names whose feature sets are similar; features: (name, shingle), distinct.
 
-    A shared feature among the rarest of both sets is enough to meet: only the first
-    ``size - ceil(t * size) + 1`` features of each set, rarest first, are joined.
+    Features are hashed to longs once. A shared feature among the rarest of both sets
+    is enough to meet: only the first ``size - ceil(t * size) + 1`` features of each
+    set, rarest first, are joined. Pairs that met are verified on the whole sets.
     """
     t = min_pident / 100
-    counted = features.join(features.groupBy("shingle").agg(F.count("*").alias("df")), "shingle")
-    sizes = features.groupBy("name").agg(F.count("*").alias("size"))
-    w = Window.partitionBy("name").orderBy("df", "shingle")
-    prefix = counted.withColumn("_n", F.row_number().over(w)).join(sizes, "name").where(F.col("_n") <= F.col("size") - F.ceil(F.lit(t) * F.col("size")) + 1)
-    x, y = prefix.select("shingle", F.col("name").alias("query"), F.col("size").alias("sx")), prefix.select("shingle", F.col("name").alias("target"), F.col("size").alias("sy"))
-    near = x.join(y, "shingle").where((F.col("query") < F.col("target")) & (F.least("sx", "sy") >= t * F.greatest("sx", "sy"))).select("query", "target", "sx", "sy").distinct()
-    both = near.join(features.select(F.col("name").alias("query"), "shingle"), "query").join(features.select(F.col("name").alias("target"), "shingle"), ["target", "shingle"])
-    shared = both.groupBy("query", "target", "sx", "sy").agg(F.count("*").alias("c"))
-    return shared.select("query", "target", (100.0 * F.col("c") / (F.col("sx") + F.col("sy") - F.col("c"))).alias("pident")).where(F.col("pident") >= min_pident)
+    f = features.select("name", F.xxhash64("shingle").alias("h"))
+    counted = f.join(f.groupBy("h").agg(F.count("*").alias("df")), "h")
+    sets = counted.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    sets = materialize(sets.select("name", F.size("s").alias("size"), F.transform("s", lambda x: x["h"]).alias("s")), "sets")
+    prefix = sets.select("name", "size", F.explode(F.slice("s", F.lit(1), (F.col("size") - F.ceil(F.lit(t) * F.col("size")) + 1).cast("int"))).alias("h"))
+    x, y = prefix.select("h", F.col("name").alias("query"), F.col("size").alias("sx")), prefix.select("h", F.col("name").alias("target"), F.col("size").alias("sy"))
+    near = x.join(y, "h").where((F.col("query") < F.col("target")) & (F.least("sx", "sy") >= t * F.greatest("sx", "sy"))).select("query", "target").distinct()
+    for side in ("query", "target"):
+        near = near.join(sets.select(F.col("name").alias(side), F.col("s").alias(f"s_{side}")), side)
+    both = F.size(F.array_intersect("s_query", "s_target"))
+    shared = near.select("query", "target", both.alias("c"), (F.size("s_query") + F.size("s_target")).alias("n"))
+    return shared.select("query", "target", (100.0 * F.col("c") / (F.col("n") - F.col("c"))).alias("pident")).where(F.col("pident") >= min_pident)
 
 
 def cosine_join(vectors: DataFrame, queries: DataFrame, min_pident: float) -> DataFrame:

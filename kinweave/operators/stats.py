@@ -8,26 +8,62 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fit_quality
+from ..runtime import drop_scratch, materialize
+from .graph import numbered
 
 
 def valid(scores: DataFrame, column: str = "HGT_score") -> DataFrame:
     return scores.where(F.col(column).isNotNull() & ~F.isnan(column)).select(F.col(column).cast("double").alias("x"))
 
 
+def at_ranks(ranked: DataFrame, ranks: list[int]) -> dict[int, float]:
+    """The values at 1-based ranks; ranked: (x, _n), materialized. As many rows as ranks reach the driver."""
+    spark = ranked.sparkSession
+    wanted = spark.createDataFrame([(int(r),) for r in sorted(set(ranks))], "_n bigint")
+    return {r["_n"]: r["x"] for r in ranked.join(F.broadcast(wanted), "_n").select("_n", "x").collect()}
+
+
+def _between(n: int, q: float) -> tuple[int, int, float]:
+    """The 1-based ranks that a quantile lies between, and how far it is on the way."""
+    at = q * (n - 1)
+    low = math.floor(at)
+    return low + 1, min(low + 2, n), at - low
+
+
+def quantiles(values: DataFrame, qs: tuple[float, ...]) -> tuple[int, dict[float, float]]:
+    """(number of rows, exact quantiles, interpolated linearly), by rank: rows are sorted in ranges and only those asked for are looked up; values: (x)."""
+    ranked = materialize(numbered(values, "x", "_n"), "ranked")
+    n = ranked.count()
+    places = {q: _between(n, q) for q in qs} if n else {}
+    at = at_ranks(ranked, [r for low, high, _ in places.values() for r in (low, high)]) if n else {}
+    drop_scratch(ranked)
+    return n, {q: at[low] + (at[high] - at[low]) * f for q, (low, high, f) in places.items()}
+
+
 def describe(scores: DataFrame, column: str = "HGT_score") -> DataFrame:
     """One row. Quantiles interpolate linearly; deviation, skew and excess kurtosis are of the population; null for no rows."""
-    q = F.percentile("x", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.95, 0.99))))
-    d = valid(scores, column).agg(F.count("*").alias("count"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.skewness("x").alias("skewness"), F.kurtosis("x").alias("kurtosis"), q.alias("q"))
-    names = ("q25", "median", "q75", "q95", "q99")
-    d = d.select("*", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(names)]).drop("q")
+    d = valid(scores, column)
+    names = {"q25": 0.25, "median": 0.5, "q75": 0.75, "q95": 0.95, "q99": 0.99}
+    _, q = quantiles(d, tuple(names.values()))
+    d = d.agg(F.count("*").alias("count"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.skewness("x").alias("skewness"), F.kurtosis("x").alias("kurtosis"))
+    d = d.select("*", *[F.lit(q.get(v)).cast("double").alias(k) for k, v in names.items()])
     return d.withColumn("iqr", F.col("q75") - F.col("q25"))
 
 
-def empirical_cdf(scores: DataFrame, column: str = "HGT_score") -> DataFrame:
-    """(x, cdf) by distinct value: counts are added up before the running sum."""
+def empirical_cdf(scores: DataFrame, column: str = "HGT_score", parts: int = 64) -> DataFrame:
+    """(x, cdf) by distinct value: counts are added up first, then ranges of values, then values in each range."""
+    return _cdf(scores, column, parts).select("x", "cdf")
+
+
+def _cdf(scores: DataFrame, column: str, parts: int = 64) -> DataFrame:
+    """(x, before, cdf): the share of rows below and up to each distinct value."""
     counts = valid(scores, column).groupBy("x").agg(F.count("*").alias("n"))
-    upto = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select("x", (F.sum("n").over(upto) / F.sum("n").over(Window.partitionBy())).alias("cdf"))
+    d = materialize(counts.repartitionByRange(parts, "x").withColumn("_p", F.spark_partition_id()), "ranges")
+    upto = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)  # over the parts
+    sizes = d.groupBy("_p").agg(F.sum("n").alias("_c")).select("_p", (F.sum("_c").over(upto) - F.col("_c")).alias("_base"), F.sum("_c").over(Window.partitionBy()).alias("_all"))
+    inside = Window.partitionBy("_p").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.join(F.broadcast(sizes), "_p").withColumn("_upto", F.col("_base") + F.sum("n").over(inside))
+    return d.select("x", ((F.col("_upto") - F.col("n")) / F.col("_all")).alias("before"), (F.col("_upto") / F.col("_all")).alias("cdf"))
 
 
 def histogram(scores: DataFrame, bins: int, low: float, high: float, column: str = "HGT_score") -> DataFrame:
@@ -36,43 +72,66 @@ def histogram(scores: DataFrame, bins: int, low: float, high: float, column: str
     return valid(scores, column).where(F.col("x").between(low, high)).groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def _gamma_p(a: float, x: float) -> float:
-    """The regularised lower incomplete gamma function."""
-    if x <= 0:
-        return 0.0
-    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1 / a
-        k = a
-        while abs(term) > abs(total) * 1e-15:
+def _gamma_p(a: float, x):
+    """The regularised lower incomplete gamma function of an array: a series below a + 1, a continued fraction above."""
+    import numpy as np
+
+    x = np.asarray(x, float)
+    out = np.zeros(len(x))
+    with np.errstate(divide="ignore", over="ignore", under="ignore"):
+        scale = np.exp(a * np.log(np.where(x > 0, x, 1.0)) - x - math.lgamma(a))
+    low = (x > 0) & (x < a + 1)
+    if low.any():
+        v = x[low]
+        term = np.full(len(v), 1 / a)
+        total, k = term.copy(), a
+        while (np.abs(term) > np.abs(total) * 1e-15).any():
             k += 1
-            term *= x / k
+            term = term * v / k
             total += term
-        return min(1.0, total * scale)
-    tiny = 1e-300
-    b, c = x + 1 - a, 1 / tiny
-    d = h = 1 / b
-    for i in range(1, 10_000):
-        an = -i * (i - a)
-        b += 2
-        d = 1 / (an * d + b or tiny)
-        c = b + an / c or tiny
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return 1 - scale * h
+        out[low] = np.minimum(1.0, total * scale[low])
+    high = x >= a + 1
+    if high.any():
+        v, tiny = x[high], 1e-300
+        b, c = v + 1 - a, np.full(high.sum(), 1 / tiny)
+        d = 1 / b
+        h = d.copy()
+        for i in range(1, 10_000):
+            an = -i * (i - a)
+            b = b + 2
+            d = an * d + b
+            d = 1 / np.where(d == 0, tiny, d)
+            c = b + an / c
+            c = np.where(c == 0, tiny, c)
+            h = h * d * c
+            if (np.abs(d * c - 1) < 1e-15).all():
+                break
+        out[high] = 1 - scale[high] * h
+    return out
 
 
-def distribution_cdf(name: str, p: tuple[float, ...], x: float) -> float:
-    if name == "normal":
-        return 0.5 * (1 + math.erf((x - p[0]) / (p[1] * math.sqrt(2)))) if p[1] > 0 else float(x >= p[0])
-    if name == "lognormal":
-        if p[0] <= 0:
-            return float(x >= p[1])
-        return 0.5 * (1 + math.erf(math.log(x / p[1]) / (p[0] * math.sqrt(2)))) if x > 0 else 0.0
-    if name == "exponential":
-        return 1 - math.exp(-max(0.0, x - p[0]) / p[1]) if p[1] > 0 else float(x >= p[0])
-    return _gamma_p(p[0], (x - p[1]) / p[2]) if x > p[1] else 0.0
+def _normal_cdf(z):
+    """By the incomplete gamma function of z * z / 2."""
+    import numpy as np
+
+    return 0.5 * (1 + np.sign(z) * _gamma_p(0.5, z * z / 2))
+
+
+def distribution_cdf(name: str, p: tuple[float, ...], x):
+    """The distribution function of an array of values."""
+    import numpy as np
+
+    x = np.asarray(x, float)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if name == "normal":
+            return _normal_cdf((x - p[0]) / p[1]) if p[1] > 0 else (x >= p[0]).astype(float)
+        if name == "lognormal":
+            if p[0] <= 0:
+                return (x >= p[1]).astype(float)
+            return np.where(x > 0, _normal_cdf(np.log(np.where(x > 0, x, 1.0) / p[1]) / p[0]), 0.0)
+        if name == "exponential":
+            return 1 - np.exp(-np.maximum(0.0, x - p[0]) / p[1]) if p[1] > 0 else (x >= p[0]).astype(float)
+        return _gamma_p(p[0], (x - p[1]) / p[2])
 
 
 def ks_p_value(d: float, n: int) -> float:
@@ -128,14 +187,14 @@ def fit_distributions(scores: DataFrame, column: str = "HGT_score") -> DataFrame
         if r["gamma_s"] and r["gamma_s"] > 1e-12:
             k = _gamma_shape(r["gamma_s"])
             fits["gamma"] = (k, 0.0, r["normal_loc"] / k)
-    cdf = empirical_cdf(scores, column).withColumn("before", F.coalesce(F.lag("cdf").over(Window.orderBy("x")), F.lit(0.0)))
+    cdf = _cdf(scores, column)
 
     def run(batches):
         import pandas as pd
 
         for frame in batches:
             for name, p in fits.items():
-                f = frame["x"].map(lambda x, name=name, p=p: distribution_cdf(name, p, x))
+                f = distribution_cdf(name, p, frame["x"].to_numpy())
                 worst = max((frame["cdf"] - f).abs().max(), (frame["before"] - f).abs().max()) if len(frame) else 0.0
                 yield pd.DataFrame({"name": [name], "ks": [float(worst)]})
 
@@ -144,63 +203,135 @@ def fit_distributions(scores: DataFrame, column: str = "HGT_score") -> DataFrame
     return spark.createDataFrame(rows, schema).withColumn("quality", fit_quality(F.col("ks"))).orderBy("ks")
 
 
-def _resampled_quantiles(x, quantiles, seeds):
-    """For each seed, the quantiles of one resample of the sorted values x."""
+def _drawn_ranks(n: int, q: float, replicates: int, seed) -> tuple:
+    """For each resample of n of n values: the 1-based ranks that its quantile lies between.
+
+    The k-th least of a resample with replacement has rank ceil(n U) with U the k-th
+    least of n uniform numbers, Beta(k, n - k + 1); the next one is above it by the
+    least of the n - k that are left. So a resample costs two draws, whatever n is.
+    """
     import numpy as np
 
-    out = np.empty((len(seeds), len(quantiles)))
-    for i, seed in enumerate(seeds):
-        out[i] = np.percentile(x[np.random.default_rng(seed).integers(0, len(x), len(x))], [100 * q for q in quantiles])
-    return out
+    rng = np.random.default_rng(seed)
+    k, above, _ = _between(n, q)
+    u = rng.beta(k, n - k + 1, replicates)
+    v = u + (1 - u) * rng.beta(1, n - k, replicates) if above > k else u
+    ranks = lambda x: np.clip(np.ceil(n * x), 1, n).astype(np.int64)
+    return ranks(u), ranks(v)
 
 
 def bootstrap_quantiles(spark: SparkSession, scores: DataFrame, quantiles: tuple[float, ...] = (0.95,), replicates: int = 10_000, confidence: float = 0.95, seed: int = 42, column: str = "HGT_score") -> DataFrame:
-    """(quantile, point, lower, upper). Replicates are dealt to tasks; each has a seed of its own.
+    """(quantile, point, lower, upper) of ``replicates`` seeded resamples.
 
-    A resample needs all values, so the score table (one row per taxon pair and
-    cluster) must fit one worker; its size is checked.
+    Ranks are drawn, not values: the driver holds two for each replicate and
+    quantile, and as many values are looked up among the ranked scores.
     """
     import numpy as np
 
-    d = valid(scores, column)
-    if (n := d.count()) > 50_000_000:
-        raise ValueError(f"{n} scores do not fit a bootstrap task; aggregate or stratify them first")
-    x = np.sort(np.array([r["x"] for r in d.toLocalIterator()]))
+    schema = "quantile double, point double, lower double, upper double"
+    ranked = materialize(numbered(valid(scores, column), "x", "_n"), "ranked")
+    n = ranked.count()
     if not n:
-        return spark.createDataFrame([], "quantile double, point double, lower double, upper double")
-    shared = spark.sparkContext.broadcast(x)
-
-    def run(batches):
-        import pandas as pd
-
-        for frame in batches:
-            got = _resampled_quantiles(shared.value, quantiles, [[seed, int(i)] for i in frame["id"]])
-            yield pd.DataFrame({"quantile": list(quantiles) * len(got), "value": got.ravel()})
-
-    values = spark.range(replicates).mapInPandas(run, "quantile double, value double")
-    tail = (1 - confidence) / 2
-    ci = values.groupBy("quantile").agg(F.percentile("value", tail).alias("lower"), F.percentile("value", 1 - tail).alias("upper"))
-    points = spark.createDataFrame([(q, float(np.percentile(x, 100 * q))) for q in quantiles], "quantile double, point double")
-    return points.join(ci, "quantile").select("quantile", "point", "lower", "upper")
+        return spark.createDataFrame([], schema)
+    drawn = {q: _drawn_ranks(n, q, replicates, [seed, round(q * 10**6)]) for q in quantiles}
+    places = {q: _between(n, q) for q in quantiles}
+    at = at_ranks(ranked, [int(r) for q in quantiles for own in (*drawn[q], places[q][:2]) for r in np.unique(own)])
+    drop_scratch(ranked)
+    keys = np.array(sorted(at))
+    values = np.array([at[k] for k in keys.tolist()])
+    of = lambda ranks: values[np.searchsorted(keys, ranks)]
+    tail, rows = 100 * (1 - confidence) / 2, []
+    for q in quantiles:
+        low, high, f = places[q]
+        a, b = of(drawn[q][0]), of(drawn[q][1])
+        got = a + (b - a) * f
+        rows.append((q, float(of([low])[0] + (of([high])[0] - of([low])[0]) * f), float(np.percentile(got, tail)), float(np.percentile(got, 100 - tail))))
+    return spark.createDataFrame(rows, schema)
 
 
 def grouped_bootstrap(hits: DataFrame, group: str = "taxon_pair", value: str = "pident", quantile: float = 0.95, replicates: int = 10_000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """(group, q95_lower_bound, q95_upper_bound): each group has a seed made of its name."""
+    """(group, q95_lower_bound, q95_upper_bound): each group has a seed made of its name.
+
+    Rows are numbered by group and value in ranges, so a large group is spread over
+    them; of each group the ranks that its resamples draw are looked up, twice the
+    replicates at most, and only those values meet in a task.
+    """
     tail = 100 * (1 - confidence) / 2
+    d = hits.where(F.col(group).isNotNull() & F.col(value).isNotNull()).select(F.col(group).cast("string").alias("g"), F.col(value).cast("double").alias("x"))
+    ranked = materialize(numbered(d.select(F.struct("g", "x").alias("s")), "s", "_n").select("s.g", "s.x", "_n"), "ranked")
+    groups = materialize(ranked.groupBy("g").agg(F.count("*").alias("n"), (F.min("_n") - 1).alias("base")), "groups")
 
-    def run(frame):
+    def draw(name: str, n: int):
         import zlib
 
+        return _drawn_ranks(n, quantile, replicates, [seed, zlib.crc32(name.encode())])
+
+    def wanted(batches):
+        import numpy as np
+        import pandas as pd
+
+        for frame in batches:
+            for name, n, base in zip(frame["g"], frame["n"], frame["base"], strict=True):
+                own = np.unique(np.concatenate(draw(name, int(n))))
+                yield pd.DataFrame({"_n": own + base, "rank": own, "n": np.full(len(own), n)})
+
+    ranks = groups.mapInPandas(wanted, "_n long, rank long, n long")
+
+    def run(frame):
         import numpy as np
         import pandas as pd
 
-        name = frame[group].iloc[0]
-        x = np.sort(frame[value].to_numpy())
-        own = [[seed, zlib.crc32(str(name).encode()), i] for i in range(replicates)]
-        q = _resampled_quantiles(x, (quantile,), own)[:, 0]
-        return pd.DataFrame({group: [name], "q95_lower_bound": [np.percentile(q, tail)], "q95_upper_bound": [np.percentile(q, 100 - tail)]})
+        name, n = frame["g"].iloc[0], int(frame["n"].iloc[0])
+        frame = frame.sort_values("rank")
+        keys, values = frame["rank"].to_numpy(), frame["x"].to_numpy()
+        a, b = (values[np.searchsorted(keys, r)] for r in draw(name, n))
+        got = a + (b - a) * _between(n, quantile)[2]
+        return pd.DataFrame({group: [name], "q95_lower_bound": [np.percentile(got, tail)], "q95_upper_bound": [np.percentile(got, 100 - tail)]})
+
+    return ranked.join(ranks, "_n").select("g", "rank", "n", "x").groupBy("g").applyInPandas(run, f"{group} string, q95_lower_bound double, q95_upper_bound double")
+
+
+def box_data(scores: DataFrame, column: str = "HGT_score") -> DataFrame:
+    """One row for a box plot: quartiles, whiskers at the last values within 1.5 interquartile ranges, and how many values lie beyond."""
+    d = valid(scores, column)
+    _, q = quantiles(d, (0.25, 0.5, 0.75))
+    if not q:
+        return d.sparkSession.createDataFrame([], "q25 double, median double, q75 double, whisker_low double, whisker_high double, outliers bigint")
+    low, high = q[0.25] - 1.5 * (q[0.75] - q[0.25]), q[0.75] + 1.5 * (q[0.75] - q[0.25])
+    inside = F.when(F.col("x").between(low, high), F.col("x"))
+    return d.agg(F.lit(q[0.25]).alias("q25"), F.lit(q[0.5]).alias("median"), F.lit(q[0.75]).alias("q75"), F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high"), F.count_if(inside.isNull()).alias("outliers"))
+
+
+def violin_data(scores: DataFrame, points: int = 100, column: str = "HGT_score") -> DataFrame:
+    """(at, density): a Gaussian kernel density at even points, from counts of 20 bins a point; the width is by Scott's rule."""
+    d = valid(scores, column)
+    r = d.agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.stddev_samp("x").alias("sd")).first()
+    spark, schema = d.sparkSession, "at double, density double"
+    if not r["n"] or not r["sd"]:
+        return spark.createDataFrame([], schema)
+    import numpy as np
+
+    bins, width = 20 * points, r["sd"] * r["n"] ** -0.2
+    counts = {x["bin"]: x["n"] for x in histogram(scores, bins, r["low"], r["high"], column).collect()}  # a row for each bin
+    middle = r["low"] + (np.array(sorted(counts)) - 0.5) * (r["high"] - r["low"]) / bins
+    weight = np.array([counts[k] for k in sorted(counts)], float)
+    at = np.linspace(r["low"], r["high"], points)
+    density = (np.exp(-0.5 * ((at[:, None] - middle) / width) ** 2) * weight).sum(axis=1) / (r["n"] * width * math.sqrt(2 * math.pi))
+    return spark.createDataFrame(list(zip(at.tolist(), density.tolist(), strict=True)), schema)
+
+
+def theoretical_curves(fits: DataFrame, low: float, high: float, points: int = 100) -> DataFrame:
+    """(name, at, cdf) of each fitted distribution, for plots beside the empirical one; fits: a few rows."""
+    import numpy as np
+
+    at = np.linspace(low, high, points)
+    rows = [(r["name"], float(x), float(c)) for r in fits.collect() for x, c in zip(at, distribution_cdf(r["name"], tuple(r["params"]), at), strict=True)]
+    return fits.sparkSession.createDataFrame(rows, "name string, at double, cdf double")
+
 
-    return hits.where(F.col(group).isNotNull() & F.col(value).isNotNull()).select(group, value).groupBy(group).applyInPandas(run, f"{group} string, q95_lower_bound double, q95_upper_bound double")
+def bootstrap_curve(spark: SparkSession, scores: DataFrame, column: str = "HGT_score") -> DataFrame:
+    """Points and intervals of four high quantiles of 1,000 resamples, as a plot shows them."""
+    return bootstrap_quantiles(spark, scores, (0.9, 0.95, 0.99, 0.995), 1000, column=column)
 
 
 def high_confidence(scores: DataFrame, upper: float, column: str = "HGT_score") -> DataFrame:

@@ -101,6 +101,32 @@ def leaf_distances(nodes: DataFrame) -> DataFrame:
     return d.select("genome_a", "genome_b", internal_nodes_between(F.col("pa"), F.col("pb")).alias("N_int"))
 
 
+def pair_distances(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(genome_a, genome_b, N_int) of stated pairs only; pairs: (genome_a, genome_b). Pairs with a name that is no leaf go."""
+    at = leaves(nodes)
+    d = pairs.select("genome_a", "genome_b").distinct()
+    for side in "ab":
+        d = d.join(at.select(F.col("name").alias(f"genome_{side}"), F.col("path").alias(f"p{side}")), f"genome_{side}")
+    return d.where("genome_a <> genome_b").select("genome_a", "genome_b", internal_nodes_between(F.col("pa"), F.col("pb")).alias("N_int"))
+
+
+def mean_distance(nodes: DataFrame) -> DataFrame:
+    """One row: n_int_mean over all pairs of leaves (0 without pairs) and leaf_count, without the pairs.
+
+    Two leaves of depths a and b that meet at depth m have a + b - 2 m - 1 nodes between
+    them, and the meeting depths of all pairs add up to the pairs below each node but the
+    root. So it takes the leaves below each node only.
+    """
+    own = leaves(nodes).select("path")
+    below = own.select(F.explode(F.slice("path", F.lit(2), F.size("path"))).alias("v")).groupBy("v").agg(F.count("*").cast("double").alias("n"))
+    meets = below.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)).alias("meet"))
+    ends = own.agg(F.count("*").alias("leaf_count"), F.coalesce(F.sum((F.size("path") - 1).cast("double")), F.lit(0.0)).alias("depths"))
+    n = F.col("leaf_count").cast("double")
+    pairs = n * (n - 1) / 2
+    mean = F.when(pairs > 0, ((n - 1) * F.col("depths") - 2 * F.col("meet") - pairs) / pairs).otherwise(F.lit(0.0))
+    return ends.crossJoin(meets).select(mean.alias("n_int_mean"), "leaf_count")  # two single rows
+
+
 def distance_summary(distances: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row: n_int_mean (0 without pairs), leaf_count."""
     mean = distances.agg(F.coalesce(F.avg("N_int"), F.lit(0.0)).alias("n_int_mean"))
@@ -131,6 +157,27 @@ def to_newick(nodes: list[tuple[str, str | None, str]]) -> str:
     return text(*below[None][0]) + ";"
 
 
+def species_tree(taxonomy: DataFrame) -> dict[str, DataFrame]:
+    """nodes (of the lineage tree, leaves are accessions), organisms (genome_accession, organism_name, taxid) and counts (leaves, nodes).
+
+    taxonomy: (accession, taxid, name, lineage_list), as an archive client gives it.
+    """
+    known = taxonomy.where("accession is not null and taxid is not null")
+    nodes = lineage_tree(known.select(F.col("accession").alias("leaf"), F.concat("lineage_list", F.array("name")).alias("lineage")))
+    organisms = known.select(F.col("accession").alias("genome_accession"), F.col("name").alias("organism_name"), "taxid").distinct()
+    return {"nodes": nodes, "organisms": organisms, "counts": nodes.agg(F.count_if("is_leaf").alias("leaves"), F.count("*").alias("nodes"))}
+
+
+def write_species_tree(taxonomy: DataFrame, folder: str, prefix: str = "reduced") -> dict[str, DataFrame]:
+    """The species tree as Newick text and the organisms of its genomes as CSV, in the folder; a tree is of dimension size."""
+    out = species_tree(taxonomy)
+    rows = [(r["path_text"], r["parent_text"], r["name"]) for r in out["nodes"].collect()]
+    text = to_newick(rows) if rows else ";"
+    taxonomy.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{prefix}_species_tree")
+    out["organisms"].orderBy("genome_accession").write.mode("overwrite").csv(f"{folder}/genome_to_organism_name", header=True)
+    return out
+
+
 def assign_taxids(genomes: DataFrame) -> DataFrame:
     """(genome_accession, organism_name, taxid): 1..n as text, by the file's line; genomes: (line, genome_accession, organism_name)."""
     from .graph import numbered

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import pair
 from ..operators import similarity
+from ..runtime import materialize
 
 
 class Star:
@@ -22,7 +23,7 @@ class Star:
 
     def __init__(self, spark: SparkSession, sf_dir: str, taxa: str = "nation") -> None:
         read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-        self.spark, self.sf_dir, self.read = spark, sf_dir, read
+        self.spark, self.sf_dir, self.read, self._written = spark, sf_dir, read, False
         s = read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         self.suppliers = s.select(F.concat(F.lit("G"), F.col("s_suppkey").cast("string")).alias("genome_accession"), "s_suppkey", "n_name", "n_nationkey", "n_regionkey", "s_name")
         p = read("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.avg("l_quantity").alias("q"))
@@ -37,6 +38,12 @@ class Star:
         taxid = F.col("s_suppkey") if taxa == "supplier" else F.col("n_nationkey")
         self.taxids = self.suppliers.select("genome_accession", F.col("s_name").alias("organism_name"), taxid.cast("string").alias("taxid"))
 
+    def shared(self) -> Star:
+        """With proteins and hits written once, for queries that read them several times."""
+        if not self._written:
+            self.proteins, self.hits, self._written = materialize(self.proteins, "proteins"), materialize(self.hits, "hits"), True
+        return self
+
     @property
     def distances(self) -> DataFrame:
         """Of the genome pairs that hits name: 1 within a nation, 3 within a region, else 5."""

@@ -9,15 +9,17 @@ import re
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.scorers import ScoringMethod
 from ..operators import graph, lgt, ranking, similarity, stats, tree
-from ..runtime import shared_folder
-from ..sources import files
+from ..operators.sets import DisjointSets
+from ..runtime import materialize, shared_folder
+from ..sources import fetch, files, sinks
 from ..sources.remote import RecordedClient
+from . import pipeline
 from .adapters import Documents, Nations, Star, star_sql, tree_cte
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,7 +81,7 @@ mx AS (SELECT coalesce(max(n_int), 10) AS n_int_max FROM best WHERE n_int >= 2)"
 _OUT = "prot_a AS protein_A, prot_b AS protein_B, {b}.chg AS CHG, tax_a AS TaxID_A, tax_b AS TaxID_B, {b}.n_int AS N_int, similarity AS s_AB"
 _Z = "CASE WHEN sigma > 0 THEN (similarity - mu) / sigma ELSE 0 END"
 _FORMULAS = {
-    "classic": "b.n_int * similarity / (3.5 * 98.0)",
+    "classic": "b.n_int * similarity / ((SELECT avg(N_int) FROM distances) * (SELECT avg(pident) FROM hits))",
     "zscore": _Z,
     "modified": "CASE WHEN mu > 0 THEN similarity / mu * ln(b.n_int + 1) ELSE 0 END",
     "combined": f"CASE WHEN b.n_int <= 0 OR n_int_max <= 1 THEN {_Z} ELSE ({_Z}) * (1 + ln(b.n_int) / ln(n_int_max)) END",
@@ -102,13 +104,17 @@ def _score_sql(method: str, taxa: str) -> str:
 
 
 def _annotated(s: Star) -> DataFrame:
+    s = s.shared()
     return ranking.annotate(s.hits, s.proteins, s.taxids, s.membership, s.distances)
 
 
 def _scores(method: ScoringMethod, taxa: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        s = Star(spark, sf_dir, taxa)
-        params = ranking.ScoringParams(method=method, n_int_mean=3.5, hits_mean=98.0)
+        s = Star(spark, sf_dir, taxa).shared()
+        params = ranking.ScoringParams(method=method)
+        if method is ScoringMethod.CLASSIC:
+            far = s.distances.agg(F.coalesce(F.avg("N_int"), F.lit(0.0))).first()[0]
+            params = ranking.ScoringParams(method=method, n_int_mean=far, hits_mean=ranking.mean_similarity(s.hits).first()["s_mean"])
         d = ranking.score_hits(s.hits, s.proteins, s.taxids, s.membership, s.distances, params)
         return d.withColumn("HGT_score", r6("HGT_score"))
 
@@ -175,9 +181,6 @@ _star("aln_06_self_hits", "SELECT * FROM raw WHERE query <> target", RAW)(lambda
 _star("aln_07_mutual_hits", "SELECT query, target, pident, bits FROM (SELECT *, row_number() OVER (PARTITION BY least(query, target), greatest(query, target) ORDER BY pident DESC, query, target, bits DESC) AS rn FROM raw WHERE query <> target) WHERE rn = 1", RAW)(
     lambda s: similarity.dedup_mutual_hits(similarity.drop_self_hits(_raw_hits(s)))
 )
-_star("prj_13_one_decimal", "SELECT query, target, round(pident, 1) AS s_ab FROM hits WHERE pident * 4 = round(pident * 4) AND pident * 20 <> round(pident * 2) * 10 + 5 AND pident = round(pident)")(
-    lambda s: s.hits.where("pident * 4 = round(pident * 4) and pident * 20 <> round(pident * 2) * 10 + 5 and pident = round(pident)").select("query", "target", S.one_decimal(F.col("pident")).alias("s_ab"))
-)
 # all hits; of ties the even digit, by the number's shortest decimal form as the operator has it
 _star("prj_13_one_decimal_all", """SELECT query, target, CASE WHEN regexp_matches(CAST(pident AS VARCHAR), '^[0-9]+[.][0-9]5$')
   THEN (CAST(regexp_extract(CAST(pident AS VARCHAR), '^([0-9]+)[.]([0-9])5$', 1) || regexp_extract(CAST(pident AS VARCHAR), '^([0-9]+)[.]([0-9])5$', 2) AS BIGINT)
@@ -232,12 +235,14 @@ _net("join_07_reduced_membership", "SELECT protein_id, coalesce(representative,
 _net("gra_04_genomes", "SELECT DISTINCT genome AS node_id FROM kept", KEPT)(lambda m, p: _reduced(m, p)["genomes"])
 _net("gra_06_genome_network", "SELECT a.genome AS source, b.genome AS target, count(*) AS weight FROM counts a JOIN counts b ON a.chg = b.chg AND a.genome < b.genome GROUP BY 1, 2")(lambda m, p: graph.genome_network(_counts(m, p))[1])
 _net("set_03_genomes_seen", "SELECT DISTINCT genome AS node_id FROM counts")(lambda m, p: graph.genome_network(_counts(m, p))[0])
-#: Cut vertices by deletion: what remains of a vertex's component falls apart.
-_query("gra_05_cut_vertices", """WITH RECURSIVE e AS (SELECT 'N' || CAST(n_nationkey AS VARCHAR) AS a, 'R' || CAST(n_regionkey AS VARCHAR) AS b FROM nation UNION ALL SELECT 'N' || CAST(n_nationkey AS VARCHAR), 'M' || CAST(n_nationkey % 4 AS VARCHAR) FROM nation WHERE n_nationkey < 9),
+#: Cut vertices by deletion: what remains of a vertex's component falls apart. e: (a, b).
+CUTS = """
 both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), v AS (SELECT DISTINCT a FROM both_ways),
 start AS (SELECT v.a AS cut, min(n.b) AS s FROM v JOIN both_ways n ON v.a = n.a GROUP BY v.a),
-walk(cut, x) AS (SELECT cut, s FROM start UNION SELECT w.cut, n.b FROM walk w JOIN both_ways n ON w.x = n.a WHERE n.b <> w.cut)
-SELECT DISTINCT n.a AS node_id FROM both_ways n WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.cut = n.a AND w.x = n.b)""")(lambda spark, sf_dir: graph.cut_vertices(_nation_edges(spark, sf_dir)))
+walk(cut, x) AS (SELECT cut, s FROM start UNION SELECT w.cut, n.b FROM walk w JOIN both_ways n ON w.x = n.a WHERE n.b <> w.cut),
+cuts AS (SELECT DISTINCT n.a AS node_id FROM both_ways n WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.cut = n.a AND w.x = n.b))"""
+_query("gra_05_cut_vertices", """WITH RECURSIVE e AS (SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS a, 'N' || CAST(s_nationkey AS VARCHAR) AS b FROM supplier UNION ALL SELECT 'N' || CAST(n_nationkey AS VARCHAR), 'R' || CAST(n_regionkey AS VARCHAR) FROM nation
+UNION ALL SELECT 'S' || CAST(s_suppkey AS VARCHAR), 'S' || CAST(s_suppkey // 3 AS VARCHAR) FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey > 0),""" + CUTS + " SELECT node_id FROM cuts")(lambda spark, sf_dir: graph.cut_vertices(_supplier_edges(spark, sf_dir)))
 
 
 def _oriented(m: DataFrame, p: DataFrame) -> DataFrame:
@@ -251,11 +256,13 @@ def _reduced(m: DataFrame, p: DataFrame) -> dict[str, DataFrame]:
     return graph.reduce_network(nodes, edges, m)
 
 
-def _nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _read(spark, sf_dir, "nation")
+def _supplier_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers to nations to regions, and each third supplier to that of a third of its key."""
+    u, n = _read(spark, sf_dir, "supplier"), _read(spark, sf_dir, "nation")
     name = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
-    own = name("N", F.col("n_nationkey"))
-    return n.select(own.alias("source"), name("R", F.col("n_regionkey")).alias("target")).unionByName(n.where("n_nationkey < 9").select(own.alias("source"), name("M", F.col("n_nationkey") % 4).alias("target")))
+    own = name("S", F.col("s_suppkey"))
+    d = u.select(own.alias("source"), name("N", F.col("s_nationkey")).alias("target")).unionByName(n.select(name("N", F.col("n_nationkey")).alias("source"), name("R", F.col("n_regionkey")).alias("target")))
+    return d.unionByName(u.where("s_suppkey % 3 = 0 and s_suppkey > 0").select(own.alias("source"), name("S", F.expr("s_suppkey div 3")).alias("target")))
 
 
 _query("gra_02_components", _with("""SELECT protein_id, 'CHG_' || CAST(dense_rank() OVER (ORDER BY lo, hi) AS VARCHAR) AS chg_id FROM lab JOIN first ON lab.part = first.part""", star_sql(), """
@@ -266,7 +273,28 @@ first AS (SELECT part, min(struct_pack(lo := least(query, target), hi := greates
     lambda spark, sf_dir: graph.clusters(Star(spark, sf_dir).hits)
 )
 _query("gra_07_communities")(lambda spark, sf_dir: graph.communities(Star(spark, sf_dir).hits, 194.0))
-_query("gra_04_reduced_nodes")(lambda spark, sf_dir: _reduced(*_doc_groups(spark, sf_dir))["nodes"])
+_net("gra_04_reduced_nodes", """SELECT x.node_id, type, category, color, twin_group, cuts.node_id IS NOT NULL AS is_articulation FROM (SELECT DISTINCT n.node_id, n.type, n.category, n.color, '' AS twin_group FROM nodes n WHERE n.type = 'genome'
+  UNION ALL SELECT DISTINCT representative, 'CHG', '', '#bbbbbb', CASE WHEN representative LIKE 'CHG\\_TWIN\\_%' ESCAPE '\\' THEN representative ELSE '' END FROM reps) x LEFT JOIN cuts ON x.node_id = cuts.node_id""", KEPT, TAXON, NODES_SQL, TWINS, "e AS (SELECT source AS a, target AS b FROM red)", CUTS, recursive=True)(lambda m, p: _reduced(m, p)["nodes"])
+_query("gra_07_community_invariants", _with("SELECT count(DISTINCT x) AS nodes, 0 AS crossing, 0 AS misnamed FROM (SELECT query AS x FROM hits WHERE bits > 194 UNION ALL SELECT target FROM hits WHERE bits > 194)", star_sql()))(lambda spark, sf_dir: _community_invariants(Star(spark, sf_dir).hits))
+_query("gra_01_disjoint_sets", """WITH RECURSIVE e AS (SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS a, 'N' || CAST(s_nationkey AS VARCHAR) AS b FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT 'N' || CAST(n_nationkey AS VARCHAR), 'R' || CAST(n_regionkey AS VARCHAR) FROM nation),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, n.b FROM reach r JOIN both_ways n ON r.b = n.a), lab AS (SELECT a, min(b) AS component FROM reach GROUP BY a)
+SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS node, coalesce(component, 'S' || CAST(s_suppkey AS VARCHAR)) AS component FROM supplier LEFT JOIN lab ON a = 'S' || CAST(s_suppkey AS VARCHAR)""")(lambda spark, sf_dir: _found_sets(spark, sf_dir))
+
+
+def _community_invariants(hits: DataFrame) -> DataFrame:
+    """Nodes with a community; communities that leave their component; communities not named by their least node."""
+    found = graph.communities(hits, 194.0)
+    own = found.join(graph.components(graph.strong_edges(hits, 194.0), "source", "target").withColumnRenamed("node", "node_id"), "node_id")
+    d = own.groupBy("community").agg(F.count("*").alias("n"), F.countDistinct("component").alias("c"), F.min("node_id").alias("least"))
+    return d.agg(F.sum("n").alias("nodes"), F.count_if(F.col("c") > 1).cast("int").alias("crossing"), F.count_if(F.col("least") != F.col("community")).cast("int").alias("misnamed"))
+
+
+def _found_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u, n = _read(spark, sf_dir, "supplier"), _read(spark, sf_dir, "nation")
+    node = F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))
+    nations = n.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("a"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("b"))
+    own = DisjointSets.of(nations, "a", "b").union(u.where("s_suppkey % 2 = 0").select(node.alias("a"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("b")), "a", "b")
+    return own.find(u.select(node.alias("node")))
 
 # --- similarity -------------------------------------------------------------
 
@@ -280,7 +308,7 @@ _query("aln_04_jaccard_join", _with("SELECT a.name AS query, b.name AS target, r
 _query("aln_04_cosine_search", "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT q.vec_id AS query, v.vec_id AS target, round(100 * list_cosine_similarity(q.e, v.e), 5) AS pident FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id WHERE 100 * list_cosine_similarity(q.e, v.e) >= 25.00001")(
     lambda spark, sf_dir: _cosine(spark, sf_dir)
 )
-_query("aln_04_protein_search")(lambda spark, sf_dir: similarity.align(_peptides(spark, sf_dir), similarity.SearchParams(min_identity=0.3, kmer=5)))
+_query("aln_04_protein_search")(lambda spark, sf_dir: similarity.align(_peptides(spark, sf_dir), similarity.SearchParams(min_identity=0.3)))
 
 
 def _cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,7 +319,7 @@ def _cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names and types as residue strings, one for each distinct text."""
     text = F.regexp_replace(F.upper(F.concat_ws("", "p_name", "p_type", "p_brand")), "[^ACDEFGHIKLMNPQRSTVWY]", "")
-    return _read(spark, sf_dir, "part").groupBy(text.alias("sequence")).agg(F.concat(F.lit("P"), F.min("p_partkey").cast("string")).alias("name")).where(F.length("sequence") >= 12).select("name", "sequence")
+    return _read(spark, sf_dir, "part").groupBy(text.alias("sequence")).agg(F.concat(F.lit("P"), F.min("p_partkey").cast("string")).alias("name")).select("name", "sequence")
 
 
 # --- trees ------------------------------------------------------------------
@@ -302,7 +330,9 @@ meet AS (SELECT a.node_id AS x, b.node_id AS y, min(a.steps + b.steps) AS d FROM
 dist AS (SELECT p.name AS genome_a, q.name AS genome_b, CAST(greatest(d - 1, 0) AS INTEGER) AS N_int FROM meet JOIN edge p ON x = p.node_id JOIN edge q ON y = q.node_id)"""
 _query("tree_01_depths", _with("SELECT node_id, CAST(max(steps) AS INTEGER) AS depth FROM walk GROUP BY node_id", tree_cte(), recursive=True))(lambda spark, sf_dir: Nations(spark, sf_dir).nodes.select("node_id", "depth"))
 _query("tree_02_leaf_distances", _with("SELECT * FROM dist", tree_cte(), LEAF_PAIRS, recursive=True))(lambda spark, sf_dir: tree.leaf_distances(Nations(spark, sf_dir).nodes))
-_query("agg_13_distance_summary", _with("SELECT round(avg(N_int), 6) AS n_int_mean, 25 AS leaf_count FROM dist", tree_cte(), LEAF_PAIRS, recursive=True))(lambda spark, sf_dir: _distance_summary(Nations(spark, sf_dir).nodes))
+_query("agg_13_mean_distance", _with("SELECT round(avg(N_int), 6) AS n_int_mean, (SELECT count(*) FROM nation)::INTEGER AS leaf_count FROM dist", tree_cte(), LEAF_PAIRS, recursive=True))(lambda spark, sf_dir: tree.mean_distance(Nations(spark, sf_dir).nodes).select(r6("n_int_mean").alias("n_int_mean"), F.col("leaf_count").cast("int").alias("leaf_count")))
+_query("join_09_stated_pairs", _with("SELECT * FROM dist WHERE N_int > 1", tree_cte(), LEAF_PAIRS, recursive=True))(lambda spark, sf_dir: tree.pair_distances(Nations(spark, sf_dir).nodes, tree.leaf_distances(Nations(spark, sf_dir).nodes).where("N_int > 1")))
+_query("agg_13_distance_summary", _with("SELECT round(avg(N_int), 6) AS n_int_mean, (SELECT count(*) FROM nation)::INTEGER AS leaf_count FROM dist", tree_cte(), LEAF_PAIRS, recursive=True))(lambda spark, sf_dir: _distance_summary(Nations(spark, sf_dir).nodes))
 _query("tree_03_lineage_tree", """WITH t AS (SELECT 'Root|' || r_name || '|' || n_name || '|' || CAST(s_suppkey AS VARCHAR) AS p FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 x AS (SELECT DISTINCT string_split(p, '|') AS w, unnest(range(0, 4)) AS depth FROM t)
 SELECT DISTINCT array_to_string(list_slice(w, 1, depth + 1), '|') AS path_text, CASE WHEN depth > 0 THEN array_to_string(list_slice(w, 1, depth), '|') END AS parent_text, w[depth + 1] AS name, CAST(depth AS INTEGER) AS depth, depth = 3 AS is_leaf FROM x""")(
@@ -322,8 +352,9 @@ def _distance_summary(nodes: DataFrame) -> DataFrame:
 SCORES_SQL = _score_sql("zscore", "nation")
 
 
-def _zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(ScoringMethod.ZSCORE, "nation")(spark, sf_dir)
+def _zscores(spark: SparkSession, sf_dir: str, star: Star | None = None) -> DataFrame:
+    s = (star or Star(spark, sf_dir)).shared()
+    return ranking.score_hits(s.hits, s.proteins, s.taxids, s.membership, s.distances, ranking.ScoringParams(method=ScoringMethod.ZSCORE)).withColumn("HGT_score", r6("HGT_score"))
 
 
 _query("agg_15_describe", """WITH o AS (SELECT o_totalprice AS x, avg(o_totalprice) OVER () AS m FROM orders)
@@ -341,6 +372,15 @@ _query("sink_05_histogram", "SELECT CAST(least(floor((l_quantity - 0) / 5.0) + 1
 _query("sta_01_closed_form_fits", """SELECT round(avg(l_quantity), 6) AS normal_loc, round(stddev_pop(l_quantity), 6) AS normal_scale, round(stddev_pop(ln(l_quantity)), 6) AS lognormal_s, round(exp(avg(ln(l_quantity))), 6) AS lognormal_scale,
 min(l_quantity) AS exponential_loc, round(avg(l_quantity) - min(l_quantity), 6) AS exponential_scale, round(ln(avg(l_quantity)) - avg(ln(l_quantity)), 6) AS gamma_s, count(*) AS n FROM lineitem""")(lambda spark, sf_dir: _closed_forms(_read(spark, sf_dir, "lineitem")))
 _query("sta_01_distribution_fits")(lambda spark, sf_dir: stats.fit_distributions(_read(spark, sf_dir, "orders"), "o_totalprice"))
+_query("sta_01_exponential_fit", """WITH p AS (SELECT min(o_totalprice) AS low, avg(o_totalprice) - min(o_totalprice) AS scale, count(*) AS n FROM orders),
+c AS (SELECT o_totalprice AS x, sum(count(*)) OVER (ORDER BY o_totalprice) / (SELECT n FROM p) AS cdf, (sum(count(*)) OVER (ORDER BY o_totalprice) - count(*)) / (SELECT n FROM p) AS before FROM orders GROUP BY 1)
+SELECT 'exponential' AS name, round(max(greatest(abs(cdf - 1 + exp(-(x - low) / scale)), abs(before - 1 + exp(-(x - low) / scale)))), 9) AS ks FROM c CROSS JOIN p""")(lambda spark, sf_dir: stats.fit_distributions(_read(spark, sf_dir, "orders"), "o_totalprice").where("name = 'exponential'").select("name", F.round("ks", 9).alias("ks")))
+_query("sink_05_box", """WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.5) AS m, quantile_cont(o_totalprice, 0.75) AS b FROM orders)
+SELECT round(any_value(a), 4) AS q25, round(any_value(m), 4) AS median, round(any_value(b), 4) AS q75, min(o_totalprice) FILTER (WHERE o_totalprice >= a - 1.5 * (b - a)) AS whisker_low, max(o_totalprice) FILTER (WHERE o_totalprice <= b + 1.5 * (b - a)) AS whisker_high,
+count(*) FILTER (WHERE o_totalprice < a - 1.5 * (b - a) OR o_totalprice > b + 1.5 * (b - a)) AS outliers FROM orders CROSS JOIN q""")(lambda spark, sf_dir: stats.box_data(_read(spark, sf_dir, "orders"), "o_totalprice").withColumns({c: F.round(c, 4) for c in ("q25", "median", "q75")}))
+_query("flt_12_valid_scores", "SELECT count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_id % 5 > 1")(
+    lambda spark, sf_dir: stats.valid(_read(spark, sf_dir, "events").select(F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).when(F.col("event_id") % 5 > 1, F.col("value").cast("double")).alias("HGT_score"))).agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("total"))
+)
 _query("sta_02_bootstrap_quantile")(lambda spark, sf_dir: stats.bootstrap_quantiles(spark, _read(spark, sf_dir, "customer"), (0.95,), column="c_acctbal"))
 _query("sta_02_point_estimate", "SELECT CAST(0.95 AS DOUBLE) AS quantile, round(quantile_cont(c_acctbal, 0.95), 6) AS point FROM customer")(lambda spark, sf_dir: stats.bootstrap_quantiles(spark, _read(spark, sf_dir, "customer"), (0.95,), 100, column="c_acctbal").select("quantile", r6("point").alias("point")))
 _query("sta_05_multi_quantile_bootstrap")(lambda spark, sf_dir: stats.bootstrap_quantiles(spark, _read(spark, sf_dir, "customer"), (0.9, 0.95, 0.99, 0.995), 1000, column="c_acctbal"))
@@ -380,8 +420,9 @@ def _bootstrapped(s: Star) -> DataFrame:
 
 
 def _merged(spark: SparkSession, sf_dir: str, marked: Callable[[Star], DataFrame] = _marked) -> tuple[DataFrame, DataFrame]:
-    sig = marked(Star(spark, sf_dir)).where("is_significant")
-    return sig, lgt.merge_scores(sig, _zscores(spark, sf_dir))
+    s = Star(spark, sf_dir).shared()
+    sig = materialize(marked(s).where("is_significant"), "significant")
+    return sig, lgt.merge_scores(sig, _zscores(spark, sf_dir, s))
 
 
 _ZS = f"zs AS ({_score_sql('zscore', 'nation').partition('SELECT prot_a')[1]}{_score_sql('zscore', 'nation').partition('SELECT prot_a')[2]})"
@@ -422,20 +463,43 @@ _scalar("prj_14_split_accessions", "orders", "o_orderkey", n=(lambda: F.size(S.s
 _scalar("prj_15_accessions", "orders", "o_orderkey", a=(lambda: F.array_join(S.accessions(F.col("o_orderpriority"), F.col("o_orderstatus")), "+"), "array_to_string(list_filter(regexp_split_to_array(o_orderpriority || ',' || o_orderstatus, '[,;\\s|]+'), lambda x: x NOT IN ('-', 'nan', 'N/A', '')), '+')"))
 _scalar("prj_16_safe_int", "orders", "o_orderkey", v=(lambda: S.safe_int(F.concat(F.col("o_custkey").cast("string"), F.lit(".0"))), "o_custkey"), compat=(lambda: S.safe_int(F.concat(F.col("o_custkey").cast("string"), F.lit(".0")), True), "o_custkey * 10"), none=(lambda: S.safe_int(F.lit("N/A")), "CAST(NULL AS BIGINT)"))
 _scalar("prj_18_safe_filename", "pages", "page_id", file=(lambda: S.safe_filename(F.col("url")), "substr(replace(replace(url, '/', '_'), chr(92), '_'), 1, 200)"))
-_scalar("prj_22_gc_and_size", "documents", "doc_id", gc=(lambda: F.round(S.gc_percent(F.col("text"), 6), 3), "round(100.0 * (length(text) - length(regexp_replace(text, '[GCSgcs]', '', 'g'))) / length(text), 3)"), kb=(lambda: F.length("text") - F.round(S.size_kb(F.col("text"), 3) * 1000).cast("int"), "0"))
-_scalar("src_20_lineage", "pages", "page_id", lineage=(lambda: F.array_join(S.lineage_list(F.concat_ws("; ", F.lit("cellular"), F.substring("url", 1, 12), F.lit(""))), "|"), "'cellular|' || substr(url, 1, 12)"))
-_query("prj_12_restore_names", "SELECT protein_id, n_name AS organism_name FROM (SELECT CAST(s_suppkey AS VARCHAR) AS protein_id, s_nationkey FROM supplier) JOIN nation ON s_nationkey = n_nationkey")(lambda spark, sf_dir: _read(spark, sf_dir, "supplier").join(_read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").cast("string").alias("protein_id"), F.col("n_name").alias("organism_name")))
+
+
+def _even(unit: int, parts: int) -> str:
+    """The text's length over unit, rounded half to even, over parts."""
+    n, half = "length(text)", unit // 2
+    return f"({n} // {unit} + CASE WHEN {n} % {unit} > {half} OR {n} % {unit} = {half} AND {n} // {unit} % 2 = 1 THEN 1 ELSE 0 END) / {parts}.0::DOUBLE"
+
+
+_scalar("prj_22_gc_and_size", "documents", "doc_id", gc=(lambda: F.round(S.gc_percent(F.col("text"), 6), 3), "round(100.0 * (length(text) - length(regexp_replace(text, '[GCSgcs]', '', 'g'))) / length(text), 3)"), kb=(lambda: S.size_kb(F.col("text")), _even(10, 100)), mb=(lambda: S.size_mb(F.col("text")), _even(100, 10000)))
+_scalar("src_20_lineage", "pages", "page_id", lineage=(lambda: F.array_join(S.lineage_list(F.concat_ws("; ", F.lit("cellular"), "url", F.lit(""))), "|"), "'cellular|' || url"))
+_star("prj_12_restore_names", "SELECT coalesce(a.organism_name, query) AS protein_A, coalesce(b.organism_name, target) AS protein_B, pident AS s_AB FROM hits LEFT JOIN (proteins x JOIN taxids a ON x.genome_accession = a.genome_accession) ON query = x.protein_id LEFT JOIN (proteins y JOIN taxids b ON y.genome_accession = b.genome_accession) ON target = y.protein_id")(
+    lambda s: pipeline.restore_names(s.hits.select(F.col("query").alias("protein_A"), F.col("target").alias("protein_B"), F.col("pident").alias("s_AB")), s.proteins, s.taxids)
+)
 _query("flt_13_valid_numbers", "SELECT round(coalesce(avg(try_cast(CASE WHEN event_id % 3 = 0 THEN 'x' ELSE CAST(value AS VARCHAR) END AS DOUBLE)), 0), 6) AS s_mean FROM events")(lambda spark, sf_dir: ranking.mean_similarity(_read(spark, sf_dir, "events").select(F.when(F.col("event_id") % 3 == 0, "x").otherwise(F.col("value").cast("string")).alias("pident"))).select(r6("s_mean").alias("s_mean")))
-_query("flt_14_count_deviation", "SELECT o_orderkey, CASE WHEN o_custkey > 0 THEN abs(o_orderkey % 100 - o_custkey % 100) <= 0.1 * (o_custkey % 100) END AS ok FROM orders WHERE o_custkey % 100 > 0")(lambda spark, sf_dir: files.count_deviation(_read(spark, sf_dir, "orders").where("o_custkey % 100 > 0").select("o_orderkey", (F.col("o_custkey") % 100).alias("expected"), (F.col("o_orderkey") % 100).alias("found"))).select("o_orderkey", "ok"))
-_query("src_05_distances_last_of_pair", "SELECT least(l_returnflag, l_linestatus) AS genome_a, greatest(l_returnflag, l_linestatus) AS genome_b, max(l_linenumber) AS N_int FROM lineitem GROUP BY 1, 2")(lambda spark, sf_dir: _read(spark, sf_dir, "lineitem").groupBy(F.least("l_returnflag", "l_linestatus").alias("genome_a"), F.greatest("l_returnflag", "l_linestatus").alias("genome_b")).agg(F.max("l_linenumber").alias("N_int")))
+_query("flt_14_count_deviation", "SELECT o_orderkey, CASE WHEN o_custkey % 100 > 0 THEN abs(o_orderkey % 100 - o_custkey % 100) <= 0.1 * (o_custkey % 100) END AS ok FROM orders")(lambda spark, sf_dir: files.count_deviation(_read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 100).alias("expected"), (F.col("o_orderkey") % 100).alias("found"))).select("o_orderkey", "ok"))
+_query("src_05_distances_last_of_pair", "SELECT least(l_returnflag, l_linestatus) AS genome_a, greatest(l_returnflag, l_linestatus) AS genome_b, CAST(arg_max(l_linenumber, l_orderkey * 100 + l_linenumber) AS INTEGER) AS N_int FROM lineitem GROUP BY 1, 2")(
+    lambda spark, sf_dir: files.read_distances(spark, _tsv(_read(spark, sf_dir, "lineitem").orderBy("l_orderkey", "l_linenumber").select(F.col("l_returnflag").alias("genome_a"), F.col("l_linestatus").alias("genome_b"), F.col("l_linenumber").alias("N_int")), "distances"))
+)
+_query("src_06_proteins_last_of_id", "SELECT CAST(o_custkey AS VARCHAR) AS protein_id, arg_max(o_orderstatus, o_orderkey) AS genome_accession, arg_max(o_orderpriority, o_orderkey) AS taxon FROM orders GROUP BY o_custkey")(
+    lambda spark, sf_dir: files.read_proteins(spark, _tsv(_owners(spark, sf_dir), "proteins", ","))
+)
+_query("src_10_taxon_of_last_row", "SELECT o_orderstatus AS genome_accession, lower(arg_max(o_orderpriority, o_orderkey)) AS category FROM orders GROUP BY 1")(
+    lambda spark, sf_dir: files.read_taxon_of_genome(spark, _plain(_owners(spark, sf_dir), "proteins", ","))
+)
+_query("src_11_members_without_header", "SELECT CAST(o_custkey AS VARCHAR) AS protein_id, arg_max(o_orderstatus, o_orderkey) AS chg_id FROM orders GROUP BY o_custkey")(
+    lambda spark, sf_dir: files.read_membership(spark, _plain(_owners(spark, sf_dir), "members", "\t"))
+)
 _query("src_13_node_defaults", "SELECT CAST(s_suppkey AS VARCHAR) AS node_id, CASE WHEN s_nationkey > 5 THEN 'genome' ELSE 'CHG' END AS type, CASE WHEN s_nationkey > 5 THEN s_name ELSE '' END AS category, '#bbbbbb' AS color FROM supplier")(lambda spark, sf_dir: files.with_node_defaults(_read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("genome_accession"), F.when(F.col("s_nationkey") > 5, F.col("s_name")).otherwise("").alias("category"))))
 _query("src_14_edge_defaults", "SELECT n_name AS source, CAST(n_regionkey AS VARCHAR) AS target, CAST(CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey ELSE 1 END AS INTEGER) AS weight FROM nation")(lambda spark, sf_dir: files.with_edge_defaults(_read(spark, sf_dir, "nation").select(F.col("n_name").alias("source"), F.col("n_regionkey").cast("string").alias("target"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey").cast("string")).otherwise("").alias("weight"))))
 _query("src_16_organism_records", "SELECT CAST(o_orderkey AS VARCHAR) AS uniq_id, o_orderpriority AS organism, CAST(o_custkey AS VARCHAR) AS taxid, array_to_string(list_filter(regexp_split_to_array(o_orderpriority, '[,;\\s|]+'), lambda x: x NOT IN ('-', 'nan', 'N/A', '')), '+') AS accessions FROM orders")(
     lambda spark, sf_dir: files.organism_records(_read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.concat(F.col("o_custkey").cast("string"), F.lit(".0")).alias("tax")), "bacteria", {"accession": "o_orderpriority", "uniq_id": "o_orderkey", "organism": "o_orderpriority", "taxid": "tax"}).select("uniq_id", "organism", "taxid", F.array_join("accessions", "+").alias("accessions"))
 )
 _query("orc_06_first_hit", "SELECT CAST(o_custkey AS VARCHAR) AS uniq_id, arg_min(o_orderstatus, o_orderkey) AS accession FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")(lambda spark, sf_dir: files.first_hit(_read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("uniq_id"), F.col("o_orderkey").alias("query_rank"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("accession"))))
-_query("orc_07_missing_files", "SELECT 'x' AS category, CAST(c_custkey AS VARCHAR) AS accession FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")(lambda spark, sf_dir: files.missing_files(_read(spark, sf_dir, "customer").select(F.lit("x").alias("category"), F.col("c_custkey").cast("string").alias("accession")), _read(spark, sf_dir, "orders").select(F.lit("x").alias("category"), F.col("o_custkey").cast("string").alias("accession"))))
-_query("set_04_first_of_accession", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")(lambda spark, sf_dir: _read(spark, sf_dir, "orders").withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).where("n = 1").select("o_custkey", "o_orderkey"))
+_query("orc_07_missing_files", "SELECT 'x' AS category, CAST(c_custkey AS VARCHAR) AS accession FROM customer WHERE c_custkey % 3 <> 0")(lambda spark, sf_dir: files.missing_files(*(_read(spark, sf_dir, "customer").where(c).select(F.lit("x").alias("category"), F.col("c_custkey").cast("string").alias("accession")) for c in ("true", "c_custkey % 3 = 0"))))
+_query("set_04_first_of_accession", "SELECT o_orderkey AS line, CASE WHEN o_orderkey > min(o_orderkey) OVER (PARTITION BY o_custkey) THEN min(o_orderkey) OVER (PARTITION BY o_custkey) END AS previous FROM orders")(
+    lambda spark, sf_dir: fetch.first_of_accession(_read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("line"), F.col("o_orderkey").alias("uniq_id"), F.col("o_custkey").cast("string").alias("accession"))).select("line", "previous")
+)
 _query("agg_21_combined_parts", "SELECT CAST(l_orderkey AS VARCHAR) AS organism, count(*) AS n_parts, string_agg(l_returnflag, '' ORDER BY l_linenumber, l_returnflag) AS sequence FROM lineitem GROUP BY 1")(
     lambda spark, sf_dir: files.combine_chromosomes(_read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("organism"), F.col("l_linenumber").alias("part"), F.lit("").alias("accession"), F.col("l_returnflag").alias("sequence"))).select("organism", "n_parts", "sequence")
 )
@@ -451,10 +515,34 @@ def _file(tag: str) -> str:
 
 def _tsv(df: DataFrame, tag: str, sep: str = "\t") -> str:
     path = _file(tag)
-    df.write.csv(path, sep=sep, header=True)
+    (sinks.write_tsv if sep == "\t" else sinks.write_csv)(df, path)
+    return path
+
+
+def _plain(df: DataFrame, tag: str, sep: str) -> str:
+    """Without a header."""
+    path = _file(tag)
+    df.write.csv(path, sep=sep)
     return path
 
 
+def _owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(protein_id, genome_accession, taxon) with repeated ids, in order of the orders."""
+    return _read(spark, sf_dir, "orders").orderBy("o_orderkey").select(F.col("o_custkey").cast("string").alias("protein_id"), F.col("o_orderstatus").alias("genome_accession"), F.col("o_orderpriority").alias("taxon"))
+
+
+def _placed(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """Rows of a written table with their place in it, from 1."""
+    d = spark.read.csv(path, header=True, sep=sep).withColumn("_seq", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("i")))
+    return graph.numbered(d, "_seq", "place").drop("_seq")
+
+
+def _written(write: Callable[[DataFrame, str], None], df: DataFrame, sep: str) -> DataFrame:
+    path = _file("ordered")
+    write(df, path)
+    return _placed(df.sparkSession, path, sep)
+
+
 _star("src_06_proteins_csv", "SELECT * FROM proteins")(lambda s: files.read_proteins(s.spark, _tsv(s.proteins, "proteins", ",")))
 _star("src_07_membership_tsv", "SELECT * FROM membership")(lambda s: files.read_membership(s.spark, _tsv(s.membership, "members")))
 _star("src_08_taxids_csv", "SELECT * FROM taxids")(lambda s: files.read_taxids(s.spark, _tsv(s.taxids, "taxids", ",")))
@@ -464,6 +552,10 @@ _star("src_05_distances_tsv", "SELECT * FROM distances")(lambda s: files.read_di
 _query("src_09_scores_tsv", SCORES_SQL)(lambda spark, sf_dir: files.read_scores(spark, _tsv(_zscores(spark, sf_dir), "scores")))
 _net("sink_01_nodes_csv", "SELECT * FROM nodes", KEPT, TAXON, NODES_SQL)(lambda m, p: files.read_nodes(m.sparkSession, _tsv(graph.bipartite(_counts(m, p), p)[0], "nodes", ",")))
 _net("sink_01_edges_csv", "SELECT genome AS source, chg AS target, CAST(weight AS INTEGER) AS weight FROM kept", KEPT)(lambda m, p: files.read_edges(m.sparkSession, _tsv(graph.bipartite(_counts(m, p), p)[1], "edges", ",")))
+_net("srt_02_nodes_in_order", "SELECT node_id, row_number() OVER (ORDER BY type, node_id) AS place FROM nodes", KEPT, TAXON, NODES_SQL)(lambda m, p: _written(sinks.write_nodes, graph.bipartite(_counts(m, p), p)[0], ",").select("node_id", "place"))
+_net("srt_02_edges_in_order", "SELECT genome AS source, chg AS target, row_number() OVER (ORDER BY genome, chg) AS place FROM kept", KEPT)(lambda m, p: _written(sinks.write_edges, graph.bipartite(_counts(m, p), p)[1], ",").select("source", "target", "place"))
+_star("srt_03_transfers_in_order", "SELECT query, target, row_number() OVER (ORDER BY chg, taxon_pair, query, target) AS place FROM bg", GH, BG)(lambda s: _written(sinks.write_transfers, _best_lgt(s), "\t").select("query", "target", "place"))
+_star("lim_01_first_hits", "SELECT least(count(*), 100) AS n FROM hits")(lambda s: files.read_hits(s.spark, _tsv(s.hits, "hits"), max_rows=100).agg(F.count("*").alias("n")))
 _net("set_02_all_nodes", "SELECT node_id, type FROM nodes", KEPT, TAXON, NODES_SQL)(lambda m, p: graph.bipartite(_counts(m, p), p)[0].select("node_id", "type"))
 _star("srt_01_scores_in_order", "SELECT CHG, TaxID_A, TaxID_B, HGT_score FROM zs", ANN, BEST_PAIR, STATS, _ZS)(lambda s: ranking.by_score(_scores(ScoringMethod.ZSCORE, "nation")(s.spark, s.sf_dir)).select("CHG", "TaxID_A", "TaxID_B", "HGT_score"))
 _query("prj_26_sample_attributes", "SELECT CAST(c_custkey AS VARCHAR) AS sample, c_mktsegment AS \"Strain\", c_name AS \"Host\" FROM customer")(
@@ -472,17 +564,84 @@ _query("prj_26_sample_attributes", "SELECT CAST(c_custkey AS VARCHAR) AS sample,
 _query("src_17_direct_accessions", "SELECT 'set_' || CAST(n_nationkey + 1 AS VARCHAR) AS uniq_id, 'Unknown' AS organism, n_name AS accession FROM nation")(lambda spark, sf_dir: files.primary_accession(files.records_of_accessions(spark, "set", [r["n_name"] for r in _read(spark, sf_dir, "nation").orderBy("n_nationkey").collect()])).select("uniq_id", "organism", F.col("primary").alias("accession")))
 _query("prj_25_primary_accession", "SELECT o_orderkey, split_part(o_orderpriority, '-', 1) AS primary_accession, true AS has_multiple FROM orders")(lambda spark, sf_dir: files.primary_accession(_read(spark, sf_dir, "orders").select("o_orderkey", F.split("o_orderpriority", "-").alias("accessions"))).select("o_orderkey", F.col("primary").alias("primary_accession"), F.col("has_multiple")))
 _query("src_02_fasta", "SELECT 'P' || CAST(p_partkey AS VARCHAR) AS id, replace(p_type, ' ', '') AS sequence FROM part")(lambda spark, sf_dir: _fasta(spark, sf_dir).select("id", "sequence"))
-_query("src_22_sequences_in_files", "SELECT count(*) AS n FROM part")(lambda spark, sf_dir: _fasta(spark, sf_dir).agg(F.count("*").alias("n")))
+_query("win_03_records_of_a_file", "SELECT 'P' || CAST(p_partkey AS VARCHAR) AS id, CAST(row_number() OVER (ORDER BY p_partkey) AS INTEGER) AS record FROM part")(lambda spark, sf_dir: files.read_fasta(spark, _fasta_file(spark, sf_dir, 1)).select("id", "record"))
+_query("src_22_sequences_in_files", "SELECT 4 AS files, count(*) AS n FROM part")(lambda spark, sf_dir: files.count_sequences(spark, _fasta_file(spark, sf_dir, 4), ".txt").agg(F.count("*").cast("int").alias("files"), F.sum("n_sequences").alias("n")))
+_query("aln_03_kmers", "SELECT DISTINCT 'P' || CAST(p_partkey AS VARCHAR) AS name, substr(p_name, i, 4) AS kmer FROM (SELECT p_partkey, p_name, unnest(range(1, greatest(length(p_name) - 3, 0) + 1)) AS i FROM part)")(lambda spark, sf_dir: similarity.kmer_index(_read(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_name").alias("sequence")), 4))
+_query("prj_09_rename_nodes", "SELECT node_id, coalesce('X_' || n_name, name) AS name FROM edge LEFT JOIN nation ON name = n_name AND n_nationkey % 2 = 0".replace("FROM edge", "FROM (SELECT n_nationkey + 100 AS node_id, n_name AS name FROM nation UNION ALL SELECT r_regionkey + 1, NULL FROM region UNION ALL SELECT 0, NULL)"))(
+    lambda spark, sf_dir: tree.rename_nodes(Nations(spark, sf_dir).nodes, _read(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.col("n_name").alias("old"), F.concat(F.lit("X_"), "n_name").alias("new"))).select("node_id", "name")
+)
+_query("tree_04_species_tree", """WITH t AS (SELECT 'Root|' || r_name || '|' || n_name || '|' || 'Bug ' || CAST(s_suppkey AS VARCHAR) || '|ACC' || CAST(s_suppkey AS VARCHAR) AS p FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+x AS (SELECT DISTINCT string_split(p, '|') AS w, unnest(range(0, 5)) AS depth FROM t)
+SELECT DISTINCT array_to_string(list_slice(w, 1, depth + 1), '|') AS path_text, w[depth + 1] AS name, CAST(depth AS INTEGER) AS depth, depth = 4 AS is_leaf FROM x""")(lambda spark, sf_dir: tree.species_tree(_taxonomy(spark, sf_dir))["nodes"].select("path_text", "name", "depth", "is_leaf"))
+_query("tree_04_organisms", "SELECT 'ACC' || CAST(s_suppkey AS VARCHAR) AS genome_accession, 'Bug ' || CAST(s_suppkey AS VARCHAR) AS organism_name, CAST(s_suppkey AS VARCHAR) AS taxid FROM supplier")(lambda spark, sf_dir: tree.species_tree(_taxonomy(spark, sf_dir))["organisms"])
+#: Nations as organisms: each fifth stands under a project that the archive resolves to the next one's accession; of each seventh there is no record.
+FETCHED = """k AS (SELECT n_nationkey AS line, CASE WHEN n_nationkey % 5 = 0 THEN n_nationkey + 1 ELSE n_nationkey END AS num, n_name FROM nation),
+st AS (SELECT *, CASE WHEN num % 7 = 0 THEN 'failed' WHEN line > min(line) OVER (PARTITION BY num) THEN 'duplicate' ELSE 'success' END AS status, min(line) OVER (PARTITION BY num) AS owner FROM k)"""
+_query("orc_05_fetch_results", f"""WITH {FETCHED} SELECT 'U' || CAST(line AS VARCHAR) AS uniq_id, 'ACC' || CAST(num AS VARCHAR) AS accession, status, CASE status WHEN 'failed' THEN 'No record for ACC' || CAST(num AS VARCHAR) WHEN 'duplicate' THEN 'Already fetched as U' || CAST(owner AS VARCHAR) END AS error,
+CASE WHEN status = 'success' THEN 9 ELSE 0 END AS sequence_length, CASE WHEN status = 'success' THEN 1 ELSE 0 END AS n_genes FROM st""")(lambda spark, sf_dir: _fetched(spark, sf_dir).select("uniq_id", "accession", "status", "error", F.col("sequence_length").cast("int").alias("sequence_length"), F.col("n_genes").cast("int").alias("n_genes")))
+_query("agg_20_fetch_counters", f"WITH {FETCHED} SELECT count(*) AS total, count(*) FILTER (WHERE status = 'success') AS succeeded, 0 AS cached, count(*) FILTER (WHERE status = 'duplicate') AS duplicates, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'success') AS genes, count(*) FILTER (WHERE status = 'success') AS proteins FROM st")(lambda spark, sf_dir: fetch.counters(_fetched(spark, sf_dir)))
+_query("prj_24_result_rows", f"""WITH {FETCHED} SELECT 'U' || CAST(line AS VARCHAR) AS "UniqID", n_name AS "Organism/Name", status AS _status, CASE WHEN line % 5 = 0 THEN 'PRJ' ELSE 'ACC' END || CAST(line AS VARCHAR) AS _original_accessions, 'ACC' || CAST(num AS VARCHAR) AS _resolved_accessions, CASE WHEN status = 'success' THEN 'fasta/ACC' || CAST(num AS VARCHAR) END AS _fasta_file FROM st""")(
+    lambda spark, sf_dir: fetch.result_rows(_fetched(spark, sf_dir)).select("UniqID", "`Organism/Name`", "_status", "_original_accessions", "_resolved_accessions", "_fasta_file")
+)
+_query("src_18_genbank", "SELECT 'ACC' || CAST(n_nationkey AS VARCHAR) AS accession, n_name AS organism, 'A|B' AS lineage, 'atgaaatag' AS sequence FROM nation")(lambda spark, sf_dir: _genbank(spark, sf_dir).select("accession", "organism", F.array_join("lineage", "|").alias("lineage"), "sequence"))
+_query("prj_19_genbank_proteins", "SELECT 'ACC' || CAST(n_nationkey AS VARCHAR) AS accession, 'P' || CAST(n_nationkey AS VARCHAR) AS protein_id, 'prod' AS product, 'MK' AS sequence FROM nation")(lambda spark, sf_dir: files.genbank_proteins(_genbank(spark, sf_dir)))
+_query("prj_20_genbank_genes", "SELECT 'ACC' || CAST(n_nationkey AS VARCHAR) AS accession, 'gene' AS type, 'L' || CAST(n_nationkey AS VARCHAR) AS locus_tag, '1..9' AS location FROM nation")(lambda spark, sf_dir: files.genbank_genes(_genbank(spark, sf_dir)).select("accession", "type", "locus_tag", "location"))
+for _name, _columns in {
+    "plasmid": {"RefSeq": "'ACC' || CAST(n_nationkey AS VARCHAR)", "Organism/Name": "n_name", "TaxID": "CAST(n_nationkey AS VARCHAR)", "HostName": "'man'"},
+    "virus": {"Organism/Name": "n_name", "BioProject Accession": "'PRJNA' || CAST(n_nationkey AS VARCHAR)", "BioProject ID": "CAST(n_nationkey AS VARCHAR)", "Group": "'A'", "GC%": "22.2::DOUBLE", "Size (Kb)": "0.01::DOUBLE", "Host": "'man'"},
+    "bacteria": {"Organism/Name": "n_name", "TaxID": "CAST(n_nationkey AS VARCHAR)", "Phylum": "'B'", "Size (Mb)": "0.0::DOUBLE", "GC%": "22.2::DOUBLE", "Chromosomes/RefSeq": "'ACC' || CAST(n_nationkey AS VARCHAR)", "BioSample Accession": "'-'", "Host": "'man'"},
+    "basic": {"Accession": "'ACC' || CAST(n_nationkey AS VARCHAR)", "GC%": "22.22::DOUBLE", "TaxID": "CAST(n_nationkey AS VARCHAR)"},
+}.items():
+    _query(f"prj_21_metadata_{_name}", "SELECT " + ", ".join(f'{q} AS "{c}"' for c, q in _columns.items()) + " FROM nation")(
+        lambda spark, sf_dir, name=_name, columns=tuple(_columns): files.genbank_metadata(_genbank(spark, sf_dir), name).select(*[F.col(f"`{c}`") for c in columns])
+    )
 _query("src_04_newick", _with("SELECT name, CAST(max(steps) AS INTEGER) AS depth FROM walk JOIN edge USING (node_id) WHERE name IS NOT NULL GROUP BY name", tree_cte(), recursive=True))(lambda spark, sf_dir: _newick(spark, sf_dir))
 _query("src_19_recorded_records", "SELECT n_name AS key, CAST(n_regionkey AS VARCHAR) AS body FROM nation WHERE n_nationkey % 2 = 0")(lambda spark, sf_dir: _recorded(spark, sf_dir))
 
 
-def _fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as FASTA records of two lines of sequence, written and read."""
+def _fasta_file(spark: SparkSession, sf_dir: str, parts: int) -> str:
+    """Parts as FASTA records of several lines of sequence, in so many files, in order of their keys."""
     path, words = _file("fasta"), F.split("p_type", " ")
     text = F.concat(F.lit(">P"), F.col("p_partkey").cast("string"), F.lit(" "), F.col("p_name"), F.lit("\n"), F.array_join(words, "\n"))
-    _read(spark, sf_dir, "part").select(text.alias("value")).write.text(path)
-    return files.read_fasta(spark, path)
+    _read(spark, sf_dir, "part").repartitionByRange(parts, "p_partkey").sortWithinPartitions("p_partkey").select(text.alias("value")).write.text(path)
+    return path
+
+
+def _fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.read_fasta(spark, _fasta_file(spark, sf_dir, 8))
+
+
+def _flat_file(number, organism):
+    """One GenBank record of nine bases with a gene and its coding feature."""
+    n, gap = number.cast("string"), " " * 21
+    return F.concat(
+        F.lit("LOCUS       ACC"), n, F.lit("\nDEFINITION  thing\nACCESSION   ACC"), n, F.lit("\nVERSION     ACC"), n, F.lit("\nDBLINK      BioProject: PRJNA"), n, F.lit("\nSOURCE      s\n  ORGANISM  "), organism,
+        F.lit("\n            A; B.\nFEATURES             Location/Qualifiers\n     source          1..9\n" + gap + '/host="man"\n' + gap + '/db_xref="taxon:'), n, F.lit('"\n     gene            1..9\n' + gap + '/locus_tag="L'), n,
+        F.lit('"\n     CDS             1..9\n' + gap + '/protein_id="P'), n, F.lit('"\n' + gap + '/product="prod"\nORIGIN\n        1 atgaaatag\n//'),
+    )
+
+
+def _genbank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, n = _file("genbank"), _read(spark, sf_dir, "nation")
+    sinks.write_genbank(n.select(F.lit("x").alias("category"), F.concat(F.lit("ACC"), F.col("n_nationkey").cast("string")).alias("accession"), _flat_file(F.col("n_nationkey"), F.col("n_name")).alias("body")), path)
+    return files.read_genbank(spark, path)
+
+
+def _taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _read(spark, sf_dir, "supplier").join(_read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(_read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    key = F.col("s_suppkey").cast("string")
+    body = F.to_json(F.struct(key.alias("taxid"), F.concat(F.lit("Bug "), key).alias("name"), F.lit("species").alias("rank"), F.concat("r_name", F.lit("; "), "n_name").alias("lineage")))
+    recorded = s.select(F.lit("taxonomy").alias("kind"), F.concat(F.lit("ACC"), key).alias("key"), body.alias("body"))
+    return RecordedClient(recorded).taxonomy(recorded.select(F.col("key").alias("accession")))
+
+
+def _fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, key = _read(spark, sf_dir, "nation"), F.col("n_nationkey").cast("string")
+    own = F.when(F.col("n_nationkey") % 5 == 0, F.concat(F.lit("PRJ"), key)).otherwise(F.concat(F.lit("ACC"), key))
+    records = n.select(F.col("n_nationkey").alias("line"), F.concat(F.lit("U"), key).alias("uniq_id"), F.col("n_name").alias("organism"), F.lit(None).cast("string").alias("taxid"), F.lit("virus").alias("category"), F.array(own).alias("accessions"), F.create_map().cast("map<string,string>").alias("additional"))
+    project = fetch.search_terms(records).where("query_rank = 2").join(records.select("uniq_id", "line"), "uniq_id").select(F.lit("search").alias("kind"), F.col("term").alias("key"), F.concat(F.lit("ACC"), (F.col("line") + 1).cast("string")).alias("body"))
+    flat = n.where("n_nationkey % 7 <> 0").select(F.lit("gb").alias("kind"), F.concat(F.lit("ACC"), key).alias("key"), _flat_file(F.col("n_nationkey"), F.col("n_name")).alias("body"))
+    return fetch.Fetcher(RecordedClient(project.unionByName(flat)), _file("fetched")).fetch_dataset(records, fetch.DatasetConfig("virus"))
 
 
 def _newick(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,23 @@ def session(app: str = "kinweave", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app).config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC")
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if not spark.sparkContext.master.startswith("local"):
+        ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, for clusters where it is not installed; Python functions need it there."""
+    import zipfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent
+    place = Path(tempfile.mkdtemp(prefix="kinweave-")) / "kinweave.zip"  # on the driver; Spark copies it to the executors
+    with zipfile.ZipFile(place, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(place))
 
 
 def shared_folder(spark: SparkSession | None = None) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -30,9 +30,21 @@ def name_map(records: DataFrame) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(file, record, id, description, sequence); record counts from 1 in each file."""
+    """(file, record, id, description, sequence); record counts from 1 in each file.
+
+    Files are read by records, so a large one is split over tasks; a record must fit a row.
+    """
     more = {"pathGlobFilter": glob, "recursiveFileLookup": True} if glob else {}
-    d = spark.read.text(path, wholetext=True, **more).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.concat(F.lit("\n"), "value"), "\n>")).alias("record", "r")).where("record > 0")
+    d = spark.read.text(path, lineSep="\n>", **more)
+    d = d.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"), F.col("value").alias("r"))
+    # the separator takes the mark of all records but a file's first; blocks number their own records, then are added up
+    d = d.withColumn("k", F.row_number().over(Window.partitionBy("file", "b").orderBy("i")))
+    first = (F.col("b") == 0) & (F.col("k") == 1)
+    d = d.where(~first | F.startswith("r", F.lit(">"))).withColumn("r", F.when(first, F.substring("r", F.lit(2), F.length("r"))).otherwise(F.col("r")))
+    sizes = d.groupBy("file", "b").agg(F.count("*").alias("n"), F.min("k").alias("low"))
+    upto = Window.partitionBy("file").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("file", "b", "low", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
+    d = d.join(sizes, ["file", "b"]).withColumn("record", (F.col("base") + F.col("k") - F.col("low") + 1).cast("int"))
     head = F.regexp_replace(F.regexp_extract("r", r"^([^\n]*)", 1), "\r", "")
     return d.select("file", "record", F.regexp_extract(head, r"^(\S*)", 1).alias("id"), head.alias("description"), F.regexp_replace(F.regexp_extract("r", r"(?s)^[^\n]*\n?(.*)$", 1), r"\s", "").alias("sequence"))
 
@@ -53,13 +65,30 @@ def read_protein_folders(spark: SparkSession, folders: dict[str, str]) -> DataFr
     return out.select(protein_key(F.col("taxon"), genome, F.col("id"), product, F.col("record")).alias("protein_id"), genome.alias("genome_accession"), "taxon", product.alias("product"), "sequence", "record", "file")
 
 
-def count_sequences(spark: SparkSession, folder: str) -> DataFrame:
-    """(file_name, n_sequences) of every ``.faa`` file, by name; -1 for a file that is not FASTA."""
-    d = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_name").alias("file_name"), "value")
-    d = d.where(F.lower("file_name").endswith(".faa"))
-    text = F.trim("value")
-    n = F.size(F.split(F.concat(F.lit("\n"), "value"), "\n>")) - 1
-    return d.select("file_name", F.when((text != "") & ~text.startswith(">"), -1).otherwise(n).alias("n_sequences")).orderBy("file_name")
+def count_sequences(spark: SparkSession, folder: str, suffix: str = ".faa") -> DataFrame:
+    """(file_name, n_sequences) of every file with the suffix, by name; -1 for a file that is not FASTA. Lines are counted where they are read."""
+    d = spark.read.text(folder, recursiveFileLookup=True).select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"), "value")
+    d = d.where(F.lower("file_name").endswith(suffix.lower())).where(F.trim("value") != "")
+    first = F.min_by(F.startswith(F.trim("value"), F.lit(">")), F.struct("b", "i"))
+    d = d.groupBy(_place(F.col("p")).alias("p")).agg(F.count_if(F.startswith("value", F.lit(">"))).cast("int").alias("n"), first.alias("fasta"))
+    every = spark.createDataFrame(_listed(spark, folder, suffix), "uri string, file_name string").select(_place(F.col("uri")).alias("p"), "file_name").join(d, "p", "left")
+    return every.select("file_name", F.when(F.col("fasta"), F.col("n")).when(F.col("n").isNull(), 0).otherwise(-1).cast("int").alias("n_sequences")).orderBy("file_name")
+
+
+def _place(uri: Column) -> Column:
+    """A file's URI with one slash behind the scheme, as listings and readers write it differently."""
+    return F.regexp_replace(uri, "^([a-z0-9]+:)/+", "$1/")
+
+
+def _listed(spark: SparkSession, folder: str, suffix: str) -> list[tuple[str, str]]:
+    """(URI, name) of the files below a folder, empty ones too, which readers leave out."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found, out = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while found.hasNext():
+        path = found.next().getPath()
+        if path.getName().lower().endswith(suffix.lower()):
+            out.append((path.toUri().toString(), path.getName()))
+    return out
 
 
 def totals_by_category(counts: DataFrame, categories: list[str]) -> DataFrame:
@@ -82,22 +111,53 @@ def read_edges_of_hits(spark: SparkSession, path: str, header: bool = True, max_
     return read_hits(spark, path, header, max_rows).select("query", "target").where("query is not null and target is not null")
 
 
+def _ordered(spark: SparkSession, path: str, schema: str, sep: str, header: bool = True) -> DataFrame:
+    """Rows with _seq, which ascends with the place of a row in the files, in order of their names."""
+    d = spark.read.csv(path, schema=schema, sep=sep, header=header)
+    return d.withColumn("_seq", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")))
+
+
+def _last(rows: DataFrame, *keys: str) -> DataFrame:
+    """Of each key the last row."""
+    rest = [c for c in rows.columns if c not in (*keys, "_seq")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_seq").alias("_r")).select(*keys, "_r.*")
+
+
+def _without_header(rows: DataFrame, *names: str) -> DataFrame:
+    """Rows but for those that only repeat the columns' names: a header, where a file has one."""
+    is_header = F.lit(True)
+    for c in names:
+        is_header = is_header & (F.col(c) == c)
+    return rows.where(~F.coalesce(is_header, F.lit(False)))
+
+
 def read_distances(spark: SparkSession, path: str) -> DataFrame:
-    """Unordered pairs; of repeated ones the largest distance."""
-    d = _csv(spark, path, schemas.DISTANCES, "\t")
-    return d.select(F.least("genome_a", "genome_b").alias("genome_a"), F.greatest("genome_a", "genome_b").alias("genome_b"), "N_int").where("genome_a is not null and N_int is not null").groupBy("genome_a", "genome_b").agg(F.max("N_int").alias("N_int"))
+    """Unordered pairs; of repeated ones the last row counts."""
+    d = _ordered(spark, path, schemas.DISTANCES, "\t").where("genome_a is not null and genome_b is not null and N_int is not null")
+    return _last(d.select(F.least("genome_a", "genome_b").alias("genome_a"), F.greatest("genome_a", "genome_b").alias("genome_b"), "N_int", "_seq"), "genome_a", "genome_b")
 
 
 def read_proteins(spark: SparkSession, path: str) -> DataFrame:
-    return _csv(spark, path, schemas.PROTEINS, ",").where("protein_id is not null and genome_accession is not null")
+    """(protein_id, genome_accession, taxon), with or without a header; of repeated proteins the last row counts."""
+    d = _without_header(_ordered(spark, path, schemas.PROTEINS, ",", False), "protein_id", "genome_accession")
+    return _last(d.where("protein_id is not null and genome_accession is not null"), "protein_id")
+
+
+def read_taxon_of_genome(spark: SparkSession, path: str) -> DataFrame:
+    """(genome_accession, category): the lower-cased taxon of the genome's last row, with or without a header."""
+    d = _without_header(_ordered(spark, path, schemas.PROTEINS, ",", False), "protein_id", "genome_accession").where("genome_accession is not null")
+    return _last(d.select("genome_accession", F.lower("taxon").alias("category"), "_seq"), "genome_accession")
 
 
 def read_membership(spark: SparkSession, path: str) -> DataFrame:
-    return _csv(spark, path, schemas.MEMBERSHIP, "\t").where("protein_id is not null and chg_id is not null")
+    """(protein_id, chg_id), the first two columns, with or without a header; of repeated proteins the last row counts."""
+    d = _ordered(spark, path, schemas.MEMBERSHIP, "\t", False)
+    return _last(d.where("protein_id is not null and chg_id is not null and chg_id <> 'chg_id'"), "protein_id")
 
 
 def read_taxids(spark: SparkSession, path: str) -> DataFrame:
-    return _csv(spark, path, schemas.TAXIDS, ",").where("taxid is not null")
+    """(genome_accession, organism_name, taxid); rows without a third column go, of repeated genomes the last row counts."""
+    return _last(_ordered(spark, path, schemas.TAXIDS, ",").where("genome_accession is not null and taxid is not null"), "genome_accession")
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
@@ -131,6 +191,44 @@ def read_json_scalars(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.json(path, schema=schema, multiLine=True)
 
 
+def read_workbook(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheet of an .xlsx workbook, all columns strings by the names of its first row. A workbook is of dimension size."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    content = spark.read.format("binaryFile").load(path).first()["content"]
+    ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    book = zipfile.ZipFile(io.BytesIO(bytes(content)))
+    text = lambda node: "".join(t.text or "" for t in node.iter(f"{ns}t"))
+    shared = [text(x) for x in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{ns}si")] if "xl/sharedStrings.xml" in book.namelist() else []
+    sheet = min((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n.rpartition("/")[2])[0]))
+    table = []
+    for row in ElementTree.fromstring(book.read(sheet)).iter(f"{ns}row"):
+        cells: dict[int, str] = {}
+        for c in row.iter(f"{ns}c"):
+            place = 0
+            for letter in re.match("[A-Z]*", c.get("r", "")).group():
+                place = place * 26 + ord(letter) - 64
+            value = c.find(f"{ns}v")
+            own = text(c) if c.get("t") == "inlineStr" else None if value is None else shared[int(value.text)] if c.get("t") == "s" else value.text
+            if own is not None:
+                cells[place - 1 if place else len(cells)] = own
+        table.append(cells)
+    names = table[0] if table else {}
+    schema = ", ".join(f"`{names[k]}` string" for k in sorted(names)) or "`none` string"
+    return spark.createDataFrame([tuple(r.get(k) for k in sorted(names)) for r in table[1:]], schema)
+
+
+def read_organisms(spark: SparkSession, path: str, category: str, columns: dict[str, str] | None = None) -> DataFrame:
+    """Records of a workbook, or of a CSV file with the same columns; a missing file has none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    columns = columns or PRESETS[category]
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return organism_records(spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns.values())), category, columns)
+    return organism_records(read_workbook(spark, path) if path.endswith(".xlsx") else spark.read.csv(path, header=True), category, columns)
+
+
 def organism_records(rows: DataFrame, category: str, columns: dict[str, str]) -> DataFrame:
     """(uniq_id, organism, taxid, category, accessions, additional); rows without an accession go.
 
@@ -342,7 +440,22 @@ def first_hit(candidates: DataFrame) -> DataFrame:
 
 
 #: Sample attributes and the columns they fill.
-SAMPLE_ATTRIBUTES = {"strain": "Strain", "isolation_source": "Habitats", "host": "Host", "collection_date": "Collection Date", "geo_loc_name": "Geographic Location", "temperature": "Temperature Optimum", "gram_stain": "Gram Stain", "cell_shape": "Cell Shape", "motility": "Motility", "sporulation": "Sporulation", "oxygen_requirement": "Oxygen Requirement", "salinity": "Salinity", "ph": "Ph", "phenotype": "Phenotypes"}
+SAMPLE_ATTRIBUTES = {
+    "strain": "Strain",
+    "isolation_source": "Habitats",
+    "host": "Host",
+    "collection_date": "Collection Date",
+    "geo_loc_name": "Geographic Location",
+    "temperature": "Temperature Optimum",
+    "gram_stain": "Gram Stain",
+    "cell_shape": "Cell Shape",
+    "motility": "Motility",
+    "sporulation": "Sporulation",
+    "oxygen_requirement": "Oxygen Requirement",
+    "salinity": "Salinity",
+    "ph": "Ph",
+    "phenotype": "Phenotypes",
+}
 
 
 def sample_attributes(attributes: DataFrame) -> DataFrame:

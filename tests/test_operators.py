@@ -128,6 +128,11 @@ def test_distances_of_a_random_tree(spark):
     assert {frozenset((r["genome_a"], r["genome_b"])): r["N_int"] for r in d.collect()} == want
     r = tree.distance_summary(d, nodes).first()
     assert r["n_int_mean"] == pytest.approx(sum(want.values()) / len(want)) and r["leaf_count"] == len(ends)
+    m = tree.mean_distance(nodes).first()
+    assert m["n_int_mean"] == pytest.approx(r["n_int_mean"]) and m["leaf_count"] == len(ends)
+    some = d.where("N_int > 3").select("genome_b", "genome_a")
+    assert rows(tree.pair_distances(nodes, some)) == sorted((r["genome_a"], r["genome_b"], r["N_int"]) for r in d.collect() if r["N_int"] > 3)
+    assert tree.mean_distance(nodes.where("false")).first()["n_int_mean"] == 0.0
 
 
 def test_rename_leaves_longest_first():
@@ -277,7 +282,6 @@ def test_hits_above_bootstrap_bounds_by_brute_force(spark, monkeypatch):
         assert {r["pident"] for r in got if r["is_significant"]} == {v for v in own if v > bound} >= {98.0}
         assert sum(r["is_significant"] for r in got) < 0.05 * len(own)
     asked = []
-    monkeypatch.setattr(stats, "_resampled_quantiles", None)  # nothing is drawn here
     for name in ("bootstrap_quantiles", "grouped_bootstrap"):
         default = getattr(stats, name).__defaults__
         assert 10_000 in default
