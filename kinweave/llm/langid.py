@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, tidy
+from .shared import slices, small_batches, tidy
 
 BITS = 14
 ORDERS = (1, 2, 3)
@@ -93,14 +93,10 @@ def _crossing(offsets: np.ndarray, n: int, total: int) -> np.ndarray:
     return np.unique(ends[(ends >= 0) & (ends < total)])
 
 
-def _pieces(column, rows: int = 64):
-    for at in range(0, len(column), rows):
-        yield at, column.slice(at, rows)
-
-
-def _row_features(column):
+def _row_features(batch, text: int):
     """For each row: (buckets, shares, has letters)."""
-    for _, part in _pieces(column):
+    for part in slices(batch, text, 64, 1 << 18):
+        part = part.column(text)
         codes, offsets, letters = _codes(part)
         grams = []
         for n in ORDERS:
@@ -119,7 +115,7 @@ def _document_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
 
         df, docs = np.zeros(1 << BITS, np.int64), 0
         for batch in batches:
-            for buckets, _, some in _row_features(batch.column(0)):
+            for buckets, _, some in _row_features(batch, 0):
                 if some:
                     df[buckets] += 1
                     docs += 1
@@ -177,7 +173,7 @@ def train(labelled: DataFrame, params: LangParams = LangParams(), id_col: str =
         import pyarrow as pa
 
         for batch in batches:
-            rows = list(_row_features(batch.column(1)))
+            rows = list(_row_features(batch, 1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([b.astype("<i4").tobytes() for b, _, _ in rows], pa.binary()), pa.array([s.astype("<f4").tobytes() for _, s, _ in rows], pa.binary())], ["lang", "buckets", "shares"]
             )
@@ -208,10 +204,11 @@ def train(labelled: DataFrame, params: LangParams = LangParams(), id_col: str =
     return LangModel(langs, (w * idf[:, None]).astype(np.float32), bias, float(temperature), params.scale)
 
 
-def _judge(column, model: LangModel | None) -> tuple[list[str], list[float]]:
+def _judge(batch, text: int, model: LangModel | None) -> tuple[list[str], list[float]]:
     """(language, score) of each text."""
     preds, scores = [], []
-    for _, part in _pieces(column, 256):
+    for part in slices(batch, text, 256, 1 << 19):
+        part = part.column(text)
         codes, offsets, letters = _codes(part)
         if model is None or not len(codes):
             preds += [UNKNOWN] * len(part)
@@ -243,7 +240,7 @@ def predict(docs: DataFrame, model: LangModel | None, id_col: str = "doc_id") ->
         import pyarrow as pa
 
         for batch in batches:
-            preds, scores = _judge(batch.column(1), model)
+            preds, scores = _judge(batch, 1, model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
 
     return docs.select(id_col, "text").mapInArrow(tidy(run), f"`{id_col}` {kind}, lang_pred string, score double")
@@ -268,7 +265,7 @@ def accepted(docs: DataFrame, least: float = 0.5, params: LangParams = LangParam
         import pyarrow as pa
 
         for batch in batches:
-            preds, scores = _judge(batch.column(text), model)
+            preds, scores = _judge(batch, text, model)
             yield batch.filter(pa.array([p != UNKNOWN and s >= least for p, s in zip(preds, scores, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(tidy(run), docs.schema)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .shared import Words, drop_scratch, materialize, mix64, row_key, tidy
+from .shared import Words, drop_scratch, materialize, mix64, row_key, slices, tidy
 
 
 @dataclass(frozen=True)
@@ -86,8 +86,7 @@ def signatures(docs: DataFrame, params: JaccardParams, id_col: str = "doc_id", t
         rng = np.random.default_rng(20_001)
         mults = rng.integers(0, 1 << 63, size=bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, 1, 512, 1 << 21):
                 grams, offsets, words = _grams(part.column(1), n)
                 count = np.diff(offsets)
                 full = np.flatnonzero(count > 0)

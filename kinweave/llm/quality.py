@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Words, materialize, tidy
+from .shared import Words, materialize, slices, tidy
 
 FEATURES = ("words", "upper", "digits", "symbols", "exclaims", "bars", "stops", "word_length", "distinct", "repeats", "lines", "spaces", "foreign")
 _DIM = len(FEATURES)
@@ -85,8 +85,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, 1, 512):
                 x = _statistics(part.column(1))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * _DIM), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "x"])

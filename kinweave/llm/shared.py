@@ -8,13 +8,15 @@ numpy alone, so no Python object is made per word.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import drop_scratch, materialize, scratch_path
 
-__all__ = ["Words", "drop_scratch", "id_ranges", "kept", "materialize", "mix64", "range_bounds", "range_of", "row_key", "scratch_path", "small_batches", "table", "tidy"]
+__all__ = ["Words", "drop_scratch", "id_ranges", "kept", "materialize", "mix64", "range_bounds", "range_of", "row_key", "scratch_path", "slices", "small_batches", "table", "tidy"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +70,19 @@ def tidy(run, owner: str | None = None):
     return wrapped
 
 
+def slices(batch, text: int, rows: int, size: int = 1 << 20) -> Iterator:
+    """Parts of an Arrow batch of at most so many rows and, but for single longer texts, bytes in the column of that index."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def range_bounds(df: DataFrame, column: str, rows_per_range: int) -> list[int]:
     """Ascending upper cut points that split an integer column into even ranges.
 

@@ -23,7 +23,7 @@ from array import array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import kept, materialize, range_bounds, range_of, scratch_path, tidy
+from .shared import kept, materialize, range_bounds, range_of, scratch_path, slices, tidy
 
 END_ID = 2
 #: Words that a worker remembers, some 200 bytes each.
@@ -214,8 +214,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFr
 
         encode_all = _encoder(tokenizer_path).encode_all
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, 2, 512):
                 ids, offsets = encode_all(part.column(2), end_id)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids], ["doc_id", "tie", "ids"])

@@ -599,6 +599,15 @@ def test_words_and_shingles_across_rows():
     assert part.hashes[:2].tolist() == w.hashes[:2].tolist()
 
 
+def test_slices_by_rows_and_bytes():
+    import pyarrow as pa
+
+    texts = ["a" * k for k in (1, 2, 50, 3, 0, 4, 200, 5, 5, 5)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(11)), pa.array(texts)], ["i", "t"])
+    parts = [p.column(0).to_pylist() for p in shared.slices(batch.slice(1), 1, 3, 60)]
+    assert parts == [[1, 2, 3], [4, 5], [6], [7, 8, 9], [10]] and list(shared.slices(batch.slice(0, 0), 1, 3)) == []
+
+
 def test_ranges(spark):
     df = spark.createDataFrame([(i * i - 50,) for i in range(1000)] + [(None,)], "doc_id long")
     bounds = shared.range_bounds(df.where("doc_id is not null"), "doc_id", 7)
