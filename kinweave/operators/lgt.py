@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import pair, pair_label
-from .ranking import hit_order
+from .ranking import greatest_of, hit_order
 
 
 def genome_hits(hits: DataFrame, proteins: DataFrame, membership: DataFrame) -> DataFrame:
@@ -20,8 +20,7 @@ def genome_hits(hits: DataFrame, proteins: DataFrame, membership: DataFrame) ->
 
 def best_per_cluster(hits: DataFrame) -> DataFrame:
     """The greatest identity of each (chg, taxon_pair); null keys go."""
-    w = Window.partitionBy("chg", "taxon_pair").orderBy(F.desc("pident"), *hit_order())
-    return hits.where("chg is not null and taxon_pair is not null").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return greatest_of(hits.where("chg is not null and taxon_pair is not null"), [F.col("chg"), F.col("taxon_pair")], "pident", hit_order())
 
 
 def in_order(hits: DataFrame) -> DataFrame:

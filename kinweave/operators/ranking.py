@@ -69,11 +69,23 @@ def hit_order(query: str = "query", target: str = "target") -> list[Column]:
     return [*pair(F.col(query), F.col(target)), F.col(query)]
 
 
+def greatest_of(rows: DataFrame, keys: list[Column], value: str, tie: list[Column]) -> DataFrame:
+    """Of each key the row of the greatest value, of equal ones the first in order of the tie; columns as before.
+
+    An aggregation, not a window: partitions are reduced before the shuffle, so a key
+    that many rows share, such as that of hits in no cluster, is no hot task.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    v = F.col(value)
+    first = F.struct(v.isNull().alias("none"), (~F.isnan(v)).alias("nan"), (-v).alias("v"), *[c.alias(f"t{i}") for i, c in enumerate(tie)], F.struct("*").alias("row"))
+    return rows.groupBy(*[k.alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.min(first).alias("_b")).select("_b.row.*")
+
+
 def best_hits(annotated: DataFrame, directional: bool) -> DataFrame:
     """The hit of greatest similarity for each (cluster, taxon pair); ordered pairs if directional."""
     key = [F.col("tax_a"), F.col("tax_b")] if directional else [*pair(F.col("tax_a"), F.col("tax_b"))]
-    w = Window.partitionBy("chg", *key).orderBy(F.desc("pident"), *hit_order())
-    best = annotated.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    rows = annotated.select("chg", "tax_a", "tax_b", "query", "target", "genome_a", "genome_b", "n_int", F.col("pident").cast("double").alias("pident"))
+    best = greatest_of(rows, [F.col("chg"), *key], "pident", hit_order())
     return best.select("chg", "tax_a", "tax_b", F.col("query").alias("prot_a"), F.col("target").alias("prot_b"), "genome_a", "genome_b", "n_int", F.col("pident").alias("similarity"))
 
 

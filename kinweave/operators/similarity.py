@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import pair
 from ..runtime import materialize
 from ..schemas import HITS
+from .ranking import greatest_of
 
 
 @dataclass(frozen=True)
@@ -31,9 +32,7 @@ def drop_self_hits(hits: DataFrame) -> DataFrame:
 
 def dedup_mutual_hits(hits: DataFrame) -> DataFrame:
     """One hit for each unordered pair: the greatest identity, then the first direction."""
-    lo, hi = pair(F.col("query"), F.col("target"))
-    w = Window.partitionBy(lo, hi).orderBy(F.desc("pident"), "query", "target", F.desc("bits"))
-    return hits.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return greatest_of(hits, [*pair(F.col("query"), F.col("target"))], "pident", [F.col("query"), F.col("target"), -F.col("bits")])
 
 
 def kmer_index(sequences: DataFrame, k: int) -> DataFrame:
