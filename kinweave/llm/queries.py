@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, langid, mixing, ngram_join, pii, quality, secrets, tokens, urls
+from . import decontam, filter_audit, fingerprints, langid, mixing, ngram_join, pii, quality, secrets, tokens, urls
 from .shared import table
 
 
@@ -66,6 +66,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 # What SQL can say of an operator whose other columns it cannot: the same call, fewer columns.
 
 
@@ -82,8 +86,8 @@ def llm_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ten = (op1_pii, op2_quality, op3_fingerprints, op4_ngram_jaccard_join, op5_language_id, op6_secrets, op7_url_filter, op8_decontaminate, op9_token_ids, op10_mix_sources)
-    return {f.__name__: f for f in (*ten, llm_pii_base, llm_edited_texts, llm_url_rules)}
+    numbered = (op1_pii, op2_quality, op3_fingerprints, op4_ngram_jaccard_join, op5_language_id, op6_secrets, op7_url_filter, op8_decontaminate, op9_token_ids, op10_mix_sources, op11_filter_audit)
+    return {f.__name__: f for f in (*numbered, llm_pii_base, llm_edited_texts, llm_url_rules)}
 
 
 def _spans_sql(kind: str, order: int, pattern: str, valid: str) -> str:
@@ -137,7 +141,23 @@ o AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY key) AS upto, sum
 SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN rest > 0 AND upto - own < rest AND (upto <= rest OR upto - rest <= rest - (upto - own)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM o JOIN n ON o.source IS NOT DISTINCT FROM n.source"""
 
+#: Failed sets of each text; every order and step of the five filters; the Shapley sum over the orders themselves.
+_AUDIT = r"""WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+f AS (SELECT doc_id, part, len(ws) < 50 AS a, 100 * len(list_distinct(ws)) < 65 * len(ws) AS b, 100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text) AS c,
+  regexp_matches(text, '[#$%&*|]') AS d, doc_id > min(doc_id) OVER (PARTITION BY text) AS e FROM w),
+m AS MATERIALIZED (SELECT part, (CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END || CASE WHEN d THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END) AS failed,
+  count(*) AS n, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS toxic FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT v.x || w.x || y.x || z.x || u.x AS filter_order FROM l v, l w, l y, l z, l u WHERE len(list_distinct([v.x, w.x, y.x, z.x, u.x])) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS own, filter_order[1:step - 1] AS prior FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, own, n, good, toxic, failed, contains(failed, own) AS fails, NOT regexp_matches(failed, '[' || prior || '-]') AS passed FROM m, s),
+g AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (WHERE NOT fails AND passed), 0) AS kept, coalesce(sum(n) FILTER (WHERE fails AND passed), 0) AS removed,
+  coalesce(sum(n) FILTER (WHERE fails AND NOT passed), 0) AS redundant, coalesce(sum(n) FILTER (WHERE failed = own), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (WHERE fails AND passed), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE fails AND passed), 0) AS toxic_lost FROM r GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM g"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of what SQL can express; the models, fingerprints and tokens are tested against plain versions."""
-    return {"op4_ngram_jaccard_join": _JACCARD, "op10_mix_sources": _MIX, "llm_pii_base": _PII, "llm_edited_texts": _EDITED, "llm_url_rules": _RULES}
+    return {"op4_ngram_jaccard_join": _JACCARD, "op10_mix_sources": _MIX, "op11_filter_audit": _AUDIT, "llm_pii_base": _PII, "llm_edited_texts": _EDITED, "llm_url_rules": _RULES}
