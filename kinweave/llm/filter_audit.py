@@ -49,15 +49,15 @@ CONDITIONS: dict[str, Condition] = {
     "D": lambda text, words: text.rlike("[#$%&*|]"),
 }
 DUPLICATE = "E"
-WORD = r"[^\x20\x09-\x0D]++"
+SPACE = r"[\x20\x09-\x0D]++"
 
 
 def class_keys(text: Column, block_hash: Callable[[Column], Column] = F.xxhash64) -> Column:
     """array<long>: the length, then for each block a hash of the key before it and the block."""
     ends = [FIRST_BLOCK * (GROWTH**k - 1) // (GROWTH - 1) for k in range(BLOCKS + 1)]
     blocks = F.array(*[F.struct(F.lit(min(a, 2**31 - 1)).alias("a"), F.lit(min(b - a, 2**31 - 1)).alias("n")) for a, b in zip(ends[:-1], ends[1:], strict=True)])
-    used = F.filter(blocks, lambda b: b["a"] < F.length(text))
-    hashes = F.transform(used, lambda b: block_hash(F.substring(text, b["a"] + 1, b["n"])))
+    # the length is bound once: in each block it would be counted anew
+    hashes = F.flatten(F.transform(F.array(F.length(text)), lambda n: F.transform(F.filter(blocks, lambda b: b["a"] < n), lambda b: block_hash(F.substring(text, b["a"] + 1, b["n"])))))
     start = F.array(F.length(text).cast("long"))
     return F.aggregate(hashes, start, lambda keys, h: F.concat(keys, F.array(F.xxhash64(F.element_at(keys, -1), h))))
 
@@ -69,7 +69,7 @@ def _whole(text: Column) -> Column:
 def screened(docs: DataFrame, conditions: dict[str, Condition], block_hash=F.xxhash64) -> DataFrame:
     """(doc_id, part, mask, keys, whole): mask has bit k for the k-th condition, whole is a hash of the text. The one scan that splits texts."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
-    d = d.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    d = d.withColumn("words", F.array_remove(F.split("text", SPACE), ""))
     mask = F.lit(0)
     for k, fails in enumerate(conditions.values()):
         mask = mask + F.when(fails(F.col("text"), F.col("words")), 1 << k).otherwise(0)

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, filter_audit, fingerprints, langid, mixing, ngram_join, pii, quality, secrets, tokens, urls
+from . import decontam, filter_audit, fingerprints, langid, mixing, ngram_join, packing, pii, quality, secrets, tokens, urls
 from .shared import table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 # What SQL can say of an operator whose other columns it cannot: the same call, fewer columns.
 
 
@@ -86,7 +90,7 @@ def llm_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    numbered = (op1_pii, op2_quality, op3_fingerprints, op4_ngram_jaccard_join, op5_language_id, op6_secrets, op7_url_filter, op8_decontaminate, op9_token_ids, op10_mix_sources, op11_filter_audit)
+    numbered = (op1_pii, op2_quality, op3_fingerprints, op4_ngram_jaccard_join, op5_language_id, op6_secrets, op7_url_filter, op8_decontaminate, op9_token_ids, op10_mix_sources, op11_filter_audit, op12_best_fit_packing)
     return {f.__name__: f for f in (*numbered, llm_pii_base, llm_edited_texts, llm_url_rules)}
 
 
