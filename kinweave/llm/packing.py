@@ -23,13 +23,14 @@ names; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import kept, materialize, slices, tidy
+from .shared import give_back, kept, materialize, slices, tidy
 
 
 @dataclass(frozen=True)
@@ -42,8 +43,8 @@ class PackParams:
     #: of the configurations found, this share is filled before what is left is grouped anew, while so many pieces a group are left
     round_share: tuple[int, int] = (1, 2)
     least_round: int = 4
-    #: pieces of a bucket, in which they are numbered
-    bucket_rows: int = 50_000
+    #: there are 1 / so many times the square root of all pieces buckets in which they are numbered
+    bucket_share: int = 16
 
 
 #: Fixed value: the pattern by which byte-level models part words.
@@ -84,22 +85,24 @@ class _Encoder:
         import tiktoken
 
         whole = json.loads(self.tokenizer.to_str())
-        model, parts = whole["model"], whole.get("pre_tokenizer") or {}
+        model, parts = whole.pop("model"), whole.get("pre_tokenizer") or {}
         odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
         if model["type"] != "BPE" or any(model.get(k) for k in odd) or whole.get("normalizer") or parts.get("type") != "ByteLevel" or parts.get("add_prefix_space") or not parts.get("use_regex", True):
             return None
         shown = [c for c in range(256) if 0x21 <= c < 0x7F or 0xA1 <= c < 0xAD or c >= 0xAE]
         byte_of = {chr(c): c for c in shown} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}  # how byte-level models write bytes
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        made = [model["vocab"].get(a + b, -1) for a, b in pairs]
+        made = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model.pop("merges")]
         tokens = {t: i for t, i in model["vocab"].items() if t not in self.special}
         if made != sorted(set(made)) or any(c not in byte_of for t in tokens for c in t):
             return None
         ranks = {bytes(byte_of[c] for c in t): i for t, i in tokens.items()}
         second = tiktoken.Encoding("merges", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
         probes = [t for t in (b.decode("utf-8", "ignore") for b in ranks) if t] + ["it's we'll 12 b4 \t\n x  y\n\n", "É é ñandú straße Žižek"]
-        same = all(e.ids == second.encode_ordinary(t) for t, e in zip(probes, self.tokenizer.encode_batch_fast(probes, add_special_tokens=False), strict=True))
-        return second if same else None
+        for at in range(0, len(probes), 500):  # few at a time: what the library returns is large
+            some = probes[at : at + 500]
+            if any(e.ids != second.encode_ordinary(t) for t, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True)):
+                return None
+        return second
 
     def _quick(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Which rows the second implementation may encode."""
@@ -141,6 +144,7 @@ class _Encoder:
 def _encoder(path: str) -> _Encoder:
     if path not in kept.get("packing", {}):
         kept["packing"] = {path: _Encoder(path)}
+        give_back()
     return kept["packing"][path]
 
 
@@ -334,9 +338,11 @@ def numbered_in_length(rows: DataFrame, params: PackParams) -> tuple[DataFrame,
     """(rows with index: 0.. within each length, pieces of each length); rows: materialized pieces.
 
     Buckets are hashes of documents. The counts of a length in each bucket are added up
-    first; a task then numbers one bucket's pieces of a length.
+    first; a task then numbers one bucket's pieces of a length. Neither level holds more
+    than some multiple of the square root of all pieces in one group, whatever share of
+    them has one length.
     """
-    buckets = max(1, rows.count() // params.bucket_rows)
+    buckets = max(1, math.isqrt(rows.count()) // params.bucket_share)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(buckets)))
     counts = materialize(rows.groupBy("length", "bucket").agg(F.count("*").alias("c")), "counts")
     lengths = {r["length"]: r["c"] for r in counts.groupBy("length").agg(F.sum("c").alias("c")).collect()}

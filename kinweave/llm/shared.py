@@ -48,6 +48,19 @@ def release(owner: str | None = None) -> None:
         del kept[name]
 
 
+def give_back() -> None:
+    """Returns freed memory of the worker to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def tidy(run, owner: str | None = None):
     """A function of Arrow batches that gives freed memory back when its task ends, since Python workers live on.
 
@@ -55,17 +68,9 @@ def tidy(run, owner: str | None = None):
     """
 
     def wrapped(batches):
-        import ctypes
-
-        import pyarrow as pa
-
         release(owner)  # a function of the module: what is kept here would be a copy
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        give_back()
 
     return wrapped
 
