@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import pair
 from ..runtime import materialize
 from ..schemas import HITS
+from .joins import join_counted
 from .ranking import greatest_of
 
 
@@ -187,28 +188,67 @@ def shingles(docs: DataFrame, name: str, text: str, n: int = 5) -> DataFrame:
     return d.select("name", F.explode(F.array_distinct(runs)).alias("shingle"))
 
 
-def jaccard_join(features: DataFrame, min_pident: float) -> DataFrame:
-    """(query, target, pident) of names whose feature sets are similar; features: (name, shingle), distinct.
+def feature_sets(features: DataFrame, frequency: DataFrame | None = None) -> DataFrame:
+    """(name, size, s): each name's hashed features, rarest first; features: (name, shingle), distinct.
 
-    Features are hashed to longs once. A shared feature among the rarest of both sets
-    is enough to meet: only the first ``size - ceil(t * size) + 1`` features of each
-    set, rarest first, are joined. Pairs that met are verified on the whole sets.
+    frequency: (h, df) that fixes the order, so that sets made at other times can be
+    joined; features it does not list count as the rarest. Without it features are counted.
     """
-    t = min_pident / 100
     f = features.select("name", F.xxhash64("shingle").alias("h"))
-    counted = f.join(f.groupBy("h").agg(F.count("*").alias("df")), "h")
-    sets = counted.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
-    sets = materialize(sets.select("name", F.size("s").alias("size"), F.transform("s", lambda x: x["h"]).alias("s")), "sets")
-    prefix = sets.select("name", "size", F.explode(F.slice("s", F.lit(1), (F.col("size") - F.ceil(F.lit(t) * F.col("size")) + 1).cast("int"))).alias("h"))
-    x, y = prefix.select("h", F.col("name").alias("query"), F.col("size").alias("sx")), prefix.select("h", F.col("name").alias("target"), F.col("size").alias("sy"))
-    near = x.join(y, "h").where((F.col("query") < F.col("target")) & (F.least("sx", "sy") >= t * F.greatest("sx", "sy"))).select("query", "target").distinct()
-    for side in ("query", "target"):
+    df = f.groupBy("h").agg(F.count("*").alias("df")) if frequency is None else frequency
+    counted = f.join(df, "h", "inner" if frequency is None else "left").select("name", F.struct(F.coalesce("df", F.lit(0).cast("long")).alias("df"), "h").alias("x"))
+    return counted.groupBy("name").agg(F.sort_array(F.collect_list("x")).alias("s")).select("name", F.size("s").alias("size"), F.transform("s", lambda x: x["h"]).alias("s"))
+
+
+def set_key(s: Column) -> list[Column]:
+    """128 bits of a sorted set, as two columns."""
+    return [F.xxhash64(F.lit(1), s).alias("k1"), F.xxhash64(F.lit(2), s).alias("k2")]
+
+
+def distinct_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sets: name, size, s, k1, k2, one for each equal set, under its least name; copies: name, copy_of); sets: materialized.
+
+    A set may have any number of copies: they are counted before the shuffle and never
+    stand in one row.
+    """
+    keyed = sets.select("name", "size", "s", *set_key(F.col("s")))
+    own = materialize(keyed.groupBy("k1", "k2").agg(F.min("name").alias("copy_of"), F.any_value("size").alias("size"), F.any_value("s").alias("s"), F.count("*").alias("c")), "distinct")
+    named = join_counted(keyed.select("name", "k1", "k2"), own.where("c > 1").select("k1", "k2", "copy_of", "c"), ["k1", "k2"], sets.count())
+    return own.select(F.col("copy_of").alias("name"), "size", "s", "k1", "k2"), named.where("name <> copy_of").select("name", "copy_of")
+
+
+def linked_sets(left: DataFrame, right: DataFrame, min_pident: float, same: bool = False) -> DataFrame:
+    """(query, target, pident) of similar sets of two tables, or of one (``same``, each pair once); tables: of ``feature_sets``, materialized.
+
+    Sets of similarity t share one of the first ``size - ceil(t * size) + 1`` features of
+    both, rarest first. Pairs that meet there carry how many they share so far and how
+    many can still follow the last one; only those that can reach t are verified on
+    whole sets.
+    """
+    t = min_pident / 100
+
+    def prefix(sets: DataFrame, side: str) -> DataFrame:
+        first = F.slice("s", F.lit(1), (F.col("size") - F.ceil(F.lit(t) * F.col("size")) + 1).cast("int"))
+        return sets.select(F.col("name").alias(side), F.col("size").alias(f"n_{side}"), F.posexplode(first).alias(f"at_{side}", "h"))
+
+    met = prefix(left, "query").join(prefix(right, "target"), "h")
+    met = met.where((F.col("query") < F.col("target")) if same else (F.col("query") != F.col("target"))).where(F.least("n_query", "n_target") >= t * F.greatest("n_query", "n_target"))
+    near = met.groupBy("query", "target").agg(F.count("*").alias("c"), *[F.max(x).alias(x) for x in ("at_query", "at_target", "n_query", "n_target")])
+    most = F.col("c") + F.least(F.col("n_query") - F.col("at_query"), F.col("n_target") - F.col("at_target")) - 1
+    near = near.where(most >= t / (1 + t) * (F.col("n_query") + F.col("n_target")) - 1e-6).select("query", "target")
+    for side, sets in (("query", left), ("target", right)):
         near = near.join(sets.select(F.col("name").alias(side), F.col("s").alias(f"s_{side}")), side)
     both = F.size(F.array_intersect("s_query", "s_target"))
     shared = near.select("query", "target", both.alias("c"), (F.size("s_query") + F.size("s_target")).alias("n"))
     return shared.select("query", "target", (100.0 * F.col("c") / (F.col("n") - F.col("c"))).alias("pident")).where(F.col("pident") >= min_pident)
 
 
+def jaccard_join(features: DataFrame, min_pident: float) -> DataFrame:
+    """(query, target, pident) of names whose feature sets are similar; features: (name, shingle), distinct."""
+    sets = materialize(feature_sets(features), "sets")
+    return linked_sets(sets, sets, min_pident, same=True)
+
+
 def cosine_join(vectors: DataFrame, queries: DataFrame, min_pident: float) -> DataFrame:
     """(query, target, pident = 100 cosine): every stated query against all rows, in blocks; vectors, queries: (name, v).
 
