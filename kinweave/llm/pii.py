@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import matches, pieces, placed
+from .spans import apart, matches, pieces, placed
 
 
 def _digits(x: Column) -> Column:
@@ -140,7 +140,7 @@ def find_pii(docs: DataFrame, detectors: tuple[Detector, ...] = BASE + ADDED, te
     if more is not None:
         added = F.filter(F.col("_more"), lambda s: s["score"] >= threshold)
         if base is not None:
-            added = F.filter(added, lambda s: ~F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+            added = apart(added, F.col("_base"))
         every = F.concat(every, added) if every is not None else added
     return d.select(*keep, F.sort_array(every).alias("pii"))
 

@@ -36,12 +36,12 @@ TELLING = ("token", "secret", "key", "password", "passwd", "pwd", "api", "bearer
 HARMLESS = ("commit", "sha", "md5", "checksum", "digest", "hash", "uuid", "guid", "revision", "version", "etag", "integrity", "http", "href", "src", "file", "path", "id")
 #: A run of characters of keys from its start, or from behind its last ``name=``.
 _RUN = (
-    r"(?:(?<![A-Za-z0-9_+/=.-])|(?<=[A-Za-z0-9_+/.-]=))(?![A-Za-z0-9_+/.-]*+=[A-Za-z0-9_+/.-])(?=[A-Za-z0-9_+/=.-]{16})"
+    r"(?:(?<![A-Za-z0-9_+/=.-])|(?<=[A-Za-z0-9_+/.-]=))(?=[A-Za-z0-9_+/=.-]{16})(?![A-Za-z0-9_+/.-]*+=[A-Za-z0-9_+/.-])"
     r"\.*+[A-Za-z0-9_+/=-]++(?:\.++[A-Za-z0-9_+/=-]++)*+"  # a last full stop is none of it
 )
-#: Right behind a telling word and a sign: a value of 8 or more characters, other signs included, up to a space, a quote or the next ``&name=``.
+#: Right behind a telling word and a sign: a value of 8 or more characters, other signs included, up to a space, a quote or the next ``&name=``; of any length.
 _VALUE = r"[^\s\"'`<>&]*[^\s\"'`<>&,;.:?)\]}]"
-_TOLD = r"(?<=[\s\"'=:>])(?<=(?i:" + "|".join(TELLING) + r")[^A-Za-z]{1,6})(?=[^\s\"'`<>=:][^\s\"'`<>&]{7}|[^\s\"'`<>=:&]+&(?!\w+=)[^\s\"'`<>]{6})" + _VALUE + r"(?:&(?!\w+=)" + _VALUE + r"){0,64}"
+_TOLD = r"(?<=[\s\"'=:>])(?=[^\s\"'`<>=:][^\s\"'`<>&]{7}|[^\s\"'`<>=:&]+&(?!\w+=)[^\s\"'`<>]{6})(?<=(?i:" + "|".join(TELLING) + r")[^A-Za-z]{1,6})" + _VALUE + r"(?:&(?!\w+=)" + _VALUE + r")*+"
 CANDIDATE = "(?:" + _TOLD + "|" + _RUN + ")"
 #: Words that ordinary long strings are put together from.
 DICTIONARY = (

@@ -225,3 +225,39 @@ def test_encoders_agree_on_every_letter():
     assert e.second is not None  # no slice differed
     for t, ids in zip(texts, got, strict=True):
         assert ids.tolist() == e.plain(t or "").tolist(), repr(t)
+
+
+# --- many spans in one text ---------------------------------------------------------------
+
+
+def test_many_spans_in_one_text_take_linear_time(spark):
+    """100,000 of each, where a quadratic way takes minutes; values of any number of parts are whole."""
+    import time
+
+    from kinweave.llm import pii, secrets
+
+    n = 100_000
+    mixed = "a@b.co 123-45-6789 ssn "
+    texts = [(1, "a@b.co, " * n), (2, mixed * (n // 2)), (3, "password: aaaabbbb " * n), (4, "token=" + "&".join(f"p{k}7Xx" for k in range(100))), (5, "token=" + "&".join(f"p{k}7Xx" for k in range(20_000)))]
+    docs = frame(spark, [(i, t, "s") for i, t in texts])
+    began = time.monotonic()
+    found = {r["doc_id"]: r["pii"] for r in pii.find_pii(docs.where("doc_id < 3")).collect()}
+    seen = {r["doc_id"]: (r["n_candidates"], r["secrets"]) for r in secrets.find_secrets(docs.where("doc_id > 2"), threshold=0.0).collect()}
+    assert time.monotonic() - began < 60
+    assert [(s["start"], s["end"]) for s in found[1]] == [(8 * k, 8 * k + 6) for k in range(n)]
+    assert [(s["kind"], s["start"]) for s in found[2][:4]] == [("email", 0), ("email", 23), ("ssn", 30), ("email", 46)] and len(found[2]) == n - 1  # a word before tells the second from the first
+    assert seen[3][0] == n and [s["start"] for s in seen[3][1]] == [10 + 19 * k for k in range(n)]
+    assert [[s["text"] for s in seen[k][1]] for k in (4, 5)] == [[dict(texts)[k][6:]] for k in (4, 5)]
+
+
+def test_added_spans_never_overlap_base_spans(spark):
+    """Blocks of base spans against all of them, one by one."""
+    from kinweave.llm.spans import apart
+
+    rng = random.Random(9)
+    span = lambda: (lambda a: (a, a + rng.randint(1, 9)))(rng.randrange(20_000))
+    spans, others = [[span() for _ in range(k)] for k in (700, 2500)]
+    kind = "array<struct<start:int,end:int>>"
+    df = spark.createDataFrame([(spans, others), (spans, []), ([], others)], f"a {kind}, b {kind}")
+    got = [[tuple(s) for s in r["x"]] for r in df.select(apart(F.col("a"), F.col("b")).alias("x")).collect()]
+    assert got == [[(a, b) for a, b in spans if not any(a < d and c < b for c, d in others)], spans, []]
