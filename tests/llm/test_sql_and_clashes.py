@@ -34,7 +34,7 @@ def norm(v):
 @pytest.mark.parametrize("name", sorted(q.oracle_sql()))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         con.execute(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
     df = q.queries()[name](spark, DATA)
     cols = sorted(df.columns)
