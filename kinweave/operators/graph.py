@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import CLUSTER_COLOR, category_color
 from ..runtime import drop_scratch, materialize
+from .joins import self_pairs
+from .ordering import numbered
 
 
 def _scrambled(x: Column) -> Column:
@@ -75,15 +77,6 @@ def clusters(hits: DataFrame, prefix: str = "CHG_") -> DataFrame:
     return comps.join(numbered(first, "seq", "i"), "component").select(F.col("node").alias("protein_id"), F.concat(F.lit(prefix), F.col("i").cast("string")).alias("chg_id"))
 
 
-def numbered(groups: DataFrame, order: str, name: str, parts: int = 64) -> DataFrame:
-    """groups with 1..n in order, by ranges: no task sees all rows."""
-    d = materialize(groups.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id()), "ranges")
-    upto = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)  # over the parts
-    sizes = d.groupBy("_p").agg(F.count("*").alias("_c")).select("_p", (F.sum("_c").over(upto) - F.col("_c")).alias("_base"))
-    inside = Window.partitionBy("_p").orderBy(order)
-    return d.join(F.broadcast(sizes), "_p").withColumn(name, F.col("_base") + F.row_number().over(inside)).drop("_p", "_base")
-
-
 def genome_cluster_counts(membership: DataFrame, proteins: DataFrame) -> DataFrame:
     """(genome, chg, weight): proteins of each genome in each cluster; unmapped proteins go."""
     joined = membership.join(proteins.select("protein_id", "genome_accession"), "protein_id")
@@ -210,9 +203,9 @@ def reduce_network(nodes: DataFrame, edges: DataFrame, membership: DataFrame) ->
 
 
 def genome_network(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges): genomes, and pairs weighted by the clusters they share."""
-    a, b = counts.select("chg", F.col("genome").alias("source")).distinct(), counts.select("chg", F.col("genome").alias("target")).distinct()
-    edges = a.join(b, "chg").where("source < target").groupBy("source", "target").agg(F.count("*").alias("weight"))
+    """(nodes, edges): genomes, and pairs weighted by the clusters they share; a cluster of many genomes is split over tasks."""
+    pairs = self_pairs(counts.select("chg", "genome").distinct(), ["chg"], "genome")
+    edges = pairs.groupBy(F.col("genome_a").alias("source"), F.col("genome_b").alias("target")).agg(F.count("*").alias("weight"))
     return counts.select(F.col("genome").alias("node_id")).distinct(), edges
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import pair
 from ..runtime import materialize
 from ..schemas import HITS
-from .joins import join_counted
+from .joins import join_counted, self_pairs
 from .ranking import greatest_of
 
 
@@ -20,9 +20,16 @@ class SearchParams:
     min_identity: float = 0.3
     coverage_mode: int = 0
     e_value: float = 1e-5
+    #: "spaced": two spaced seeds of similar residues on one diagonal; "kmer": ``min_shared`` equal k-mers anywhere
+    seeds: str = "spaced"
     kmer: int = 4
     #: k-mers that two sequences must share to be aligned
     min_shared: int = 1
+    #: raw score that the ungapped extension of the seeds must reach, and how far it may fall on the way
+    min_ungapped: int = 45
+    x_drop: int = 20
+    #: residues to each side of the seeds' diagonal that an alignment may take; 0: the whole matrix
+    band: int = 32
     #: "exact": identical columns; "estimated": from the score per column, as fast aligners report it
     identity: str = "exact"
 
@@ -43,12 +50,49 @@ def kmer_index(sequences: DataFrame, k: int) -> DataFrame:
     return sequences.select("name", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("sequence", i, F.lit(k))))).alias("kmer"))
 
 
+#: Residues that replace each other often count as equal in a seed.
+SIMILAR = ("A", "C", "DN", "EQ", "FY", "G", "H", "IV", "KR", "LM", "P", "ST", "W")
+#: Places of the residues of a seed of five; a longer seed goes on in steps of 1, 2, 1, 2, ...
+SPACED = ((0, 1, 2, 4, 6), (0, 1, 3, 4, 7), (0, 2, 3, 5, 8), (0, 1, 4, 6, 7), (0, 3, 4, 6, 9), (0, 1, 2, 3, 4))
+#: Seeds of one diagonal this far apart, or farther, count as two.
+APART = 6
+#: How often two residues of usual shares are of one class.
+ALIKE = 0.095
+
+
+def seed_places(residues: int, by_chance: float = 15.0) -> tuple[tuple[int, ...], ...]:
+    """The shortest seeds that a place shares with at most ``by_chance`` of all places by chance, so that chance pairs grow with the sequences, not with their square."""
+    weight = len(SPACED[0])
+    while residues * ALIKE**weight > by_chance:
+        weight += 1
+    return tuple((*p, *(p[-1] + k + (k + 1) // 2 for k in range(1, weight - len(p) + 1))) for p in SPACED)
+
+
+def spaced_seeds(sequences: DataFrame, seeds: tuple[tuple[int, ...], ...] = SPACED) -> DataFrame:
+    """(seed, name, at) of every place of every spaced seed; places with other letters have none; sequences: (name, sequence)."""
+    letters = "".join(SIMILAR)
+    classes = "".join(chr(97 + k) * len(group) for k, group in enumerate(SIMILAR))
+    d = sequences.select("name", F.translate(F.regexp_replace(F.upper("sequence"), f"[^{letters}]", "-"), letters, classes).alias("s"))
+    span = 1 + max(p[-1] for p in seeds)
+    d = d.where(F.length("s") > 0).select("name", F.explode(F.transform(F.sequence(F.lit(0), F.length("s") - 1), lambda k: F.struct(k.alias("at"), F.substring("s", k + 1, F.lit(span)).alias("s")))).alias("x"))
+    words = [F.concat(*[F.substring("x.s", o + 1, 1) for o in places]) for places in seeds]
+    d = d.select("name", "x.at", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), w.alias("w")) for k, w in enumerate(words)])).alias("x"))
+    return d.where((F.length("x.w") == len(seeds[0])) & ~F.contains("x.w", F.lit("-"))).select(F.xxhash64("x.k", "x.w").alias("seed"), "name", "at")
+
+
 def candidate_pairs(sequences: DataFrame, params: SearchParams) -> DataFrame:
-    """(a, b, shared) with a < b."""
-    index = kmer_index(sequences, params.kmer)
-    x, y = index.select("kmer", F.col("name").alias("a")), index.select("kmer", F.col("name").alias("b"))
-    pairs = x.join(y, "kmer").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    return pairs.where(F.col("shared") >= params.min_shared)
+    """(a, b, shared, diagonal) with a < b; shared: seeds on the diagonal that has most, or k-mers (diagonal 0, of no meaning).
+
+    Frequent seeds are split over tasks; hits of one diagonal are added up before they are shuffled.
+    """
+    if params.seeds == "kmer":
+        pairs = self_pairs(kmer_index(sequences, params.kmer), ["kmer"], "name").groupBy(F.col("name_a").alias("a"), F.col("name_b").alias("b")).agg(F.count("*").alias("shared"))
+        return pairs.where(F.col("shared") >= params.min_shared).withColumn("diagonal", F.lit(0))
+    residues = sequences.agg(F.coalesce(F.sum(F.length("sequence")), F.lit(0))).first()[0]
+    met = self_pairs(spaced_seeds(sequences, seed_places(residues)), ["seed"], "name", ("at",))
+    lines = met.groupBy(F.col("name_a").alias("a"), F.col("name_b").alias("b"), (F.col("at_a") - F.col("at_b")).alias("diagonal")).agg(F.count("*").alias("n"), (F.max("at_a") - F.min("at_a")).alias("span"))
+    lines = lines.where(F.col("span") >= APART)
+    return lines.groupBy("a", "b").agg(F.max("n").alias("shared"), F.max_by("diagonal", F.struct("n", -F.col("diagonal"))).alias("diagonal"))
 
 
 #: The BLOSUM62 matrix, rows and columns in this order of residues.
@@ -86,79 +130,149 @@ ESTIMATE = (0.1656, 0.1141)
 LAMBDA, K = 0.267, 0.041
 
 
-def local_alignments(pairs: list[tuple[str, str]]):
+def _codes(pairs: list[tuple[str, str]]):
+    """Residue numbers of both sides of each pair, -1 behind the end."""
+    import numpy as np
+
+    code = np.full(256, 22, np.int8)
+    for i, c in enumerate(RESIDUES):
+        code[ord(c)] = i
+    out = []
+    for side in (0, 1):
+        rows = np.full((len(pairs), max((len(p[side]) for p in pairs), default=0)), -1, np.int8)
+        for i, p in enumerate(pairs):
+            own = p[side].upper().encode("latin-1", "replace")
+            rows[i, : len(own)] = code[np.frombuffer(own, np.uint8)]
+        out.append(rows)
+    return out
+
+
+def _scores_table():
+    import numpy as np
+
+    return np.array([list(map(int, r.split())) for r in BLOSUM62.strip().splitlines()], np.int32)
+
+
+def ungapped_scores(pairs: list[tuple[str, str]], diagonals, x_drop: int):
+    """The best score of a gapless stretch on each pair's diagonal, which ends where it falls by more than ``x_drop``."""
+    import numpy as np
+
+    if not pairs:
+        return np.zeros(0, np.int32)
+    table, (a, b) = _scores_table(), _codes(pairs)
+    i = np.arange(a.shape[1])[None, :]
+    j = i - np.asarray(diagonals)[:, None]
+    inside = (a >= 0) & (j >= 0) & (j < b.shape[1])
+    y = np.take_along_axis(b, np.clip(j, 0, max(0, b.shape[1] - 1)), axis=1)
+    inside &= y >= 0
+    step = np.where(inside, table[np.maximum(a, 0), np.maximum(y, 0)], -(10**4))
+    best = np.zeros(len(pairs), np.int32)
+    run, top = np.zeros(len(pairs), np.int32), np.zeros(len(pairs), np.int32)
+    for k in range(step.shape[1]):
+        run = run + step[:, k]
+        over = (run <= 0) | (run < top - x_drop)
+        run[over], top[over] = 0, 0
+        top = np.maximum(top, run)
+        best = np.maximum(best, top)
+    return best
+
+
+def local_alignments(pairs: list[tuple[str, str]], diagonals=None, band: int = 0):
     """Affine-gap local alignments: an array of (score, identical, columns, start_a, end_a, start_b, end_b).
 
-    All pairs of a batch advance together, one anti-diagonal at a time; identities,
-    columns and starts travel with the scores, so there is no trace-back.
+    All pairs of a batch advance together, cell by cell; identities, columns and starts
+    travel with the scores, so there is no trace-back. With a band only the cells within
+    it of each pair's diagonal (place in a minus place in b) are computed.
     """
     import numpy as np
 
-    table = np.array([list(map(int, r.split())) for r in BLOSUM62.strip().splitlines()], np.int32)
-    code = {c: i for i, c in enumerate(RESIDUES)}
+    table = _scores_table()
     n, la, lb = len(pairs), max((len(a) for a, _ in pairs), default=0), max((len(b) for _, b in pairs), default=0)
     out = np.zeros((n, 7), np.int64)
     if not n or not la or not lb:
         return out
-    a, b = np.full((n, la), -1, np.int32), np.full((n, lb), -1, np.int32)
-    for i, (x, y) in enumerate(pairs):
-        a[i, : len(x)] = [code.get(c, 22) for c in x.upper()]
-        b[i, : len(y)] = [code.get(c, 22) for c in y.upper()]
+    a, b = _codes(pairs)
     low = -(10**6)
-    # state[:, j] = (score, identical, columns, start_a, start_b) of the best path that ends at (i, j)
-    h, e = np.zeros((n, lb + 1, 5), np.int32), np.full((n, lb + 1, 5), low, np.int32)
+    banded = band > 0 and 2 * band + 1 < lb
+    width = 2 * band + 1 if banded else lb
+    # column w of row i is place i - diagonal - band + w of b, or w itself without a band
+    shift = (-np.asarray(diagonals, np.int64) - band) if banded else np.zeros(n, np.int64)
+    rows = np.arange(n)
+    # state[w] = (score, identical, columns, start_a, start_b) of the best path that ends there; one more column on each side
+    h, e = np.zeros((width + 2, n, 5), np.int32), np.full((width + 2, n, 5), low, np.int32)
     for i in range(la):
-        diag = h[:, 0].copy()
-        new = np.zeros_like(h)
+        x = a[:, i].astype(np.int64)
+        new, fresh_e = np.zeros_like(h), np.full_like(e, low)
         f = np.full((n, 5), low, np.int32)
-        for j in range(lb):
-            up, over = h[:, j + 1], new[:, j]
-            opened = up.copy()
+        for w in range(width):
+            j = shift + w + (i if banded else 0)
+            # above is one column to the right in a band, since its row starts one place earlier
+            above, diag = (h[w + 2], h[w + 1]) if banded else (h[w + 1], h[w])
+            e_above = e[w + 2] if banded else e[w + 1]
+            opened, own = above.copy(), e_above.copy()
             opened[:, 0] -= GAP_OPEN + GAP_EXTEND
-            e[:, j + 1, 0] -= GAP_EXTEND
-            better = opened[:, 0] > e[:, j + 1, 0]
-            e[better, j + 1] = opened[better]
-            e[:, j + 1, 2] += 1
-            opened = over.copy()
+            own[:, 0] -= GAP_EXTEND
+            better = opened[:, 0] > own[:, 0]
+            own[better] = opened[better]
+            own[:, 2] += 1
+            opened = new[w].copy()
             opened[:, 0] -= GAP_OPEN + GAP_EXTEND
             f[:, 0] -= GAP_EXTEND
             better = opened[:, 0] > f[:, 0]
             f[better] = opened[better]
             f[:, 2] += 1
-            x, y = a[:, i], b[:, j]
+            y = np.where((j >= 0) & (j < b.shape[1]), b[rows, np.clip(j, 0, b.shape[1] - 1)], -1).astype(np.int64)
             ok = (x >= 0) & (y >= 0)
             best = diag.copy()
             fresh = best[:, 0] <= 0
-            best[fresh] = (0, 0, 0, i, j)
+            if fresh.any():
+                best[fresh, 0], best[fresh, 1], best[fresh, 2], best[fresh, 3], best[fresh, 4] = 0, 0, 0, i, j[fresh]
             best[:, 0] = np.where(ok, best[:, 0] + table[np.maximum(x, 0), np.maximum(y, 0)], low)
             best[:, 1] += ok & (x == y)
             best[:, 2] += 1
-            for gap in (e[:, j + 1], f):
+            for gap in (own, f):
                 better = gap[:, 0] > best[:, 0]
                 best[better] = gap[better]
-            best[best[:, 0] < 0] = 0
+            own[~ok] = low
+            f[~ok] = low
+            best[(best[:, 0] < 0) | ~ok] = 0
             top = best[:, 0] > out[:, 0]
-            out[top, 0], out[top, 1], out[top, 2], out[top, 3], out[top, 5] = best[top].T
-            out[top, 4], out[top, 6] = i + 1, j + 1
-            diag = up.copy()
-            new[:, j + 1] = best
-        h = new
+            if top.any():
+                out[top, 0], out[top, 1], out[top, 2], out[top, 3], out[top, 5] = best[top].T
+                out[top, 4], out[top, 6] = i + 1, j[top] + 1
+            new[w + 1], fresh_e[w + 1] = best, own
+        h, e = new, fresh_e
     return out
 
 
+def extended_pairs(sequences: DataFrame, params: SearchParams) -> DataFrame:
+    """(a, b, sa, sb, diagonal) of the candidates whose ungapped extension scores enough; k-mer candidates are not extended."""
+    s = sequences.select("name", "sequence")
+    pairs = candidate_pairs(sequences, params).select("a", "b", F.col("diagonal").cast("int").alias("diagonal"))
+    d = pairs.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b").select("a", "b", "sa", "sb", "diagonal")
+
+    def run(batches):
+        for frame in batches:
+            for at in range(0, len(frame), 512):
+                f = frame.iloc[at : at + 512]
+                yield f[ungapped_scores(list(zip(f["sa"], f["sb"], strict=True)), f["diagonal"].to_numpy(), params.x_drop) >= params.min_ungapped]
+
+    return d.mapInPandas(run, d.schema) if params.seeds == "spaced" else d
+
+
 def align(sequences: DataFrame, params: SearchParams = SearchParams(), remove_self_hits: bool = True) -> DataFrame:
-    """Hits of an all-against-all search: k-mer candidates, local alignment in Arrow batches, filters, one hit per pair.
+    """Hits of an all-against-all search: seeds, ungapped and then banded extension in Arrow batches, filters, one hit per pair.
 
     pident is 0 to 100. Both sequences must be covered in coverage mode 0, the target in 1, the query in 2.
+    With ``seeds="kmer"`` there is no ungapped extension, and the whole matrix is aligned.
     """
     import math
 
     size = sequences.agg(F.coalesce(F.sum(F.length("sequence")), F.lit(0))).first()[0]
-    pairs = candidate_pairs(sequences, params)
+    d = extended_pairs(sequences, params)
     if not remove_self_hits:
-        pairs = pairs.unionByName(sequences.select(F.col("name").alias("a"), F.col("name").alias("b"), F.length("sequence").cast("long").alias("shared")))
-    s = sequences.select("name", "sequence")
-    d = pairs.select("a", "b").join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+        d = d.unionByName(sequences.select(F.col("name").alias("a"), F.col("name").alias("b"), F.col("sequence").alias("sa"), F.col("sequence").alias("sb"), F.lit(0).alias("diagonal")))
+    spaced = params.seeds == "spaced"
 
     def run(batches):
         import pandas as pd
@@ -166,7 +280,7 @@ def align(sequences: DataFrame, params: SearchParams = SearchParams(), remove_se
         for frame in batches:
             for at in range(0, len(frame), 512):
                 f = frame.iloc[at : at + 512]
-                r = local_alignments(list(zip(f["sa"], f["sb"], strict=True)))
+                r = local_alignments(list(zip(f["sa"], f["sb"], strict=True)), f["diagonal"].to_numpy(), params.band if spaced else 0)
                 la, lb = f["sa"].str.len().to_numpy(), f["sb"].str.len().to_numpy()
                 bits = (LAMBDA * r[:, 0] - math.log(K)) / math.log(2)
                 columns = r[:, 2].clip(1)

@@ -4,23 +4,43 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fit_quality
 from ..runtime import drop_scratch, materialize
-from .graph import numbered
+from .ordering import cumulative, numbered
 
 
 def valid(scores: DataFrame, column: str = "HGT_score") -> DataFrame:
     return scores.where(F.col(column).isNotNull() & ~F.isnan(column)).select(F.col(column).cast("double").alias("x"))
 
 
-def at_ranks(ranked: DataFrame, ranks: list[int]) -> dict[int, float]:
-    """The values at 1-based ranks; ranked: (x, _n), materialized. As many rows as ranks reach the driver."""
-    spark = ranked.sparkSession
-    wanted = spark.createDataFrame([(int(r),) for r in sorted(set(ranks))], "_n bigint")
-    return {r["_n"]: r["x"] for r in ranked.join(F.broadcast(wanted), "_n").select("_n", "x").collect()}
+def cumulated(values: DataFrame) -> DataFrame:
+    """(x, n, upto) of each distinct value, materialized: how many rows have it, and how many are up to it; values: (x).
+
+    Rows are counted by value before they are shuffled, so a value of any number of rows is one row here.
+    """
+    return materialize(cumulative(values.groupBy("x").agg(F.count("*").alias("n")), "x"), "cumulated")
+
+
+def at_ranks(counts: DataFrame, ranks: list[int]) -> dict[int, float]:
+    """The values at 1-based ranks; counts: of ``cumulated``. The ranks asked for go to the tasks, as many rows come back."""
+    import numpy as np
+
+    wanted = np.unique(np.array(ranks, np.int64))
+
+    def run(batches):
+        import pandas as pd
+
+        for frame in batches:
+            upto = frame["upto"].to_numpy(np.int64)
+            low, high = np.searchsorted(wanted, upto - frame["n"].to_numpy(np.int64), side="right"), np.searchsorted(wanted, upto, side="right")
+            many = high - low
+            at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+            yield pd.DataFrame({"rank": wanted[at], "x": np.repeat(frame["x"].to_numpy(), many)})
+
+    return {r["rank"]: r["x"] for r in counts.mapInPandas(run, "rank bigint, x double").collect()}
 
 
 def _between(n: int, q: float) -> tuple[int, int, float]:
@@ -31,9 +51,9 @@ def _between(n: int, q: float) -> tuple[int, int, float]:
 
 
 def quantiles(values: DataFrame, qs: tuple[float, ...]) -> tuple[int, dict[float, float]]:
-    """(number of rows, exact quantiles, interpolated linearly), by rank: rows are sorted in ranges and only those asked for are looked up; values: (x)."""
-    ranked = materialize(numbered(values, "x", "_n"), "ranked")
-    n = ranked.count()
+    """(number of rows, exact quantiles, interpolated linearly), by rank: distinct values are sorted in ranges and only those asked for are looked up; values: (x)."""
+    ranked = cumulated(values)
+    n = ranked.agg(F.coalesce(F.max("upto"), F.lit(0))).first()[0]
     places = {q: _between(n, q) for q in qs} if n else {}
     at = at_ranks(ranked, [r for low, high, _ in places.values() for r in (low, high)]) if n else {}
     drop_scratch(ranked)
@@ -50,20 +70,16 @@ def describe(scores: DataFrame, column: str = "HGT_score") -> DataFrame:
     return d.withColumn("iqr", F.col("q75") - F.col("q25"))
 
 
-def empirical_cdf(scores: DataFrame, column: str = "HGT_score", parts: int = 64) -> DataFrame:
+def empirical_cdf(scores: DataFrame, column: str = "HGT_score") -> DataFrame:
     """(x, cdf) by distinct value: counts are added up first, then ranges of values, then values in each range."""
-    return _cdf(scores, column, parts).select("x", "cdf")
+    return _cdf(scores, column).select("x", "cdf")
 
 
-def _cdf(scores: DataFrame, column: str, parts: int = 64) -> DataFrame:
+def _cdf(scores: DataFrame, column: str) -> DataFrame:
     """(x, before, cdf): the share of rows below and up to each distinct value."""
-    counts = valid(scores, column).groupBy("x").agg(F.count("*").alias("n"))
-    d = materialize(counts.repartitionByRange(parts, "x").withColumn("_p", F.spark_partition_id()), "ranges")
-    upto = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)  # over the parts
-    sizes = d.groupBy("_p").agg(F.sum("n").alias("_c")).select("_p", (F.sum("_c").over(upto) - F.col("_c")).alias("_base"), F.sum("_c").over(Window.partitionBy()).alias("_all"))
-    inside = Window.partitionBy("_p").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.join(F.broadcast(sizes), "_p").withColumn("_upto", F.col("_base") + F.sum("n").over(inside))
-    return d.select("x", ((F.col("_upto") - F.col("n")) / F.col("_all")).alias("before"), (F.col("_upto") / F.col("_all")).alias("cdf"))
+    d = cumulated(valid(scores, column))
+    d = d.crossJoin(d.agg(F.max("upto").alias("all")))  # a single row
+    return d.select("x", ((F.col("upto") - F.col("n")) / F.col("all")).alias("before"), (F.col("upto") / F.col("all")).alias("cdf"))
 
 
 def histogram(scores: DataFrame, bins: int, low: float, high: float, column: str = "HGT_score") -> DataFrame:
@@ -229,8 +245,8 @@ def bootstrap_quantiles(spark: SparkSession, scores: DataFrame, quantiles: tuple
     import numpy as np
 
     schema = "quantile double, point double, lower double, upper double"
-    ranked = materialize(numbered(valid(scores, column), "x", "_n"), "ranked")
-    n = ranked.count()
+    ranked = cumulated(valid(scores, column))
+    n = ranked.agg(F.coalesce(F.max("upto"), F.lit(0))).first()[0]
     if not n:
         return spark.createDataFrame([], schema)
     drawn = {q: _drawn_ranks(n, q, replicates, [seed, round(q * 10**6)]) for q in quantiles}

@@ -180,6 +180,6 @@ def write_species_tree(taxonomy: DataFrame, folder: str, prefix: str = "reduced"
 
 def assign_taxids(genomes: DataFrame) -> DataFrame:
     """(genome_accession, organism_name, taxid): 1..n as text, by the file's line; genomes: (line, genome_accession, organism_name)."""
-    from .graph import numbered
+    from .ordering import numbered
 
     return numbered(genomes, "line", "_n").select("genome_accession", "organism_name", F.col("_n").cast("string").alias("taxid"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.scorers import ScoringMethod
 from ..operators import graph, lgt, ranking, similarity, stats, tree
+from ..operators.ordering import numbered
 from ..operators.sets import DisjointSets
 from ..runtime import materialize, shared_folder
 from ..sources import fetch, files, sinks
@@ -308,6 +309,16 @@ _query("aln_04_jaccard_join", _with("SELECT a.name AS query, b.name AS target, r
 _query("aln_04_cosine_search", "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT q.vec_id AS query, v.vec_id AS target, round(100 * list_cosine_similarity(q.e, v.e), 5) AS pident FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id WHERE 100 * list_cosine_similarity(q.e, v.e) >= 25.00001")(
     lambda spark, sf_dir: _cosine(spark, sf_dir)
 )
+#: Places of every spaced seed on the letters of the classes, two seeds on one diagonal, the diagonal of most seeds.
+_SEEDS = """
+t AS (SELECT 'P' || CAST(min(p_partkey) AS VARCHAR) AS name, sequence AS s FROM (SELECT p_partkey, regexp_replace(upper(p_name || p_type || p_brand), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS sequence FROM part) GROUP BY sequence),
+c AS (SELECT name, translate(s, 'ACDNEQFYGHIVKRLMPSTW', 'abccddeefghhiijjkllm') AS s FROM t),
+p(k, places) AS (VALUES (0, [0, 1, 2, 4, 6]), (1, [0, 1, 3, 4, 7]), (2, [0, 2, 3, 5, 8]), (3, [0, 1, 4, 6, 7]), (4, [0, 3, 4, 6, 9]), (5, [0, 1, 2, 3, 4])),
+seed AS (SELECT name, k, i AS at, array_to_string(list_transform(places, lambda o: substr(s, CAST(i + o + 1 AS BIGINT), 1)), '') AS w FROM (SELECT name, s, unnest(range(0, length(s))) AS i FROM c), p WHERE i + places[5] < length(s)),
+line AS (SELECT a.name AS a, b.name AS b, a.at - b.at AS diagonal, count(*) AS n FROM seed a JOIN seed b ON a.k = b.k AND a.w = b.w AND a.name < b.name GROUP BY 1, 2, 3 HAVING max(a.at) - min(a.at) >= 6)"""
+_query("aln_01_seed_candidates", _with("SELECT a, b, n AS shared, CAST(diagonal AS INTEGER) AS diagonal FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY n DESC, diagonal) AS r FROM line) WHERE r = 1", _SEEDS))(
+    lambda spark, sf_dir: similarity.candidate_pairs(_peptides(spark, sf_dir), similarity.SearchParams())
+)
 _query("aln_04_protein_search")(lambda spark, sf_dir: similarity.align(_peptides(spark, sf_dir), similarity.SearchParams(min_identity=0.3)))
 
 
@@ -534,7 +545,7 @@ def _owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _placed(spark: SparkSession, path: str, sep: str) -> DataFrame:
     """Rows of a written table with their place in it, from 1."""
     d = spark.read.csv(path, header=True, sep=sep).withColumn("_seq", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("i")))
-    return graph.numbered(d, "_seq", "place").drop("_seq")
+    return numbered(d, "_seq", "place").drop("_seq")
 
 
 def _written(write: Callable[[DataFrame, str], None], df: DataFrame, sep: str) -> DataFrame:

@@ -238,7 +238,7 @@ def test_search_finds_what_full_alignment_finds(spark, identity):
         made += [(f"f{family}_{k}", "".join(rng.choice(residues) if rng.random() < 0.12 * k else c for c in base)) for k in range(5)]
     seqs = spark.createDataFrame(made, "name string, sequence string")
     found = {mode: {tuple(sorted((r["query"], r["target"]))) for r in similarity.align(seqs, similarity.SearchParams(min_identity=0.3, coverage_mode=mode, identity=identity)).collect()} for mode in (0, 1, 2)}
-    every = similarity.align(seqs, similarity.SearchParams(min_identity=0.3, kmer=1, identity=identity))
+    every = similarity.align(seqs, similarity.SearchParams(min_identity=0.3, seeds="kmer", kmer=1, identity=identity))
     want = {tuple(sorted((r["query"], r["target"]))) for r in every.collect()}
     assert found[0] <= want and len(found[0]) >= 0.9 * len(want) and found[0] <= found[1] and found[0] <= found[2]
 
