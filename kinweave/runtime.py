@@ -33,14 +33,20 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(place))
 
 
+#: Folders of sessions without a setting, by application. The setting itself cannot be changed once a session runs.
+_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession | None = None) -> str:
-    """The folder that all machines share; a local one only where Spark itself is local."""
+    """The folder that all machines share: of ``spark.checkpoint.dir``; where it is unset a local one if Spark itself is local, else one of the warehouse."""
     spark = spark or SparkSession.active()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        master = spark.sparkContext.master
-        folder = tempfile.mkdtemp(prefix="kinweave-") if master == "local" or master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_kinweave"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        sc = spark.sparkContext
+        if sc.applicationId not in _folders:
+            local = sc.master == "local" or sc.master.startswith("local[")
+            _folders[sc.applicationId] = tempfile.mkdtemp(prefix="kinweave-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_kinweave"
+        folder = _folders[sc.applicationId]
     return folder.rstrip("/")
 
 
