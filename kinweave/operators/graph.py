@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import CLUSTER_COLOR, category_color
 from ..runtime import drop_scratch, materialize
+from . import biconnected
 from .joins import self_pairs
 from .ordering import numbered
 
@@ -175,17 +176,44 @@ def _cut_vertices(edges: list[tuple[str, str]]) -> list[str]:
     return sorted(cuts)
 
 
-def cut_vertices(edges: DataFrame) -> DataFrame:
-    """(node_id): vertices whose removal splits their component. A component is one task's work."""
-    comps = components(edges, "source", "target")
-    own = edges.select("source", "target").join(comps.withColumnRenamed("node", "source"), "source")
+#: Components of up to so many edges are one task's work each; larger ones are handled by all tasks together, with the same result.
+ONE_TASK_EDGES = 100_000
+
+
+def by_size(edges: DataFrame, comps: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(edges of components of up to ``most`` edges, with component; edges of larger ones); comps: (node, component)."""
+    own = edges.join(comps.withColumnRenamed("node", "source"), "source")
+    sizes = materialize(own.groupBy("component").agg(F.count("*").alias("c")), "sizes")
+    large = sizes.where(F.col("c") > most).select("component")
+    if not large.limit(1).count():
+        return own, edges.where("false")
+    return own.join(sizes.where(F.col("c") <= most).select("component"), "component", "left_semi"), own.join(large, "component", "left_semi").select(edges.columns)
+
+
+def with_numbers(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges with u and v, numbers of source and target; nodes: node, number), materialized."""
+    nodes = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+    nodes = materialize(nodes.withColumn("number", F.monotonically_increasing_id()), "nodes")
+    for side, name in (("source", "u"), ("target", "v")):
+        edges = edges.join(nodes.select(F.col("node").alias(side), F.col("number").alias(name)), side)
+    return materialize(edges, "edges"), nodes
+
+
+def cut_vertices(edges: DataFrame, one_task_edges: int | None = None) -> DataFrame:
+    """(node_id): vertices whose removal splits their component."""
+    edges = edges.select("source", "target")
+    small, large = by_size(edges, components(edges, "source", "target"), ONE_TASK_EDGES if one_task_edges is None else one_task_edges)
 
     def run(frame):
         import pandas as pd
 
         return pd.DataFrame({"node_id": _cut_vertices(list(zip(frame["source"], frame["target"], strict=True)))}, dtype=str)
 
-    return own.groupBy("component").applyInPandas(run, "node_id string")
+    out = small.groupBy("component").applyInPandas(run, "node_id string")
+    if large.limit(1).count():
+        e, nodes = with_numbers(large)
+        out = out.unionByName(nodes.join(biconnected.cut_nodes(e).withColumnRenamed("node", "number"), "number").select(F.col("node").alias("node_id")))
+    return out
 
 
 def reduce_network(nodes: DataFrame, edges: DataFrame, membership: DataFrame) -> dict[str, DataFrame]:
