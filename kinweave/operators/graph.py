@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import CLUSTER_COLOR, category_color
 from ..runtime import drop_scratch, materialize
-from . import biconnected
+from . import biconnected, modularity
 from .joins import self_pairs
 from .ordering import numbered
 
@@ -296,11 +296,15 @@ def _louvain(rows: list[tuple[str, str, float]], total: float, seed: int) -> dic
         graph = merged
 
 
-def communities(hits: DataFrame, min_bitscore: float = 100.0, seed: int = 42) -> DataFrame:
-    """(node_id, community): weighted modularity communities; ids are names of their least node. Components are separate tasks that share the global weight."""
+def communities(hits: DataFrame, min_bitscore: float = 100.0, seed: int = 42, one_task_edges: int | None = None) -> DataFrame:
+    """(node_id, community): weighted modularity communities; ids are names of their least node.
+
+    Small components are one task's work each, larger ones that of all tasks together;
+    all share the global weight.
+    """
     edges = materialize(strong_edges(hits, min_bitscore), "strong")
     total = float(edges.agg(F.sum("weight")).first()[0])
-    own = edges.join(components(edges, "source", "target").withColumnRenamed("node", "source"), "source")
+    small, large = by_size(edges, components(edges, "source", "target"), ONE_TASK_EDGES if one_task_edges is None else one_task_edges)
 
     def run(frame):
         import pandas as pd
@@ -311,4 +315,10 @@ def communities(hits: DataFrame, min_bitscore: float = 100.0, seed: int = 42) ->
             least.setdefault(found[x], x)
         return pd.DataFrame({"node_id": list(found), "community": [least[c] for c in found.values()]}, dtype=str)
 
-    return own.groupBy("component").applyInPandas(run, "node_id string, community string")
+    out = small.groupBy("component").applyInPandas(run, "node_id string, community string")
+    if large.limit(1).count():
+        e, nodes = with_numbers(large)
+        found = materialize(nodes.join(modularity.large_communities(e, total, seed).withColumnRenamed("node", "number"), "number").select("node", "community"), "found")
+        least = found.groupBy("community").agg(F.min("node").alias("least"))
+        out = out.unionByName(found.join(least, "community").select(F.col("node").alias("node_id"), F.col("least").alias("community")))
+    return out

@@ -77,8 +77,11 @@ def empirical_cdf(scores: DataFrame, column: str = "HGT_score") -> DataFrame:
 
 def _cdf(scores: DataFrame, column: str) -> DataFrame:
     """(x, before, cdf): the share of rows below and up to each distinct value."""
-    d = cumulated(valid(scores, column))
-    d = d.crossJoin(d.agg(F.max("upto").alias("all")))  # a single row
+    return _shares(cumulated(valid(scores, column)))
+
+
+def _shares(counts: DataFrame) -> DataFrame:
+    d = counts.crossJoin(counts.agg(F.max("upto").alias("all")))  # a single row
     return d.select("x", ((F.col("upto") - F.col("n")) / F.col("all")).alias("before"), (F.col("upto") / F.col("all")).alias("cdf"))
 
 
@@ -191,8 +194,59 @@ def _gamma_shape(s: float) -> float:
     return k
 
 
+#: Locations that one pass over the values tries, and passes that narrow them down.
+LOCATIONS, NARROWED = 48, 8
+
+
+def gamma_fit(counts: DataFrame) -> tuple[float, float, float] | None:
+    """(shape, location, scale) of the greatest likelihood; counts: (x, n), positive values.
+
+    For a location the best shape and scale follow from the means of the values above it and of their
+    logarithms, so the likelihood is one of the location alone. A pass adds these means up for many
+    locations below the least value; passes narrow them down around the greatest inner
+    maximum. Where there is none, the likelihood grows towards the least value or
+    without end, and the location is 0. None for equal values.
+    """
+    import numpy as np
+
+    x, n = F.col("x"), F.col("n")
+    r = counts.agg(F.sum("n").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), (F.sum(x * n) / F.sum(n)).alias("mean"), (F.sum(F.log("x") * n) / F.sum(n)).alias("log")).first()
+    if not r["n"] or r["high"] <= r["low"]:
+        return None
+    width = r["high"] - r["low"]
+
+    def profile(gaps) -> list[tuple[float, float, float]]:
+        """(log likelihood of a value, shape, scale) for the locations so far below the least value."""
+        means = counts.agg(*[(F.sum(F.log(x - F.lit(float(r["low"] - g))) * n) / F.sum(n)).alias(f"g{k}") for k, g in enumerate(gaps)]).first()
+        out = []
+        for k, g in enumerate(gaps):
+            mean = r["mean"] - r["low"] + g
+            s = math.log(mean) - means[k]
+            shape = _gamma_shape(s) if s > 1e-14 else 1e14
+            out.append(((shape - 1) * means[k] - shape - shape * math.log(mean / shape) - math.lgamma(shape), shape, mean / shape))
+        return out
+
+    gaps, found = width * np.geomspace(1e-6, 1e3, LOCATIONS), None
+    for _ in range(NARROWED):
+        tried = profile(gaps.tolist())
+        value = np.array([v for v, *_ in tried])
+        inner = [k for k in range(1, len(gaps) - 1) if value[k] >= value[k - 1] and value[k] > value[k + 1] and tried[k][1] > 1]
+        if not inner:
+            break
+        best = max(inner, key=lambda k: value[k])
+        found = (tried[best][1], float(r["low"] - gaps[best]), tried[best][2])
+        if gaps[best + 1] - gaps[best - 1] < 1e-7 * (gaps[best] + width):
+            return found
+        gaps = np.linspace(gaps[best - 1], gaps[best + 1], LOCATIONS)
+    if found:
+        return found
+    s = math.log(r["mean"]) - r["log"]
+    shape = _gamma_shape(s)
+    return shape, 0.0, r["mean"] / shape
+
+
 def fit_distributions(scores: DataFrame, column: str = "HGT_score") -> DataFrame:
-    """(name, params, ks, p_value, quality), best first. Normal always; lognormal, gamma (location 0) and exponential if all values are positive."""
+    """(name, params, ks, p_value, quality), best first. Normal always; lognormal, gamma (of three parameters, ``gamma_fit``) and exponential if all values are positive."""
     spark, r = scores.sparkSession, closed_form_fits(scores, column).first()
     schema = "name string, params array<double>, ks double, p_value double"
     if not r["n"]:
@@ -200,10 +254,10 @@ def fit_distributions(scores: DataFrame, column: str = "HGT_score") -> DataFrame
     fits = {"normal": (r["normal_loc"], r["normal_scale"])}
     if r["lognormal_s"] is not None:
         fits |= {"lognormal": (r["lognormal_s"], r["lognormal_scale"]), "exponential": (r["exponential_loc"], r["exponential_scale"])}
-        if r["gamma_s"] and r["gamma_s"] > 1e-12:
-            k = _gamma_shape(r["gamma_s"])
-            fits["gamma"] = (k, 0.0, r["normal_loc"] / k)
-    cdf = _cdf(scores, column)
+    counts = cumulated(valid(scores, column))
+    if r["lognormal_s"] is not None and (gamma := gamma_fit(counts)):
+        fits["gamma"] = gamma
+    cdf = _shares(counts)
 
     def run(batches):
         import pandas as pd

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.scorers import ScoringMethod
-from ..operators import graph, lgt, ranking, similarity, stats, tree
+from ..operators import graph, lgt, modularity, ranking, similarity, stats, tree
 from ..operators.ordering import numbered
 from ..operators.sets import DisjointSets
 from ..runtime import materialize, shared_folder
@@ -277,6 +277,32 @@ _query("gra_07_communities")(lambda spark, sf_dir: graph.communities(Star(spark,
 _net("gra_04_reduced_nodes", """SELECT x.node_id, type, category, color, twin_group, cuts.node_id IS NOT NULL AS is_articulation FROM (SELECT DISTINCT n.node_id, n.type, n.category, n.color, '' AS twin_group FROM nodes n WHERE n.type = 'genome'
   UNION ALL SELECT DISTINCT representative, 'CHG', '', '#bbbbbb', CASE WHEN representative LIKE 'CHG\\_TWIN\\_%' ESCAPE '\\' THEN representative ELSE '' END FROM reps) x LEFT JOIN cuts ON x.node_id = cuts.node_id""", KEPT, TAXON, NODES_SQL, TWINS, "e AS (SELECT source AS a, target AS b FROM red)", CUTS, recursive=True)(lambda m, p: _reduced(m, p)["nodes"])
 _query("gra_07_community_invariants", _with("SELECT count(DISTINCT x) AS nodes, 0 AS crossing, 0 AS misnamed FROM (SELECT query AS x FROM hits WHERE bits > 194 UNION ALL SELECT target FROM hits WHERE bits > 194)", star_sql()))(lambda spark, sf_dir: _community_invariants(Star(spark, sf_dir).hits))
+#: Suppliers, nations and regions, regions in a chain: one component, whose regions are a good partition.
+_REGION_GRAPH = """
+e AS (SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS a, 'N' || CAST(s_nationkey AS VARCHAR) AS b, n_regionkey AS ra, n_regionkey AS rb FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL SELECT 'N' || CAST(n_nationkey AS VARCHAR), 'R' || CAST(n_regionkey AS VARCHAR), n_regionkey, n_regionkey FROM nation
+  UNION ALL SELECT 'R' || CAST(r_regionkey AS VARCHAR), 'R' || CAST(r_regionkey + 1 AS VARCHAR), r_regionkey, r_regionkey + 1 FROM region WHERE r_regionkey < 4),
+ends AS (SELECT ra AS r FROM e UNION ALL SELECT rb FROM e),
+deg AS (SELECT r, count(*) AS k FROM ends GROUP BY r)"""
+
+
+def _region_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The modularity of the regions, and whether the communities found by all tasks together are as good, and stay good when they are found again."""
+    s, n, r = (_read(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    name = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    s = s.join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    edges = s.select(name("S", F.col("s_suppkey")).alias("query"), name("N", F.col("s_nationkey")).alias("target"))
+    edges = edges.unionByName(n.select(name("N", F.col("n_nationkey")).alias("query"), name("R", F.col("n_regionkey")).alias("target")))
+    edges = edges.unionByName(r.where("r_regionkey < 4").select(name("R", F.col("r_regionkey")).alias("query"), name("R", F.col("r_regionkey") + 1).alias("target"))).withColumn("bits", F.lit(200.0))
+    labels = s.select(name("S", F.col("s_suppkey")).alias("node_id"), F.col("n_regionkey").alias("community")).union(n.select(name("N", F.col("n_nationkey")), "n_regionkey")).union(r.select(name("R", F.col("r_regionkey")), "r_regionkey"))
+    own = graph.strong_edges(edges)
+    found = materialize(graph.communities(edges, one_task_edges=0), "communities")
+    by_region = modularity.modularity(own, labels).select(F.col("modularity").alias("q"))
+    by_found = modularity.modularity(own, found)
+    return by_region.crossJoin(by_found).select(r6("q").alias("modularity"), (F.col("modularity") >= F.col("q") - 1e-9).alias("no_less"))  # two single rows
+
+
+_query("gra_07_modularity", _with("SELECT round((SELECT count(*) FROM e WHERE ra = rb) / (SELECT CAST(count(*) AS DOUBLE) FROM e) - sum(k * k) / (4.0 * (SELECT count(*) FROM e) * (SELECT count(*) FROM e)), 6) AS modularity, true AS no_less FROM deg", _REGION_GRAPH))(_region_communities)
 _query("gra_01_disjoint_sets", """WITH RECURSIVE e AS (SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS a, 'N' || CAST(s_nationkey AS VARCHAR) AS b FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT 'N' || CAST(n_nationkey AS VARCHAR), 'R' || CAST(n_regionkey AS VARCHAR) FROM nation),
 both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, n.b FROM reach r JOIN both_ways n ON r.b = n.a), lab AS (SELECT a, min(b) AS component FROM reach GROUP BY a)
 SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS node, coalesce(component, 'S' || CAST(s_suppkey AS VARCHAR)) AS component FROM supplier LEFT JOIN lab ON a = 'S' || CAST(s_suppkey AS VARCHAR)""")(lambda spark, sf_dir: _found_sets(spark, sf_dir))

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from kinweave.operators import biconnected, graph
+from kinweave.operators import biconnected, graph, modularity
 
 
 def rows(df):
@@ -47,3 +47,36 @@ def test_forest_and_places_of_a_random_graph(spark):
         if r["parent"] is not None:
             p = nodes[r["parent"]]
             assert p["first"] < r["first"] <= r["last"] < p["last"]
+
+
+def plain_modularity(edges, label):
+    m = sum(w for *_, w in edges)
+    degree, inside = {}, 0.0
+    for a, b, w in edges:
+        for x in (a, b):
+            degree[label[x]] = degree.get(label[x], 0.0) + w
+        inside += w * (label[a] == label[b])
+    return inside / m - sum(d * d for d in degree.values()) / (4 * m * m)
+
+
+@pytest.mark.parametrize("kind", ["planted", "ring"])
+def test_distributed_communities_are_as_good(spark, kind):
+    """At least 0.95 of the modularity of the one-task version, the same at every run, connected to the least node's name."""
+    rng = random.Random(9)
+    if kind == "planted":
+        pairs = [(a, b) for a in range(240) for b in range(a) if rng.random() < (0.25 if a % 8 == b % 8 else 0.01)]
+    else:
+        pairs = [(12 * c + i, 12 * c + j) for c in range(14) for i in range(12) for j in range(i) if rng.random() < 0.7 or i == j + 1] + [(12 * c, (12 * c + 13) % 168) for c in range(14)]
+    edges = [(f"v{a:03d}", f"v{b:03d}", 100.0 + rng.randrange(100)) for a, b in pairs] + [("x", "y", 300.0)]
+    hits = spark.createDataFrame(edges, "query string, target string, bits double")
+    one = {r["node_id"]: r["community"] for r in graph.communities(hits).collect()}
+    many = {r["node_id"]: r["community"] for r in graph.communities(hits, one_task_edges=0).collect()}
+    kept = [e for e in edges if e[2] > 100]
+    assert set(many) == set(one) and all(c == min(x for x in many if many[x] == c) for c in many.values())
+    got, want = plain_modularity(kept, many), plain_modularity(kept, one)
+    assert got >= 0.95 * want > 0.3
+    labels = spark.createDataFrame(list(many.items()), "node_id string, community string")
+    own = spark.createDataFrame(kept, "source string, target string, weight double")
+    assert modularity.modularity(own, labels).first()[0] == pytest.approx(got, abs=1e-12)
+    alone = modularity.modularity(own, labels.where("false")).first()[0]
+    assert alone == pytest.approx(plain_modularity(kept, {x: x for x in many}), abs=1e-12)

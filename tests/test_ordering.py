@@ -51,3 +51,45 @@ def test_quantiles_of_many_ties(spark):
     cdf = {r["x"]: r["cdf"] for r in stats.empirical_cdf(df).collect()}
     assert cdf[1.0] == pytest.approx(np.mean(np.array(values) <= 1.0)) and max(cdf.values()) == 1.0
     assert stats.quantiles(stats.valid(df.where("false")), (0.5,)) == (0, {})
+
+
+def plain_gamma(x):
+    """Golden section over the logarithm of the gap below the least value; Newton for the shape."""
+    import math
+
+    x = np.array(x)
+
+    def value(t):
+        y = x - x.min() + math.exp(t)
+        m, ln = y.mean(), np.log(y).mean()
+        k = stats._gamma_shape(math.log(m) - ln)
+        return (k - 1) * ln - k - k * math.log(m / k) - math.lgamma(k), k, m / k
+
+    at = np.linspace(math.log(1e-6 * np.ptp(x)), math.log(1e3 * np.ptp(x)), 400)
+    v = [value(t)[0] for t in at]
+    k = max((k for k in range(1, 399) if v[k] >= v[k - 1] and v[k] > v[k + 1] and value(at[k])[1] > 1), key=lambda k: v[k])
+    a, b, g = at[k - 1], at[k + 1], (math.sqrt(5) - 1) / 2
+    for _ in range(80):
+        c, d = b - g * (b - a), a + g * (b - a)
+        a, b = (a, d) if value(c)[0] > value(d)[0] else (c, b)
+    _, shape, scale = value(a)
+    return shape, x.min() - math.exp(a), scale
+
+
+@pytest.mark.parametrize("shape, location", [(2.5, 4.0), (6.0, 0.5), (1.6, 30.0)])
+def test_gamma_of_three_parameters(spark, shape, location):
+    x = location + np.random.default_rng(5).gamma(shape, 2.0, 3000)
+    df = spark.createDataFrame([(float(v),) for v in x], "HGT_score double")
+    fit = {r["name"]: r for r in stats.fit_distributions(df).collect()}["gamma"]
+    assert fit["params"] == pytest.approx(plain_gamma(x), rel=1e-4)
+    at = np.sort(x)
+    cdf = stats.distribution_cdf("gamma", tuple(fit["params"]), at)
+    n = len(x)
+    assert fit["ks"] == pytest.approx(max(np.max(np.arange(1, n + 1) / n - cdf), np.max(cdf - np.arange(n) / n)), abs=1e-9) and fit["ks"] < 0.03
+
+
+def test_gamma_without_an_inner_maximum(spark):
+    one = spark.createDataFrame([(3.0,)] * 5, "HGT_score double")
+    assert "gamma" not in {r["name"] for r in stats.fit_distributions(one).collect()}
+    falling = spark.createDataFrame([(float(v),) for v in 100 - np.random.default_rng(2).exponential(4, 500)], "HGT_score double")
+    assert {r["name"]: r["params"] for r in stats.fit_distributions(falling).collect()}["gamma"][1] == 0.0
