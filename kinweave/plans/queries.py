@@ -6,8 +6,8 @@ Names start with the operator's id. Each runs over its whole tables.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from ..functions.scorers import ScoringMethod
 from ..operators import graph, lgt, modularity, ranking, similarity, stats, tree
 from ..operators.ordering import numbered
 from ..operators.sets import DisjointSets
-from ..runtime import materialize, shared_folder
+from ..runtime import materialize, scratch_path, scratch_scope
 from ..sources import fetch, files, sinks
 from ..sources.remote import RecordedClient
 from . import pipeline
@@ -547,7 +547,7 @@ _query("agg_19_totals_by_category", "SELECT category, coalesce(n, 0) AS n_files,
 
 
 def _file(tag: str) -> str:
-    return f"{shared_folder()}/kinweave-{tag}-{uuid.uuid4().hex}"
+    return scratch_path(SparkSession.active(), tag)
 
 
 def _tsv(df: DataFrame, tag: str, sep: str = "\t") -> str:
@@ -694,8 +694,19 @@ def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return client.fetch_records(n.select(F.col("n_name").alias("key")), "project")
 
 
+def _scoped(f: Query) -> Query:
+    """The query, which leaves only the scratch tables that its result reads."""
+
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with scratch_scope() as scratch:
+            return scratch.keep(f(spark, sf_dir))
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return {name: _scoped(f) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import time
 import uuid
 from contextlib import contextmanager
@@ -50,8 +52,16 @@ def shared_folder(spark: SparkSession | None = None) -> str:
     return folder.rstrip("/")
 
 
+_open = threading.local()
+#: The folder of a scratch table, from a path of one of its files.
+_FOLDER = re.compile(r"^(.*?/kinweave-[^/]*-[0-9a-f]{32})(?=/|$)")
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark)}/kinweave-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/kinweave-{tag}-{uuid.uuid4().hex}"
+    for scope in getattr(_open, "scopes", [])[-1:]:
+        scope.folders.append((spark, path))
+    return path
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -62,17 +72,75 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scratch_folders(df: DataFrame) -> set[str]:
+    """The scratch folders that a plan reads, without their scheme."""
+    return {_plain(m[1]) for name in df.inputFiles() if (m := _FOLDER.match(name))}
+
+
+def _plain(path: str) -> str:
+    return re.sub(r"^file:/*", "/", path)
+
+
 def drop_scratch(*tables: DataFrame) -> None:
     """Deletes the files of materialized tables that no later plan reads."""
-    done = set()
+    done: set[str] = set()
     for df in tables:
-        spark = df.sparkSession
         for name in df.inputFiles():
-            parent = name.rsplit("/", 1)[0]
-            if "/kinweave-" in parent and parent not in done:
-                done.add(parent)
-                path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            if (m := _FOLDER.match(name)) and m[1] not in done:
+                done.add(m[1])
+                _delete(df.sparkSession, m[1])
+
+
+class Scratch:
+    """The folders that a block of work wrote; see ``scratch_scope``."""
+
+    def __init__(self) -> None:
+        self.folders: list[tuple[SparkSession, str]] = []
+        self._kept: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Marks a result: the folders that its plan reads outlive the scope."""
+        self._kept.append(df)
+        return df
+
+    def close(self, failed: bool) -> list[tuple[SparkSession, str]]:
+        """Deletes what no result reads, everything after a failure, and returns what is left."""
+        read = set() if failed else set().union(*[scratch_folders(df) for df in self._kept]) if self._kept else set()
+        left = []
+        for spark, folder in self.folders:
+            if _plain(folder) in read:
+                left.append((spark, folder))
+            else:
+                _delete(spark, folder)
+        return left
+
+
+@contextmanager
+def scratch_scope():
+    """A block whose scratch tables are deleted at its end, but for those that its results still read.
+
+        with scratch_scope() as scratch:
+            return scratch.keep(some_operator(...))
+
+    Tables of a result go to the scope around, or stay until ``drop_scratch`` of the result. Only
+    tables written by the thread that opened the scope belong to it.
+    """
+    scopes = _open.__dict__.setdefault("scopes", [])
+    scope, failed = Scratch(), True
+    scopes.append(scope)
+    try:
+        yield scope
+        failed = False
+    finally:
+        scopes.pop()
+        left = scope.close(failed)
+        if scopes:
+            scopes[-1].folders.extend(left)
 
 
 class Timings:

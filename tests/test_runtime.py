@@ -37,3 +37,45 @@ def test_a_fresh_installation_runs_an_analysis(tmp_path):
     done = subprocess.run([sys.executable, "-c", SCRIPT, str(data)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert done.returncode == 0, done.stdout[-2000:] + done.stderr[-3000:]
     assert (data / "06_hgt" / "hgt_scores").exists()
+
+
+def folders(spark):
+    from kinweave.runtime import shared_folder
+
+    root = Path(shared_folder(spark).removeprefix("file:"))
+    return {p.name for p in root.iterdir() if p.name.startswith("kinweave-")} if root.exists() else set()
+
+
+def test_scopes_delete_what_no_result_reads(spark):
+    import pytest
+
+    from kinweave.runtime import drop_scratch, materialize, scratch_scope
+
+    before = folders(spark)
+    with scratch_scope() as outer:
+        with scratch_scope() as inner:
+            a, b = materialize(spark.range(5), "a"), materialize(spark.range(7), "b")
+            got = inner.keep(a.join(a.select("id"), "id").where("id > 1"))
+            assert b.count() == 7
+        assert len(folders(spark) - before) == 1 and got.count() == 3
+        more = outer.keep(got.union(materialize(spark.range(2), "c")))
+    assert len(folders(spark) - before) == 2 and more.count() == 5
+    drop_scratch(more)
+    assert folders(spark) == before
+    with pytest.raises(ZeroDivisionError), scratch_scope() as scratch:
+        scratch.keep(materialize(spark.range(3), "d"))
+        raise ZeroDivisionError
+    assert folders(spark) == before
+    assert materialize(spark.range(3), "free").count() == 3 and len(folders(spark) - before) == 1
+
+
+def test_no_table_is_left_after_a_query(spark):
+    from kinweave.plans import queries as network
+    from kinweave.runtime import drop_scratch
+
+    before = folders(spark)
+    for name in ("gra_02_components", "gra_04_reduced_nodes", "agg_15_describe", "sta_02_bootstrap_quantile", "aln_04_jaccard_join", "sco_07_ranking_th", "flt_11_significant", "gra_01_disjoint_sets"):
+        df = network.queries()[name](spark, "/root/testdata/sf0.001")
+        assert df.collect()
+        drop_scratch(df)
+        assert folders(spark) == before, name
