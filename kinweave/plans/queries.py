@@ -365,7 +365,9 @@ LEAF_PAIRS = """
 up AS (SELECT node_id, up, steps FROM walk WHERE node_id >= 100),
 meet AS (SELECT a.node_id AS x, b.node_id AS y, min(a.steps + b.steps) AS d FROM up a JOIN up b ON a.up = b.up AND a.node_id < b.node_id GROUP BY 1, 2),
 dist AS (SELECT p.name AS genome_a, q.name AS genome_b, CAST(greatest(d - 1, 0) AS INTEGER) AS N_int FROM meet JOIN edge p ON x = p.node_id JOIN edge q ON y = q.node_id)"""
-_query("tree_01_depths", _with("SELECT node_id, CAST(max(steps) AS INTEGER) AS depth FROM walk GROUP BY node_id", tree_cte(), recursive=True))(lambda spark, sf_dir: Nations(spark, sf_dir).nodes.select("node_id", "depth"))
+_query("tree_01_depths", _with("SELECT node_id, CAST(max(steps) AS INTEGER) AS depth FROM walk GROUP BY node_id", tree_cte(), recursive=True))(
+    lambda spark, sf_dir: tree.depths(Nations(spark, sf_dir).nodes.select("node_id", "parent_id"))
+)
 _query("tree_02_leaf_distances", _with("SELECT * FROM dist", tree_cte(), LEAF_PAIRS, recursive=True))(lambda spark, sf_dir: tree.leaf_distances(Nations(spark, sf_dir).nodes))
 _query("agg_13_mean_distance", _with("SELECT round(avg(N_int), 6) AS n_int_mean, (SELECT count(*) FROM nation)::INTEGER AS leaf_count FROM dist", tree_cte(), LEAF_PAIRS, recursive=True))(lambda spark, sf_dir: tree.mean_distance(Nations(spark, sf_dir).nodes).select(r6("n_int_mean").alias("n_int_mean"), F.col("leaf_count").cast("int").alias("leaf_count")))
 _query("join_09_stated_pairs", _with("SELECT * FROM dist WHERE N_int > 1", tree_cte(), LEAF_PAIRS, recursive=True))(lambda spark, sf_dir: tree.pair_distances(Nations(spark, sf_dir).nodes, tree.leaf_distances(Nations(spark, sf_dir).nodes).where("N_int > 1")))
