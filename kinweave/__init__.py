@@ -20,5 +20,6 @@ _NAMES = {
     "DatasetConfig": "sources.fetch",
     "ArchiveClient": "sources.remote",
     "RecordedClient": "sources.remote",
+    "HttpClient": "sources.http",
 }
 __getattr__, __all__ = exports(__name__, _NAMES)

@@ -78,9 +78,14 @@ def clusters(hits: DataFrame, prefix: str = "CHG_") -> DataFrame:
     return comps.join(numbered(first, "seq", "i"), "component").select(F.col("node").alias("protein_id"), F.concat(F.lit(prefix), F.col("i").cast("string")).alias("chg_id"))
 
 
+def members_of_genomes(membership: DataFrame, proteins: DataFrame) -> DataFrame:
+    """(protein_id, chg_id, genome_accession); unmapped proteins go."""
+    return membership.join(proteins.select("protein_id", "genome_accession"), "protein_id").select("protein_id", "chg_id", "genome_accession")
+
+
 def genome_cluster_counts(membership: DataFrame, proteins: DataFrame) -> DataFrame:
     """(genome, chg, weight): proteins of each genome in each cluster; unmapped proteins go."""
-    joined = membership.join(proteins.select("protein_id", "genome_accession"), "protein_id")
+    joined = members_of_genomes(membership, proteins)
     return joined.groupBy(F.col("genome_accession").alias("genome"), F.col("chg_id").alias("chg")).agg(F.count("*").alias("weight"))
 
 

@@ -89,18 +89,27 @@ def best_hits(annotated: DataFrame, directional: bool) -> DataFrame:
     return best.select("chg", "tax_a", "tax_b", F.col("query").alias("prot_a"), F.col("target").alias("prot_b"), "genome_a", "genome_b", "n_int", F.col("pident").alias("similarity"))
 
 
+def without_reverse(best: DataFrame) -> DataFrame:
+    """The hits of which no hit in the other direction stands in the same cluster."""
+    keys = best.select(F.col("chg").alias("_chg"), F.col("tax_b").alias("_tax_a"), F.col("tax_a").alias("_tax_b"))
+    same = F.col("chg").eqNullSafe(F.col("_chg")) & (F.col("tax_a") == F.col("_tax_a")) & (F.col("tax_b") == F.col("_tax_b"))
+    return best.join(keys, same, "left_anti")
+
+
 def symmetrize(best: DataFrame) -> DataFrame:
     """Adds the reverse of each hit whose reverse is absent."""
     swap = {"tax_a": "tax_b", "tax_b": "tax_a", "prot_a": "prot_b", "prot_b": "prot_a", "genome_a": "genome_b", "genome_b": "genome_a"}
-    back = best.select([F.col(swap.get(c, c)).alias(c) for c in best.columns])
-    keys = best.select(*[F.col(c).alias(f"_{c}") for c in ("chg", "tax_a", "tax_b")])
-    same = F.col("chg").eqNullSafe(F.col("_chg")) & (F.col("tax_a") == F.col("_tax_a")) & (F.col("tax_b") == F.col("_tax_b"))
-    return best.unionByName(back.join(keys, same, "left_anti"))
+    return best.unionByName(without_reverse(best).select([F.col(swap.get(c, c)).alias(c) for c in best.columns]))
+
+
+def far_apart(best: DataFrame, min_distance: int = 2) -> DataFrame:
+    """The hits of genomes that are so far apart in the tree."""
+    return best.where(F.col("n_int") >= min_distance)
 
 
 def adjacency(best: DataFrame, min_distance: int = 2) -> DataFrame:
     """(chg, tax, neighbor, sim): the greatest similarity in either direction."""
-    d = best.where(F.col("n_int") >= min_distance)
+    d = far_apart(best, min_distance)
     ends = F.array(F.struct(F.col("tax_a").alias("tax"), F.col("tax_b").alias("neighbor")), F.struct(F.col("tax_b").alias("tax"), F.col("tax_a").alias("neighbor")))
     return d.select("chg", F.explode(ends).alias("e"), "similarity").groupBy("chg", F.col("e.tax").alias("tax"), F.col("e.neighbor").alias("neighbor")).agg(F.max("similarity").alias("sim"))
 
@@ -143,7 +152,7 @@ def distance_cdf(best: DataFrame) -> DataFrame:
 
 
 def max_distance(best: DataFrame, min_distance: int = 2) -> DataFrame:
-    return best.where(F.col("n_int") >= min_distance).agg(F.coalesce(F.max("n_int"), F.lit(10)).alias("n_int_max"))
+    return far_apart(best, min_distance).agg(F.coalesce(F.max("n_int"), F.lit(10)).alias("n_int_max"))
 
 
 def scored(best: DataFrame, params: ScoringParams) -> DataFrame:

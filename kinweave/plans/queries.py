@@ -144,9 +144,9 @@ _star("join_03_clusters", "SELECT query, target, a.chg_id AS chg FROM hits LEFT
     lambda s: ranking.join_clusters(s.hits, s.membership).select("query", "target", "chg")
 )
 _star("join_04_distances", "SELECT query, target, tax_a, tax_b, chg, n_int FROM ann", ANN)(lambda s: _annotated(s).select("query", "target", "tax_a", "tax_b", "chg", "n_int"))
-_star("join_05_membership_genomes", "SELECT m.protein_id, chg_id, genome_accession FROM membership m JOIN proteins p ON m.protein_id = p.protein_id")(lambda s: s.membership.join(s.proteins.drop("taxon"), "protein_id").select("protein_id", "chg_id", "genome_accession"))
+_star("join_05_membership_genomes", "SELECT m.protein_id, chg_id, genome_accession FROM membership m JOIN proteins p ON m.protein_id = p.protein_id")(lambda s: graph.members_of_genomes(s.membership, s.proteins))
 _star("join_14_absent_reverse", "SELECT chg, tax_a, tax_b FROM dir d WHERE NOT EXISTS (SELECT 1 FROM dir r WHERE r.chg IS NOT DISTINCT FROM d.chg AND r.tax_a = d.tax_b AND r.tax_b = d.tax_a)", ANN, BEST_DIR)(
-    lambda s: _absent_reverse(ranking.best_hits(_annotated(s), True))
+    lambda s: ranking.without_reverse(ranking.best_hits(_annotated(s), True)).select("chg", "tax_a", "tax_b")
 )
 _star("agg_01_s_mean", "SELECT round(coalesce(avg(pident), 0), 6) AS s_mean FROM hits")(lambda s: ranking.mean_similarity(s.hits).select(r6("s_mean").alias("s_mean")))
 _star("agg_02_best_hit", "SELECT * FROM best", ANN, BEST_PAIR)(lambda s: ranking.best_hits(_annotated(s), False))
@@ -159,16 +159,10 @@ _star("agg_06_max_distance", "SELECT n_int_max FROM mx", ANN, BEST_PAIR, STATS)(
 _star("agg_14_adjacency", "SELECT * FROM adj", ANN, BEST_DIR, SYM, ADJ)(lambda s: ranking.adjacency(ranking.symmetrize(ranking.best_hits(_annotated(s), True))))
 _star("win_01_simple_rank", "SELECT * FROM ranks", ANN, BEST_DIR, SYM, ADJ, RANK_SIMPLE)(lambda s: ranking.simple_ranks(ranking.adjacency(ranking.symmetrize(ranking.best_hits(_annotated(s), True)))))
 _star("win_02_threshold_rank", "SELECT * FROM ranks", ANN, BEST_DIR, SYM, ADJ, RANK_TH)(lambda s: ranking.threshold_ranks(ranking.adjacency(ranking.symmetrize(ranking.best_hits(_annotated(s), True))), 0.5))
-_star("flt_07_distance", "SELECT query, target, n_int FROM ann WHERE n_int >= 4", ANN)(lambda s: _annotated(s).where("n_int >= 4").select("query", "target", "n_int"))
+_star("flt_07_distance", "SELECT query, target, n_int FROM ann WHERE n_int >= 4", ANN)(lambda s: ranking.far_apart(_annotated(s), 4).select("query", "target", "n_int"))
 _star("flt_02_bit_score", "SELECT least(query, target) AS source, greatest(query, target) AS target, max(bits) AS weight FROM hits WHERE bits > 194 GROUP BY 1, 2")(lambda s: graph.strong_edges(s.hits, 194.0))
 
 
-def _absent_reverse(best: DataFrame) -> DataFrame:
-    keys = best.select("chg", "tax_a", "tax_b")
-    back = keys.select(F.col("chg").alias("c"), F.col("tax_b").alias("a"), F.col("tax_a").alias("b"))
-    return keys.join(back, F.col("chg").eqNullSafe(F.col("c")) & (F.col("tax_a") == F.col("a")) & (F.col("tax_b") == F.col("b")), "left_anti")
-
-
 def _raw_hits(s: Star) -> DataFrame:
     """Both directions, one of them weaker, and self hits."""
     h = s.hits.select("query", "target", "pident", "bits")
@@ -594,7 +588,7 @@ _net("sink_01_edges_csv", "SELECT genome AS source, chg AS target, CAST(weight A
 _net("srt_02_nodes_in_order", "SELECT node_id, row_number() OVER (ORDER BY type, node_id) AS place FROM nodes", KEPT, TAXON, NODES_SQL)(lambda m, p: _written(sinks.write_nodes, graph.bipartite(_counts(m, p), p)[0], ",").select("node_id", "place"))
 _net("srt_02_edges_in_order", "SELECT genome AS source, chg AS target, row_number() OVER (ORDER BY genome, chg) AS place FROM kept", KEPT)(lambda m, p: _written(sinks.write_edges, graph.bipartite(_counts(m, p), p)[1], ",").select("source", "target", "place"))
 _star("srt_03_transfers_in_order", "SELECT query, target, row_number() OVER (ORDER BY chg, taxon_pair, query, target) AS place FROM bg", GH, BG)(lambda s: _written(sinks.write_transfers, _best_lgt(s), "\t").select("query", "target", "place"))
-_star("lim_01_first_hits", "SELECT least(count(*), 100) AS n FROM hits")(lambda s: files.read_hits(s.spark, _tsv(s.hits, "hits"), max_rows=100).agg(F.count("*").alias("n")))
+_star("lim_01_first_hits", "SELECT query, target FROM hits ORDER BY query, target LIMIT 100")(lambda s: files.read_hits(s.spark, _tsv(s.hits.orderBy("query", "target").coalesce(1), "hits"), max_rows=100).select("query", "target"))
 _net("set_02_all_nodes", "SELECT node_id, type FROM nodes", KEPT, TAXON, NODES_SQL)(lambda m, p: graph.bipartite(_counts(m, p), p)[0].select("node_id", "type"))
 _star("srt_01_scores_in_order", "SELECT CHG, TaxID_A, TaxID_B, HGT_score FROM zs", ANN, BEST_PAIR, STATS, _ZS)(lambda s: ranking.by_score(_scores(ScoringMethod.ZSCORE, "nation")(s.spark, s.sf_dir)).select("CHG", "TaxID_A", "TaxID_B", "HGT_score"))
 _query("prj_26_sample_attributes", "SELECT CAST(c_custkey AS VARCHAR) AS sample, c_mktsegment AS \"Strain\", c_name AS \"Host\" FROM customer")(
