@@ -628,6 +628,22 @@ for _name, _columns in {
     _query(f"prj_21_metadata_{_name}", "SELECT " + ", ".join(f'{q} AS "{c}"' for c, q in _columns.items()) + " FROM nation")(
         lambda spark, sf_dir, name=_name, columns=tuple(_columns): files.genbank_metadata(_genbank(spark, sf_dir), name).select(*[F.col(f"`{c}`") for c in columns])
     )
+#: The bases of a part, from the letters of its texts; coding features in pieces, on the other strand, and both.
+_BASES = """
+b AS (SELECT p_partkey AS k, repeat(translate(lower(regexp_replace(p_name || p_type, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'acgtacgtacgtacgtacgtacgtac'), 2) AS s FROM part),
+f AS (SELECT k, 1 AS o, 'join(1..6,10..15)' AS location, 'A' || k AS protein_id, 'joined thing' AS product, substr(s, 1, 6) || substr(s, 10, 6) AS d, NULL AS said FROM b
+  UNION ALL SELECT k, 2, 'complement(4..12)', 'B' || k, NULL, reverse(translate(substr(s, 4, 9), 'acgt', 'tgca')), NULL FROM b
+  UNION ALL SELECT k, 3, 'complement(join(2..4,8..13))', NULL, NULL, reverse(translate(substr(s, 2, 3) || substr(s, 8, 6), 'acgt', 'tgca')), CASE WHEN k % 2 = 0 THEN 'MKV' END FROM b),
+aa AS (SELECT *, array_to_string(list_transform(range(0, length(d) // 3), lambda i: substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', CAST(16 * (instr('tcag', substr(d, 3 * i + 1, 1)) - 1) + 4 * (instr('tcag', substr(d, 3 * i + 2, 1)) - 1) + instr('tcag', substr(d, 3 * i + 3, 1)) AS BIGINT), 1)), '') AS p FROM f)"""
+_query("src_18_records_of_parts", _with("SELECT 'ACC' || k AS accession, s AS sequence, CASE WHEN k % 3 = 0 THEN 5 ELSE 4 END AS n_features FROM b", _BASES))(
+    lambda spark, sf_dir: _part_records(spark, sf_dir).select("accession", "sequence", F.size("features").alias("n_features"))
+)
+_query("prj_19_joined_proteins", _with("SELECT 'ACC' || k AS accession, coalesce(protein_id, 'unknown') AS protein_id, coalesce(product, 'hypothetical protein') AS product, coalesce(said, regexp_extract(p, '^[^*]*')) AS sequence FROM aa", _BASES))(
+    lambda spark, sf_dir: files.genbank_proteins(_part_records(spark, sf_dir))
+)
+_query("prj_20_genes_or_coding", _with("SELECT 'ACC' || k AS accession, 'gene' AS type, 'L' || k AS locus_tag, 'g' AS gene, '1..9' AS location, NULL AS protein_id, NULL AS product FROM b WHERE k % 3 = 0 UNION ALL SELECT 'ACC' || k, 'CDS', CASE WHEN o = 2 THEN 'M' || k ELSE '' END, '', location, coalesce(protein_id, ''), coalesce(product, '') FROM f WHERE k % 3 <> 0", _BASES))(
+    lambda spark, sf_dir: files.genbank_genes(_part_records(spark, sf_dir))
+)
 _query("src_04_newick", _with("SELECT name, CAST(max(steps) AS INTEGER) AS depth FROM walk JOIN edge USING (node_id) WHERE name IS NOT NULL GROUP BY name", tree_cte(), recursive=True))(lambda spark, sf_dir: _newick(spark, sf_dir))
 _query("src_19_recorded_records", "SELECT n_name AS key, CAST(n_regionkey AS VARCHAR) AS body FROM nation WHERE n_nationkey % 2 = 0")(lambda spark, sf_dir: _recorded(spark, sf_dir))
 
@@ -654,6 +670,24 @@ def _flat_file(number, organism):
     )
 
 
+def _part_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for each part, many to a file: a gene in every third, coding features in pieces and on the other strand, values over two lines."""
+    gap, path = "\n" + " " * 21, _file("records")
+    k, letters = F.col("p_partkey").cast("string"), F.lower(F.regexp_replace(F.concat("p_name", "p_type"), "[^A-Za-z]", ""))
+    bases = F.repeat(F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "acgtacgtacgtacgtacgtacgtac"), 2)
+    feature = lambda kind, where, *more: F.concat(F.lit(f"\n     {kind:<16}{where}"), *more)
+    q = lambda name, *value: F.concat(F.lit(f'{gap}/{name}="'), *value, F.lit('"'))
+    gene = F.when(F.col("p_partkey") % 3 == 0, feature("gene", "1..9", q("gene", F.lit("g")), q("locus_tag", F.lit("L"), k))).otherwise("")
+    said = F.when(F.col("p_partkey") % 2 == 0, q("translation", F.lit("MKV"))).otherwise("")
+    text = F.concat(
+        F.lit("LOCUS       ACC"), k, F.lit("\nACCESSION   ACC"), k, F.lit("\nFEATURES             Location/Qualifiers"), feature("source", "1..9"), gene,
+        feature("CDS", f"join(1..6,{gap}10..15)", q("protein_id", F.lit("A"), k), q("product", F.lit(f"joined{gap}thing"))), feature("CDS", "complement(4..12)", q("protein_id", F.lit("B"), k), q("locus_tag", F.lit("M"), k)),
+        feature("CDS", "complement(join(2..4,8..13))", said), F.lit("\nORIGIN\n        1 "), bases, F.lit("\n//"),
+    )
+    _read(spark, sf_dir, "part").select(text.alias("value")).write.text(path)
+    return files.read_genbank(spark, path)
+
+
 def _genbank(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, n = _file("genbank"), _read(spark, sf_dir, "nation")
     sinks.write_genbank(n.select(F.lit("x").alias("category"), F.concat(F.lit("ACC"), F.col("n_nationkey").cast("string")).alias("accession"), _flat_file(F.col("n_nationkey"), F.col("n_name")).alias("body")), path)

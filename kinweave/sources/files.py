@@ -319,7 +319,8 @@ GENBANK = "accession string, definition string, organism string, lineage array<s
 
 
 def read_genbank(spark: SparkSession, path: str) -> DataFrame:
-    texts = spark.read.text(path, wholetext=True)
+    """The records of flat files. Files are split at the ends of records, so that a large file is read by many tasks, a record at a time."""
+    texts = spark.read.text(path, lineSep="\n//").where(r"value rlike '\\S'")
 
     def run(batches):
         import pyarrow as pa
