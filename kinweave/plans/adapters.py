@@ -33,7 +33,8 @@ class Star:
         a, b = self.base.alias("a"), self.base.alias("b")
         pident = 100 - 2 * F.abs(F.col("a.q") - F.col("b.q"))
         hits = a.join(b, "part").where((F.col("a.protein_id") < F.col("b.protein_id")) & (pident >= 96))
-        self.hits = hits.select(F.col("a.protein_id").alias("query"), F.col("b.protein_id").alias("target"), pident.alias("pident"), F.lit(100).alias("alnlen"), F.lit(0.0).alias("evalue"), (pident * 2).alias("bits"))
+        self._sided = hits.select(F.col("a.protein_id").alias("query"), F.col("b.protein_id").alias("target"), pident.alias("pident"), F.lit(100).alias("alnlen"), F.lit(0.0).alias("evalue"), (pident * 2).alias("bits"), F.col("a.supp").alias("_qs"), F.col("b.supp").alias("_ts"))
+        self.hits = self._sided.drop("_qs", "_ts")
         self.membership = self.base.where("part % 10 <> 0").select("protein_id", F.concat(F.lit("CHG_"), F.col("part").cast("string")).alias("chg_id"))
         taxid = F.col("s_suppkey") if taxa == "supplier" else F.col("n_nationkey")
         self.taxids = self.suppliers.select("genome_accession", F.col("s_name").alias("organism_name"), taxid.cast("string").alias("taxid"))
@@ -41,16 +42,17 @@ class Star:
     def shared(self) -> Star:
         """With proteins and hits written once, for queries that read them several times."""
         if not self._written:
-            self.proteins, self.hits, self._written = materialize(self.proteins, "proteins"), materialize(self.hits, "hits"), True
+            self.proteins, self._sided, self._written = materialize(self.proteins, "proteins"), materialize(self._sided, "hits"), True
+            self.hits = self._sided.drop("_qs", "_ts")
         return self
 
     @property
     def distances(self) -> DataFrame:
         """Of the genome pairs that hits name: 1 within a nation, 3 within a region, else 5."""
-        g = self.proteins.select("protein_id", "genome_accession")
-        p = self.hits.join(g.toDF("query", "x"), "query").join(g.toDF("target", "y"), "target").where("x <> y")
-        lo, hi = pair(F.col("x"), F.col("y"))
-        p = p.select(lo.alias("genome_a"), hi.alias("genome_b")).distinct()
+        p = self._sided.where("_qs <> _ts").select(F.least("_qs", "_ts").alias("_qs"), F.greatest("_qs", "_ts").alias("_ts")).distinct()  # few pairs of suppliers, before names are made
+        name = lambda c: F.concat(F.lit("G"), F.col(c).cast("string"))
+        lo, hi = pair(name("_qs"), name("_ts"))
+        p = p.select(lo.alias("genome_a"), hi.alias("genome_b"))
         side = self.suppliers.select("genome_accession", "n_nationkey", "n_regionkey")
         p = p.join(side.toDF("genome_a", "na", "ra"), "genome_a").join(side.toDF("genome_b", "nb", "rb"), "genome_b")
         return p.select("genome_a", "genome_b", F.when(F.col("na") == F.col("nb"), 1).when(F.col("ra") == F.col("rb"), 3).otherwise(5).alias("N_int"))
