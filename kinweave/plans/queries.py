@@ -730,7 +730,8 @@ def _scoped(f: Query) -> Query:
     @wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         with scratch_scope() as scratch:
-            return scratch.keep(f(spark, sf_dir))
+            out = f(spark, sf_dir)
+            return out if out is None else scratch.keep(out)
 
     return run
 
