@@ -64,9 +64,9 @@ def test_distributed_communities_are_as_good(spark, kind):
     """At least 0.95 of the modularity of the one-task version, the same at every run, connected to the least node's name."""
     rng = random.Random(9)
     if kind == "planted":
-        pairs = [(a, b) for a in range(240) for b in range(a) if rng.random() < (0.25 if a % 8 == b % 8 else 0.01)]
+        pairs = [(a, b) for a in range(120) for b in range(a) if rng.random() < (0.5 if a % 6 == b % 6 else 0.02)]
     else:
-        pairs = [(12 * c + i, 12 * c + j) for c in range(14) for i in range(12) for j in range(i) if rng.random() < 0.7 or i == j + 1] + [(12 * c, (12 * c + 13) % 168) for c in range(14)]
+        pairs = [(12 * c + i, 12 * c + j) for c in range(8) for i in range(12) for j in range(i) if rng.random() < 0.7 or i == j + 1] + [(12 * c, (12 * c + 13) % 96) for c in range(8)]
     edges = [(f"v{a:03d}", f"v{b:03d}", 100.0 + rng.randrange(100)) for a, b in pairs] + [("x", "y", 300.0)]
     hits = spark.createDataFrame(edges, "query string, target string, bits double")
     one = {r["node_id"]: r["community"] for r in graph.communities(hits).collect()}

