@@ -1,20 +1,21 @@
 """URL filters: rules first, then gradient-boosted trees on lexical features.
 
 A rule ``host/path`` fits the host and its subdomains where the URL's path starts
-with the rule's; the longest wins. Other URLs are judged by trees over length,
-depth, digit ratio, entropy, parameter counts and statistics of the host's suffix
-in the labelled URLs. Training is on the driver from a bounded list of labelled
-URLs (``urls_of`` takes it from a table; by default it is made by rule, without
-words that tell); judging is one Arrow pass without a shuffle.
+with the rule's; the longest wins. Other URLs are judged by trees over lengths,
+depth, digit ratios, entropy, parameter counts and statistics of the host's suffix
+(its last label and its last two) in the labelled URLs. Training is on the driver
+from a bounded list of labelled URLs (``urls_of`` takes it from a table; by default
+it is made by rule, without words or hyphens that tell); judging is one Arrow pass
+without a shuffle, and features and trees work on whole batches.
 
 Defined results: a null URL, and one without ``://``, has an empty host and path
 and goes to the trees; rows are kept as they are, repeated ones included; other
-columns are ignored; an empty table gives an empty result.
+columns are ignored; URLs of any length are judged whole; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
-import math
 import random
 from dataclasses import dataclass
 from functools import lru_cache
@@ -30,31 +31,52 @@ from .trees import Tree, boost
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Syllables of the made-up names in the bundled labelled URLs.
 SYLLABLES = ("ba", "ko", "lu", "mi", "nu", "pa", "sku", "vo", "za", "bra", "klo", "dru", "fli", "glo", "plu", "wen", "tar", "sol", "mar", "vik")
+#: Endings of hosts in the bundled labelled URLs, with their weights in plain and in spam ones.
+ENDINGS = {"com": (40, 25), "org": (15, 5), "net": (10, 10), "edu": (5, 0.2), "de": (6, 2), "co.uk": (6, 1), "ac.uk": (2, 0.1), "com.au": (3, 1), "io": (4, 2), "info": (3, 10), "biz": (1, 8), "top": (0.5, 14), "xyz": (0.7, 14), "click": (0.2, 8)}
+#: a label or two of a host are a suffix with statistics of its own from so many labelled URLs on
+LEAST = 5
 
 
 def labelled_urls(n: int = 3000, seed: int = 7, syllables: tuple[str, ...] = SYLLABLES) -> list[tuple[str, int]]:
-    """(url, 1 for spam), made by rule. No word of a name tells: spam is likelier to join words by hyphens, to add numbers, and to carry parameters."""
+    """(url, 1 for spam), made by rule.
+
+    Names, hyphens, languages, slugs and page numbers are drawn alike for both. Spam
+    shows two to four of seven signs, a plain URL in ten shows one: a random name,
+    many subdomains, an address of numbers, random parts of the path, many
+    parameters, escapes, a run of digits in the host.
+    """
     r = random.Random(seed)
-    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(2, 3)))
-    number = lambda: str(r.randint(1, 9999))
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
     joined = lambda k: "-".join(word() for _ in range(k))
-
-    def host(spam: bool) -> str:
-        x = r.random()
-        if spam:
-            name = joined(2) if x < 0.5 else joined(3) if x < 0.65 else f"{joined(2)}-{number()}" if x < 0.8 else word() + number() if x < 0.9 else "".join(r.choice("abcdefghijkmnpqrstvwxz0123456789") for _ in range(r.randint(10, 22)))
-        else:
-            name = word() if x < 0.85 else joined(2) if x < 0.93 else word() + number() if x < 0.95 else f"{word()}.{word()}"
-        top = r.choices(("com", "org", "net", "info", "edu"), (4, 1, 2, 3, 0.1) if spam else (4, 3, 3, 0.5, 1))[0]
-        return f"{r.choice(('', '', 'www.', 'm.', 'blog.'))}{name}.{r.choice(('example', 'example', word()))}.{top}"
-
-    def tail(spam: bool) -> str:
-        lang = r.choice(("en", "de", "fr", "es"))
-        plain = (f"{lang}/{number()}", f"{lang}/{number()}/", f"{lang}/{number()}.html", f"{lang}/{number()}#top", f"{lang}/{number()}?page=2&ref=x", f"{lang}/{number()}?utm_source=feed", f"{word()}/{word()}", "")
-        odd = (f"{joined(3)}?{word()}={number()}&{word()}={number()}&{word()}={word()}", f"{word()}/{number()}/{number()}?id={number()}&{word()}={number()}")
-        return r.choice(odd) if r.random() < (0.3 if spam else 0.03) else r.choice(plain)
-
-    return [(f"http{r.choice(('', 's'))}://{host(bool(y))}/{tail(bool(y))}", y) for y in (1, 0) for _ in range(n)]
+    drawn = lambda lo, hi: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(r.randint(lo, hi)))
+    number = lambda: str(r.randint(1, 10 ** r.randint(1, 8)))
+    tops = list(ENDINGS)
+
+    def url(spam: bool) -> str:
+        few = r.randint(2, 4) if spam else int(r.random() < 0.1)
+        signs = set(r.sample(("name", "labels", "address", "parts", "parameters", "escapes", "digits"), few))
+        name = drawn(9, 24) if "name" in signs else joined(r.choice((1, 1, 1, 2, 2, 3)))
+        name += str(r.randint(100, 999_999)) if "digits" in signs else ""
+        before = [r.choice((word(), drawn(3, 8))) for _ in range(r.randint(2, 5))] if "labels" in signs else [r.choice(("www", "m", "blog", "en", word()))] if r.random() < 0.5 else []
+        host = ".".join([*before, name, *([word()] if r.random() < 0.2 else []), r.choices(tops, [ENDINGS[t][spam] for t in tops])[0]])
+        if "address" in signs:
+            host = ".".join(str(r.randint(1, 255)) for _ in range(4)) + r.choice(("", ":8080"))
+        kind = r.randint(0, 7)
+        path = (
+            [], [word()], [r.choice(("en", "de", "fr", "es")), number()], [word(), number(), joined(r.randint(2, 8))], [str(r.randint(1998, 2026)), f"{r.randint(1, 12):02}", joined(r.randint(2, 9))],
+            [word(), "_".join(word().title() for _ in range(r.randint(1, 4)))], [word(), f"{word()}.html"], [word(), word(), word(), number()],
+        )[kind]
+        if "parts" in signs:
+            path = [*path, *(drawn(8, 40) for _ in range(r.randint(1, 4)))]
+        query = r.choice(("", "", "", "", f"?page={r.randint(1, 30)}", f"?{word()}={word()}", "?utm_source=feed", f"?id={number()}&ref={word()}"))
+        if "parameters" in signs:
+            query = "?" + "&".join(f"{word()}={r.choice((number(), word(), drawn(5, 30)))}" for _ in range(r.randint(4, 12)))
+        if "escapes" in signs:
+            query += ("&" if query else "?") + f"{word()}=" + "".join(f"%{r.randint(32, 255):02X}" + r.choice(("", word())) for _ in range(r.randint(3, 12)))
+        end = r.choice(("", "", "/")) if not query else ""
+        return f"http{r.choice(('', 's', 's'))}://{host}/{'/'.join(path)}{end}{query}{r.choice(('', '', '', '#top'))}"
+
+    return [(url(bool(y)), y) for y in (1, 0) for _ in range(n)]
 
 
 def urls_of(rows: DataFrame, most: int = 50_000) -> list[tuple[str, int]]:
@@ -65,55 +87,117 @@ def urls_of(rows: DataFrame, most: int = 50_000) -> list[tuple[str, int]]:
     return [(r["url"], r["label"]) for r in rows.where(dice < most / max(1, n)).select("url", "label").collect()]
 
 
-def _entropy(text: str) -> float:
-    n = len(text)
-    return -sum(c / n * math.log2(c / n) for c in map(text.count, set(text))) if n else 0.0
+def _bytes(column) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a string column, and the row of each."""
+    import pyarrow.compute as pc
+
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
+    return np.frombuffer("".join(column.to_pylist()).encode(), np.uint8), np.repeat(np.arange(len(column)), sizes)
+
+
+def _entropy(column) -> np.ndarray:
+    """Bits a byte, by the bytes of each row."""
+    data, rows = _bytes(column)
+    key, n = np.unique(rows << 8 | data, return_counts=True)
+    size = np.maximum(1, np.bincount(rows, minlength=len(column)))
+    share = n / size[key >> 8]
+    return -np.bincount(key >> 8, share * np.log2(share), len(column))
+
+
+def _longest(column, sign: str) -> np.ndarray:
+    """Bytes of the longest part of each row between signs."""
+    data, rows = _bytes(column)
+    out = np.zeros(len(column))
+    if len(data):
+        cut = data == ord(sign)
+        part = np.cumsum(cut | (np.diff(rows, prepend=-1) > 0))  # a sign or a row's first byte begins a part
+        size = np.bincount(part, ~cut)
+        np.maximum.at(out, rows, size[part])
+    return out
 
 
-def _split(url: str) -> tuple[str, str, str]:
-    rest = url.partition("://")[2] if "://" in url else url
-    cut = min((i for i in map(rest.find, "/?#") if i >= 0), default=len(rest))
-    host, tail = rest[:cut], rest[cut:]
-    path = tail.split("?")[0].split("#")[0]
-    return host.lower(), path, tail[len(path) :]
+def _hosts(urls):
+    """The lower-case host of each URL; empty where there is no ``://``."""
+    import pyarrow.compute as pc
 
+    rest = pc.replace_substring_regex(urls, r"(?s)^.*?://", "")
+    host = pc.ascii_lower(pc.replace_substring_regex(rest, r"(?s)[/?#].*$", ""))
+    return pc.if_else(pc.match_substring(urls, "://"), host, "")
 
-def _features(url: str, suffixes: dict[str, float], prior: float) -> list[float]:
-    host, path, query = _split(url)
-    labels = [x for x in host.split(".") if x]
-    name = max(labels[:-2] or labels, key=len, default="")
-    n = max(1, len(url))
-    return [
-        len(url), len(host), len(labels), path.count("/"), sum(c.isdigit() for c in url) / n, sum(c.isdigit() for c in host), _entropy(host), _entropy(path + query),
-        query.count("=") + query.count("&"), host.count("-"), len(name), sum(c in "aeiou" for c in name) / max(1, len(name)), path.count("-"), suffixes.get(".".join(labels[-1:]), prior),
-    ]
+
+def _suffixes(hosts):
+    """(last label, last two labels) of each host."""
+    import pyarrow.compute as pc
+
+    one = pc.replace_substring_regex(hosts, r"(?s)^.*\.", "")
+    two = pc.struct_field(pc.extract_regex(hosts, r"(?s)(?P<s>[^.]+\.[^.]+)$"), 0)
+    return one, pc.fill_null(two, "")
+
+
+def features(urls, hosts, rate: np.ndarray) -> np.ndarray:
+    """A row of numbers for each URL. urls, hosts: Arrow strings without nulls; rate: of the host's suffix."""
+    import pyarrow.compute as pc
+
+    number = lambda x: x.to_numpy(zero_copy_only=False).astype(float)
+    count = lambda column, pattern: number(pc.count_substring_regex(column, pattern))
+    tail = pc.replace_substring_regex(urls, r"(?s)^.*?://[^/?#]*", "")
+    path = pc.replace_substring_regex(tail, r"(?s)[?#].*$", "")
+    size, wide, letters = number(pc.utf8_length(urls)), number(pc.utf8_length(hosts)), count(hosts, "[a-z]")
+    one_of = lambda k: np.maximum(1, k)
+    return np.stack([
+        size, wide, number(pc.utf8_length(tail)), count(hosts, r"\."), count(path, "/"), count(urls, "[0-9]") / one_of(size), count(hosts, "[0-9]"), count(hosts, "[0-9]") / one_of(wide),
+        _entropy(hosts), _entropy(tail), count(tail, "[=&]"), count(tail, "%"), count(path, "[0-9]") / one_of(number(pc.utf8_length(path))), _longest(hosts, "."), _longest(path, "/"), count(hosts, "[aeiou]") / one_of(letters), rate,
+    ], axis=1)
 
 
 @dataclass
 class UrlModel:
-    suffixes: dict[str, float]
     prior: float
+    one: dict[str, float]  # rate of spam by last label
+    two: dict[str, float]  # and by last two
     base: float
     trees: list[Tree]
 
-    def scores(self, urls: list[str | None]) -> np.ndarray:
-        if not urls:
+    def rates(self, hosts) -> np.ndarray:
+        """The rate of spam of the longest known suffix."""
+        out = np.full(len(hosts), self.prior)
+        for known, column in zip((self.one, self.two), _suffixes(hosts), strict=True):
+            values = np.array([known.get(s, np.nan) for s in column.to_pylist()], float)
+            out = np.where(np.isnan(values), out, values)
+        return out
+
+    def scores(self, urls, hosts=None) -> np.ndarray:
+        """urls: strings or nulls, as an Arrow column or a list."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not len(urls):
             return np.zeros(0)
-        x = np.array([_features(u or "", self.suffixes, self.prior) for u in urls], float)
+        urls = pc.fill_null(pa.array(urls, pa.large_string()) if isinstance(urls, list) else urls.cast(pa.large_string()), "")
+        hosts = _hosts(urls) if hosts is None else hosts.cast(pa.large_string())
+        x = features(urls, hosts, self.rates(hosts))
         return 1 / (1 + np.exp(-(self.base + sum(t.apply(x) for t in self.trees))))
 
 
-def train(labelled: list[tuple[str, int]], rounds: int = 40, depth: int = 3) -> UrlModel:
-    prior = sum(y for _, y in labelled) / max(1, len(labelled))
-    counts: dict[str, list[float]] = {}
-    for url, y in labelled:
-        c = counts.setdefault(_split(url)[0].rpartition(".")[2], [0.0, 0.0])
-        c[0] += y
-        c[1] += 1
-    suffixes = {s: (c[0] + 10 * prior) / (c[1] + 10) for s, c in counts.items()}
-    x = np.array([_features(u, suffixes, prior) for u, _ in labelled], float)
-    base, trees = boost(x, np.array([y for _, y in labelled], float), rounds, depth)
-    return UrlModel(suffixes, prior, base, trees)
+def train(labelled: list[tuple[str, int]], rounds: int = 80, depth: int = 3) -> UrlModel:
+    """A suffix's rate is drawn to that of its last label, and that to the rate of all, by ten rows."""
+    import pyarrow as pa
+
+    y = np.array([label for _, label in labelled], float)
+    prior = float(y.mean()) if len(y) else 0.0
+    model = UrlModel(prior, {}, {}, 0.0, [])
+    urls = pa.array([u for u, _ in labelled], pa.large_string())
+    hosts = _hosts(urls)
+    one, two = (column.to_pylist() for column in _suffixes(hosts))
+    for known, names, outer in ((model.one, one, lambda s: prior), (model.two, two, lambda s: model.one.get(s.rpartition(".")[2], prior))):
+        counts: dict[str, list[float]] = {}
+        for s, label in zip(names, y.tolist(), strict=True):
+            c = counts.setdefault(s, [0.0, 0.0])
+            c[0] += label
+            c[1] += 1
+        known.update({s: (c[0] + 10 * outer(s)) / (c[1] + 10) for s, c in counts.items() if s and c[1] >= LEAST})
+    model.base, model.trees = boost(features(urls, hosts, model.rates(hosts)), y, rounds, depth)
+    return model
 
 
 @lru_cache(1)
@@ -137,12 +221,12 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, model: U
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(batch.column(1).to_pylist()))], [*batch.schema.names, "score"])
+            page, url, host, path = batch.columns
+            yield pa.RecordBatch.from_arrays([page, host, path, pa.array(model.scores(url, host))], ["page_id", "host", "path", "score"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    scored = pages.select("page_id", "url").mapInArrow(tidy(run), f"page_id {kind}, url string, score double")
     host, path = url_parts(F.col("url"))
-    d = scored.select("page_id", host.alias("host"), path.alias("path"), "score")
+    d = pages.select("page_id", "url", host.alias("host"), path.alias("path")).mapInArrow(tidy(run), f"page_id {kind}, host string, path string, score double")
     rule = verdict = None
     for said, text in sorted(rules, key=lambda r: -len(r[1])):
         top, slash, rest = text.partition("/")
