@@ -80,3 +80,27 @@ def test_distributed_communities_are_as_good(spark, kind):
     assert modularity.modularity(own, labels).first()[0] == pytest.approx(got, abs=1e-12)
     alone = modularity.modularity(own, labels.where("false")).first()[0]
     assert alone == pytest.approx(plain_modularity(kept, {x: x for x in many}), abs=1e-12)
+
+
+def test_small_components_share_a_python_call(spark):
+    """Components cut over Arrow batches are whole; millions of small ones are no call each."""
+    rng, named = random.Random(3), []
+    for c in range(40):
+        n = rng.choice([2, 3, 9])
+        named += [(f"c{c:02d}n{k}", f"c{c:02d}n{rng.randrange(k)}", 200.0) for k in range(1, n)]
+    hits = spark.createDataFrame(named, "query string, target string, bits double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        found = graph.communities(hits)
+        assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+        got = rows(found)
+        assert rows(graph.cut_vertices(hits.toDF("source", "target", "bits"))) == sorted((x,) for x in graph._cut_vertices([e[:2] for e in named]))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for c in range(40):
+        own = [(min(a, b), max(a, b), w) for a, b, w in named if a.startswith(f"c{c:02d}")]
+        for x, k in graph._louvain(own, 200.0 * len(named), 42).items():
+            want.setdefault((c, k), []).append(x)
+    assert got == sorted((x, min(own)) for own in want.values() for x in own)
