@@ -31,3 +31,12 @@ def test_a_large_file_is_read_by_many_tasks(spark, tmp_path):
     for k, (_, bases) in enumerate(made):
         dna = (bases[:9] + bases[12:18])[::-1].translate(str.maketrans("acgt", "tgca"))
         assert proteins[f"P{k}"] == files.translate_dna(dna)
+
+
+def test_first_hits_are_those_of_the_first_file(spark, tmp_path):
+    """A reader takes larger files first; the first rows are those of the first name."""
+    from kinweave.sources.files import read_hits
+
+    for k, n in enumerate((2, 50, 400)):
+        (tmp_path / f"part-0000{k}.csv").write_text("query\ttarget\tpident\talnlen\tevalue\tbits\n" + "".join(f"q{k}{i:04d}\tt\t90.0\t1\t0.0\t5.0\n" for i in range(n)))
+    assert [r["query"] for r in read_hits(spark, str(tmp_path), max_rows=4).collect()] == ["q00000", "q00001", "q10000", "q10001"]
