@@ -305,3 +305,29 @@ def test_one_decimal_of_all_hits_and_of_ties(spark):
     given = {98.25: 98.2, 98.75: 98.8, 99.05: 99.0, 97.15: 97.2, 99.96: 100.0, 98.333333: 98.3, 97.0: 97.0}
     d = spark.createDataFrame([(x,) for x in given], "x double").select("x", S.one_decimal(F.col("x")).alias("y"))
     assert {r["x"]: r["y"] for r in d.collect()} == given
+
+
+def test_scores_by_few_keys_are_not_shuffled_by_them(spark):
+    """Statistics of two distances are sent to all tasks; ranks and reverse hits need no join."""
+    from kinweave.operators import joins, ranking
+    from kinweave.functions.scorers import ScoringMethod
+
+    rows = [("c", f"{k % 3}", f"{3 + k % 4}", f"p{k}", f"q{k}", "g", "h", 3 + 2 * (k % 2), 90.0 + k) for k in range(40)] + [(None, "1", "2", "p", "q", "g", "h", 3, 95.0)]
+    best = spark.createDataFrame(rows, "chg string, tax_a string, tax_b string, prot_a string, prot_b string, genome_a string, genome_b string, n_int int, similarity double")
+    plan = ranking.scored(best, ranking.ScoringParams(method=ScoringMethod.MODIFIED))._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
+    hits = spark.createDataFrame([("a", "b", 90.0), ("b", "a", 95.0), ("a", "c", 90.0)], "query string, target string, pident double").selectExpr("'c' chg", "query tax_a", "target tax_b", "query", "target", "query genome_a", "target genome_b", "3 n_int", "pident")
+    both = ranking.symmetric_best(hits)
+    assert sorted(map(tuple, both.drop("_lo", "_hi").collect())) == sorted(map(tuple, ranking.symmetrize(ranking.best_hits(hits, True)).collect()))
+    adj = ranking.adjacency(both)
+    for threshold, ranks in ((None, ranking.simple_ranks(adj)), (0.5, ranking.threshold_ranks(adj, 0.5))):
+        found = ranking.with_ranks(both, threshold)
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted((r["tax_a"], r["tax_b"], r["rank"]) for r in found.collect()) == sorted((r["tax"], r["neighbor"], r["rank"]) for r in ranks.collect())
+    table = spark.range(10).selectExpr("id k", "id v")
+    before, joins.SMALL_ROWS = joins.SMALL_ROWS, 5
+    try:
+        large = joins.join_lookup(spark.range(30).selectExpr("id % 12 k"), table, "k", "left")
+        assert large.count() == 30 and large.where("v is null").count() == 4
+    finally:
+        joins.SMALL_ROWS = before
