@@ -331,3 +331,12 @@ def test_scores_by_few_keys_are_not_shuffled_by_them(spark):
         assert large.count() == 30 and large.where("v is null").count() == 4
     finally:
         joins.SMALL_ROWS = before
+
+
+def test_best_transfers_are_computed_once(spark):
+    """Bounds and marks read the written best hits, and neither hits nor items again."""
+    from kinweave.plans import queries
+    from kinweave.plans.adapters import Star
+
+    files = queries._marked(Star(spark, "/root/testdata/sf0.001")).inputFiles()
+    assert files and all("kinweave-best-" in f or "kinweave-lookup-" in f for f in files)
