@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinweave.operators import biconnected, graph, modularity
 
@@ -104,3 +105,14 @@ def test_small_components_share_a_python_call(spark):
         for x, k in graph._louvain(own, 200.0 * len(named), 42).items():
             want.setdefault((c, k), []).append(x)
     assert got == sorted((x, min(own)) for own in want.values() for x in own)
+
+
+def test_no_sweep_lowers_the_modularity(spark):
+    """Two nations that both gain by joining their region do not join it at once; 40 suppliers of a nation do. Numbers of nodes do not follow the partitions."""
+    edges = [(f"S{k:03d}", f"N{k % 10}", 200.0) for k in range(400)] + [(f"N{k}", f"R{k % 2}", 200.0) for k in range(10)] + [("R0", "R1", 200.0)]
+    by_nation = {x: b if a[0] == "S" else x for a, b, _ in edges for x in (a, b)} | {f"S{k:03d}": f"N{k % 10}" for k in range(400)} | {"R0": "N0", "R1": "N1"}
+    least, hits = plain_modularity(edges, by_nation), spark.createDataFrame(edges, "query string, target string, bits double")
+    own = {r["node_id"]: r["community"] for r in graph.communities(hits, seed=1, one_task_edges=0).collect()}
+    assert plain_modularity(edges, own) >= least - 1e-9
+    numbers = [rows(graph.with_numbers(hits.repartition(n).select(F.col("query").alias("source"), "target"))[1]) for n in (1, 7)]
+    assert numbers[0] == numbers[1]
