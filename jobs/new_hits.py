@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from jobs.common import exit_with, log, main
 from kinweave.functions.scalars import pair_label
 from kinweave.operators.joins import join_counted
-from kinweave.operators.similarity import distinct_sets, feature_sets, linked_sets, shingles
+from kinweave.operators.similarity import distinct_sets, frequent_last, hashed_sets, linked_sets
 from kinweave.runtime import drop_scratch, materialize
 
 INDEX = "name string, genome string, taxon string, size int, s array<bigint>, k1 bigint, k2 bigint, batch bigint"
@@ -73,12 +73,12 @@ def take(rows: DataFrame, batch: int, output: str, config: Config) -> int:
         copies = spark.read.schema(HITS).parquet(f"{output}/hits").where(earlier & (F.col("kind") == "copy"))
         seen = index.select("name").unionByName(copies.select(F.explode(F.array("query", "target")).alias("name")))
     records = materialize(_new_records(rows, config, seen), "records")
-    features = shingles(records, "name", "text", config.words)
+    hashed = hashed_sets(records, "name", "text", config.words, ("genome", "taxon"))
     if not batch:
         n = records.count()
-        frequent = features.groupBy(F.xxhash64("shingle").alias("h")).agg(F.count("*").alias("df")).where(F.col("df") > max(1.0, config.common_share * n))
+        frequent = hashed.select(F.explode_outer("s").alias("h")).groupBy("h").agg(F.count("*").alias("df")).where(F.col("df") > max(1.0, config.common_share * n))
         frequent.write.mode("overwrite").parquet(f"{output}/order")
-    sets = materialize(feature_sets(features, spark.read.schema(ORDER).parquet(f"{output}/order")), "sets")
+    sets = materialize(frequent_last(hashed, spark.read.schema(ORDER).parquet(f"{output}/order")), "sets")
     own, copied = distinct_sets(sets)
     if index is not None:  # a set that an earlier record has: its record, and all copies of it, are copies of that one
         known = own.select("name", "k1", "k2").join(index.select(F.col("name").alias("first"), "k1", "k2"), ["k1", "k2"])
@@ -91,7 +91,7 @@ def take(rows: DataFrame, batch: int, output: str, config: Config) -> int:
         copied = copied.unionByName(known.select("name", F.col("first").alias("copy_of")))
         own = own.join(known.select("name"), "name", "left_anti")
     attributes = records.select("name", "genome", "taxon")
-    _write(own.join(attributes, "name").withColumn("batch", F.lit(batch).cast("long")), f"{output}/index", batch, ["batch"])
+    _write(own.select("name", "genome", "taxon", "size", "s", "k1", "k2").withColumn("batch", F.lit(batch).cast("long")), f"{output}/index", batch, ["batch"])
     every = spark.read.schema(INDEX).parquet(f"{output}/index")
     new = every.where(F.col("batch") == batch)
     near = linked_sets(new, new, config.min_pident, same=True)

@@ -163,3 +163,22 @@ def test_command_lines_and_config_files(monkeypatch, tmp_path):
     assert common.main("x", new_hits.Config, own, {"records": ""}, run, ["a"]) == 1
     for job in (new_hits, shared_clusters):
         assert common.config_of(job.Config, job.__file__.replace(".py", ".json")) == job.Config()
+
+
+def test_sets_are_made_where_the_text_is(spark):
+    """The sets of ``feature_sets``, frequent features last, without a shuffle of all features; copies by keys alone."""
+    from pyspark.sql import functions as F
+
+    from kinweave.operators.similarity import distinct_sets, feature_sets, frequent_last, hashed_sets, shingles
+    from kinweave.runtime import materialize
+
+    texts = [("a", "one two three four five six one two three four five"), ("b", "one two three four five"), ("c", "one two three four five"), ("d", "short"), ("e", None), ("f", "six seven eight nine ten one two three four five")]
+    docs = spark.createDataFrame([(k, t, k * 2) for k, t in texts], "id string, body string, note string")
+    features = shingles(docs, "id", "body")
+    often = materialize(features.groupBy(F.xxhash64("shingle").alias("h")).agg(F.count("*").alias("df")).where("df > 1"), "often")
+    hashed = hashed_sets(docs, "id", "body", keep=("note",))
+    assert "Exchange" not in hashed._jdf.queryExecution().executedPlan().toString()
+    sets = materialize(frequent_last(hashed, often), "sets")
+    assert sorted(map(tuple, sets.select("name", "size", "s").collect())) == sorted(map(tuple, feature_sets(features, often).collect()))
+    own, copies = distinct_sets(sets)
+    assert sorted((r["name"], r["note"]) for r in own.collect()) == [("a", "aa"), ("b", "bb"), ("f", "ff")] and [tuple(r) for r in copies.collect()] == [("c", "b")]
