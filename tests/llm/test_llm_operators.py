@@ -201,6 +201,24 @@ def test_weights_enter_the_draws(spark):
     assert np.mean([abs(counted(texts[i][1], texts[i - 1][1]) - out[i]["near_next"]) for i in range(1, 120)]) > 2 * np.abs(errors).mean()
 
 
+def test_terms_of_both_texts_are_sampled_once(spark):
+    """Fingerprints from shared and own terms are those of the whole texts; a term that both texts hold once is one row."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    texts = [(i, t) for i, t in dict(EDGE).items() if i is not None] + [(100 + i, " ".join(rng.choice(words) for _ in range(rng.randrange(3, 90)))) for i in range(60)]
+    texts += [(200 + i, "again and again the same line stands here. " * i + f"end {i}") for i in range(1, 9)]
+    pairs = spark.createDataFrame([(i, t or "", u or "") for (i, t), (_, u) in zip(texts, [(i, (t or "")[: 2 * len(t or "") // 3] + " x y") for i, t in texts], strict=True)], "id int, a string, b string")
+    parts = collections.defaultdict(dict)
+    for r in fingerprints._sampled(fingerprints.with_terms_of_two(pairs, "a", "b"), ["id", "_in"], "f").collect():
+        parts[r["id"]][r["_in"]] = r["f"]
+    least = lambda x, y: [min((v for v in p if v is not None), default=None) for p in zip(x, y, strict=True)]
+    for text, own in (("a", fingerprints.OWN), ("b", fingerprints.OTHER)):
+        whole = {r["id"]: r["f"] for r in fingerprints.fingerprints(pairs, ["id"], text, "f").collect()}
+        assert len(whole) == len(texts) and all(least(parts[i][fingerprints.BOTH], parts[i][own]) == f for i, f in whole.items())
+    long = spark.createDataFrame([(" ".join(words), " ".join(words[:200]))], "a string, b string")
+    assert fingerprints.with_terms_of_two(long, "a", "b").where("_term is not null").count() == 296
+
+
 def test_rows_without_id_and_wide_ids(spark):
     texts = [(None, f"row without id {i}") for i in range(40)] + [((1 << 50) - 7 * i, f"wide {i}") for i in range(30)] + [(-(1 << 50) + i, f"low {i}") for i in range(30)]
     d = frame(spark, texts, extra=False).select("doc_id", "text").withColumn("_tie", __import__("pyspark.sql.functions", fromlist=["xxhash64"]).xxhash64("text"))
