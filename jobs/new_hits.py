@@ -27,10 +27,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobs.common import exit_with, log, main
+from jobs.common import exit_with, log, main, one_of_each
 from kinweave.functions.scalars import pair_label
-from kinweave.operators.joins import join_counted
-from kinweave.operators.similarity import distinct_sets, frequent_last, hashed_sets, linked_sets
+from kinweave.operators.joins import join_counted, join_lookup
+from kinweave.operators.similarity import SMALL_NAMES, distinct_sets, frequent_features, frequent_last, hashed_sets, linked_sets
 from kinweave.runtime import drop_scratch, materialize
 
 INDEX = "name string, genome string, taxon string, size int, s array<bigint>, k1 bigint, k2 bigint, batch bigint"
@@ -59,8 +59,11 @@ def _write(df: DataFrame, path: str, batch: int, by: list[str]) -> None:
 def _new_records(rows: DataFrame, config: Config, seen: DataFrame | None) -> DataFrame:
     """(name, text, genome, taxon) of records that have an id and are not indexed yet."""
     own = F.struct(F.col(config.text_column).alias("text"), F.col(config.genome_column).cast("string").alias("genome"), F.col(config.taxon_column).cast("string").alias("taxon"))
-    d = rows.where(F.col(config.id_column).isNotNull()).groupBy(F.col(config.id_column).cast("string").alias("name")).agg(F.min(own).alias("r")).select("name", "r.*")
-    return d if seen is None else d.join(seen, "name", "left_anti")
+    d = one_of_each(rows.where(F.col(config.id_column).isNotNull()), F.col(config.id_column).cast("string"), own)
+    if seen is None:
+        return d
+    known = materialize(d.select("name").join(seen, "name", "left_semi"), "seen")  # names only
+    return join_lookup(d, known, "name", "left_anti", SMALL_NAMES)
 
 
 def take(rows: DataFrame, batch: int, output: str, config: Config) -> int:
@@ -72,13 +75,12 @@ def take(rows: DataFrame, batch: int, output: str, config: Config) -> int:
     if index is not None:
         copies = spark.read.schema(HITS).parquet(f"{output}/hits").where(earlier & (F.col("kind") == "copy"))
         seen = index.select("name").unionByName(copies.select(F.explode(F.array("query", "target")).alias("name")))
-    records = materialize(_new_records(rows, config, seen), "records")
-    hashed = hashed_sets(records, "name", "text", config.words, ("genome", "taxon"))
+    records = _new_records(rows, config, seen)
+    attributes = materialize(records.select("name", "genome", "taxon"), "records")
+    hashed = materialize(hashed_sets(records, "name", "text", config.words, ("genome", "taxon")), "hashed")
     if not batch:
-        n = records.count()
-        frequent = hashed.select(F.explode_outer("s").alias("h")).groupBy("h").agg(F.count("*").alias("df")).where(F.col("df") > max(1.0, config.common_share * n))
-        frequent.write.mode("overwrite").parquet(f"{output}/order")
-    sets = materialize(frequent_last(hashed, spark.read.schema(ORDER).parquet(f"{output}/order")), "sets")
+        frequent_features(hashed, max(1.0, config.common_share * attributes.count())).write.mode("overwrite").parquet(f"{output}/order")
+    sets = frequent_last(hashed, spark.read.schema(ORDER).parquet(f"{output}/order"))
     own, copied = distinct_sets(sets)
     if index is not None:  # a set that an earlier record has: its record, and all copies of it, are copies of that one
         known = own.select("name", "k1", "k2").join(index.select(F.col("name").alias("first"), "k1", "k2"), ["k1", "k2"])
@@ -86,11 +88,10 @@ def take(rows: DataFrame, batch: int, output: str, config: Config) -> int:
         many = materialize(copied.groupBy("copy_of").agg(F.count("*").alias("c")), "many")
         moved = known.select(F.col("name").alias("copy_of"), "first").join(many, "copy_of")
         left = many.join(known.select(F.col("name").alias("copy_of")), "copy_of", "left_anti").select("copy_of", F.col("copy_of").alias("first"), "c")
-        total = sets.count()
+        total = hashed.count()
         copied = join_counted(copied, moved.unionByName(left), ["copy_of"], total).select("name", F.col("first").alias("copy_of"))
         copied = copied.unionByName(known.select("name", F.col("first").alias("copy_of")))
         own = own.join(known.select("name"), "name", "left_anti")
-    attributes = records.select("name", "genome", "taxon")
     _write(own.select("name", "genome", "taxon", "size", "s", "k1", "k2").withColumn("batch", F.lit(batch).cast("long")), f"{output}/index", batch, ["batch"])
     every = spark.read.schema(INDEX).parquet(f"{output}/index")
     new = every.where(F.col("batch") == batch)
@@ -106,8 +107,8 @@ def take(rows: DataFrame, batch: int, output: str, config: Config) -> int:
     hits = materialize(hits, "hits")
     _write(hits, f"{output}/hits", batch, ["batch", "taxon_pair"])
     read = rows.count()
-    log.info("batch %d: read %d rows, %d new records, %d distinct sets; wrote %d hits to %s/hits", batch, read, records.count(), new.count(), hits.count(), output)
-    drop_scratch(records, sets, hits)
+    log.info("batch %d: read %d rows, %d new records, %d distinct sets; wrote %d hits to %s/hits", batch, read, attributes.count(), new.count(), hits.count(), output)
+    drop_scratch(attributes, hashed, hits)
     return read
 
 

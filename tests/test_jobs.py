@@ -182,3 +182,11 @@ def test_sets_are_made_where_the_text_is(spark):
     assert sorted(map(tuple, sets.select("name", "size", "s").collect())) == sorted(map(tuple, feature_sets(features, often).collect()))
     own, copies = distinct_sets(sets)
     assert sorted((r["name"], r["note"]) for r in own.collect()) == [("a", "aa"), ("b", "bb"), ("f", "ff")] and [tuple(r) for r in copies.collect()] == [("c", "b")]
+
+
+def test_frequent_features_are_counted_exactly(spark, monkeypatch):
+    from kinweave.operators import similarity
+
+    monkeypatch.setattr(similarity, "BUCKET_BITS", 3)  # buckets that hold several features
+    sets = spark.createDataFrame([(k, [h * (1 << 58) + k + 100 for h in range(8)] + [7, -9][: 1 + k % 2]) for k in range(20)], "name int, s array<bigint>")
+    assert sorted(map(tuple, similarity.frequent_features(sets, 5).collect())) == [(-9, 10), (7, 20)]
