@@ -184,6 +184,22 @@ def test_sets_are_made_where_the_text_is(spark):
     assert sorted((r["name"], r["note"]) for r in own.collect()) == [("a", "aa"), ("b", "bb"), ("f", "ff")] and [tuple(r) for r in copies.collect()] == [("c", "b")]
 
 
+def test_no_job_writes_or_shuffles_whole_texts(spark, tmp_path, monkeypatch):
+    """Texts stay where they are read; of rows with one id the least text counts."""
+    from pyspark.sql import functions as F
+
+    tables = []
+    for job in (new_hits, shared_clusters):
+        monkeypatch.setattr(job, "materialize", lambda df, tag, own=job.materialize: tables.append((tag, df.columns)) or own(df, tag))
+    records = str(tmp_path / "records")
+    add(spark, made_rows(5, 40) + [(3, "a b c d e f g", "g1", "x")], records)
+    new_hits.take(spark.read.parquet(records), 0, str(tmp_path / "hits"), new_hits.Config())
+    shared_clusters.run(spark, records, str(tmp_path / "clusters"))
+    assert len(tables) > 6 and not [t for t in tables if "text" in t[1]]
+    rows = spark.createDataFrame([(1, "b", "g"), (1, "a", "h"), (2, "c", None)], "id long, text string, genome string")
+    assert sorted(map(tuple, common.one_of_each(rows, F.col("id").cast("string"), F.struct("text", "genome")).collect())) == [("1", "a", "h"), ("2", "c", None)]
+
+
 def test_frequent_features_are_counted_exactly(spark, monkeypatch):
     from kinweave.operators import similarity
 
