@@ -206,3 +206,18 @@ def test_frequent_features_are_counted_exactly(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BUCKET_BITS", 3)  # buckets that hold several features
     sets = spark.createDataFrame([(k, [h * (1 << 58) + k + 100 for h in range(8)] + [7, -9][: 1 + k % 2]) for k in range(20)], "name int, s array<bigint>")
     assert sorted(map(tuple, similarity.frequent_features(sets, 5).collect())) == [(-9, 10), (7, 20)]
+
+
+def test_transfers_are_of_all_records(spark, tmp_path):
+    """Copies count too: a pair of taxa that only copies have, and links whose first records are of one genome."""
+    same, other = " ".join(f"w{k}" for k in range(60)), " ".join(f"w{k}" for k in range(59)) + " end"
+    rows = [(10, same, "g1", "a"), (11, same, "g2", "b"), (12, same, "g3", "c"), (13, same, "g1", "d"), (20, other, "g1", "e"), (21, other, "g1", "f")]
+    add(spark, rows, str(tmp_path / "records"))
+    shared_clusters.run(spark, str(tmp_path / "records"), str(tmp_path / "out"))
+    got = {r["taxon_pair"]: (r["query"], r["target"], round(r["pident"], 3)) for r in spark.read.parquet(str(tmp_path / "out/transfers")).collect()}
+    of, own = {str(r[0]): r for r in rows}, sets_of(rows)
+    want = {}
+    for a, b in sorted(links(rows), key=lambda p: (-len(own[p[0]] & own[p[1]]) / len(own[p[0]] | own[p[1]]), p)):
+        if of[a][2] != of[b][2]:
+            want.setdefault("-".join(sorted((of[a][3], of[b][3]))), (a, b, round(100 * len(own[a] & own[b]) / len(own[a] | own[b]), 3)))
+    assert got == want and {"b-c", "b-e", "c-f"} <= set(got)
