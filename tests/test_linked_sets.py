@@ -64,3 +64,23 @@ def test_sets_hold_shared_features_only(spark):
     want = {r["name"]: (r["size"], set(r["s"]) & often) for r in whole.collect()}
     got = {r["name"]: (r["size"], set(r["s"])) for r in similarity.shared_sets(whole).collect()}
     assert got == {k: v for k, v in want.items() if v[1]} and len(got) < len(want)
+
+
+@pytest.mark.parametrize("least", [30.0, 80.0])
+def test_long_texts_meet_often(spark, monkeypatch, least):
+    """Pairs that meet in few features only are not verified, those that reach the threshold are all found."""
+    rng, rows = random.Random(9), []
+    base = [[f"b{k}w{i}" for i in range(rng.randrange(250, 300))] for k in range(3)]
+    shared = [f"licence{i}" for i in range(9)]
+    for k in range(30):
+        t = list(rng.choice(base))
+        for _ in range(rng.choice((0, 2, 6, 12, 30))):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(4000)}"
+        rows.append((k, " ".join(t + shared)))
+    asked = []
+    monkeypatch.setattr(similarity, "_shared_counts", lambda pairs, *sets, own=similarity._shared_counts: asked.append(pairs.count()) or own(pairs, *sets))
+    docs = spark.createDataFrame(rows, "id long, body string")
+    want = brute(rows, least)
+    sets = materialize(similarity.hashed_sets(docs, "id", "body"), "sets")  # in order of the hash: the shared runs stand anywhere
+    assert {(r["query"], r["target"]): r["pident"] for r in similarity.linked_sets(sets, sets, least, same=True).collect()} == pytest.approx(want) and want
+    assert least < 80 or asked[0] <= len(brute(rows, 10.0))
